@@ -1,0 +1 @@
+"""A Spark-native engine for time-coded records, names and texts."""

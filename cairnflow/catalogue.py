@@ -32,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    from .plans.relational import shared_members_topk
+
+    return shared_members_topk(spark, sf_dir)
