@@ -322,8 +322,9 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def _with_spans(docs: DataFrame, doc_id: str, text: str, *more: str) -> DataFrame:
+    """doc_id, text, the columns more as one (rest), whose names may then be any, and the spans."""
     found = spans(docs, doc_id, text)
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *more, F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("kid"), F.xxhash64(F.col(text)).alias("h"))
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(F.lit(0), *more).alias("rest"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("kid"), F.xxhash64(F.col(text)).alias("h"))
     return d.join(found, ["kid", "h"], "left")
 
 
@@ -351,7 +352,8 @@ def clean(docs: DataFrame) -> DataFrame:
             for t, runs in zip(column(b, "text").to_pylist(), _merged(b)):
                 raw = _raw(t)
                 texts.append(without(raw, on_characters(raw, runs)).decode("utf-8", "surrogatepass") if runs else t)
-            cols = [pa.array(texts, pa.string()) if c == "text" else pa.array([None if t is None else len(t) for t in texts], pa.int64()) if c == "n_chars" else column(b, c) for c in names]
+            rest_of = column(b, "rest")
+            cols = [pa.array(texts, pa.string()) if c == "text" else pa.array([None if t is None else len(t) for t in texts], pa.int64()) if c == "n_chars" else column(b, c) if c == "doc_id" else rest_of.field(1 + rest.index(c)) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return _with_spans(docs, "doc_id", "text", *rest).mapInArrow(run, docs.schema)

@@ -1,0 +1,347 @@
+"""Each operator against a plain version of its contract, on a small table with nulls, blanks, repeats and clashing names."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from cairnflow.llm import components, fm, hostrules, neardup, ordermin, packing, pfp, piecesample, queries, rangecoder, tokencount, warc, wordbpe
+
+
+def by_row(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def library(texts):
+    lib = wordbpe.encoder(wordbpe.default_path()).lib
+    return [lib.encode(t or "", add_special_tokens=False).ids for _, t in texts]
+
+
+def packed(ids):
+    return np.array(ids, dtype="<u4").tobytes()
+
+
+# -- tokens ---------------------------------------------------------------
+
+
+def test_word_encoder_equals_library(texts):
+    enc = wordbpe.encoder(wordbpe.default_path())
+    assert enc.by_piece
+    assert enc.packed_many([t for _, t in texts]) == [packed(i) for i in library(texts)]
+
+
+def test_word_encoder_on_odd_characters():
+    import random
+
+    rng, enc = random.Random(3), wordbpe.encoder(wordbpe.default_path())
+    parts = list("aB'sZ .,\n\t\x1c\x85 ́éÀΣςK<|>3½漢🙂‍İıß") + ["<|endoftext|>", "'s", "\r\n", " ́", ",.", "word", "Wort."]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 20)))
+        assert enc.packed(t) == packed(enc.lib.encode(t, add_special_tokens=False).ids), repr(t)
+
+
+def test_token_counts(docs, texts, empty):
+    want = sorted(((i, len((t or "").encode()), len(x), len(x) > 2048) for (i, t), x in zip(texts, library(texts))), key=repr)
+    assert by_row(tokencount.token_counts(docs)) == want
+    assert by_row(tokencount.token_counts(docs, huge=500)) == want
+    assert tokencount.token_counts(empty).count() == 0
+
+
+@pytest.mark.parametrize("text", ["word " * 3000, "x" * 5000, "a" * 700 + " b " + "c" * 900, "it's, 3.5 — é́ " * 400])
+def test_splice_equals_whole(text):
+    enc = wordbpe.encoder(wordbpe.default_path())
+    got = tokencount.splice(tokencount.SpaceCut(enc), text, chunk=300, overlap=16)
+    assert got.tolist() == enc.lib.encode(text, add_special_tokens=False).ids
+
+
+def test_piece_model_counts():
+    import sentencepiece
+
+    path = wordbpe.default_path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    t = "Stone river, maple. " * 3000
+    assert tokencount.counts([t, None, ""], path, huge=1000) == [len(lib.encode(t)), len(lib.encode("")), len(lib.encode(""))]
+
+
+# -- packing --------------------------------------------------------------
+
+
+def test_packing(docs, texts, empty):
+    got, report = packing.pack(docs, part_items=20)
+    got = got.collect()
+    want = Counter()
+    for (i, _), ids in zip(texts, library(texts)):
+        ids = ids + [0]
+        for p, at in enumerate(range(0, len(ids), 2048)):
+            want[i, p, at, len(ids[at : at + 2048]), zlib.crc32(packed(ids[at : at + 2048]))] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    rows = defaultdict(list)
+    for r in got:
+        rows[r.sequence_id].append((r.offset, r.length))
+    for parts in rows.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert packing.pack(empty)[0].count() == 0
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(2)
+    for n in (1, 7, 300):
+        for top in (300, 1100, 2047):
+            x = rng.integers(1, top + 1, n)
+            bins = packing.best_fit_decreasing(x)
+            assert np.bincount(bins, weights=x).max() <= 2048
+            assert -(-int(x.sum()) // 2048) <= packing.lower_bound(x) <= bins.max() + 1
+    assert packing.lower_bound(np.array([1025] * 9)) == 9
+    assert packing.lower_bound(np.array([700] * 9)) == 5 and packing.best_fit_decreasing(np.array([700] * 9)).max() + 1 == 5
+
+
+# -- repeated strings -----------------------------------------------------
+
+
+def removed(texts):
+    raw = [(t or "").encode() for _, t in texts]
+    seen = Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
+    for b in raw:
+        m = bytearray(len(b))
+        for i in range(len(b) - 199):
+            if seen[b[i : i + 200]] > 1:
+                m[i : i + 200] = b"\1" * 200
+        yield b, m
+
+
+def test_suffix_dedup(docs, texts, empty):
+    want = []
+    for (i, _), (b, m) in zip(texts, removed(texts)):
+        kept = bytes(x for x, y in zip(b, m) if not y)
+        want.append((i, len(b), sum(m), len(re.findall(b"\1+", bytes(m))), hashlib.sha256(kept).hexdigest()))
+    assert by_row(pfp.report(docs)) == sorted(want, key=repr)
+    assert pfp.report(empty).count() == 0
+    clean = pfp.clean(docs)
+    assert clean.schema == docs.schema and clean.count() == len(texts)
+
+
+def test_filter_has_no_false_negative(spark):
+    x = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 500)
+    f = pfp.make_filter(spark.createDataFrame([(int(v),) for v in x], "core long"), len(x))
+    assert pfp.passes(f, x).all() and pfp.passes(f, x + 1).mean() < 0.1
+
+
+# -- near duplicates ------------------------------------------------------
+
+
+def near_classes(texts, percent=85):
+    sets = defaultdict(list)
+    for i, t in texts:
+        w = (t or "").encode().lower().split()
+        sets[i].append({tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set())
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    flat = [(i, s) for i, x in sets.items() for s in x if i is not None and s]
+    for a, (i, s) in enumerate(flat):
+        for j, t in flat[:a]:
+            if 100 * len(s & t) >= percent * len(s | t):
+                a_, b_ = sorted((root(i), root(j)))
+                parent[b_] = a_
+    return [(i, len(s), None if i is None else root(i), i is None or root(i) == i) for i, x in sets.items() for s in x]
+
+
+def test_near_dedup(docs, texts, empty):
+    assert by_row(neardup.classes(docs)) == sorted(near_classes(texts), key=repr)
+    assert neardup.classes(empty).count() == 0
+
+
+def test_chain_around_a_star(spark):
+    """A star's centre differs from both ends of a link: the second pass finds it."""
+    w = [f"w{k}" for k in range(400)]
+    t = [(1, " ".join(w)), (2, " ".join(w[:380] + [f"x{k}" for k in range(20)])), (3, " ".join(w[:350] + [f"x{k}" for k in range(50)])), (4, " ".join(w[:330] + [f"x{k}" for k in range(70)]))]
+    d = spark.createDataFrame(t, "doc_id long, text string")
+    assert by_row(neardup.classes(d)) == sorted(near_classes(t), key=repr)
+
+
+def test_components(spark):
+    links = [(k, k + 1) for k in range(10, 60)] + [(5, 7), (9, 7), (3, 9), (100, 99), (4, 4)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: 10 for k in range(10, 61)} | {3: 3, 5: 3, 7: 3, 9: 3, 99: 99, 100: 99}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# -- quality --------------------------------------------------------------
+
+
+def test_quality(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    d, y = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    got = {r.doc_id: r for r in fm.score(d, fm.fit(d, y)).collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for i, r in got.items())
+    held = [(got[r.doc_id].predicted, r.quality) for r in y.collect() if got[r.doc_id].held_out]
+    assert sum(p == q for p, q in held) >= 0.9 * len(held)
+
+
+def test_quality_odd_rows(spark, docs, texts, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    m = fm.fit(docs, none)
+    assert fm.score(docs, m).count() == len(texts) and fm.score(empty, m).count() == 0
+    assert fm.keep(docs, m).schema == docs.schema
+
+
+def test_sum_of_squares():
+    rng = np.random.default_rng(0)
+    flat = rng.normal(size=(fm.BUCKETS, 1 + fm.RANK))
+    ids, x = np.array([3, 7, 7, 900]), np.array([0.5, 1.0, -2.0, 0.25])
+    plain = 0.1 + sum(flat[i, 0] * v for i, v in zip(ids, x)) + sum(flat[ids[a], 1:] @ flat[ids[b], 1:] * x[a] * x[b] for a in range(4) for b in range(a))
+    assert abs(fm.Machine(0.1, flat).logit(ids, x) - plain) < 1e-9
+
+
+# -- fingerprints ---------------------------------------------------------
+
+
+def test_fingerprints(docs, texts, empty):
+    order = sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    want = []
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1]):
+        t, n = t or "", n or ""
+        e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        a, b, c = map(ordermin.fingerprint, (t, e, n))
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), ordermin.show(a), ordermin.show(b), ordermin.likeness(a, b), ordermin.likeness(a, c)))
+    assert by_row(ordermin.fingerprints(docs)) == sorted(want, key=repr)
+    assert by_row(ordermin.fingerprints(docs, parts=1)) == sorted(want, key=repr)
+    assert ordermin.fingerprints(empty).count() == 0
+
+
+def test_order_matters():
+    import random
+
+    w = [f"word{k}" for k in range(300)]
+    a = " ".join(w)
+    swapped = " ".join(w[150:] + w[:150])
+    random.Random(1).shuffle(w)
+    f = ordermin.fingerprint
+    assert ordermin.likeness(f(a), f(a)) == 1.0
+    assert ordermin.likeness(f(a), f(swapped)) < 0.9
+    assert ordermin.likeness(f(a), f(a + " end")) > 0.8
+
+
+# -- host rules -----------------------------------------------------------
+
+
+def base_counts(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    tri = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+    hit = {k + j for k in range(len(w) - 2) if tri[tuple(w[k : k + 3])] > 1 for j in range(3)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit)
+
+
+def test_host_rules(docs, texts, empty):
+    got = hostrules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    want = []
+    for i, t in texts:
+        c = base_counts(t)
+        want.append((i, *c, c[0] < 50 or 100 * c[4] > 50 * c[0]))
+    assert by_row(got) == sorted(want, key=repr)
+    assert hostrules.judge(empty).count() == 0
+
+
+def test_bad_host_rejects_its_documents(spark, texts):
+    good = next(t for i, t in texts if i == 8)
+    rows = [(k, "bad", "spam") for k in range(60)] + [(100, good, "spam")] + [(200 + k, good, "fine") for k in range(30)] + [(300, good, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in hostrules.judge(d).collect()}
+    assert got[100].host_rejected and not got[100].base_failed and not got[100].kept
+    assert got[200].kept and got[300].kept
+    assert {r.doc_id for r in hostrules.keep(d).collect()} == {200 + k for k in range(30)} | {300}
+
+
+# -- token files ----------------------------------------------------------
+
+
+def test_token_files(docs, texts, empty):
+    order = sorted(zip(texts, library(texts)), key=lambda r: (r[0][0] is not None, r[0][0] or 0, r[0][1] or ""))
+    want, at = [], 0
+    for (i, _), ids in order:
+        ids = ids + [2]
+        want.append((i, at, len(ids), zlib.crc32(packed(ids))))
+        at += len(ids)
+    assert by_row(rangecoder.round_trip(docs)) == sorted(want, key=repr)
+    assert rangecoder.round_trip(empty).count() == 0
+
+
+@pytest.mark.parametrize("ids", [[], [7], [0] * 9000, list(range(3000)), [1 << 19, 5] * 1500, [49407] * 2048])
+def test_coder_round_trip(ids):
+    raw = packed(ids)
+    docs = [(None, 0), (5, len(ids))]
+    data = rangecoder.pack_file(docs, raw)
+    assert rangecoder.unpack_file(data) == (docs, raw)
+    if len(ids) > 3000:
+        assert len(data) < len(raw)
+
+
+def test_coder_finds_damage():
+    rng = np.random.default_rng(4)
+    data = bytearray(rangecoder.pack_file([(1, 4000)], packed(rng.integers(0, 50000, 4000))))
+    data[-900] ^= 0xFF
+    with pytest.raises(ValueError):
+        rangecoder.unpack_file(bytes(data))
+
+
+# -- sampled segmentations ------------------------------------------------
+
+
+def test_sampling_is_lossless_and_reproducible(docs, texts, empty):
+    enc = piecesample.encode(docs)
+    got = piecesample.decode(enc).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((i, t or "") for i, t in texts)
+    again = piecesample.decode(piecesample.encode(docs.repartition(1)))
+    assert by_row(again) == sorted(map(tuple, got), key=repr)
+    assert by_row(piecesample.encode(docs, seed=1)) != by_row(enc)
+    assert piecesample.encode(empty).count() == 0
+
+
+def test_sampling_follows_the_lattice():
+    s = piecesample.sampler(wordbpe.default_path("piece_bpe_32k.model"))
+    n = 4000
+    seen = Counter(tuple(x.tolist()) for x in s.sample(["thing"] * n, list(range(n))))
+    a, weight = s.forward(" thing"), {i: lp for i, lp in s.known.values()}
+    for path, k in seen.most_common(3):
+        assert abs(k / n - np.exp(sum(weight[i] for i in path) - a[-1])) < 0.04
+    plain = Counter(tuple(s.draw(" thing", b)) for b in range(1, 2000))
+    assert abs(plain.most_common(1)[0][1] / 1999 - seen.most_common(1)[0][1] / n) < 0.06
+
+
+# -- WARC -----------------------------------------------------------------
+
+
+def test_warc(spark, tmp_path):
+    big, other = "<p>é" * 80, "<b>x" * 90
+    pages = [(5, "http://a/1", big), (2, "http://a/2", big), (9, None, other), (9, "u", other), (7, "http://b", "small"), (8, "http://b", "small"), (3, "x y", None), (4, "http://c", ""), (None, "n", big), (6, "http://d", big)]
+    d = spark.createDataFrame([(i, u, h, "z") for i, u, h in pages], "page_id long, url string, html string, digest string")
+    path = warc.write(d, str(tmp_path / "w"), roll_bytes=300)
+    got = warc.read(spark, path, with_payload=True).collect()
+    want = []
+    for i, _, h in pages:
+        raw = (h or "").encode()
+        first = min((j for j, _, g in pages if g == h and j is not None), default=None)
+        revisit = len(raw) >= 100 and i is not None and first < i
+        want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if revisit else "response", first if revisit else None, None if revisit else raw))
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in got), key=repr) == sorted(want, key=repr)
+    again = warc.write(d.repartition(3), str(tmp_path / "v"), roll_bytes=300)
+    bytes_of = lambda f: {p.name: p.read_bytes() for p in (tmp_path / f).glob("*.gz")}
+    assert bytes_of("w") == bytes_of("v") and len(bytes_of("w")) > 1 and again
+    assert warc.round_trip(d.limit(0)).count() == 0
+
+
+def test_queries_have_ten_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
