@@ -3,4 +3,4 @@
 Importing the modules registers their queries in ``cairnflow.catalogue``.
 """
 
-from . import decisions, intervals, ordered, relational, textual  # noqa: F401
+from . import credits, decisions, intervals, ordered, relational, textual  # noqa: F401

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnflow import schemas
 from cairnflow.functions import similarity, text
-from cairnflow.operators import decisions, dedup, folds, intervals, relational, runs
+from cairnflow.operators import credits, decisions, dedup, folds, intervals, relational, runs
 from cairnflow.sources import files, logs, sinks
 from cairnflow.streaming import state, windows
 
@@ -217,3 +217,27 @@ def test_stream_equals_table(spark, tmp_path):
     assert got == sorted(map(tuple, state.stateful(d, "u", "ts", state.session_step, schema).collect()))
     count = F.count("*").alias("n")
     assert run(windows.tumbling(stream, "ts", "10 minutes", ["kind"], count), "tumble", "complete") == sorted(map(tuple, windows.tumbling(d, "ts", "10 minutes", ["kind"], count).collect()))
+
+
+def test_credits(spark):
+    lines = ["Intro words", "Director", "Ada Byron", "Grace Hopper", "Cast", "Alan Turing & Kurt Godel", "alan turing", "Guest Stars", "Emmy Noether", "Producer: x", "studio film"]
+    d = spark.createDataFrame([(1, k, x) for k, x in enumerate(lines)], "doc int, pos int, line string")
+    got = sorted((r.role, r["rank"], r.name) for r in credits.parsed_credits(d, "doc", "pos", "line").collect())
+    assert got == [("cast", 1, "Alan Turing"), ("cast", 2, "Kurt Godel"), ("cast", 3, "Emmy Noether"), ("director", 1, "Ada Byron"), ("director", 2, "Grace Hopper")]
+    assert [r.name for r in credits.guests(d, "doc", "pos", "line").collect()] == ["Emmy Noether"]
+    roles = {(r.role, r.name) for r in credits.anchored_roles(d, "doc", "pos", "line").collect()}
+    assert {("director", "Ada Byron"), ("director", "Grace Hopper")} <= roles
+    block = ["keep", "this series", "a", "was made", "also", "end of part 7", "kept"]
+    b = spark.createDataFrame([(1, k, x) for k, x in enumerate(block)], "doc int, pos int, line string")
+    out = credits.stop_cards(b, "doc", "pos", "line", "this series", "was made", r"^end of part (\d+)$").orderBy("pos").collect()
+    assert [r.line for r in out] == ["keep", "also", "kept"] and out[0].card_no == 7
+    assert [bool(one(spark, credits.valid_person(F.lit(n)))) for n in ("Ada Byron", "Ada", "J. Smith", "Ada 3", "Film Studio Co")] == [True, False, True, False, False]
+
+
+def test_confirmed_cast(spark):
+    t = "doc int, pos int, name string"
+    read = spark.createDataFrame([(1, 0, "Ada Byron"), (1, 1, "Grase Hopper"), (1, 2, "Noise Words"), (1, 3, "Emmy Noether")], t)
+    known = spark.createDataFrame([(1, 0, "Grace Hopper"), (1, 1, "Ada Byron"), (1, 2, "Alan Turing")], t)
+    seen = spark.createDataFrame([(1, 0, "Emmy Noether")], t)
+    got = sorted((r["rank"] or 0, r.name, r.source) for r in credits.confirmed_cast(read, known, seen, "doc").collect())
+    assert got == [(0, "Noise Words", "dropped"), (1, "Ada Byron", "confirmed"), (2, "Grace Hopper", "corrected"), (3, "Emmy Noether", "second"), (4, "Alan Turing", "filled")]
