@@ -17,7 +17,9 @@ All windows of a phrase hold the ``CORE`` bytes from its trigger on.  So
 3. the spans go back to their documents by key.
 
 Scale: no task sees more than the phrases of its cores; copies of a text collapse to one dictionary entry, whose text is sent
-once by each task that reads a copy; the driver sees the filter and counts alone.
+once by each task that reads a copy; the driver sees the filter, counts and the hot cores (100,000 at most) alone.  A core that
+very many different phrases share (the edge of a passage found in a third of all documents) isn't sorted: its windows are
+counted by their hashes, whose counts combine before they move.
 
 Defined results: a null text counts as empty; texts under 200 bytes lose nothing.  Repeated rows repeat each other's text and
 lose it all.  A null doc_id is kept.  An empty table gives an empty result.  Other columns are ignored and may have any name.
@@ -46,6 +48,8 @@ MAX_FILTER_BITS, FILTER_PARTS = 1 << 28, 64
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _R = np.uint64(0x2127599BF4325C37 | 1)
 CHUNK_ROWS = 200_000
+#: Different phrases of one core beyond which its windows are counted one by one instead.
+HOT = 200_000
 
 
 def parse(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,8 +143,8 @@ PHRASES = pa.schema([("core", pa.int64()), ("cls", pa.int64()), ("kid", pa.int64
 PHRASES_DDL = "core long, cls long, kid long, h long, start long, left short, least short, ctx binary"
 
 
-def phrase_rows(docs: DataFrame, shared) -> DataFrame:
-    """The phrases whose core passes the filter: core, hash of the phrase, document, first window start, distances of the first and
+def phrase_rows(docs: DataFrame, shared, hot: frozenset[int] = frozenset(), only_hot: bool = False) -> DataFrame:
+    """The phrases whose core passes the filter and isn't hot (or only those whose core is): core, hash of the phrase, document, first window start, distances of the first and
     last window to the trigger, and the phrase's bytes where this task hasn't sent them yet."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -154,6 +158,8 @@ def phrase_rows(docs: DataFrame, shared) -> DataFrame:
                 trig, first, last = parse(raw)
                 cores = _cores(raw, trig).view(np.int64)
                 ok = np.flatnonzero(passes(f, cores))
+                if hot:
+                    ok = np.array([k for k in ok.tolist() if (int(cores[k]) in hot) == only_hot], dtype=np.int64)
                 for c, t0, i, j in zip(cores[ok].tolist(), trig[ok].tolist(), first[ok].tolist(), last[ok].tolist()):
                     ctx = raw[i : j + WINDOW]
                     cls = key(ctx, t0 - i << 8 | t0 - j) - (1 << 63)
@@ -264,20 +270,59 @@ def _by_core(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _verdicts(pa.Table.from_batches(held))
 
 
+def hot_cores(counts: DataFrame, rows_of, most: int) -> frozenset[int]:
+    """Cores of more than ``most`` (or a 100,000th of all) phrases of which more than ``most`` differ: 100,000 cores at most."""
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    least = max(most, total // 100_000)
+    often = [r["core"] for r in counts.where(F.col("count") > least).select("core").collect()]
+    if not often:
+        return frozenset()
+    kinds = rows_of(frozenset(often)).groupBy("core", "cls").count().groupBy("core").count().where(F.col("count") > most)
+    return frozenset(r["core"] for r in kinds.collect())
+
+
+def hot_spans(docs: DataFrame, shared, hot: frozenset[int]) -> DataFrame:
+    """Spans of repeated windows whose core is hot: each window is a row of its own, so that the counts of a passage's many
+    surroundings are dealt by the windows' hashes and combine before they move."""
+    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("kid", pa.int64()), ("h", pa.int64()), ("s", pa.int64())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        f = shared.value
+        for b in parts:
+            for kid, h, t in zip(column(b, "kid").to_pylist(), column(b, "h").to_pylist(), column(b, "text").to_pylist()):
+                raw = _raw(t)
+                if len(raw) < WINDOW:
+                    continue
+                trig, first, last = parse(raw)
+                cores = _cores(raw, trig).view(np.int64)
+                for k in np.flatnonzero(passes(f, cores)).tolist():
+                    if int(cores[k]) in hot:
+                        for i in range(int(first[k]), int(last[k]) + 1):
+                            d = xxhash.xxh3_128_digest(raw[i : i + WINDOW])
+                            yield int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), kid, h, i
+
+    rows = docs.mapInArrow(lambda it: batches(run(it), schema, 5000), "w1 long, w2 long, kid long, h long, s long")
+    again = rows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
+    return rows.join(again, ["w1", "w2"]).select("kid", "h", "s", (F.col("s") + WINDOW).alias("e"))
+
+
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("kid"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
 
 
-def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """kid, h (doc_id and text hash of a document) and its spans [s, e) of repeated windows, as an array of structs."""
     spark = docs.sparkSession
     d = keyed(docs, doc_id, text)
-    again = materialise(core_rows(d).groupBy("core").count().where("count > 1").select("core"), "cores")
+    again = materialise(core_rows(d).groupBy("core").count().where("count > 1"), "cores")
     n = again.count()
-    shared = spark.sparkContext.broadcast(make_filter(again, n) if n else np.zeros((FILTER_PARTS, 128), dtype=np.uint8))  # of a fixed size at most
+    shared = spark.sparkContext.broadcast(make_filter(again.select("core"), n) if n else np.zeros((FILTER_PARTS, 128), dtype=np.uint8))  # of a fixed size at most
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = phrase_rows(d, shared).repartition(parts, "core").sortWithinPartitions("core", "cls")
+    crowded = hot_cores(again, lambda some: phrase_rows(d, shared, some, True), hot)
+    rows = phrase_rows(d, shared, crowded).repartition(parts, "core").sortWithinPartitions("core", "cls")
     found = rows.mapInArrow(_by_core, SPANS_DDL)
+    if crowded:
+        found = found.unionByName(hot_spans(d, shared, crowded))
     return found.groupBy("kid", "h").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
@@ -309,7 +354,7 @@ def _merged(b: pa.RecordBatch) -> Iterator[list[tuple[int, int]]]:
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -318,12 +363,12 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 raw = _raw(t)
                 yield i, len(raw), sum(e - s for s, e in runs), len(runs), hashlib.sha256(without(raw, runs)).hexdigest()
 
-    return _with_spans(docs, doc_id, text).mapInArrow(lambda it: batches(run(it), RESULT), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs, doc_id, text, hot=hot).mapInArrow(lambda it: batches(run(it), RESULT), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _with_spans(docs: DataFrame, doc_id: str, text: str, *more: str) -> DataFrame:
+def _with_spans(docs: DataFrame, doc_id: str, text: str, *more: str, hot: int = HOT) -> DataFrame:
     """doc_id, text, the columns more as one (rest), whose names may then be any, and the spans."""
-    found = spans(docs, doc_id, text)
+    found = spans(docs, doc_id, text, hot)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(F.lit(0), *more).alias("rest"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("kid"), F.xxhash64(F.col(text)).alias("h"))
     return d.join(found, ["kid", "h"], "left")
 

@@ -122,6 +122,7 @@ def test_suffix_dedup(docs, texts, empty):
         kept = bytes(x for x, y in zip(b, m) if not y)
         want.append((i, len(b), sum(m), len(re.findall(b"\1+", bytes(m))), hashlib.sha256(kept).hexdigest()))
     assert by_row(pfp.report(docs)) == sorted(want, key=repr)
+    assert by_row(pfp.report(docs, hot=1)) == sorted(want, key=repr)
     assert pfp.report(empty).count() == 0
     clean = pfp.clean(docs)
     assert clean.schema == docs.schema and clean.count() == len(texts)
