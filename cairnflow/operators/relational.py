@@ -123,3 +123,40 @@ def fused_lines(lines: DataFrame, by: str, y: str, tolerance: float) -> DataFram
     left = alone.where("side = 'l'").join(m.select(by, F.col("rl").alias("row")), [by, "row"], "left_anti").select(by, F.col("text").alias("l"), F.lit(None).cast("string").alias("r"))
     right = alone.where("side = 'r'").join(m.select(by, F.col("rr").alias("row")), [by, "row"], "left_anti").select(by, F.lit(None).cast("string").alias("l"), F.col("text").alias("r"))
     return m.select(by, "l", "r").unionByName(left).unionByName(right)
+
+
+def either_key(rows: DataFrame, table: DataFrame, key: Column, first: Column, second: Column, table_id: str) -> DataFrame:
+    """Rows with the table's rows one of whose two keys equals theirs: two hash joins rather than one on a disjunction."""
+    r = rows.withColumn("_k", key).where("_k != ''")
+    a, b = (r.join(table.withColumn("_k", c), "_k") for c in (first, second))
+    return a.unionByName(b).dropDuplicates([*rows.columns, table_id]).drop("_k")
+
+
+def has_member(rows: DataFrame, list_column: str, sep: str, wanted: DataFrame, member: str) -> DataFrame:
+    """Rows whose delimited list holds one of wanted, as a whole member."""
+    e = rows.select("*", F.explode(F.array_distinct(F.split(list_column, sep))).alias("_m"))
+    return e.join(wanted.select(F.col(member).alias("_m")).distinct(), "_m", "left_semi").drop("_m").distinct()
+
+
+def best_left_partner(names: DataFrame, roles: DataFrame, by: str, seconds: float, height: float, width: float) -> DataFrame:
+    """The role (by, role_id, t, x, y) nearest to each name (by, name_id, t, x, y) among those left of it, in reach in time and height;
+    buckets of time make the candidates."""
+    a = names.select(by, "name_id", F.col("t").alias("nt"), F.col("x").alias("nx"), F.col("y").alias("ny")).withColumn("_b", F.explode(F.array(F.floor(F.col("nt") / seconds) - 1, F.floor(F.col("nt") / seconds), F.floor(F.col("nt") / seconds) + 1)))
+    b = roles.select(by, "role_id", F.col("t").alias("rt"), F.col("x").alias("rx"), F.col("y").alias("ry")).withColumn("_b", F.floor(F.col("rt") / seconds))
+    dt, dy, dx = F.abs(F.col("nt") - F.col("rt")), F.abs(F.col("ny") - F.col("ry")), F.col("nx") - F.col("rx")
+    j = a.join(b, [by, "_b"]).where((dt <= seconds) & (dy <= height) & (dx > 0) & (dx <= width))
+    score = 1 - 0.5 * dy / height - 0.3 * dt / seconds - 0.2 * dx / width
+    return j.groupBy(by, "name_id").agg(F.max_by(F.struct("role_id", score.alias("score")), F.struct(score, -F.col("role_id"))).alias("m")).select(by, "name_id", "m.*")
+
+
+def zipped(left: DataFrame, right: DataFrame, order: str) -> DataFrame:
+    """Rows of two sources with one number; they must be as many."""
+    a, b = left.count(), right.count()
+    if a != b:
+        raise ValueError(f"{a} and {b} rows")
+    return left.join(right, order)
+
+
+def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows without replacement, the same for a seed whatever the partitions, in order of key."""
+    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n).orderBy(key)
