@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
@@ -66,6 +67,27 @@ def store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+_OWNER = ""
+
+
+def hold(name: str, clear: Callable[[], None]) -> None:
+    """Names a table that a worker process keeps between tasks, and how to empty it."""
+    _HELD[name] = clear
+
+
+def claim(name: str) -> None:
+    """Empties what other operators keep in this worker process, so that a session's operators don't add up in its memory."""
+    global _OWNER
+    if _OWNER != name:
+        for other, clear in _HELD.items():
+            if other != name:
+                clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _OWNER = name
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -80,3 +102,10 @@ def batches(rows: Iterator, schema: pa.Schema, size: int = 2000) -> Iterator[pa.
             part = []
     if part:
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*part), schema)], schema=schema)
+
+
+def in_slices(parts: Iterator[pa.RecordBatch], rows: int = 1500) -> Iterator[pa.RecordBatch]:
+    """The batches cut into ones of fewer rows, so that what is made of a batch stays small."""
+    for b in parts:
+        for k in range(0, len(b), rows):
+            yield b.slice(k, rows)

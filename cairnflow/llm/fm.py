@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import claim, column, hold
 
 WORD_BITS, RANK = 14, 8
 STEPS = 16
@@ -91,12 +91,13 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 class _Buckets(dict):
     def __missing__(self, word: str) -> int:
         b = zlib.crc32(word.encode("utf-8", "surrogatepass")) & ((1 << WORD_BITS) - 1)
-        if len(self) < 400_000 and len(word) < 40:
+        if len(self) < 300_000 and len(word) < 40:
             self[word] = b
         return b
 
 
 _KNOWN = _Buckets()
+hold("fm", _KNOWN.clear)
 _bucket = _KNOWN.__getitem__
 
 
@@ -188,6 +189,7 @@ def score(docs: DataFrame, model: Machine, threshold: float = THRESHOLD, doc_id:
     flat, w0 = model.flat.astype(np.float32), model.w0
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("fm")
         m = Machine(w0, flat)
         for b in parts:
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array([m.score(t) for t in column(b, "text").to_pylist()], pa.float64())], schema=SCHEMA)
@@ -201,6 +203,7 @@ def keep(docs: DataFrame, model: Machine, threshold: float = THRESHOLD) -> DataF
     flat, w0 = model.flat.astype(np.float32), model.w0
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("fm")
         m = Machine(w0, flat)
         for b in parts:
             yield b.filter(pa.array([m.score(t) >= threshold for t in column(b, "text").to_pylist()], pa.bool_()))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, column, materialise
+from .common import batches, column, in_slices, materialise
 from .wordbpe import default_path, encoder
 
 CAPACITY, END_ID = 2048, 0
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     schema = PIECES.append(pa.field("ids", pa.binary())) if with_ids else PIECES
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for b in parts:
+        for b in in_slices(parts):
             for i, ids in zip(column(b, "doc_id").to_pylist(), encoder(path).packed_many(column(b, "text").to_pylist())):
                 ids += end
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, column, materialise
+from .common import batches, claim, column, materialise
 from .ordermin import mix
 
 WINDOW, STARTS, GRAM = 200, 128, 32
@@ -88,6 +88,7 @@ def core_rows(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("core", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("pfp")
         for b in parts:
             held = []
             for t in column(b, "text").to_pylist():
