@@ -241,3 +241,32 @@ def test_confirmed_cast(spark):
     seen = spark.createDataFrame([(1, 0, "Emmy Noether")], t)
     got = sorted((r["rank"] or 0, r.name, r.source) for r in credits.confirmed_cast(read, known, seen, "doc").collect())
     assert got == [(0, "Noise Words", "dropped"), (1, "Ada Byron", "confirmed"), (2, "Grace Hopper", "corrected"), (3, "Emmy Noether", "second"), (4, "Alan Turing", "filled")]
+
+
+def test_sinks(spark, tmp_path):
+    d = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id int, k string")
+    sinks.with_rejects(d, F.when(F.col("id") == 2, "odd"), str(tmp_path / "kept"), str(tmp_path / "dropped"))
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 2 and spark.read.parquet(str(tmp_path / "dropped")).first().drop_reason == "odd"
+    sinks.partitioned(d, str(tmp_path / "p"), "k")
+    sinks.partitioned(d.where("k = 'b'").withColumn("id", F.lit(9)), str(tmp_path / "p"), "k")
+    assert sorted((r.id, r.k) for r in spark.read.parquet(str(tmp_path / "p")).collect()) == [(1, "a"), (3, "a"), (9, "b")]
+    sinks.scores_csv(d, str(tmp_path / "csv"))
+    assert files.name_set(spark, str(tmp_path / "csv"), "k").count() == 2
+    sinks.artifact(d.limit(1), str(tmp_path / "json"))
+    assert files.json_files(spark, str(tmp_path / "json"), "id int, k string", newest_first=True, limit=5).first().k == "a"
+
+
+def test_more_folds():
+    rows = [{"row": k, "text": t, "confidence": c} for k, (t, c) in enumerate([("anna smith", 0.5), ("anna smitt", 0.9), ("ann smitt", 0.1), ("bob", 0.3), ("anna smit", 0.2)])]
+    assert [r["row"] for r in folds.transitive_clusters(0.85)(rows)] == [1, 3]
+    rows = [{"row": k, "text": t, "evidence": e, "known": n} for k, (t, e, n) in enumerate([("ada byron", 2, False), ("ada byrom", 0, False), ("eve low", 1, False), ("eve lowe", 3, False), ("max x", 1, True), ("max y", 2, False)])]
+    assert [r["row"] for r in folds.clone_collapse(0.75)(rows)] == [0, 3, 4, 5]
+    assert [r["n"] for r in folds.overlap_groups(0.5)([{"s": 0, "e": 4}, {"s": 2, "e": 6}, {"s": 9, "e": 9}])] == [2, 1]
+    assert [r["e"] for r in folds.budgeted_prefix(2, 5, 8)([{"s": 0, "e": 9}, {"s": 10, "e": 19}, {"s": 20, "e": 29}])] == [5, 13]
+    assert [r["row"] for r in folds.recent_collapse(0.9, 1)([{"row": k, "text": t} for k, t in enumerate(["abcdefghij", "abcdefghik", "zz", "abcdefghij", "zz"])])] == [0, 2]
+    assert [r["grp"] for r in folds.temporal_groups(0.8, 2, 10)([{"row": k, "text": t, "t": s, "x": 0, "y": 0} for k, (t, s) in enumerate([("HELLO", 0), ("HELLO", 1), ("WORLD", 1), ("HELLO", 9)])])] == [1, 1, 2, 3]
+    assert folds.merged_chunks(100.0, 10.0, 30.0, 1.0, 0.0)([{"s": 20, "e": 22}, {"s": 40, "e": 60}])[0] == {"chunk": 0, "s": 16.0, "e": 26.0, "n": 1}
+
+
+def test_registered_functions(spark):
+    assert spark.sql("SELECT jaro_winkler_similarity('a', 'a') x, sequence_ratio('ab', 'ab') y, nfkd_ascii('éı') z, token_distance(array('a'), array('b')) d").first() == (1.0, 1.0, "ei", 1)
