@@ -8,8 +8,9 @@ random order of its own (optimal densification).  ``ROWS`` bins make a band; doc
 2. In each bucket every member is linked to the smallest one (a star, so a bucket makes no more candidates than it has members);
    candidates are confirmed on their full sets, and components are formed.
 3. A star can miss a link between two members that both differ from its centre.  So the members of every bucket that still
-   holds several components are compared across components, on full sets, after the bound that sizes set; components are
-   formed again.  That makes the result that of comparing all pairs that share a bucket, without doing so.
+   holds several components are compared across components, after the bounds that sizes and 1024-bit maps of the sets put on
+   what two of them can share, on full sets; components are formed again.  That makes the result that of comparing all pairs
+   that share a bucket; the bounds leave few pairs that don't link.
 
 With 32 bands of 5 a pair of similarity 0.85 shares no bucket with a chance of 7e-9.
 
@@ -28,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, column, materialise
+from .common import batches, claim, column, hold, materialise
 from .components import components
 from .ordermin import mix
 
@@ -39,7 +40,8 @@ WORDS = 3
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 PERCENT = 85
-MAX_WORDS_KEPT = 500_000
+MASK_LONGS = 16
+MAX_WORDS_KEPT = 400_000
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
 _ATTEMPTS = 4096
@@ -57,6 +59,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+hold("neardup", _WORDS.clear)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -118,6 +121,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """doc_id, n_shingles, a 128-bit hash of the set, and its bands (null for an empty set)."""
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        claim("neardup")
         for b in parts:
             for i, t in zip(column(b, "doc_id").to_pylist(), column(b, "text").to_pylist()):
                 s = shingles(t)
@@ -131,22 +135,30 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return d.mapInArrow(lambda it: batches(rows(it), SETS, 1000), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
+def mask(s: np.ndarray) -> np.ndarray:
+    """A bit map of a set: a bit that it has and another set's hasn't stands for a shingle of its own at least."""
+    bits = np.zeros(MASK_LONGS * 64, dtype=np.uint8)
+    bits[(s & np.uint64(MASK_LONGS * 64 - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """rep, set (bytes of sorted hashes) of the classes in wanted (rep, h1, h2): a class's set is that of a row with its hash."""
+    """rep, set (bytes of sorted hashes) and mask of the classes in wanted (rep, h1, h2): a class's set is that of a row with its hash."""
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        claim("neardup")
         for b in parts:
             for i, t in zip(column(b, "doc_id").to_pylist(), column(b, "text").to_pylist()):
                 s = shingles(t)
                 d = xxhash.xxh3_128_digest(s.tobytes())
-                yield i, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), s.tobytes()
+                yield i, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), s.tobytes(), mask(s)
 
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     d = d.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("set", pa.binary())])
-    s = d.mapInArrow(lambda it: batches(rows(it), schema, 200), "doc_id long, h1 long, h2 long, set binary")
+    schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("set", pa.binary()), ("mask", pa.list_(pa.int64()))])
+    s = d.mapInArrow(lambda it: batches(rows(it), schema, 200), "doc_id long, h1 long, h2 long, set binary, mask array<long>")
     # rows of equal doc_id and set repeat one another: any one will do
-    return s.join(wanted.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("rep"), "h1", "h2", "set")
+    return s.join(wanted.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("rep"), "h1", "h2", "set", "mask")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -179,7 +191,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", tex
     star = members.where(F.col("cls") != F.col("centre")).select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
     star = materialise(_sized(star, sizes, percent), "star")
     touched = members.select(F.col("cls").alias("rep")).distinct()
-    sets = materialise(full_sets(docs, reps.join(touched, "rep", "left_semi"), doc_id, text).select(F.col("rep").alias("cls"), "set").distinct(), "sets")
+    sets = materialise(full_sets(docs, reps.join(touched, "rep", "left_semi"), doc_id, text).select(F.col("rep").alias("cls"), "set", "mask").dropDuplicates(["cls", "set"]), "sets")
     links = materialise(_confirm(star, sets, percent), "confirmed")
     comp = materialise(components(links), "components")
     # buckets that still hold several components
@@ -187,10 +199,11 @@ def classes(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", tex
     m = members.select("band", "cls").join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left").select("band", "cls", label.alias("comp"))
     m = materialise(m, "labelled")
     mixed = m.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("band")
-    open_rows = materialise(m.join(mixed, "band", "left_semi").join(sizes.withColumnRenamed("rep", "cls"), "cls"), "open")
-    left, right = open_rows.select("band", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("most").alias("ma")), open_rows.select("band", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("mb"))
-    fits = (100 * F.col("ma") >= percent * F.col("nb")) & (100 * F.col("mb") >= percent * F.col("na"))
-    cross = left.join(right, "band").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    # each set of each member, with its size and mask
+    open_rows = materialise(m.join(mixed, "band", "left_semi").join(sets.select("cls", (F.octet_length("set") / 8).cast("long").alias("n"), "mask"), "cls"), "open")
+    left, right = (open_rows.select("band", F.col("cls").alias(k), F.col("comp").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("mask").alias(f"m{k}")) for k in "ab")
+    fits = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    cross = left.join(right, "band").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & fits & _may_share(percent)).select("a", "b").distinct()
     cross = materialise(cross.join(star, ["a", "b"], "left_anti"), "cross")
     more = _confirm(cross, sets, percent)
     comp = materialise(components(links.unionByName(more)), "components")
@@ -200,6 +213,13 @@ def classes(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", tex
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _may_share(percent: int) -> Column:
+    """Whether what two sets have in common, by their masks at most, can be enough: similarity >= p / 100 is an intersection of at
+    least p / (100 + p) of the sizes' sum."""
+    own = [sum((F.bit_count(F.get(x, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(k))))) for k in range(MASK_LONGS)), F.lit(0)) for x, y in (("ma", "mb"), ("mb", "ma"))]
+    return (100 + percent) * F.least(F.col("na") - own[0], F.col("nb") - own[1]) >= percent * (F.col("na") + F.col("nb"))
+
+
 def _sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose set sizes let them be similar enough."""
     p = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb")), "b")
