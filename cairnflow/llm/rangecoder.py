@@ -8,7 +8,7 @@ order-0 counts, its low bits follow plainly.  The probabilities drive a carry-le
 All blocks of a file are coded in step, one id of each at a time, so that every step is a few array operations over thousands
 of blocks; a block's bytes don't depend on its neighbours.
 
-File: the magic, counts of blocks and documents; for each block (ids, crc32 of its ids, words) as unsigned 32-bit numbers; for
+File: the magic, counts of blocks and documents; for each block (ids, crc32 of its ids, words) as unsigned 32-bit numbers and its classes as a byte; for
 each document doc_id (64-bit), a null flag and its number of ids; then the blocks' words.  All numbers little-endian.
 
 Scale: texts move once, to the ranges of their doc_id, and are encoded and written there; a file holds at most ``FILE_IDS`` ids
@@ -31,228 +31,312 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, column, fresh_dir, store
+from .common import batches, column, fresh_dir, in_slices, store
 from .ordermin import cut_points, range_number
 from .wordbpe import default_path, encoder
 
-BLOCK, LANES, FILE_IDS = 2048, 4096, 16_000_000
-MAGIC = b"CFIDS01\n"
+BLOCK, LANES, FILE_IDS = 1024, 8192, 16_000_000
+MAGIC = b"CFIDS02\n"
 END_ID = 2
 
-_TABLE_BITS = 10
+_TABLE_BITS = 9
+_SIZE = (1 << _TABLE_BITS) - 1
 _BITS = 12  # of a probability
 _ONE = 1 << _BITS
-_STATES = 32
-_MASK, _TOP, _LOW = np.uint64((1 << 48) - 1), np.uint64(1 << 32), np.uint64(1 << 16)
-_16, _32 = np.uint64(16), np.uint64(32)
+_STATES = 16
+#: Of the coder: words leave when the upper 16 of 32 bits agree; a span under _LEAST that straddles is cut.
+_TOP, _LEAST = np.uint32(1 << 16), np.uint32(1 << 13)
+_HALF = np.uint32(16)
 
 
-def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For ids under 2^20: class of each id's length and three leading bits; first id and low bits of each class."""
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """For ids under 2^20: first id and low bits of each class of length and three leading bits."""
     first, bits, at = [], [], 0
     while at < 1 << 20:
         low = max(0, at.bit_length() - 4)
         first.append(at)
         bits.append(low)
         at += 1 << low
-    return np.array(first, dtype=np.int64), np.array(bits, dtype=np.int64), np.array(first + [1 << 20], dtype=np.int64)
+    return np.array(first, dtype=np.int32), np.array(bits, dtype=np.uint32)
 
 
-_FIRST, _EXTRA, _EDGES = _classes()
-CLASSES = len(_FIRST)
+_FIRST, _EXTRA = _classes()
+_WIDE = 256  # columns of a block's cumulative counts, past its classes
+_SMALL = int(np.searchsorted(_FIRST, (1 << 16) - 1, side="right"))
+_EXTRA_MOST = 12  # low bits that one step of the coder takes
+_CLASS = np.searchsorted(_FIRST, np.arange(1 << 16), side="right").astype(np.int16) - 1  # of the ids under 2^16
 
 
 def _class_of(ids: np.ndarray) -> np.ndarray:
-    return np.searchsorted(_EDGES, ids, side="right") - 1
+    if len(ids) and int(ids.max()) >= 1 << 16:
+        return np.searchsorted(_FIRST, ids, side="right") - 1
+    return _CLASS.take(ids).astype(np.int64)
 
 
 class Model:
-    """The predictions of n blocks, in step."""
+    """The predictions of n blocks, in step; lanes of blocks that have ended are the last ones and are left out."""
 
-    def __init__(self, n: int):
-        size = 1 << _TABLE_BITS
-        self.n, self.step = n, 0
-        self.t1, self.t2 = np.zeros(n * size, dtype=np.int32), np.zeros(n * size, dtype=np.int32)
+    def __init__(self, n: int, classes: int):
+        self.n, self.classes, self.step = n, classes, 0
+        self.t1, self.t2 = np.zeros(n << _TABLE_BITS, dtype=np.int32), np.zeros(n << _TABLE_BITS, dtype=np.int32)
         self.base = np.arange(n, dtype=np.int64) << _TABLE_BITS
         self.sbase = np.arange(n, dtype=np.int64) * _STATES
-        self.p2 = np.full(n * _STATES, _ONE // 4, dtype=np.int32)
-        self.p1 = np.full(n * _STATES, _ONE // 4, dtype=np.int32)
-        self.counts = np.ones((n, CLASSES), dtype=np.int32)
+        self.p2, self.p1 = np.full(n * _STATES, _ONE // 4, dtype=np.int32), np.full(n * _STATES, _ONE // 4, dtype=np.int32)
+        self.counts = np.ones((n, classes), dtype=np.int32)
+        self.flat = self.counts.reshape(-1)
+        self.cbase = np.arange(n, dtype=np.int64) * classes
         self.last, self.before = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
 
     def predict(self, m: int) -> None:
         """Sets the predictions and probabilities of the first m blocks."""
-        size = (1 << _TABLE_BITS) - 1
-        if self.step % 32 == 0:
-            c = np.cumsum(self.counts, axis=1)
-            self.cum = np.zeros((self.n, CLASSES + 1), dtype=np.int64)
-            np.floor_divide(c * (_ONE - CLASSES), c[:, -1:], out=self.cum[:, 1:], casting="unsafe")
-            self.cum += np.arange(CLASSES + 1)
-            heavy = c[:, -1] > 1 << 14
-            if heavy.any():
+        k = self.step
+        self.step = k + 1
+        if k % 64 == 0 or k in (4, 8, 16, 32):
+            c = np.cumsum(self.counts, axis=1, dtype=np.int32)
+            total = c[:, -1:].copy()
+            c *= _ONE - self.classes
+            c //= total
+            cum = np.full((self.n, _WIDE), 32767, dtype=np.int16)
+            cum[:, 0] = 0
+            cum[:, 1 : self.classes + 1] = c + np.arange(1, self.classes + 1, dtype=np.int32)
+            self.cum = cum.reshape(-1)
+            heavy = np.flatnonzero(total[:, 0] > 1 << 13)
+            if len(heavy):
                 self.counts[heavy] = (self.counts[heavy] + 1) >> 1
-        self.step += 1
         last = self.last[:m]
-        self.i1 = self.base[:m] + (last * 0x9E37 >> 3 & size)
-        self.i2 = self.base[:m] + ((last * 0x9E3779B1 + self.before[:m] * 0x85EBCA77) >> 15 & size)
-        self.e1, self.e2 = self.t1[self.i1], self.t2[self.i2]
-        self.g1, self.g2 = self.e1 >> 2, self.e2 >> 2
-        state = ((self.e2 & 3) << 2) + (self.e1 & 3) + ((self.g1 == self.g2) * 16)
-        self.s = self.sbase[:m] + state
-        self.q2, self.q1 = self.p2[self.s], self.p1[self.s]
-        self.f0 = self.q2
-        self.f1 = ((_ONE - self.f0) * self.q1) >> _BITS
+        self.i1 = (last & _SIZE) + self.base[:m]
+        self.i2 = ((self.before[:m] * 643 + last) & _SIZE) + self.base[:m]
+        e1, e2 = self.t1.take(self.i1), self.t2.take(self.i2)
+        self.c1, self.c2 = e1 & 3, e2 & 3
+        self.e1, self.e2 = e1, e2
+        self.g1, self.g2 = e1 >> 2, e2 >> 2
+        self.s = self.sbase[:m] + ((self.c2 << 2) + self.c1)
+        self.q2, self.q1 = self.p2.take(self.s), self.p1.take(self.s)
+        self.f1 = ((_ONE - self.q2) * self.q1) >> _BITS
 
     def learn(self, m: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, missed: np.ndarray, cls: np.ndarray) -> None:
-        ids32 = (ids << 2).astype(np.int32)
-        for t, i, e, right in ((self.t1, self.i1, self.e1, self.g1 == ids), (self.t2, self.i2, self.e2, hit2)):
-            c = e & 3
-            t[i] = np.where(right, e + (c < 3), np.where(c > 0, e - ((c + 1) >> 1), ids32))
+        new = ids << 2
+        # right: surer; wrong: less sure, or replaced
+        self.t1[self.i1] = np.where(self.g1 == ids, self.e1 + (self.c1 < 3), np.where(self.c1 > 0, self.e1 - 1, new))
+        self.t2[self.i2] = np.where(hit2, self.e2 + (self.c2 < 3), np.where(self.c2 > 0, self.e2 - 1, new))
         # kept within [32, 4096 - 64], so that all three outcomes have a share
-        self.p2[self.s] = self.q2 + (np.where(hit2, _ONE - 64 - self.q2, 32 - self.q2) >> 4)
-        self.p1[self.s] = np.where(hit2, self.q1, self.q1 + (np.where(hit1, _ONE - 64 - self.q1, 32 - self.q1) >> 4))
-        self.counts[missed, cls] += 24
+        q2, q1 = self.q2, self.q1
+        self.p2[self.s] = q2 + ((32 + hit2 * np.int32(_ONE - 96) - q2) >> 4)
+        self.p1[self.s] = q1 + ((32 + hit1 * np.int32(_ONE - 96) - q1) >> 4) * ~hit2
+        at = self.cbase.take(missed) + cls
+        self.flat[at] = self.flat.take(at) + 24
         self.before[:m] = self.last[:m]
         self.last[:m] = ids
 
 
+def _share(hit2: np.ndarray, hit1: np.ndarray, q2: np.ndarray, f1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and width of what came of the three outcomes: order 2 right, order 1 right, neither."""
+    # products rather than where(), which branches on masks that can't be foreseen
+    a, b = hit2.astype(np.int32), hit1.astype(np.int32)
+    c, both = 1 - a - b, q2 + f1
+    return b * q2 + c * both, a * q2 + b * f1 + c * (_ONE - both)
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """The coded words of each block; blocks in any order of length."""
-    out: list[bytes] = [b""] * len(blocks)
-    order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
+    return _in_step(blocks, len, _encode, b"")
+
+
+def decode_blocks(coded: list[tuple[int, bytes, int]]) -> list[np.ndarray]:
+    """Ids of blocks given as (number of ids, coded words, number of classes)."""
+    return _in_step(coded, lambda c: c[0], _decode, np.zeros(0, dtype="<u4"))
+
+
+def _in_step(items: list, size, run, nothing) -> list:
+    out = [nothing] * len(items)
+    order = sorted(range(len(items)), key=lambda k: -size(items[k]))
     for a in range(0, len(order), LANES):
         part = order[a : a + LANES]
-        for k, b in zip(part, _encode([blocks[k] for k in part])):
-            out[k] = b
+        for k, got in zip(part, run([items[k] for k in part])):
+            out[k] = got
     return out
 
 
+def classes_of(block: np.ndarray) -> int:
+    """Classes that a block's ids need: those under 2^16, or all."""
+    return _SMALL if block.max(initial=0) < 1 << 16 else len(_FIRST)
+
+
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
+    # blocks that reach as many classes are coded with as many, whatever stands beside them
+    out: list[bytes] = [b""] * len(blocks)
+    kinds = np.array([classes_of(b) for b in blocks])
+    for kind in np.unique(kinds):
+        mine = np.flatnonzero(kinds == kind)
+        for k, w in zip(mine, _encode_kind([blocks[k] for k in mine], int(kind))):
+            out[k] = w
+    return out
+
+
+def _encode_kind(blocks: list[np.ndarray], classes: int) -> list[bytes]:
     n, size = len(blocks), np.array([len(b) for b in blocks])
-    ids = np.zeros((int(size.max(initial=0)), n), dtype=np.int64)
+    ids = np.zeros((int(size.max(initial=0)), n), dtype=np.int32)
     for k, b in enumerate(blocks):
         ids[: len(b), k] = b
-    model = Model(n)
-    low, span = np.zeros(n, dtype=np.uint64), np.full(n, _MASK, dtype=np.uint64)
-    words = np.zeros((n, 3 * len(ids) + 8), dtype="<u2")
-    at = np.zeros(n, dtype=np.int64)
-
-    def put(k, start, freq, bits) -> None:
-        """k: lanes (a slice or numbers)."""
-        lo, r = low[k], span[k] >> bits
-        lo = lo + r * start
-        r = r * freq
-        while True:
-            far = (lo ^ (lo + r)) >= _TOP
-            tight = r < _LOW
-            go = ~far | tight
-            if not go.any():
-                break
-            i = np.flatnonzero(go)
-            li, ri = lo[i], r[i]
-            ri = np.where(far[i], (np.uint64(0) - li) & (_LOW - np.uint64(1)), ri)
-            lanes = i if isinstance(k, slice) else k[i]
-            words[lanes, at[lanes]] = (li >> _32) & np.uint64(0xFFFF)
-            at[lanes] += 1
-            lo[i], r[i] = (li << _16) & _MASK, ri << _16
-        low[k], span[k] = lo, r
-
-    u = np.uint64
+    model = Model(n, classes)
+    low, span = np.zeros(n, dtype=np.uint32), np.full(n, 0xFFFFFFFF, dtype=np.uint32)
+    room = 3 * len(ids) + 8
+    words = np.zeros(n * room, dtype="<u2")
+    at = np.arange(n, dtype=np.int64) * room
+    begin = at.copy()
+
+    def settle(lanes: np.ndarray | None, lo: np.ndarray, r: np.ndarray) -> None:
+        """Words that are certain leave; lanes: which ones lo and r are of (None: the first)."""
+        far = (lo ^ (lo + r)) >= _TOP
+        i = np.flatnonzero(~far | (r < _LEAST))
+        while len(i):
+            li, ri = lo.take(i), r.take(i)
+            ri = np.where(far.take(i), (np.uint32(0) - li) & (_LEAST - np.uint32(1)), ri)
+            k = i if lanes is None else lanes.take(i)
+            p = at.take(k)
+            words[p] = li >> _HALF
+            at[k] = p + 1
+            li, ri = li << _HALF, ri << _HALF
+            lo[i], r[i] = li, ri
+            off = (li ^ (li + ri)) >= _TOP
+            more = np.flatnonzero(~off | (ri < _LEAST))
+            i = i.take(more)
+            if len(i):
+                far[i] = off.take(more)
+
+    u = np.uint32
+    bits = u(_BITS)
     for step in range(len(ids)):
         m = int(np.searchsorted(-size, -step, side="left"))
         x = ids[step, :m]
         model.predict(m)
+        q2, f1 = model.q2, model.f1
         hit2 = model.g2 == x
         hit1 = (model.g1 == x) & ~hit2
-        f0, f1 = model.f0, model.f1
-        start = np.where(hit2, 0, np.where(hit1, f0, f0 + f1))
-        freq = np.where(hit2, f0, np.where(hit1, f1, _ONE - f0 - f1))
-        put(slice(0, m), start.astype(u), freq.astype(u), u(_BITS))
+        start, freq = _share(hit2, hit1, q2, f1)
+        r = span[:m] >> bits
+        lo = low[:m] + r * start.astype(u)
+        r *= freq.astype(u)
+        settle(None, lo, r)
         miss = np.flatnonzero(~(hit2 | hit1))
-        cls = _class_of(x[miss])
+        cls = miss
         if len(miss):
-            c0 = model.cum[miss, cls]
-            put(miss, c0.astype(u), (model.cum[miss, cls + 1] - c0).astype(u), u(_BITS))
-            extra = _EXTRA[cls]
-            put(miss, (x[miss] - _FIRST[cls]).astype(u), u(1), extra.astype(u))
+            xm = x.take(miss)
+            cls = _class_of(xm)
+            c = miss * _WIDE + cls
+            c0 = model.cum.take(c)
+            lm, rm = lo.take(miss), r.take(miss) >> bits
+            lm += rm * c0.astype(u)
+            rm *= (model.cum.take(c + 1) - c0).astype(u)
+            settle(miss, lm, rm)
+            rest, extra = (xm - _FIRST.take(cls)).astype(u), _EXTRA.take(cls)
+            if classes > _SMALL:  # ids of over 16 bits: their upper low bits first
+                up = np.maximum(extra, _EXTRA_MOST) - u(_EXTRA_MOST)
+                extra = extra - up
+                rm >>= up
+                lm += rm * (rest >> extra)
+                rest = rest & ((u(1) << extra) - u(1))
+                settle(miss, lm, rm)
+            rm >>= extra
+            lm += rm * rest
+            settle(miss, lm, rm)
+            lo[miss], r[miss] = lm, rm
+        low[:m], span[:m] = lo, r
         model.learn(m, x, hit2, hit1, miss, cls)
-    for _ in range(3):
-        words[np.arange(n), at] = (low >> _32) & u(0xFFFF)
+    for _ in range(2):
+        words[at] = low >> _HALF
         at += 1
-        low = (low << _16) & _MASK
-    return [words[k, : at[k]].tobytes() for k in range(n)]
+        low <<= _HALF
+    return [words[a:b].tobytes() for a, b in zip(begin, at)]
 
 
-def decode_blocks(coded: list[tuple[int, bytes]]) -> list[np.ndarray]:
-    """Ids of blocks given as (number of ids, coded words)."""
+def _decode(coded: list[tuple[int, bytes, int]]) -> list[np.ndarray]:
     out: list[np.ndarray] = [np.zeros(0, dtype="<u4")] * len(coded)
-    order = sorted(range(len(coded)), key=lambda k: -coded[k][0])
-    for a in range(0, len(order), LANES):
-        part = order[a : a + LANES]
-        for k, ids in zip(part, _decode([coded[k] for k in part])):
+    kinds = np.array([c[2] for c in coded])
+    for kind in np.unique(kinds):
+        mine = np.flatnonzero(kinds == kind)
+        for k, ids in zip(mine, _decode_kind([coded[k][:2] for k in mine], int(kind))):
             out[k] = ids
     return out
 
 
-def _decode(coded: list[tuple[int, bytes]]) -> list[np.ndarray]:
+def _decode_kind(coded: list[tuple[int, bytes]], classes: int) -> list[np.ndarray]:
     n, size = len(coded), np.array([c[0] for c in coded])
-    longest = max(len(c[1]) // 2 for c in coded)
-    words = np.zeros((n, longest + 4), dtype=np.uint64)
+    room = max(len(c[1]) // 2 for c in coded) + 4
+    words = np.zeros((n, room), dtype=np.uint32)
     for k, (_, b) in enumerate(coded):
         words[k, : len(b) // 2] = np.frombuffer(b, dtype="<u2")
-    ids = np.zeros((int(size.max(initial=0)), n), dtype=np.int64)
-    model = Model(n)
-    low, span = np.zeros(n, dtype=np.uint64), np.full(n, _MASK, dtype=np.uint64)
-    code = (words[:, 0] << _32) | (words[:, 1] << _16) | words[:, 2]
-    at = np.full(n, 3, dtype=np.int64)
-    u = np.uint64
-
-    def look(k, bits) -> tuple[np.ndarray, np.ndarray]:
-        r = span[k] >> bits
-        return np.minimum(((code[k] - low[k]) & _MASK) // r, (u(1) << bits) - u(1)).astype(np.int64), r
-
-    def take(k, r, start, freq) -> None:
-        lo, r, co = low[k] + r * start, r * freq, code[k]
-        while True:
-            far = (lo ^ (lo + r)) >= _TOP
-            go = ~far | (r < _LOW)
-            if not go.any():
-                break
-            i = np.flatnonzero(go)
-            li, ri = lo[i], r[i]
-            ri = np.where(far[i], (u(0) - li) & (_LOW - u(1)), ri)
-            lanes = i if isinstance(k, slice) else k[i]
-            co[i] = ((co[i] << _16) & _MASK) | words[lanes, np.minimum(at[lanes], words.shape[1] - 1)]
-            at[lanes] += 1
-            lo[i], r[i] = (li << _16) & _MASK, ri << _16
-        low[k], span[k], code[k] = lo, r, co
+    code = (words[:, 0] << _HALF) | words[:, 1]
+    words = words.reshape(-1)
+    at = np.arange(n, dtype=np.int64) * room + 2
+    stop = np.arange(1, n + 1, dtype=np.int64) * room - 1
+    ids = np.zeros((int(size.max(initial=0)), n), dtype=np.int32)
+    model = Model(n, classes)
+    low, span = np.zeros(n, dtype=np.uint32), np.full(n, 0xFFFFFFFF, dtype=np.uint32)
+    u = np.uint32
+    bits, most = u(_BITS), u(_ONE - 1)
+    halves = [1 << k for k in range(int(classes - 1).bit_length() - 1, -1, -1)]
+
+    def settle(lanes: np.ndarray | None, lo: np.ndarray, r: np.ndarray, co: np.ndarray) -> None:
+        far = (lo ^ (lo + r)) >= _TOP
+        i = np.flatnonzero(~far | (r < _LEAST))
+        while len(i):
+            li, ri = lo.take(i), r.take(i)
+            ri = np.where(far.take(i), (u(0) - li) & (_LEAST - u(1)), ri)
+            k = i if lanes is None else lanes.take(i)
+            p = at.take(k)
+            co[i] = (co.take(i) << _HALF) | words.take(p)
+            at[k] = np.minimum(p + 1, stop.take(k))
+            li, ri = li << _HALF, ri << _HALF
+            lo[i], r[i] = li, ri
+            off = (li ^ (li + ri)) >= _TOP
+            more = np.flatnonzero(~off | (ri < _LEAST))
+            i = i.take(more)
+            if len(i):
+                far[i] = off.take(more)
 
     for step in range(len(ids)):
         m = int(np.searchsorted(-size, -step, side="left"))
         model.predict(m)
-        f0, f1 = model.f0, model.f1
-        v, r = look(slice(0, m), u(_BITS))
-        hit2 = v < f0
-        hit1 = ~hit2 & (v < f0 + f1)
-        start = np.where(hit2, 0, np.where(hit1, f0, f0 + f1))
-        freq = np.where(hit2, f0, np.where(hit1, f1, _ONE - f0 - f1))
-        take(slice(0, m), r, start.astype(u), freq.astype(u))
-        x = np.where(hit2, model.g2, model.g1).astype(np.int64)
+        q2, f1 = model.q2, model.f1
+        lo, r, co = low[:m].copy(), span[:m] >> bits, code[:m].copy()
+        v = np.minimum((co - lo) // r, most).astype(np.int32)
+        hit2 = v < q2
+        hit1 = ~hit2 & (v < q2 + f1)
+        start, freq = _share(hit2, hit1, q2, f1)
+        lo += r * start.astype(u)
+        r *= freq.astype(u)
+        settle(None, lo, r, co)
+        x = np.where(hit2, model.g2, model.g1)
         miss = np.flatnonzero(~(hit2 | hit1))
         cls = miss
         if len(miss):
-            v, r = look(miss, u(_BITS))
-            lo, hi = np.zeros(len(miss), dtype=np.int64), np.full(len(miss), CLASSES - 1, dtype=np.int64)
-            for _ in range(CLASSES.bit_length()):
-                mid = (lo + hi + 1) >> 1
-                up = model.cum[miss, mid] <= v
-                lo, hi = np.where(up, mid, lo), np.where(up, hi, mid - 1)
-            cls = lo
-            c0 = model.cum[miss, cls]
-            take(miss, r, c0.astype(u), (model.cum[miss, cls + 1] - c0).astype(u))
-            v, r = look(miss, _EXTRA[cls].astype(u))
-            take(miss, r, v.astype(u), u(1))
-            x[miss] = _FIRST[cls] + v
+            lm, rm, cm = lo.take(miss), r.take(miss) >> bits, co.take(miss)
+            v = np.minimum((cm - lm) // rm, most).astype(np.int16)
+            c = miss * _WIDE
+            for half in halves:  # the last class that starts at most there
+                c += half * (model.cum.take(c + half) <= v)
+            cls = c & (_WIDE - 1)
+            c0 = model.cum.take(c)
+            lm += rm * c0.astype(u)
+            rm *= (model.cum.take(c + 1) - c0).astype(u)
+            settle(miss, lm, rm, cm)
+            extra, upper = _EXTRA.take(cls), u(0)
+            if classes > _SMALL:
+                up = np.maximum(extra, _EXTRA_MOST) - u(_EXTRA_MOST)
+                extra = extra - up
+                rm >>= up
+                upper = np.minimum((cm - lm) // rm, (u(1) << up) - u(1))
+                lm += rm * upper
+                upper = upper << extra
+                settle(miss, lm, rm, cm)
+            rm >>= extra
+            rest = np.minimum((cm - lm) // rm, (u(1) << extra) - u(1))
+            lm += rm * rest
+            settle(miss, lm, rm, cm)
+            lo[miss], r[miss], co[miss] = lm, rm, cm
+            x[miss] = _FIRST.take(cls) + (rest + upper).astype(np.int32)
+        low[:m], span[:m], code[:m] = lo, r, co
         ids[step, :m] = x
         model.learn(m, x, hit2, hit1, miss, cls)
     return [ids[: size[k], k].astype("<u4") for k in range(n)]
@@ -263,7 +347,7 @@ def pack_file(docs: list[tuple[int | None, int]], ids: bytes) -> bytes:
     a = np.frombuffer(ids, dtype="<u4")
     blocks = [a[k : k + BLOCK] for k in range(0, len(a), BLOCK)]
     coded = encode_blocks(blocks)
-    heads = b"".join(struct.pack("<III", len(b), zlib.crc32(b.tobytes()), len(c) // 2) for b, c in zip(blocks, coded))
+    heads = b"".join(struct.pack("<IIIB", len(b), zlib.crc32(b.tobytes()), len(c) // 2, classes_of(b)) for b, c in zip(blocks, coded))
     index = b"".join(struct.pack("<q?I", d or 0, d is None, n) for d, n in docs)
     return MAGIC + struct.pack("<II", len(blocks), len(docs)) + heads + index + b"".join(coded)
 
@@ -274,16 +358,16 @@ def unpack_file(raw: bytes) -> tuple[list[tuple[int | None, int]], bytes]:
         raise ValueError("not a file of token ids")
     n_blocks, n_docs = struct.unpack_from("<II", raw, at := len(MAGIC))
     at += 8
-    heads = list(struct.iter_unpack("<III", raw[at : at + 12 * n_blocks]))
-    at += 12 * n_blocks
+    heads = list(struct.iter_unpack("<IIIB", raw[at : at + 13 * n_blocks]))
+    at += 13 * n_blocks
     docs = [(None if null else d, n) for d, null, n in struct.iter_unpack("<q?I", raw[at : at + 13 * n_docs])]
     at += 13 * n_docs
     coded = []
-    for n, _, w in heads:
-        coded.append((n, raw[at : at + 2 * w]))
+    for n, _, w, classes in heads:
+        coded.append((n, raw[at : at + 2 * w], classes))
         at += 2 * w
     parts = [b.tobytes() for b in decode_blocks(coded)]
-    for (_, crc, _), b in zip(heads, parts):
+    for (_, crc, _, _), b in zip(heads, parts):
         if zlib.crc32(b) != crc:
             raise ValueError("a block of token ids fails its checksum")
     return docs, b"".join(parts)
@@ -319,7 +403,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
             name = _put(folder, f"part-{part:06d}-{seq:04d}.ids", data)
             return part, seq, name, len(index), n, len(data)
 
-        for b in batches_in:
+        for b in in_slices(batches_in):
             for p, i, ids in zip(column(b, "part").to_pylist(), column(b, "doc_id").to_pylist(), encoder(path).packed_many(column(b, "text").to_pylist())):
                 if index and (p != part or n + len(ids) // 4 + 1 > FILE_IDS):
                     yield flush()
