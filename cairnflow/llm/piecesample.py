@@ -37,7 +37,9 @@ from .ordermin import mix
 from .wordbpe import default_path
 
 ALPHA, BYTE_COST, SEED = 1.0, 12.0, 0
-SHORT, BATCH_CHARS = 24, 3_000_000
+SHORT, BATCH_CHARS = 24, 6_000_000
+#: Greatest lengths of units that are filtered together, and how many at a time.
+WIDTHS, PART = (4, 6, 8, 10, 12, 16, SHORT), 3_000
 _UNITS = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 _R = 0x9E3779B97F4A7C15 | 1
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -190,24 +192,32 @@ class Sampler:
         fast = (lens <= SHORT) & ~np.fromiter(map(bool, map(odd, units)), dtype=bool, count=len(units))
         n_ids = np.zeros(len(occ), dtype=np.int64)
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # occurrences, how many ids, ids last first
-        for lo, hi in ((0, 5), (5, 9), (9, 13), (13, SHORT)):
-            mine = np.flatnonzero(fast & (lens > lo) & (lens <= hi))
-            for a in range(0, len(mine), 20_000):
-                some = mine[a : a + 20_000]
-                cum, ids = self.lattice([units[k] for k in some], hi)
-                local = np.full(len(units), -1, dtype=np.int64)
-                local[some] = np.arange(len(some))
-                at = np.flatnonzero(local[occ] >= 0)
-                q, pos = local[occ[at]], lens[occ[at]].copy()
+        # units by width, so that a part's occurrences are one slice
+        width = np.where(fast, np.searchsorted(WIDTHS, lens), len(WIDTHS))
+        by = np.argsort(width, kind="stable")
+        rank = np.empty(len(units), dtype=np.int32)
+        rank[by] = np.arange(len(units), dtype=np.int32)
+        place = rank[occ]
+        line = np.argsort(place, kind="stable")
+        place = place[line]
+        for k, hi in enumerate(WIDTHS):
+            first, end = np.searchsorted(width[by], [k, k + 1])
+            for a in range(first, end, PART):
+                some = by[a : min(end, a + PART)]
+                cum, ids = self.lattice([units[i] for i in some], hi)
+                left, right = np.searchsorted(place, [a, a + len(some)])
+                at, q = line[left:right], place[left:right] - a
+                pos = lens[some][q]
                 got, n = np.zeros((len(at), hi), dtype=np.int32), np.zeros(len(at), dtype=np.int64)
+                seeds = base[at]
                 live = np.arange(len(at))
                 step = 0
                 while len(live):
-                    u = _uniform(base[at[live]], step).astype(np.float32)
+                    u = _uniform(seeds[live], step).astype(np.float32)
                     c = cum[q[live], pos[live]]
-                    k = (c < u[:, None]).sum(1)
-                    got[live, step] = ids[q[live], pos[live], k]
-                    pos[live] -= k + 1
+                    j = (c < u[:, None]).sum(1)
+                    got[live, step] = ids[q[live], pos[live], j]
+                    pos[live] -= j + 1
                     n[live] += 1
                     live = live[pos[live] > 0]
                     step += 1
