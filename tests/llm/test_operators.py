@@ -43,6 +43,20 @@ def test_word_encoder_on_odd_characters():
         assert enc.packed(t) == packed(enc.lib.encode(t, add_special_tokens=False).ids), repr(t)
 
 
+def test_word_encoder_in_small_spans(monkeypatch):
+    monkeypatch.setattr(wordbpe, "SPAN", 4096)
+    enc = wordbpe.WordEncoder(wordbpe.default_path())
+    ids = lambda t: packed(enc.lib.encode(t, add_special_tokens=False).ids)
+    texts = ["Stone river, " * 2000, "x" * 9000 + " a " + "é" * 5000, "a" * 4095, "", " ", "\n", ". ,", "größe Écho."]
+    assert enc.packed_many(texts) == [ids(t) for t in texts]
+    monkeypatch.setattr(wordbpe, "MAX_WORDS", 3)
+    monkeypatch.setattr(wordbpe, "MAX_PIECES", 1)
+    assert enc.packed_many(texts) == [ids(t) for t in texts]
+    plain = wordbpe.WordEncoder(wordbpe.default_path())
+    plain.merges = None
+    assert plain.packed_many(texts) == [ids(t) for t in texts]
+
+
 def test_token_counts(docs, texts, empty):
     want = sorted(((i, len((t or "").encode()), len(x), len(x) > 2048) for (i, t), x in zip(texts, library(texts))), key=repr)
     assert by_row(tokencount.token_counts(docs)) == want
