@@ -6,7 +6,7 @@ its count and scaled to unit length; structure statistics (shares of capitals, m
 each cut into steps of its own; and the logarithm of the length.
 
 Training is on the driver over a sample of at most ``sample`` labelled rows (default 12,000), taken in the order of a hash of
-their id; its features alone are collected, at most ``MAX_NNZ`` a text by hash order for training and all of them for scores.
+their id; of it the features alone are collected, all of each text, as they are scored: six bytes each, widened batch by batch.
 The model is 2^15 x 9 numbers, a fixed size, and is sent to the tasks with the function.
 
 Scale: scoring is a map over the scan with no shuffle; choosing the sample is a top-k over the labels, joined by key.
@@ -38,7 +38,7 @@ STEPS = 16
 #: Statistics of a text, in order; their meaning is in ``structure``.
 STATS = ("capitals", "marks", "symbols", "digits", "repeat_next", "distinct", "lines_repeat", "word_length", "long_words", "bars", "length", "shouts", "per_line", "top_word", "pair_repeat")
 BUCKETS = (1 << WORD_BITS) + len(STATS) * (STEPS + 1)
-SAMPLE, MAX_NNZ, EPOCHS = 12_000, 400, 12
+SAMPLE, EPOCHS = 12_000, 12
 THRESHOLD, FOLDS = 0.3, 5
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SYMBOLS = np.frombuffer(b"#*$%&|<>{}[]\\^~=+@", dtype=np.uint8)
@@ -130,7 +130,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
         for a in range(0, len(order), 64):
             part = order[a : a + 64]
             sizes = np.array([len(rows[k][0]) for k in part])
-            ids, vals = np.concatenate([rows[k][0] for k in part]), np.concatenate([rows[k][1] for k in part])
+            ids, vals = np.concatenate([rows[k][0] for k in part]).astype(np.int64), np.concatenate([rows[k][1] for k in part]).astype(np.float64)
             own, at = np.repeat(np.arange(len(part)), sizes), np.r_[0, np.cumsum(sizes)[:-1]]
             t = flat[ids] * vals[:, None]
             s = np.add.reduceat(t, at, axis=0)
@@ -165,20 +165,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            got = [_bounded(features(t)) for t in column(b, "text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": column(b, "doc_id"), "y": column(b, "y").cast(pa.int32()), "ids": pa.array([g[0].astype("<i4").tobytes() for g in got], pa.binary()), "vals": pa.array([g[1].astype("<f4").tobytes() for g in got], pa.binary())})
+            got = [features(t) for t in column(b, "text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": column(b, "doc_id"), "y": column(b, "y").cast(pa.int32()), "ids": pa.array([g[0].astype("<u2").tobytes() for g in got], pa.binary()), "vals": pa.array([g[1].astype("<f4").tobytes() for g in got], pa.binary())})
 
     rows = sorted(d.mapInArrow(run, "doc_id long, y int, ids binary, vals binary").limit(4 * sample).collect(), key=lambda r: (r["doc_id"], r["ids"]))
-    return train([(np.frombuffer(r["ids"], "<i4").astype(np.int64), np.frombuffer(r["vals"], "<f4").astype(np.float64)) for r in rows], np.array([r["y"] for r in rows], dtype=np.float64))
-
-
-def _bounded(f: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    ids, vals = f
-    n = 2 * len(STATS)
-    if len(ids) <= MAX_NNZ + n:
-        return f
-    keep = np.argsort(ids[:-n] * 40503 & 0xFFFF, kind="stable")[:MAX_NNZ]
-    return np.concatenate([ids[keep], ids[-n:]]), np.concatenate([vals[keep], vals[-n:]])
+    return train([(np.frombuffer(r["ids"], "<u2"), np.frombuffer(r["vals"], "<f4")) for r in rows], np.array([r["y"] for r in rows], dtype=np.float64))
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])

@@ -211,6 +211,18 @@ def test_quality_odd_rows(spark, docs, texts, empty):
     assert fm.keep(docs, m).schema == docs.schema
 
 
+def test_long_texts_train_with_all_features(spark, monkeypatch):
+    long = " ".join("".join(chr(97 + k // 26**j % 26) for j in range(3)) for k in range(3000))
+    d = spark.createDataFrame([(i, f"{long} w{chr(97 + i)}") for i in range(1, 9)], "doc_id long, text string")
+    y = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(fm, "train", lambda rows, labels: seen.extend(rows))
+    fm.fit(d, y)
+    want = fm.features(f"{long} wa")
+    assert seen and len(want[0]) > 3000
+    assert all(len(ids) == len(vals) == len(want[0]) and abs((vals.astype(float) ** 2).sum() - (want[1] ** 2).sum()) < 1e-3 for ids, vals in seen)
+
+
 def test_sum_of_squares():
     rng = np.random.default_rng(0)
     flat = rng.normal(size=(fm.BUCKETS, 1 + fm.RANK))
