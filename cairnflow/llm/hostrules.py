@@ -6,7 +6,8 @@ shrunk rate reaches ``host_limit`` are rejected, and that verdict is joined back
 
 Scale: one pass over the texts writes a narrow table of counts to the shared folder; the counts by host combine before the
 shuffle, so a hot host costs one row a task; the join back carries no text, and the table of hosts is broadcast only when its
-written size is under Spark's threshold, else the join is a shuffled one whose hot keys AQE splits.
+written size is under Spark's threshold, else the join is a shuffled one whose hot keys AQE splits.  ``keep`` writes the rows
+themselves with their base verdicts, so that none is looked up by its doc_id.
 
 Defined results: a null or empty text, or one of white space, has no words and fails the base rules.  A null host is a host of
 its own.  Repeated rows each get a row and count for their host.  An empty table gives an empty result.  Other columns of the
@@ -86,6 +87,9 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
 
 
 def keep(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of docs that are kept, with their columns."""
-    bad = judge(docs, host_limit=host_limit).where(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of docs that are kept, with their columns: each by its own base verdict and that of its host, whatever its doc_id."""
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text", "source")
+    judged = with_base_verdict(document_counts(own, "row")).select(F.col("doc_id").alias("row"), "host", "base_failed")
+    judged = materialise(judged, "hostrules")
+    bad = materialise(host_verdicts(judged, host_limit).where("host_rejected").select(F.col("host").alias("_host")), "verdicts")
+    return judged.where(~F.col("base_failed")).join(bad, F.col("host").eqNullSafe(F.col("_host")), "left_anti").select("row.*")

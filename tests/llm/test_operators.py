@@ -292,6 +292,13 @@ def test_bad_host_rejects_its_documents(spark, texts):
     assert {r.doc_id for r in hostrules.keep(d).collect()} == {200 + k for k in range(30)} | {300}
 
 
+def test_rules_keep_rows_by_their_own_verdict(spark):
+    good = " ".join(f"w{k}" for k in range(60))
+    t = [(None, good + " a", "h"), (None, "short", "h"), (None, good + " b", None), (5, good, "h"), (5, "tiny", "h"), (6, good, "h"), (6, good, "h")]
+    d = spark.createDataFrame(t, "doc_id long, text string, source string")
+    assert sorted(map(tuple, hostrules.keep(d).collect()), key=repr) == sorted((r for r in t if r[1].startswith(good)), key=repr)
+
+
 # -- token files ----------------------------------------------------------
 
 
