@@ -1,8 +1,8 @@
 """Near duplicates by one-permutation MinHash with optimal densification, banded buckets and star-shaped candidate edges.
 
-A document's set is its distinct shingles of three words (the whole sequence if it has fewer).  One hash of each shingle deals
+A document's set is its distinct shingles of ``words`` words, three by default (the whole sequence if it has fewer).  One hash of each shingle deals
 it to one of ``BINS`` bins, the least of a bin is its value, and each empty bin takes the value of the first full one in a fixed
-random order of its own (optimal densification).  ``ROWS`` bins make a band; documents with an equal band share a bucket.
+random order of its own (optimal densification).  The bins are cut into ``bands``; documents with an equal band share a bucket.
 
 1. Documents with equal sets form a class, represented by its smallest id; only representatives go on.
 2. In each bucket every member is linked to the smallest one (a star, so a bucket makes no more candidates than it has members);
@@ -12,7 +12,7 @@ random order of its own (optimal densification).  ``ROWS`` bins make a band; doc
    what two of them can share, on full sets; components are formed again.  That makes the result that of comparing all pairs
    that share a bucket; the bounds leave few pairs that don't link.
 
-With 32 bands of 5 a pair of similarity 0.85 shares no bucket with a chance of 7e-9.
+With 32 bands of 5 a pair of similarity 0.85 shares no bucket with a chance of 7e-9; with 40 of 4 one of 0.8 with 7e-10.
 
 Scale: texts are read for sets alone, which move in 64-bit hashes, and only those of candidates; buckets are counted with
 map-side combining, joined by key and split by AQE when hot; links and components stay in the shared folder.
@@ -105,11 +105,11 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
+def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """A signed 64-bit key of each band; the band's number is part of it."""
-    g = sig.reshape(BANDS, ROWS)
-    k = np.arange(1, BANDS + 1, dtype=np.uint64) * _B
-    for j in range(ROWS):
+    g = sig.reshape(bands, -1)
+    k = np.arange(1, bands + 1, dtype=np.uint64) * _B
+    for j in range(g.shape[1]):
         k = mix(k * _A + g[:, j])
     return k.view(np.int64)
 
@@ -117,17 +117,17 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
-def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, a 128-bit hash of the set, and its bands (null for an empty set)."""
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         claim("neardup")
         for b in parts:
             for i, t in zip(column(b, "doc_id").to_pylist(), column(b, "text").to_pylist()):
-                s = shingles(t)
+                s = shingles(t, words)
                 if len(s):
                     d = xxhash.xxh3_128_digest(s.tobytes())
-                    yield i, len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), band_keys(signature(s))
+                    yield i, len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), band_keys(signature(s), bands)
                 else:
                     yield i, 0, None, None, None
 
@@ -142,14 +142,14 @@ def mask(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words: int = WORDS) -> DataFrame:
     """rep, set (bytes of sorted hashes) and mask of the classes in wanted (rep, h1, h2): a class's set is that of a row with its hash."""
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         claim("neardup")
         for b in parts:
             for i, t in zip(column(b, "doc_id").to_pylist(), column(b, "text").to_pylist()):
-                s = shingles(t)
+                s = shingles(t, words)
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 yield i, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), s.tobytes(), mask(s)
 
@@ -177,21 +177,21 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return d.mapInArrow(lambda it: batches(rows(it), schema), "a long, b long")
 
 
-def classes(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, n_shingles, component_id, kept."""
-    sigs = materialise(signatures(docs, doc_id, text), "sigs")
+def classes(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, bands: int = BANDS) -> DataFrame:
+    """A row for each row of docs: doc_id, n_shingles, component_id, kept; bands divides BINS."""
+    sigs = materialise(signatures(docs, doc_id, text, words, bands), "sigs")
     real = sigs.where(F.col("h1").isNotNull() & F.col("doc_id").isNotNull())
     reps = materialise(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "reps")
     # a class goes by its representative's id: classes that share one are sets of one document
-    bands = real.select("doc_id", "h1", "h2", "bands").join(reps.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
-    rows = bands.select(F.col("doc_id").alias("cls"), F.explode("bands").alias("band"))
+    banded = real.select("doc_id", "h1", "h2", "bands").join(reps.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
+    rows = banded.select(F.col("doc_id").alias("cls"), F.explode("bands").alias("band"))
     crowded = rows.groupBy("band").agg(F.min("cls").alias("centre"), F.max("cls").alias("_other")).where(F.col("centre") != F.col("_other")).drop("_other")
     members = materialise(rows.join(crowded, "band").select("band", "cls", "centre").distinct(), "members")
     sizes = reps.groupBy("rep").agg(F.min("n").alias("n"), F.max("n").alias("most"))
     star = members.where(F.col("cls") != F.col("centre")).select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
     star = materialise(_sized(star, sizes, percent), "star")
     touched = members.select(F.col("cls").alias("rep")).distinct()
-    sets = materialise(full_sets(docs, reps.join(touched, "rep", "left_semi"), doc_id, text).select(F.col("rep").alias("cls"), "set", "mask").dropDuplicates(["cls", "set"]), "sets")
+    sets = materialise(full_sets(docs, reps.join(touched, "rep", "left_semi"), doc_id, text, words).select(F.col("rep").alias("cls"), "set", "mask").dropDuplicates(["cls", "set"]), "sets")
     links = materialise(_confirm(star, sets, percent), "confirmed")
     comp = materialise(components(links), "components")
     # buckets that still hold several components
@@ -226,7 +226,7 @@ def _sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return p.where((100 * F.col("ma") >= percent * F.col("nb")) & (100 * F.col("mb") >= percent * F.col("na"))).select("a", "b")
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, bands: int = BANDS) -> DataFrame:
     """One document of each component: its smallest id; documents without words and null ids stay."""
-    gone = classes(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = classes(docs, percent, words=words, bands=bands).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

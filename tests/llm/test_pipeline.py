@@ -13,3 +13,11 @@ def test_stages(spark, sf_dir):
             n, docs = out.count(), out
     assert out.select("doc_id").distinct().count() == n
     assert out.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 2048
+
+
+def test_near_dedup_takes_five_words_at_80(spark):
+    block, scattered = ([f"{x}{k}" for k in range(n)] for x, n in (("a", 200), ("b", 400)))
+    t = [(1, block), (2, block[:90] + [f"x{k}" for k in range(16)] + block[106:])]  # 0.81 by five words, 0.83 by three
+    t += [(3, scattered), (4, [f"y{k}" if k % 40 == 20 else w for k, w in enumerate(scattered)])]  # 0.78 by five, 0.86 by three
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in t], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, d, "").collect()) == [1, 3, 4]
