@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -128,14 +130,27 @@ def nfkd_ascii(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x.replace("ı", "i")).encode("ascii", "ignore").decode())
 
 
+def _codes(a: list, b: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two sequences as numbers that are equal where their items are, and the first row of their distances."""
+    ids: dict = {}
+    x, y = (np.array([ids.setdefault(t, len(ids)) for t in s], dtype=np.int32) for s in (a, b))
+    return x, y, np.arange(len(y) + 1, dtype=np.int32)
+
+
+def _next_row(row: np.ndarray, item: int, y: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The row of distances after row; steps counts from 0."""
+    out = row + 1
+    np.minimum(out[1:], row[:-1] + (y != item), out=out[1:])
+    return np.minimum.accumulate(out - steps) + steps
+
+
 def edit_distance(a: list, b: list) -> int:
     """Levenshtein's distance of two sequences."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    x, y, steps = _codes(a, b)
+    row = steps
+    for item in x:
+        row = _next_row(row, item, y, steps)
+    return int(row[-1])
 
 
 @pandas_udf(IntegerType())
@@ -156,18 +171,27 @@ def char_error_rate(reference: Column, hypothesis: Column) -> Column:
 
 
 def alignment(a: list[str], b: list[str]) -> list[tuple[str, str | None, str | None]]:
-    """Backtraced alignment: match, substitute, delete, insert."""
-    n, m = len(a), len(b)
-    d = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n + 1):
-        for j in range(m + 1):
-            d[i][j] = i + j if not i or not j else min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
-    out, i, j = [], n, m
+    """Backtraced alignment: match, substitute, delete, insert.  About every sqrt(n)-th row of distances is kept and those
+    between are made again on the way back, so that memory grows as n to the power of 1.5."""
+    x, y, steps = _codes(a, b)
+    n, size = len(x), max(1, math.isqrt(len(x)))
+    kept, row = [], steps
+    for i, item in enumerate(x):
+        if i % size == 0:
+            kept.append(row)
+        row = _next_row(row, item, y, steps)
+    out, i, j, base, rows = [], n, len(y), -1, []
     while i or j:
-        if i and j and d[i][j] == d[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+        if i and (i - 1) // size * size != base:
+            base = (i - 1) // size * size
+            rows = [kept[base // size]]
+            for item in x[base : base + size]:
+                rows.append(_next_row(rows[-1], item, y, steps))
+        d, e = (rows[i - base], rows[i - base - 1]) if i else (steps, steps)
+        if i and j and d[j] == e[j - 1] + (x[i - 1] != y[j - 1]):
             i, j = i - 1, j - 1
-            out.append(("M" if a[i] == b[j] else "S", a[i], b[j]))
-        elif i and d[i][j] == d[i - 1][j] + 1:
+            out.append(("M" if x[i] == y[j] else "S", a[i], b[j]))
+        elif i and d[j] == e[j] + 1:
             i -= 1
             out.append(("D", a[i], None))
         else:

@@ -135,7 +135,7 @@ def word_error_rates(spark: SparkSession, d: str) -> DataFrame:
     """Token edit distance, alignment and overlap between neighbouring turns."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = read(spark, d, "conversations").withColumn("prev", F.lag("text").over(w)).where("prev is not null")
-    a, b = F.slice(F.split("prev", " "), 1, 40), F.slice(F.split("text", " "), 1, 40)
+    a, b = F.split("prev", " "), F.split("text", " ")
     c = c.select("conv_id", "turn", a.alias("a"), b.alias("b"))
     return c.select("conv_id", "turn", F.round(S.word_error_rate(F.col("a"), F.col("b")), 6).alias("wer"), F.round(S.word_f1(F.col("a"), F.col("b")), 6).alias("f1"), F.size(F.filter(S.align_tokens("a", "b"), lambda x: x["op"] == "M")).alias("matches"))
 

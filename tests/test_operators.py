@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cairnflow import schemas
+from cairnflow import catalogue, plans, schemas  # noqa: F401
 from cairnflow.functions import similarity, text
 from cairnflow.operators import credits, decisions, dedup, folds, intervals, relational, runs
 from cairnflow.sources import files, logs, sinks
@@ -58,6 +58,45 @@ def spans(rng, n, top=100):
     return [(rng.randint(0, 2), float(s), float(s + rng.randint(0, 30))) for s in (rng.randint(0, top) for _ in range(n))]
 
 
+def conversations(spark, path, texts):
+    """The folder of a table with these turns of one conversation."""
+    spark.createDataFrame([(1, k, "user" if k % 2 else "assistant", t) for k, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    return str(path)
+
+
+def test_turns_are_aligned_whole(spark, tmp_path):
+    same = " ".join(f"w{k}" for k in range(100))
+    d = conversations(spark, tmp_path, [same, f"{same} quite other words", same.replace("w70", "x")])
+    got = {r.turn: (r.wer, r.matches) for r in catalogue.queries()["word_error_rates"](spark, d).collect()}
+    assert got == {1: (0.03, 100), 2: (round(4 / 103, 6), 99)}
+    assert [(r.turn, r.op, r.phrase, r.n) for r in catalogue.queries()["phrase_differences"](spark, d).collect()] == [(1, "I", "quite other words", 3), (2, "D", "quite other words", 3)]
+
+
+def test_alignment_in_blocks_equals_full_table():
+    def plain(a, b):
+        d = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (x != y))
+        out, i, j = [], len(a), len(b)
+        while i or j:
+            if i and j and d[i][j] == d[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+                i, j = i - 1, j - 1
+                out.append("M" if a[i] == b[j] else "S")
+            elif i and d[i][j] == d[i - 1][j] + 1:
+                i -= 1
+                out.append("D")
+            else:
+                j -= 1
+                out.append("I")
+        return d[-1][-1], out[::-1]
+
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 30))] for _ in "ab")
+        assert (similarity.edit_distance(a, b), [o for o, _, _ in similarity.alignment(a, b)]) == plain(a, b)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_overlap_joins(spark, seed):
     rng = random.Random(seed)
