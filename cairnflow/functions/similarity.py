@@ -124,6 +124,28 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def ratio_from(a: str, b: str, least: float) -> float | None:
+    """difflib's ratio if it is at least so much; its upper bounds, by lengths and by letters, are asked first."""
+    n = len(a) + len(b)
+    if n and 2.0 * min(len(a), len(b)) / n < least:
+        return None
+    m = SequenceMatcher(None, a, b)
+    if m.quick_ratio() < least:
+        return None
+    q = m.ratio()
+    return q if q >= least else None
+
+
+def sequence_ratio_from(least: float):
+    """sequence_ratio where it is at least so much, else null."""
+
+    @pandas_udf(DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else ratio_from(x, y, least) for x, y in zip(a, b)], dtype="float64")
+
+    return ratio
+
+
 @pandas_udf(StringType())
 def nfkd_ascii(s: pd.Series) -> pd.Series:
     """Compatibility decomposition with all but ASCII dropped, the dotless i kept as i."""

@@ -12,6 +12,8 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions.similarity import ratio_from
+
 
 def grouped(rows: DataFrame, by: str, order: list[str], fold: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
     """fold over each key's rows in order; the schema's first column is the key."""
@@ -207,8 +209,8 @@ def temporal_groups(similarity: float, gap: float, distance: float) -> Callable[
             best, score = None, 0.0
             for g in groups:
                 if abs(r["t"] - g["t"]) <= gap and ((r["x"] - g["x"]) ** 2 + (r["y"] - g["y"]) ** 2) ** 0.5 <= distance:
-                    q = ratio(r["text"], g["winner"])
-                    if q >= similarity and q > score:
+                    q = ratio_from(r["text"], g["winner"], similarity)
+                    if q is not None and q > score:
                         best, score = g, q
             if best is None:
                 best = {"id": len(groups) + 1, "counts": {}}
@@ -244,7 +246,7 @@ def recent_collapse(similarity: float, back: int = 12) -> Callable[[list[dict]],
     def fold(rows: list[dict]) -> list[dict]:
         seen, kept = set(), []
         for r in rows:
-            if r["text"] in seen or any(ratio(k["text"], r["text"]) >= similarity for k in kept[-back:]):
+            if r["text"] in seen or any(ratio_from(k["text"], r["text"], similarity) is not None for k in kept[-back:]):
                 continue
             seen.add(r["text"])
             kept.append(r)

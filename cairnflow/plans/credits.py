@@ -147,4 +147,4 @@ def lexicon_terms(spark: SparkSession, d: str) -> DataFrame:
 def text_variants(spark: SparkSession, d: str) -> DataFrame:
     """The variant whose markers weigh most."""
     m = {"en": [("the", 2), ("of", 1)], "de": [("und", 2), ("der", 1)], "fr": [("le", 2), ("de", 1)]}
-    return read(spark, d, "documents").select("doc_id", C.variant_scores(F.col("text"), m, "none").alias("variant"), C.garbled(F.substring("text", 1, 40)).alias("garbled"))
+    return read(spark, d, "documents").select("doc_id", C.variant_scores(F.col("text"), m, "none").alias("variant"), C.garbled(F.col("text")).alias("garbled"))

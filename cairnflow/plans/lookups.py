@@ -133,9 +133,9 @@ def role_partners(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def engine_agreement(spark: SparkSession, d: str) -> DataFrame:
     """The other engine's five most similar texts in reach."""
-    c = read(spark, d, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 60).alias("text"))
+    c = read(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     a, b = c.where("role = 'user'"), c.where("role != 'user'").select("conv_id", F.col("turn").alias("other"), F.col("text").alias("ot"))
-    j = a.join(b, "conv_id").where(F.abs(F.col("turn") - F.col("other")) <= 3).withColumn("ratio", S.sequence_ratio("text", "ot")).where("ratio >= 0.2")
+    j = a.join(b, "conv_id").where(F.abs(F.col("turn") - F.col("other")) <= 3).withColumn("ratio", S.sequence_ratio_from(0.2)("text", "ot")).where("ratio >= 0.2")
     w = Window.partitionBy("conv_id", "turn").orderBy(F.desc("ratio"), "other")
     return j.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("conv_id", "turn", "other", F.round("ratio", 6).alias("ratio"), "rank")
 
@@ -169,6 +169,6 @@ def clone_collapse(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def upper_prose(spark: SparkSession, d: str) -> DataFrame:
     """X11: prose in Turkish upper case with known names as they are."""
-    c = read(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 200).alias("text"))
+    c = read(spark, d, "conversations").select("conv_id", "turn", "text")
     upper = F.array_join(F.transform(F.split("text", " "), lambda w: F.when(w.rlike("^(?:Anna|Paris)"), F.upper(w)).otherwise(T.tr_upper(w))), " ")
-    return c.select("conv_id", "turn", upper.alias("text"))
+    return c.select("conv_id", "turn", F.sha2(F.encode(upper, "utf-8"), 256).alias("text"))

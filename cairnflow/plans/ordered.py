@@ -202,7 +202,7 @@ def box_tracks(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def text_groups(spark: SparkSession, d: str) -> DataFrame:
     """Online grouping of texts that are near in time, place and spelling."""
-    c = read(spark, d, "conversations").select(F.col("role"), F.concat_ws(":", "conv_id", "turn").alias("row"), (F.col("conv_id") / 10.0).alias("t"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.substring("text", 1, 40).alias("text"))
+    c = read(spark, d, "conversations").select(F.col("role"), F.concat_ws(":", "conv_id", "turn").alias("row"), (F.col("conv_id") / 10.0).alias("t"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), "text")
     return folds.grouped(c, "role", ["t", "row"], folds.temporal_groups(0.82, 2.0, 180.0), "role string, row string, grp int")
 
 
@@ -234,8 +234,9 @@ def track_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def recent_collapse(spark: SparkSession, d: str) -> DataFrame:
     """Rows equal to any kept one or near a recent one are dropped."""
-    c = read(spark, d, "conversations").select("role", F.concat_ws(":", "conv_id", "turn").alias("row"), F.substring("text", 1, 60).alias("text"), "conv_id", "turn")
-    return folds.grouped(c, "role", ["conv_id", "turn"], folds.recent_collapse(0.9), "role string, row string, text string")
+    c = read(spark, d, "conversations").select("role", F.concat_ws(":", "conv_id", "turn").alias("row"), "text", "conv_id", "turn")
+    r = folds.grouped(c, "role", ["conv_id", "turn"], folds.recent_collapse(0.9), "role string, row string, text string")
+    return r.withColumn("text", F.sha2(F.encode("text", "utf-8"), 256))
 
 
 @query()

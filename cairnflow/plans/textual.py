@@ -35,8 +35,8 @@ def folds(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def other_folds(spark: SparkSession, d: str) -> DataFrame:
     """Normalisers whose case tables SQL engines differ in."""
-    p = read(spark, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("t"))
-    return p.select("doc_id", T.upper_key("t").alias("upper_key"), T.quality_text("t").alias("quality"), T.plain_upper("t").alias("plain"), T.tr_upper("t").alias("tr_upper"))
+    h = lambda c: F.sha2(F.encode(c, "utf-8"), 256)
+    return read(spark, d, "documents").select("doc_id", h(T.upper_key("text")).alias("upper_key"), h(T.quality_text("text")).alias("quality"), h(T.plain_upper("text")).alias("plain"), h(T.tr_upper("text")).alias("tr_upper"))
 
 
 @query("""
@@ -177,8 +177,9 @@ def interval_iou(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def scripts_and_keys(spark: SparkSession, d: str) -> DataFrame:
     """Dominant script, cache keys, names without titles."""
-    p = read(spark, d, "documents").select("doc_id", F.substring("text", 1, 300).alias("t"), "lang")
-    return p.select("doc_id", T.dominant_script("t").alias("script"), T.foreign_script("t").alias("foreign"), T.cache_key(F.col("t"), F.col("lang")).alias("key"), T.without_titles(F.concat(F.lit("Prof. Dr. "), F.substring("t", 1, 20)), ["prof", "dr"]).alias("name"))
+    p = read(spark, d, "documents").select("doc_id", F.col("text").alias("t"), "lang")
+    name = T.without_titles(F.concat(F.lit("Prof. Dr. "), F.col("t")), ["prof", "dr"])
+    return p.select("doc_id", T.dominant_script("t").alias("script"), T.foreign_script("t").alias("foreign"), T.cache_key(F.col("t"), F.col("lang")).alias("key"), F.sha2(F.encode(name, "utf-8"), 256).alias("name"))
 
 
 @query("""

@@ -97,6 +97,37 @@ def test_alignment_in_blocks_equals_full_table():
         assert (similarity.edit_distance(a, b), [o for o, _, _ in similarity.alignment(a, b)]) == plain(a, b)
 
 
+def test_whole_texts_are_read(spark, tmp_path):
+    """Texts that differ late only."""
+    q = catalogue.queries()
+    head = "word " * 80
+    spark.createDataFrame([(1, head + "zebra one", "en"), (2, head + "приветы", "en"), (3, head + "yonetmem", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    folds_ = q["other_folds"](spark, str(tmp_path)).where("doc_id != 2").collect()
+    assert all(len({r[c] for r in folds_}) == 2 for c in ("upper_key", "quality", "plain", "tr_upper"))
+    got = {r.doc_id: r for r in q["scripts_and_keys"](spark, str(tmp_path)).collect()}
+    assert [(got[k].script, got[k].foreign) for k in (1, 2)] == [("latin", None), ("cyrillic", "cyrillic")]
+    assert len({r.key for r in got.values()}) == len({r.name for r in got.values()}) == 3
+    assert {r.doc_id: r.garbled for r in q["text_variants"](spark, str(tmp_path)).collect()} == {1: None, 2: None, 3: "role word"}
+    rng = random.Random(2)
+    late = [head[:200] + "".join(rng.choice(x) for _ in range(600)) for x in ("abcdefghi", "jklmnopqr")]
+    d = conversations(spark, tmp_path, [late[0], late[0], late[1], late[1]])
+    assert len({r.text for r in q["upper_prose"](spark, d).collect()}) == 2
+    d = conversations(spark, tmp_path / "same_role", [late[0], "", late[1], "", late[1]])
+    assert sorted(r.row for r in q["recent_collapse"](spark, d).where("role = 'assistant'").collect()) == ["1:0", "1:2"]
+    assert {r.row: r.grp for r in q["text_groups"](spark, d).where("role = 'assistant'").collect()} == {"1:0": 1, "1:2": 2, "1:4": 2}
+    d = conversations(spark, tmp_path / "pairs", [late[0], late[1]])
+    want = similarity.SequenceMatcher(None, late[1], late[0]).ratio()
+    assert 0.2 <= want < 0.5 and [r.ratio for r in q["engine_agreement"](spark, d).collect()] == [round(want, 6)]
+
+
+def test_bounded_ratio_equals_ratio():
+    rng = random.Random(4)
+    for _ in range(500):
+        a, b = ("".join(rng.choice("abcde ") for _ in range(rng.choice((0, 5, 30, 260)))) for _ in "ab")
+        want = similarity.SequenceMatcher(None, a, b).ratio()
+        assert all(similarity.ratio_from(a, b, least) == (want if want >= least else None) for least in (0.2, 0.5, 0.8, want))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_overlap_joins(spark, seed):
     rng = random.Random(seed)
