@@ -42,7 +42,10 @@ def two_pass(queries: DataFrame, table: DataFrame, needle: str, name: str, key:
     head = F.substring(F.element_at(F.split("_q", " "), 1), 1, 3)
     ends = F.explode(F.array_distinct(F.flatten(F.transform(F.split("_t", " "), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w))), lambda k: F.substring(w, k, F.lit(3)))))))
     part = q.withColumn("_h", head).join(t.withColumn("_h", ends), "_h").drop("_h").where(F.col("_t").contains(F.col("_q"))).withColumn("pass", F.lit(2))
-    both = exact.unionByName(part).drop("_q", "_t")
+    # a needle of one or two letters can stand anywhere in a word: it is found through pieces of as many letters
+    pieces = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_t"))), lambda k: F.array(F.substring("_t", k, F.lit(1)), F.substring("_t", k, F.lit(2)))))))
+    short = q.where(F.length("_q") < 3).withColumn("_h", F.col("_q")).join(t.withColumn("_h", pieces), "_h").drop("_h").withColumn("pass", F.lit(2))
+    both = exact.unionByName(part).unionByName(short).drop("_q", "_t")
     w = Window.partitionBy(needle, key).orderBy("pass")
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 

@@ -206,6 +206,13 @@ def test_relational(spark):
     assert sorted(((r.l, r.r) for r in relational.fused_lines(lines, "m", "y", 5.0).collect()), key=str) == [("Cast", None), ("Director", "Ada")]
 
 
+def test_short_needles_are_found_inside_words(spark):
+    t = spark.createDataFrame([(1, "Alpine lake"), (2, "royal"), (3, "al"), (4, "stone"), (5, "a lens")], "k long, name string")
+    q = spark.createDataFrame([("al",), ("e",), ("in",), ("lake",)], "needle string")
+    got = relational.two_pass(q, t, "needle", "name", "k")
+    assert sorted((r.needle, r.k, r["pass"]) for r in got.collect()) == [("al", 1, 2), ("al", 2, 2), ("al", 3, 1), ("e", 1, 2), ("e", 4, 2), ("e", 5, 2), ("in", 1, 2), ("lake", 1, 2)]
+
+
 def test_dedup(spark):
     rng = random.Random(1)
     sets = [[rng.choice("abcdefgh") for _ in range(6)] for _ in range(40)]
