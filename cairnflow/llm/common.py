@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share: the one in spark.checkpoint.dir, or under the warehouse where that is unset."""
+    """A folder that the driver and all executors share: the one in spark.checkpoint.dir.  Where that is unset a local session gets
+    one under its warehouse; on a cluster no folder is known to be shared, so it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -40,13 +43,23 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-@atexit.register
-def _drop_all() -> None:
-    for spark, path in _MADE:
-        try:
-            drop_dir(spark, path)
-        except Exception:  # the session is gone; the folder's owner cleans it
-            pass
+def forget(since: int = 0, keep: str = "") -> None:
+    """Drops the intermediate tables and files made since so many, but those under keep."""
+    for spark, path in _MADE[since:]:
+        if not keep or not path.startswith(keep):
+            try:
+                drop_dir(spark, path)
+            except Exception:  # the session is gone; the folder's owner cleans it
+                pass
+    _MADE[since:] = [m for m in _MADE[since:] if keep and m[1].startswith(keep)]
+
+
+def made() -> int:
+    """How many intermediate tables and files there are."""
+    return len(_MADE)
+
+
+atexit.register(forget)
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
