@@ -1,12 +1,14 @@
 """Token counts of whole texts, with overlap resynchronisation for huge documents.
 
 A text over ``huge`` characters is cut into overlapping chunks.  Each chunk is encoded with offsets; the streams of two
-neighbours are spliced at a boundary in their overlap at which both have a cut and which is stable: white space stands there,
-so the tokenizer's normaliser and pre-tokenizer split there whatever stands on either side.  If the overlap holds no such
-boundary (one unbroken run of characters) it is doubled, up to the whole rest of the text.  Memory is bound by a chunk, not by
-the document.  Tokenizers for which no boundary is proven stable get their whole texts.
+neighbours are spliced at a boundary in their overlap at which both start a token and agree up to the next one, and which is
+stable.  For a ``.json`` tokenizer whose pre-tokenizer splits at white space that is the end of a gap between two words; for a
+sentencepiece ``.model`` none of whose pieces holds white space but at its start it is a single space between two plain letters:
+neither normalising nor the best segmentation on one side depends on the other.  If the overlap holds no such boundary (one
+unbroken run of characters) it is doubled, up to the whole rest of the text.  Memory is bound by a chunk, not by the document.
+Tokenizers for which no boundary is proven stable get their whole texts.
 
-Shorter texts go through the library by distinct piece (``wordbpe``), with equal results.
+Shorter texts go through the library whole, or by distinct piece (``wordbpe``), with equal results.
 
 Scale: a map over the scan with no shuffle; the columns that aren't read are pruned.
 
@@ -34,7 +36,7 @@ _BETWEEN = re.compile(r"(?<=[A-Za-z.,]) (?=[A-Za-z])")
 
 
 class SpaceCut:
-    """Chunks by a WordEncoder: token starts, and the positions where a cut is proven stable."""
+    """Chunks by a WordEncoder: ids, token starts, and the positions where a cut is proven stable."""
 
     def __init__(self, enc: WordEncoder):
         self.enc, self.proven = enc, enc.by_piece
@@ -44,22 +46,32 @@ class SpaceCut:
         e = self.enc.lib.encode(text, add_special_tokens=False)
         return np.array(e.ids, dtype="<u4"), np.array([o[0] for o in e.offsets], dtype=np.int64)
 
+    def spots(self, text: str, a: int, b: int) -> list[int]:
+        return [m.end() for m in _STABLE.finditer(text, a, b)]
+
 
 class PieceCut:
-    """The same for a sentencepiece model whose pieces hold white space at their start only."""
+    """The same for a sentencepiece model."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.lib.get_piece_size()
-        self.proven = all("▁" not in self.lib.id_to_piece(i).lstrip("▁") for i in range(n))
+        self.proven = all("\u2581" not in self.lib.id_to_piece(i).lstrip("\u2581") for i in range(n))
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        e = self.lib.encode(text, return_type="offset_mapping")
+        return np.array(e["ids"], dtype="<u4"), np.array([o[0] for o in e["offsets"]], dtype=np.int64)
 
     def count(self, text: str) -> int:
         return len(self.lib.encode(text, num_threads=1))
 
+    def spots(self, text: str, a: int, b: int) -> list[int]:
+        return [m.start() for m in _BETWEEN.finditer(text, a, b)]
 
-def splice(cut: SpaceCut, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
+
+def splice(cut: SpaceCut | PieceCut, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
     """ids of a whole text from overlapping chunks."""
     if not cut.proven or len(text) <= chunk:
         return cut.encode(text)[0]
@@ -72,7 +84,7 @@ def splice(cut: SpaceCut, text: str, chunk: int = CHUNK, overlap: int = OVERLAP)
             back = max(at, end - wide)
             ahead_end = min(len(text), back + max(chunk, 2 * wide))
             next_ids, next_starts = cut.encode(text[back:ahead_end])
-            where = boundary(text, back, end, starts + at, ids, next_starts + back, next_ids)
+            where = boundary(cut, text, back, end, starts + at, ids, next_starts + back, next_ids)
             if where is not None or back == at:
                 break
             wide *= 2
@@ -87,9 +99,9 @@ def splice(cut: SpaceCut, text: str, chunk: int = CHUNK, overlap: int = OVERLAP)
     return np.concatenate(out)
 
 
-def boundary(text: str, back: int, end: int, left: np.ndarray, left_ids: np.ndarray, right: np.ndarray, right_ids: np.ndarray) -> int | None:
+def boundary(cut: SpaceCut | PieceCut, text: str, back: int, end: int, left: np.ndarray, left_ids: np.ndarray, right: np.ndarray, right_ids: np.ndarray) -> int | None:
     """The middle one of the stable positions in (back, end) at which both streams start a token and agree up to the next stable position."""
-    spots = [m.end() for m in _STABLE.finditer(text, back, end)]
+    spots = cut.spots(text, back, end)
     both = [p for p, q in zip(spots, spots[1:]) if _same(p, q, left, left_ids, right, right_ids)]
     return both[len(both) // 2] if both else None
 
@@ -102,8 +114,8 @@ def _same(p: int, q: int, left: np.ndarray, left_ids: np.ndarray, right: np.ndar
 
 def counts(texts: list[str | None], path: str, huge: int = HUGE) -> list[int]:
     if path.endswith(".model"):
-        lib = _pieces(path)
-        return [_piece_count(lib, t or "", huge) for t in texts]
+        pieces = _pieces(path)
+        return [pieces.count(t or "") if not t or len(t) <= huge else len(splice(pieces, t)) for t in texts]
     enc = encoder(path)
     cut = SpaceCut(enc)
     short = enc.packed_many([t if t and len(t) <= huge else None for t in texts])
@@ -119,18 +131,6 @@ def _pieces(path: str) -> PieceCut:
     return _MODELS[path]
 
 
-def _piece_count(cut: PieceCut, text: str, huge: int) -> int:
-    """A sentencepiece text starts a piece at each single space between two words, so the count adds up over cuts there: the
-    dummy space that the library puts before a text stands for the one that the cut takes away."""
-    if len(text) <= huge or not cut.proven:
-        return cut.count(text)
-    total, at = 0, 0
-    while (m := _BETWEEN.search(text, at + CHUNK)) is not None:
-        total += cut.count(text[at : m.start()])
-        at = m.end()
-    return total + cut.count(text[at:])
-
-
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
 
