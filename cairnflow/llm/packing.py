@@ -4,7 +4,8 @@ Documents are tokenised, closed by an end id, and only longer ones are cut into
 their own.  The other pieces are dealt to partitions of bounded size; each is packed by best-fit decreasing, and dual feasible
 functions over the histogram of its lengths give a lower bound on its rows.  Where the bound is met the packing is proven
 optimal.  Partitions with a gap give up their least full rows, whose pieces meet those of other such partitions in fewer, newly
-dealt ones and are packed again; rounds go on while they save rows.
+dealt ones and are packed again; rounds go on until all is certified, one partition is left, or a round saves no row.  The bound over
+all lengths together certifies the whole.
 
 Scale: tokenising is a map over the scan; only (piece, length) moves after that.  No task holds more than ``PART_ITEMS`` pieces
 on average, whatever the table's size, and the driver sees counts alone.  Hot sources or long documents don't matter, since
@@ -30,7 +31,7 @@ from .common import batches, column, in_slices, materialise
 from .wordbpe import default_path, encoder
 
 CAPACITY, END_ID = 2048, 0
-PART_ITEMS, MAX_ROUNDS = 100_000, 4
+PART_ITEMS = 100_000
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("key", pa.int64())])
 
@@ -61,9 +62,11 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     f_e (0 <= e <= C / 2) maps what is over C - e to C and what is under e to nothing; u_k maps x to x where (k + 1) x / C is
     whole and to floor((k + 1) x / C) C / k elsewhere.
     """
-    if not len(lengths):
-        return 0
-    n = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of_counts(n: np.ndarray, capacity: int = CAPACITY) -> int:
+    """lower_bound of n[x] pieces of each length x."""
     x = np.arange(capacity + 1, dtype=np.int64)
     count, total = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(n * x)]
     e = np.arange(0, capacity // 2 + 1)
@@ -119,30 +122,29 @@ def _pack_part(capacity: int):
     return run
 
 
-def assign(items: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, dict]:
+def assign(items: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS) -> tuple[DataFrame, dict]:
     """items (key, doc_id, piece, length under capacity) with round, part and bin, and what is proven: rows used and bounds.
 
     Pieces of a row stay together; a row is final once its partition is certified or gives it no more to the exchange."""
     done: list[DataFrame] = []
     n = items.count()
-    report: dict = {"rounds": 0, "rows": 0, "certified": 0}
-    left, left_n, used = items, n, None
-    for r in range(max_rounds + 1):
-        if not left_n:
-            break
+    report: dict = {"rounds": 0, "rows": 0, "certified": 0, "parts": 0, "gap": 0}
+    left, left_n, r, before = items, n, 0, None
+    while left_n:
         parts = max(1, -(-left_n // part_items))
         dealt = left.select("key", "doc_id", "piece", "length", F.pmod(F.xxhash64("key", F.lit(r)), F.lit(parts)).cast("long").alias("part"))
         packed = materialise(dealt.groupBy("part").applyInPandas(_pack_part(capacity), _PACKED), f"packed{r}").withColumn("round", F.lit(r))
         by_part = packed.groupBy("part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"))
         t = by_part.agg(F.sum("bins").alias("bins"), F.sum((F.col("bins") - F.col("bound"))).alias("gap"), F.count("*").alias("parts"), F.sum((F.col("bins") == F.col("bound")).cast("int")).alias("certified")).first()
-        report = {"rounds": r + 1, "rows": report["rows"] + t["bins"], "certified": t["certified"], "parts": t["parts"], "gap": t["gap"]}
+        report |= {"rounds": r + 1, "rows": report["rows"] + t["bins"], "certified": t["certified"], "parts": t["parts"], "gap": t["gap"]}
         spare = packed.where((F.col("bins") > F.col("bound")) & (F.col("fill") < F.lit(capacity) - F.lit(capacity) / 256))
         give = spare.agg(F.count("*").alias("n"), F.sum("length").alias("sum"), F.sum(F.lit(1.0) * F.col("length") / F.col("fill")).alias("rows")).first()
         gain = (give["rows"] or 0) - (give["sum"] or 0) / capacity
-        # only what several partitions can put together is dealt again
-        if r == max_rounds or t["parts"] == 1 or t["gap"] == 0 or gain < 1:
+        # only what several partitions can put together is dealt again, and only while a round saves rows
+        if t["parts"] == 1 or t["gap"] == 0 or gain < 1 or before is not None and report["rows"] >= before:
             done.append(packed)
             break
+        before, r = report["rows"], r + 1
         out = (F.col("bins") > F.col("bound")) & (F.col("fill") < F.lit(capacity) - F.lit(capacity) / 256)
         done.append(packed.where(~out))
         report["rows"] -= round(give["rows"])
@@ -156,12 +158,17 @@ def assign(items: DataFrame, capacity: int = CAPACITY, part_items: int = PART_IT
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, part_items: int = PART_ITEMS) -> tuple[DataFrame, dict]:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; and the report of ``assign``."""
+    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; and the report of ``assign``, with all rows
+    (``sequences``) and those that any packing needs (``bound``), of full pieces too."""
     cut = materialise(pieces(docs, tokenizer, capacity, end_id).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     full = cut.where(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     # a piece's own number stands in for its key from here on: it is unique where rows repeat
     items = cut.where(F.col("length") < capacity)
     packed, report = assign(items.select(F.col("uid").alias("key"), "doc_id", "piece", "length"), capacity, part_items)
+    counts = np.zeros(capacity + 1, dtype=np.int64)  # a row for each length at most
+    for length, n in cut.groupBy("length").count().collect():
+        counts[length] = n
+    report |= {"sequences": report["rows"] + int(counts[capacity]), "bound": bound_of_counts(counts, capacity)}
     row = F.col("round").cast("long") * F.lit(1 << 56) + F.col("part") * F.lit(1 << 24) + F.col("bin")
     w = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "key")
     placed = packed.select("key", "length", row.alias("sequence_id")).withColumn("offset", F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)))
