@@ -1,8 +1,9 @@
 """Quality rules with host verdicts, in DataFrame functions only.
 
 Base rules judge each document alone.  Failures are then counted by host; the rates are shrunk toward the hosts' mean by a
-beta prior fitted to them by the method of moments, so that a host with few documents isn't judged by chance; hosts whose
-shrunk rate reaches ``host_limit`` are rejected, and that verdict is joined back to their documents.
+beta prior fitted to them by the method of moments, so that a host with few documents isn't judged by chance.  A host is rejected
+when all but the lowest twentieth of its posterior lies at ``host_limit`` or above: when it is all but certain that at least half of
+what it sends fails.  That verdict is joined back to its documents.
 
 Scale: one pass over the texts writes a narrow table of counts to the shared folder; the counts by host combine before the
 shuffle, so a hot host costs one row a task; the join back carries no text, and the table of hosts is broadcast only when its
@@ -24,8 +25,8 @@ from .common import materialise
 #: A word is a run of other characters; the symbols that are counted.
 GAP, SYMBOLS = r"[\x20\x09-\x0D]+", "[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: A host is rejected when at least this share of its documents, after shrinking, fails the base rules.
-HOST_LIMIT = 0.8
+#: A host is rejected when its failure rate is at least this, by the posterior's mean less so many of its standard deviations.
+HOST_LIMIT, DEVIATIONS = 0.5, 1.645
 #: Documents that a prior fitted from nothing (one host, or hosts all alike) is worth.
 PRIOR_WEIGHT, MAX_PRIOR_WEIGHT = 20.0, 1000.0
 
@@ -61,8 +62,10 @@ def host_verdicts(judged: DataFrame, host_limit: float = HOST_LIMIT) -> DataFram
     rate = F.col("n_failed") / F.col("n_docs")
     m = hosts.agg(F.sum("n_docs").alias("n"), F.sum("n_failed").alias("f"), F.count("*").alias("hosts"), F.avg(rate).alias("mean"), F.var_samp(rate).alias("var"), F.avg(1 / F.col("n_docs")).alias("inv")).first()
     alpha, beta = beta_prior(m["n"], m["f"], m["hosts"], m["mean"], m["var"], m["inv"])
-    shrunk = (F.col("n_failed") + F.lit(alpha)) / (F.col("n_docs") + F.lit(alpha + beta))
-    return hosts.withColumn("rate", shrunk).withColumn("host_rejected", shrunk >= F.lit(float(host_limit)))
+    size = F.col("n_docs") + F.lit(alpha + beta)
+    shrunk = (F.col("n_failed") + F.lit(alpha)) / size
+    low = shrunk - DEVIATIONS * F.sqrt(shrunk * (1 - shrunk) / (size + 1))
+    return hosts.withColumn("rate", shrunk).withColumn("host_rejected", low >= F.lit(float(host_limit)))
 
 
 def beta_prior(n: int | None, failed: int | None, hosts: int, mean: float | None, var: float | None, inv: float | None) -> tuple[float, float]:

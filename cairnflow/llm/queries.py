@@ -16,7 +16,9 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))[0]
+    """The placed pieces, and on each row the certificate: sequences in all, and those that any packing needs."""
+    rows, report = packing.pack(table(spark, sf_dir, "documents"))
+    return rows.withColumns({"n_sequences": F.lit(report["sequences"]).cast("long"), "bound": F.lit(report["bound"]).cast("long")})
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +46,16 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: A host's sections: texts of under 600 characters, which fail more often than not, stand apart.
+SECTION = "concat(source, CASE WHEN length(coalesce(text, '')) < 600 THEN '/short' ELSE '' END)"
+
+
+def host_rules_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The host rules with a host's short texts as a host of their own: a verdict on hosts that most of whose documents fail."""
+    d = table(spark, sf_dir, "documents").withColumn("section", F.expr(SECTION))
+    return hostrules.judge(d, host="section").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rangecoder.round_trip(table(spark, sf_dir, "documents"))
 
@@ -54,7 +66,7 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_tokens", "ids_crc32", F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_packing, op3_suffix_dedup, op4_near_dedup, op5_quality, op6_token_counts, op7_fingerprints, op8_host_rules, op9_token_ids, op10_piece_sampling)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_packing, op3_suffix_dedup, op4_near_dedup, op5_quality, op6_token_counts, op7_fingerprints, op8_host_rules, op9_token_ids, op10_piece_sampling, host_rules_by_section)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """
@@ -65,8 +77,10 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
        CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN first < page_id THEN first END AS refers_to
 FROM d LEFT JOIN f USING (digest)""",
-    "op8_host_rules": r"""
-WITH t AS (SELECT doc_id, source, coalesce(text, '') AS x FROM documents),
+}
+
+_HOST_SQL = r"""
+WITH t AS (SELECT doc_id, @host AS source, coalesce(text, '') AS x FROM documents),
      w AS (SELECT doc_id, source, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS words,
                   list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM t),
      g AS (SELECT doc_id, p, words[p] || ' ' || words[p + 1] || ' ' || words[p + 2] AS tri
@@ -83,7 +97,9 @@ WITH t AS (SELECT doc_id, source, coalesce(text, '') AS x FROM documents),
      m1 AS (SELECT *, least(greatest(mean0, 1 / (2.0 * n + 2)), 1 - 1 / (2.0 * n + 2)) AS mean FROM m),
      m2 AS (SELECT mean, CASE WHEN k < 2 THEN 20 WHEN v - mean * (1 - mean) * inv <= 0 THEN 1000
                               ELSE least(1000, greatest(1, mean * (1 - mean) / (v - mean * (1 - mean) * inv) - 1)) END AS weight FROM m1),
-     s AS (SELECT source, (f + mean * weight) / (n + weight) >= 0.8 AS host_rejected FROM h, m2)
+     p AS (SELECT source, (f + mean * weight) / (h.n + weight) AS r, h.n + weight AS size FROM h, m2),
+     s AS (SELECT source, r - 1.645 * sqrt(r * (1 - r) / (size + 1)) >= 0.5 AS host_rejected FROM p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_rejected AS kept
-FROM j JOIN s USING (source)""",
-}
+FROM j JOIN s USING (source)"""
+ORACLE_SQL["op8_host_rules"] = _HOST_SQL.replace("@host", "source")
+ORACLE_SQL["host_rules_by_section"] = _HOST_SQL.replace("@host", SECTION)
