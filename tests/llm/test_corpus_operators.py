@@ -71,13 +71,19 @@ def test_splice_equals_whole(text):
     assert got.tolist() == enc.lib.encode(text, add_special_tokens=False).ids
 
 
-def test_piece_model_counts():
+def test_piece_model_counts(monkeypatch):
+    import random
+
     import sentencepiece
 
     path = wordbpe.default_path("piece_bpe_32k.model")
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
     t = "Stone river, maple. " * 3000
     assert tokencount.counts([t, None, ""], path, huge=1000) == [len(lib.encode(t)), len(lib.encode("")), len(lib.encode(""))]
+    rng, cut = random.Random(1), tokencount.PieceCut(path)
+    odd = ["".join(rng.choice(["stone ", "river, ", "größe ", "  ", "\n", "é́", "漢字", "🙂 ", "a b c ", " ", "ﬁne ", "½ ", "\t"]) for _ in range(900)) for _ in range(20)]
+    for x in [*odd, "x" * 5000, "漢字" * 3000, "", " " * 4000 + "a b" + " " * 4000]:
+        assert tokencount.splice(cut, x, chunk=300, overlap=16).tolist() == lib.encode(x)
 
 
 # -- packing --------------------------------------------------------------
@@ -101,7 +107,23 @@ def test_packing(docs, texts, empty):
             assert offset == at
             at += length
         assert at <= 2048
-    assert packing.pack(empty)[0].count() == 0
+    assert report["bound"] <= report["sequences"] == len(rows)
+    assert packing.pack(empty)[0].count() == 0 and packing.pack(empty)[1]["bound"] == 0
+
+
+def test_exchange_saves_rows(spark):
+    """Pieces that fit only with those of other partitions: rounds go on while they save rows, and end at the bound."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.integers(1000, 1400, 300), 2048 - rng.integers(1000, 1400, 300)])
+    items = spark.createDataFrame([(k, k, 0, int(n)) for k, n in enumerate(x)], "key long, doc_id long, piece int, length long")
+    whole, one = packing.assign(items, part_items=1000)
+    split, many = packing.assign(items, part_items=40)
+    assert one["rounds"] == 1 and many["rounds"] > 1
+    bins = split.groupBy("round", "part", "bin").sum("length").collect()
+    assert len(bins) == many["rows"] and max(r["sum(length)"] for r in bins) <= 2048 and split.count() == len(x)
+    first = items.selectExpr("pmod(xxhash64(key, 0), 15) AS part", "length").groupBy("part").agg({"length": "collect_list"}).collect()
+    alone = sum(packing.best_fit_decreasing(np.array(r[1])).max() + 1 for r in first)
+    assert packing.lower_bound(x) <= many["rows"] < alone
 
 
 def test_bounds_hold():
@@ -136,16 +158,56 @@ def test_suffix_dedup(docs, texts, empty):
         kept = bytes(x for x, y in zip(b, m) if not y)
         want.append((i, len(b), sum(m), len(re.findall(b"\1+", bytes(m))), hashlib.sha256(kept).hexdigest()))
     assert by_row(pfp.report(docs)) == sorted(want, key=repr)
-    assert by_row(pfp.report(docs, hot=1)) == sorted(want, key=repr)
+    assert by_row(pfp.report(docs, parts=13)) == sorted(want, key=repr)
     assert pfp.report(empty).count() == 0
     clean = pfp.clean(docs)
     assert clean.schema == docs.schema and clean.count() == len(texts)
 
 
+def suffix_rows(texts):
+    for (i, _), (b, m) in zip(texts, removed(texts)):
+        kept = bytes(x for x, y in zip(b, m) if not y)
+        yield i, len(b), sum(m), len(re.findall(b"\1+", bytes(m))), hashlib.sha256(kept).hexdigest()
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_suffix_dedup_of_a_common_passage(spark, monkeypatch, parts):
+    """A passage that most texts share, at edges of every length: its cores' entries lie in many ranges."""
+    import random
+
+    rng = random.Random(parts)
+    say = lambda n: "".join(rng.choice("ab c") for _ in range(n))
+    passage = say(420)
+    tails = [say(rng.randint(0, 90)) for _ in range(6)]
+    t = []
+    for k in range(150):
+        cut = rng.choice([0, 0, rng.randint(0, 60)])
+        t.append((k, say(rng.randint(0, 260)) + rng.choice(tails) + passage[cut : len(passage) - rng.choice([0, rng.randint(0, 60)])] + rng.choice(tails) + say(rng.randint(0, 200))))
+    t += [(200 + k, "z" * 700) for k in range(2)] + [(300, say(600)), (None, t[3][1]), (None, t[3][1])]
+    monkeypatch.setattr(pfp, "CHUNK_ROWS", 50)
+    d = spark.createDataFrame(t, "doc_id long, text string")
+    assert by_row(pfp.report(d, parts=parts)) == sorted(suffix_rows(t), key=repr)
+
+
+def test_suffix_dedup_gives_entries_away(spark, docs, texts, monkeypatch):
+    found = []
+    for most in (3, 100_000):
+        e = pfp._Entries()
+        monkeypatch.setattr(pfp, "HELD_ENTRIES", most)
+        for k in (1, 2, 1, 3, 4, 4):
+            e.meet(bytes([k]) * 16, np.array([k, k]), b"x" * 250, 10)
+            if e.full():
+                found += [b.num_rows for b in e.give()]
+        found += [b.num_rows for b in e.give()]
+    assert found == [3, 1, 4]
+
+
 def test_filter_has_no_false_negative(spark):
     x = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 500)
     f = pfp.make_filter(spark.createDataFrame([(int(v),) for v in x], "core long"), len(x))
     assert pfp.passes(f, x).all() and pfp.passes(f, x + 1).mean() < 0.1
+    many = pfp.make_filter(spark.createDataFrame([(int(v),) for v in x], "core long"), pfp.FILTER_PARTS * 500_000 * 40)  # many pieces
+    assert pfp.passes(many, x).all()
 
 
 # -- near duplicates ------------------------------------------------------
@@ -185,6 +247,59 @@ def test_chain_around_a_star(spark):
     assert by_row(neardup.classes(d)) == sorted(near_classes(t), key=repr)
 
 
+def test_pages_of_one_template(spark):
+    """Texts that share three quarters of their words, and link with nothing but here and there a twin, make few pairs."""
+    import random
+
+    rng = random.Random(8)
+    shared, n = " ".join(f"s{k}" for k in range(600)), 240
+    t = [(k, f"{shared} " + " ".join(f"o{k}x{j}" for j in range(200))) for k in range(n)]
+    t += [(n + k, t[10 * k][1] + " " + " ".join(f"p{k}x{j}" for j in range(rng.choice([20, 60, 160])))) for k in range(12)]
+    d = spark.createDataFrame(t, "doc_id long, text string")
+    made = {}
+    plain = neardup.materialise
+    neardup.materialise = lambda df, what: made.setdefault(what, []).append(plain(df, what)) or made[what][-1]
+    try:
+        got = by_row(neardup.classes(d))
+    finally:
+        neardup.materialise = plain
+    assert got == sorted(near_classes(t), key=repr)
+    assert sum(made[k][0].count() for k in ("star", "second", "rare")) < 10 * len(t)
+    assert made["rare"][0].count() < len(t)
+
+
+def test_near_dedup_of_dense_groups(spark):
+    """Copies with edits of their own, about as far from each other as the threshold: stars miss many of their links."""
+    import random
+
+    rng = random.Random(3)
+    t = []
+    for g in range(4):
+        base = [f"g{g}w{k}" for k in range(300)]
+        for k in range(40):
+            w = list(base)
+            at = rng.randrange(0, 280)
+            w[at : at + 9 + g] = [f"e{g}x{k}y{j}" for j in range(9 + g)]
+            w[(at + 140) % 280] = f"f{g}x{k}"
+            t.append((1000 * g + k, " ".join(w)))
+    d = spark.createDataFrame(t, "doc_id long, text string")
+    assert by_row(neardup.classes(d)) == sorted(near_classes(t), key=repr)
+    alone = neardup.rare_pairs(spark.createDataFrame([(k, k, k, 4, [0] * 16, [1, 2, 3, 10 + k]) for k in range(3)], "cls long, h1 long, comp long, n long, mask array<long>, set array<long>"), 85)
+    assert alone.count() == 0
+
+
+def test_keep_one_goes_by_row(spark):
+    words = lambda p, n: " ".join(f"{p}{k}" for k in range(n))
+    a, b, c = words("a", 60), words("b", 60), words("c", 60)
+    t = [(5, a, "x"), (5, a, "x"), (5, b, "x"), (None, c, "y"), (None, c, "y"), (None, c.upper(), "z"), (7, a + " tail", "x"), (8, "", None), (8, "", None), (9, None, None), (None, words("d", 9), None)]
+    d = spark.createDataFrame(t, "doc_id long, text string, _row string")
+    got = sorted(map(tuple, neardup.keep_one(d).collect()), key=repr)
+    assert [r for r in got if r[1] and not r[1].lower().startswith("c0")] == sorted([(5, a, "x"), (5, b, "x"), (None, words("d", 9), None)], key=repr)
+    assert sum(1 for r in got if r[1] and r[1].lower().startswith("c0")) == 1
+    assert sum(1 for r in got if not r[1]) == 3
+    assert neardup.keep_one(d.limit(0)).count() == 0
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(10, 60)] + [(5, 7), (9, 7), (3, 9), (100, 99), (4, 4)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -223,6 +338,14 @@ def test_long_texts_train_with_all_features(spark, monkeypatch):
     assert all(len(ids) == len(vals) == len(want[0]) and abs((vals.astype(float) ** 2).sum() - (want[1] ** 2).sum()) < 1e-3 for ids, vals in seen)
 
 
+def test_repeated_ids_train_once(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "one text"), (1, "another one"), (1, "another one"), (2, "two"), (None, "none")], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(fm, "train", lambda rows, labels: seen.append((len(rows), list(labels))))
+    fm.fit(d, spark.createDataFrame([(1, 1), (1, 0), (2, 1), (None, 1)], "doc_id long, quality int"))
+    assert seen == [(2, [0.0, 1.0])]
+
+
 def test_sum_of_squares():
     rng = np.random.default_rng(0)
     flat = rng.normal(size=(fm.BUCKETS, 1 + fm.RANK))
@@ -234,30 +357,94 @@ def test_sum_of_squares():
 # -- fingerprints ---------------------------------------------------------
 
 
+def plain_fingerprint(text):
+    """Order MinHash by its definition, one k-mer and one order at a time, in whole numbers."""
+    m64 = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & m64
+        return x ^ x >> 31
+
+    if not text:
+        return ""
+    grams = [text[k : k + 6] for k in range(max(1, len(text) - 5))]
+    hashes = []
+    for g in grams:
+        h = 0
+        for c in g:
+            h = (h * 0x100000001B3 + ord(c) + 1) & m64
+        hashes.append(mix(h))
+    met, numbered = Counter(), []
+    for g, h in zip(grams, hashes):
+        numbered.append(mix(((h >> 32) * 0x9E3779B97F4A7C15 + met[g]) & m64) >> 32)
+        met[g] += 1
+    out = ""
+    for j in range(1, 65):
+        order = mix(j * 0x9E3779B97F4A7C15 & m64) >> 32 | 1
+        least = sorted(range(len(grams)), key=lambda k: (numbered[k] * order & 0xFFFFFFFF, k))[:2]
+        t = 0
+        for k in sorted(least):
+            t = mix((t * 0x9E3779B97F4A7C15 + hashes[k] + 1) & m64)
+        out += f"{t >> 48:04x}"
+    return out
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    return sum(a[k : k + 4] == b[k : k + 4] for k in range(0, 256, 4)) / 64
+
+
 def test_fingerprints(docs, texts, empty):
     order = sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     want = []
     for (i, t), (_, n) in zip(order, order[1:] + order[:1]):
         t, n = t or "", n or ""
         e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
-        a, b, c = map(ordermin.fingerprint, (t, e, n))
-        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), ordermin.show(a), ordermin.show(b), ordermin.likeness(a, b), ordermin.likeness(a, c)))
+        a, b, c = map(plain_fingerprint, (t, e, n))
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), a, b, plain_likeness(a, b), plain_likeness(a, c)))
     assert by_row(ordermin.fingerprints(docs)) == sorted(want, key=repr)
     assert by_row(ordermin.fingerprints(docs, parts=1)) == sorted(want, key=repr)
     assert ordermin.fingerprints(empty).count() == 0
 
 
 def test_order_matters():
+    """Likeness falls with the edit distance: where the same k-mers stand in another order, and where they are repeated."""
     import random
 
     w = [f"word{k}" for k in range(300)]
-    a = " ".join(w)
-    swapped = " ".join(w[150:] + w[:150])
-    random.Random(1).shuffle(w)
+    shuffled = list(w)
+    random.Random(1).shuffle(shuffled)
     f = ordermin.fingerprint
-    assert ordermin.likeness(f(a), f(a)) == 1.0
-    assert ordermin.likeness(f(a), f(swapped)) < 0.9
-    assert ordermin.likeness(f(a), f(a + " end")) > 0.8
+    like = lambda x: ordermin.likeness(f(" ".join(w)), f(" ".join(x)))
+    assert like(w) == 1.0
+    assert like(w + ["end"]) > 0.8
+    # a pair of k-mers keeps its order in half of both the shuffled and the halved text, in nearly all of the others
+    assert max(like(shuffled), like(w[150:] + w[:150])) < 0.75 < like(w[20:] + w[:20]) < like(w[1:])
+    assert like(w + w) < 0.6
+
+
+def test_long_texts():
+    """Texts of some megabytes, with and without gaps, in every operator that reads texts in a worker."""
+    import time
+
+    rng = np.random.default_rng(6)
+    run = "".join(map(chr, rng.integers(97, 123, 1_500_000)))
+    prose_ = " ".join(run[k : k + 7] for k in range(0, 1_400_000, 7))
+    for text in (run, prose_):
+        began = time.time()
+        raw = text.encode()
+        assert len(neardup.shingles(text)) == max(1, len(text.split()) - 2)
+        ids = wordbpe.encoder(wordbpe.default_path()).packed(text)
+        doc = [(1, len(ids) // 4)]
+        assert rangecoder.unpack_file(rangecoder.pack_file(doc, ids)) == (doc, ids)
+        assert tokencount.counts([text], wordbpe.default_path())[0] == len(ids) // 4
+        assert len(ordermin.fingerprint(text)) == 64
+        assert len(fm.features(text)[0]) == len(fm.features(text)[1])
+        trig, first, last = pfp.parse(raw)
+        assert first[0] == 0 and last[-1] == len(raw) - 200 and (first[1:] == last[:-1] + 1).all()
+        assert time.time() - began < 120
 
 
 # -- host rules -----------------------------------------------------------
@@ -284,12 +471,27 @@ def test_host_rules(docs, texts, empty):
 
 def test_bad_host_rejects_its_documents(spark, texts):
     good = next(t for i, t in texts if i == 8)
-    rows = [(k, "bad", "spam") for k in range(60)] + [(100, good, "spam")] + [(200 + k, good, "fine") for k in range(30)] + [(300, good, None)]
+    rows = [(k, "bad" if k % 4 else good, "spam") for k in range(80)] + [(100 + k, good, "fine") for k in range(30)] + [(200 + k, "bad" if k % 3 == 0 else good, "mixed") for k in range(60)]
+    rows += [(300, good, None), (301, "bad", "once"), (302, good, "once")]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r for r in hostrules.judge(d).collect()}
-    assert got[100].host_rejected and not got[100].base_failed and not got[100].kept
-    assert got[200].kept and got[300].kept
-    assert {r.doc_id for r in hostrules.keep(d).collect()} == {200 + k for k in range(30)} | {300}
+    # three quarters of spam fail, a third of mixed does; one failure of two isn't proof
+    assert {r.host for r in got.values() if r.host_rejected} == {"spam"}
+    assert got[100].kept and got[201].kept and got[300].kept and got[302].kept and not got[4].kept and not got[4].base_failed
+    assert {r.doc_id for r in hostrules.keep(d).collect()} == {i for i, t, h in rows if t == good and h != "spam"}
+
+
+def test_posterior_tail_by_hand(spark):
+    hosts = {"a": (40, 30), "b": (40, 22), "c": (400, 220), "d": (10, 1)}
+    j = spark.createDataFrame([(h, k < f) for h, (n, f) in hosts.items() for k in range(n)], "host string, base_failed boolean")
+    rates = [f / n for n, f in hosts.values()]
+    mean, inv = sum(rates) / 4, sum(1 / n for n, _ in hosts.values()) / 4
+    left = sum((x - mean) ** 2 for x in rates) / 3 - mean * (1 - mean) * inv
+    weight = min(1000, max(1, mean * (1 - mean) / left - 1))
+    for r in hostrules.host_verdicts(j).collect():
+        n, f = hosts[r.host]
+        p, size = (f + mean * weight) / (n + weight), n + weight
+        assert abs(r.rate - p) < 1e-9 and r.host_rejected == (p - 1.645 * (p * (1 - p) / (size + 1)) ** 0.5 >= 0.5)
 
 
 def test_rules_keep_rows_by_their_own_verdict(spark):
@@ -313,22 +515,67 @@ def test_token_files(docs, texts, empty):
     assert rangecoder.round_trip(empty).count() == 0
 
 
-@pytest.mark.parametrize("ids", [[], [7], [0] * 9000, list(range(3000)), [1 << 19, 5] * 1500, [49407] * 2048])
+def test_token_files_can_be_read_later(spark, docs, tmp_path):
+    path = rangecoder.write(docs, str(tmp_path / "ids"), parts=3)
+    (tmp_path / "ids" / "part-000000-9999.ids").write_bytes(b"left by a task that was lost")
+    assert by_row(rangecoder.read(spark, path)) == by_row(rangecoder.round_trip(docs))
+
+
+@pytest.mark.parametrize("ids", [[], [7], [0] * 9000, list(range(3000)), [1 << 19, 5] * 1500, [49407] * 2048, list(range(40000)) * 2, [(1 << 24) - 1, 0, 3]])
 def test_coder_round_trip(ids):
     raw = packed(ids)
     docs = [(None, 0), (5, len(ids))]
     data = rangecoder.pack_file(docs, raw)
     assert rangecoder.unpack_file(data) == (docs, raw)
-    if len(ids) > 3000:
-        assert len(data) < len(raw)
+    if len(ids) > 3000 and len(set(ids)) < 100:
+        assert len(data) < len(raw) / 20
+
+
+def test_coder_in_many_blocks(monkeypatch):
+    monkeypatch.setattr(rangecoder, "BLOCK", 1000)
+    rng = np.random.default_rng(9)
+    lens = [0, 2500, 1, 999, 1000, 0, 300]
+    ids = rng.zipf(1.3, sum(lens)) % 50000
+    data, docs = rangecoder.pack_file(list(enumerate(lens)), packed(ids)), list(enumerate(lens))
+    assert rangecoder.unpack_file(data) == (docs, packed(ids))
+    at = np.r_[0, np.cumsum(lens)]
+    assert list(rangecoder.documents(data)) == [(k, n, packed(ids[at[k] : at[k + 1]])) for k, n in docs]
+
+
+def test_coder_carries():
+    """Lanes whose low end runs over the word boundary again and again: random ids of every frequency."""
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        ids = np.where(rng.random(6000) < 0.9, rng.integers(0, 3, 6000), rng.integers(0, 60000, 6000))
+        raw = packed(ids)
+        assert rangecoder.unpack_file(rangecoder.pack_file([(1, 6000)], raw))[1] == raw
+
+
+def test_coder_beats_order_0():
+    """Fewer bits an id than the entropy of the ids' own frequencies."""
+    import duckdb
+
+    enc = wordbpe.encoder(wordbpe.default_path())
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.1/documents.parquet' WHERE doc_id < 2500 ORDER BY doc_id").fetchall()]
+    ids = np.frombuffer(b"".join(x + packed([2]) for x in enc.packed_many(texts)), dtype="<u4")
+    share = np.bincount(ids) / len(ids)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    data = rangecoder.pack_file([(1, len(ids))], ids.tobytes())
+    assert rangecoder.unpack_file(data)[1] == ids.tobytes()
+    assert 8 * len(data) / len(ids) < 0.97 * entropy
 
 
 def test_coder_finds_damage():
     rng = np.random.default_rng(4)
-    data = bytearray(rangecoder.pack_file([(1, 4000)], packed(rng.integers(0, 50000, 4000))))
-    data[-900] ^= 0xFF
+    raw = packed(rng.integers(0, 50000, 4000))
+    good = rangecoder.pack_file([(1, 4000)], raw)
+    for at in (-900, -4000, -8):
+        data = bytearray(good)
+        data[at] ^= 0xFF
+        with pytest.raises(ValueError):
+            rangecoder.unpack_file(bytes(data))
     with pytest.raises(ValueError):
-        rangecoder.unpack_file(bytes(data))
+        rangecoder.pack_file([(1, 1)], packed([1 << 24]))
 
 
 # -- sampled segmentations ------------------------------------------------
@@ -378,4 +625,4 @@ def test_warc(spark, tmp_path):
 
 
 def test_queries_have_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))

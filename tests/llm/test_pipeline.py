@@ -21,3 +21,56 @@ def test_near_dedup_takes_five_words_at_80(spark):
     t += [(3, scattered), (4, [f"y{k}" if k % 40 == 20 else w for k, w in enumerate(scattered)])]  # 0.78 by five, 0.86 by three
     d = spark.createDataFrame([(i, " ".join(w)) for i, w in t], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, d, "").collect()) == [1, 3, 4]
+
+
+WIDE = "doc_id long, text string, lang string, source string, n_chars long, id long, c long, h1 long, row string, spans string"
+
+
+def wide(rows):
+    return [(i, t, "en", s, None if t is None else len(t), 1, 2, 3, "r", "s") for i, t, s in rows]
+
+
+def through(spark, d, sf_dir):
+    """What each stage makes of d, by name."""
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        d = corpus_pipeline.materialise(stage(spark, d, sf_dir), "through")
+        out[name] = d
+    return out
+
+
+def test_repeated_rows_and_ids(spark, sf_dir, monkeypatch):
+    """One of the rows that repeat one another stays, whole, whatever their ids are."""
+    good = " ".join(f"word{k} stands" for k in range(60))
+    other = " ".join(f"thing{k} moves" for k in range(60))
+    third = " ".join(f"place{k} waits" for k in range(60))
+    rows = [(5, good, "a"), (5, good, "a"), (None, other, "b"), (None, other, "b"), (None, other, None), (7, third, "c"), (7, good + " more", "c"), (8, None, "c"), (9, "", "d"), (9, "", "d"), (None, None, None)]
+    monkeypatch.setattr(corpus_pipeline.fm, "THRESHOLD", 0.0)
+    monkeypatch.setattr(corpus_pipeline.fm.keep, "__defaults__", (0.0,))
+    d = spark.createDataFrame(wide(rows), WIDE)
+    out = through(spark, d, sf_dir)
+    for name in ("quality classifier", "quality rules", "MinHash near-dedup", "suffix-array dedup"):
+        assert out[name].schema.names == d.schema.names
+    assert out["quality classifier"].count() == len(rows)
+    assert out["quality rules"].count() == 7
+    assert sorted(((r.doc_id, r.text) for r in out["MinHash near-dedup"].collect()), key=repr) == sorted([(5, good), (None, other), (7, third)], key=repr)
+    assert sorted(((r.doc_id, r.text) for r in out["suffix-array dedup"].collect()), key=repr) == sorted([(5, good), (None, other), (7, third)], key=repr)
+    assert out["best-fit packing"].count() == 3
+
+
+def test_empty_table(spark, sf_dir):
+    out = through(spark, spark.createDataFrame([], WIDE), sf_dir)
+    assert all(d.count() == 0 for d in out.values())
+
+
+def test_all_rows_go(spark, sf_dir):
+    out = through(spark, spark.createDataFrame(wide([(1, None, None), (None, "", "x"), (2, " \n", "x")]), WIDE), sf_dir)
+    assert out["quality rules"].count() == out["best-fit packing"].count() == 0
+
+
+def test_run_drops_its_tables(spark, sf_dir):
+    from cairnflow.llm.common import _MADE
+
+    before = len(_MADE)
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert len(_MADE) - before == len(corpus_pipeline.STAGES)
