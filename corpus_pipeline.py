@@ -2,6 +2,11 @@
 
 Each stage gets all that its predecessor kept; its result is written as Parquet and read again.  All but the last return the
 columns of documents.
+
+Defined results, in every stage: an empty table gives an empty result, further columns are carried and may have any name.  A null
+or empty text has no words and goes with the rules.  Rows are judged by what they hold, not by their doc_id, which may be null or
+repeated: of rows that repeat one another, or are near duplicates, one stays, and its text is whole where nothing else repeats it.
+Without labels the classifier rejects nothing.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cairnflow.llm import fm, hostrules, neardup, packing, pfp
-from cairnflow.llm.common import materialise, table
+from cairnflow.llm.common import forget, made, materialise, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed rows; a stage's own intermediate tables go when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        before = made()
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        forget(before, keep=docs.inputFiles()[0].rpartition("/")[0] if docs.inputFiles() else "")
     return docs
