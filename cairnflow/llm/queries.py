@@ -46,12 +46,12 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-#: A host's sections: texts of under 600 characters, which fail more often than not, stand apart.
-SECTION = "concat(source, CASE WHEN length(coalesce(text, '')) < 600 THEN '/short' ELSE '' END)"
+#: Short texts of whatever source as one host, most of whose documents fail.
+SECTION = "CASE WHEN length(coalesce(text, '')) < 350 THEN 'short' ELSE source END"
 
 
 def host_rules_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The host rules with a host's short texts as a host of their own: a verdict on hosts that most of whose documents fail."""
+    """The host rules with all short texts as a host of their own, which is rejected with those of its documents that pass."""
     d = table(spark, sf_dir, "documents").withColumn("section", F.expr(SECTION))
     return hostrules.judge(d, host="section").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
