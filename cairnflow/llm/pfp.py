@@ -2,24 +2,26 @@
 
 Rolling hash: each window of ``WINDOW`` bytes picks a trigger, the leftmost of its first ``STARTS`` positions whose ``GRAM``-byte
 hash is least.  The choice depends on the window's bytes alone, so equal windows pick the same trigger at the same distance.
-A run of windows with one trigger is a phrase: the text they cover, cut at the trigger into a left part (before it) and a right
-part (from it on).  The distinct phrases are the dictionary, the phrases of a text in order its parse.
-
-All windows of a phrase hold the ``CORE`` bytes from its trigger on.  So
-
-1. the cores of all phrases are counted (rows of one number, combined before the shuffle), and a filter of fixed size at most is
-   made of those that occur again: it only lets too much through, never too little;
-2. phrases that pass move by their core.  Where a core has one distinct phrase, that occurs again, all its windows repeat.
-   Otherwise the dictionary entries of a core are put in suffix order twice, by what is left of the trigger, read backwards, and
-   by what follows the core, each with the common prefixes of neighbours.  Two phrases share the window that starts d bytes
-   before the trigger if they fall in one interval of common prefixes >= d in the first order and >= rest in the second, which
-   is how the suffix arrays of dictionary and parse combine to the order of the whole corpus.  The comparison is of bytes;
-3. the spans go back to their documents by key.
-
-Scale: no task sees more than the phrases of its cores; copies of a text collapse to one dictionary entry, whose text is sent
-once by each task that reads a copy; the driver sees the filter, counts and the hot cores (100,000 at most) alone.  A core that
-very many different phrases share (the edge of a passage found in a third of all documents) isn't sorted: its windows are
-counted by their hashes, whose counts combine before they move.
+A run of windows with one trigger is a phrase: the text they cover, cut at the trigger into a left part (before it), the ``CORE``
+bytes from it on, which all windows of the phrase hold, and a right part.  The distinct phrases are the dictionary; the phrases of
+a text, in order, with their triggers, are its parse.
+
+1. The cores of all phrases are counted (rows of one number, combined before the shuffle), and a filter of fixed size at most is
+   made of those that occur again: it only lets too much through, never too little.
+2. One pass parses the texts and writes, of the phrases that pass, the parse (phrase number, document, trigger), and of each task
+   the dictionary's entries once, with whether they occur there again.
+3. The dictionary is put in suffix order: by core, then by what is left of the trigger, read backwards, then by what follows the
+   core.  The order is dealt in ranges, so that the entries of one core that very many texts share (the edge of a passage found in a
+   third of all documents) lie in as many tasks as they need.  In a task a second order, by what follows the core, is made beside
+   the first, each with the common prefixes of neighbours.  Two entries share the window that starts d bytes before the trigger if
+   they fall in one interval of common prefixes >= d in the first order and >= rest in the second.  That gives each entry the
+   distances at which its windows repeat; an entry that occurs again repeats at all of its own.
+4. Where a core's entries lie in several tasks, an entry can only share windows with those beyond its task at distances up to its
+   common prefix with the task's first or last entry.  Those few windows are counted by a 128-bit hash, each that repeats in a task once for it.
+5. The dictionary's verdicts go back to the parse by phrase number, and its spans to the documents by key.
+
+Scale: no task sees more than its range of distinct entries; copies of a text collapse to one entry a task before anything moves;
+the driver sees counts and the filter alone (32 MB at most, put together in the cluster).
 
 Defined results: a null text counts as empty; texts under 200 bytes lose nothing.  Repeated rows repeat each other's text and
 lose it all.  A null doc_id is kept.  An empty table gives an empty result.  Other columns are ignored and may have any name.
@@ -37,19 +39,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, claim, column, materialise
+from .common import batches, claim, column, in_slices, materialise
 from .ordermin import mix
 
 WINDOW, STARTS, GRAM = 200, 128, 32
 CORE = WINDOW - STARTS + 1
 SIDE = STARTS - 1  # the most bytes of a window on either side of the core
 _PLACE = np.uint64((1 << 28) - 1)
-MAX_FILTER_BITS, FILTER_PARTS = 1 << 28, 64
+MAX_FILTER_BITS, FILTER_PARTS, FAN_IN = 1 << 28, 64, 32
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _R = np.uint64(0x2127599BF4325C37 | 1)
-CHUNK_ROWS = 200_000
-#: Different phrases of one core beyond which its windows are counted one by one instead.
-HOT = 200_000
+CHUNK_ROWS = 100_000
+#: Entries, and bytes of their sides, that a task holds back to find those that occur again.
+HELD_ENTRIES, HELD_BYTES = 100_000, 24_000_000
 
 
 def parse(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,13 +73,10 @@ def parse(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return trig[first], first, np.r_[first[1:] - 1, n - 1]
 
 
-def core_key(raw: bytes, t: int) -> int:
-    return xxhash.xxh3_64_intdigest(raw[t : t + CORE])
-
-
 def _cores(raw: bytes, triggers: np.ndarray) -> np.ndarray:
-    key = xxhash.xxh3_64_intdigest
-    return np.fromiter((key(raw[t : t + CORE]) for t in triggers.tolist()), dtype=np.uint64, count=len(triggers))
+    """The 128-bit hash of the core at each trigger, as two signed numbers."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join(digest(raw[t : t + CORE]) for t in triggers.tolist()), dtype="<i8").reshape(-1, 2)
 
 
 def _raw(text: str | None) -> bytes:
@@ -94,9 +93,9 @@ def core_rows(docs: DataFrame) -> DataFrame:
             for t in column(b, "text").to_pylist():
                 raw = _raw(t)
                 if len(raw) >= WINDOW:
-                    held.append(_cores(raw, parse(raw)[0]))
+                    held.append(_cores(raw, parse(raw)[0])[:, 0])
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held))], schema=schema)
 
     return docs.select("text").mapInArrow(run, "core long")
 
@@ -120,13 +119,22 @@ def make_filter(cores: DataFrame, n: int) -> np.ndarray:
         m = np.zeros(size * 8, dtype=bool)
         for p in places:
             m[p] = True
-        return pd.DataFrame({"part": [int(part[0])], "map": [np.packbits(m, bitorder="little").tobytes()]})
+        return pd.DataFrame({"part": [int(part[0])], "piece": [int(pdf["piece"].iloc[0])], "map": [np.packbits(m, bitorder="little").tobytes()]})
 
-    # a filter part's cores are one group: a 64th of them, as numbers; combined in pieces where there are more
+    def either(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.frombuffer(pdf["map"].iloc[0], dtype=np.uint8).copy()
+        for x in pdf["map"].iloc[1:]:
+            m |= np.frombuffer(x, dtype=np.uint8)
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "piece": [int(pdf["piece"].iloc[0]) // FAN_IN], "map": [m.tobytes()]})
+
+    # a part's cores are dealt to pieces where there are many; their maps are then put together, some at a time
     pieces = max(1, n // (FILTER_PARTS * 500_000))
     keyed = cores.withColumn("part", F.shiftrightunsigned("core", 58)).withColumn("piece", F.pmod(F.xxhash64("core"), F.lit(pieces)))
+    maps = keyed.groupBy("part", "piece").applyInPandas(run, "part int, piece long, map binary")
+    while pieces > 1:
+        maps = maps.groupBy("part", F.floor(F.col("piece") / FAN_IN)).applyInPandas(either, "part int, piece long, map binary")
+        pieces = -(-pieces // FAN_IN)
     out = np.zeros((FILTER_PARTS, size), dtype=np.uint8)
-    maps = keyed.groupBy("part", "piece").applyInPandas(run, "part int, map binary")
     for r in maps.toLocalIterator():
         out[r["part"]] |= np.frombuffer(r["map"], dtype=np.uint8)
     return out
@@ -140,43 +148,87 @@ def passes(f: np.ndarray, cores: np.ndarray) -> np.ndarray:
     return ok
 
 
-PHRASES = pa.schema([("core", pa.int64()), ("cls", pa.int64()), ("kid", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("left", pa.int16()), ("least", pa.int16()), ("ctx", pa.binary())])
-PHRASES_DDL = "core long, cls long, kid long, h long, start long, left short, least short, ctx binary"
+PHRASES = pa.schema([("cls1", pa.int64()), ("cls2", pa.int64()), ("kid", pa.int64()), ("h", pa.int64()), ("trig", pa.int64()), ("core1", pa.int64()), ("core2", pa.int64()), ("before", pa.binary()), ("after", pa.binary()), ("again", pa.bool_())])
+PHRASES_DDL = "cls1 long, cls2 long, kid long, h long, trig long, core1 long, core2 long, before binary, after binary, again boolean"
 
 
-def phrase_rows(docs: DataFrame, shared, hot: frozenset[int] = frozenset(), only_hot: bool = False) -> DataFrame:
-    """The phrases whose core passes the filter and isn't hot (or only those whose core is): core, hash of the phrase, document, first window start, distances of the first and
-    last window to the trigger, and the phrase's bytes where this task hasn't sent them yet."""
+class _Entries:
+    """Dictionary entries that a task has met since it last gave some away."""
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        f, sent = shared.value, set()
-        key = xxhash.xxh3_64_intdigest
-        for b in parts:
+    def __init__(self):
+        self.rows: dict[bytes, list] = {}
+        self.size = 0
+
+    def meet(self, number: bytes, core: np.ndarray, ctx: bytes, left: int) -> None:
+        row = self.rows.get(number)
+        if row is None:
+            self.rows[number] = [core, ctx[:left][::-1], ctx[left + CORE :], False]
+            self.size += len(ctx)
+        else:
+            row[3] = True
+
+    def full(self) -> bool:
+        return len(self.rows) >= HELD_ENTRIES or self.size >= HELD_BYTES
+
+    def give(self) -> Iterator[pa.RecordBatch]:
+        numbers, rows = list(self.rows), list(self.rows.values())
+        self.rows, self.size = {}, 0
+        for k in range(0, len(rows), 5000):
+            part = rows[k : k + 5000]
+            cls = np.frombuffer(b"".join(numbers[k : k + 5000]), dtype="<i8").reshape(-1, 2)
+            core = np.stack([r[0] for r in part])
+            none = pa.nulls(len(part), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(cls[:, 0].copy()), pa.array(cls[:, 1].copy()), none, none, none, pa.array(core[:, 0].copy()), pa.array(core[:, 1].copy()), pa.array([r[1] for r in part], pa.binary()), pa.array([r[2] for r in part], pa.binary()), pa.array([r[3] for r in part])], schema=PHRASES)
+
+
+def phrase_rows(docs: DataFrame, shared) -> DataFrame:
+    """Of the phrases whose core passes the filter: the parse (phrase number, kid, h, trigger), and the dictionary's entries (phrase
+    number, core, the bytes before the trigger read backwards, the bytes after the core, whether they occur again)."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("pfp")
+        f, entries, digest = shared.value, _Entries(), xxhash.xxh3_128_digest
+        for b in in_slices(parts, 500):
+            found: list[tuple] = []
             for kid, h, t in zip(column(b, "kid").to_pylist(), column(b, "h").to_pylist(), column(b, "text").to_pylist()):
                 raw = _raw(t)
                 if len(raw) < WINDOW:
                     continue
                 trig, first, last = parse(raw)
-                cores = _cores(raw, trig).view(np.int64)
-                ok = np.flatnonzero(passes(f, cores))
-                if hot:
-                    ok = np.array([k for k in ok.tolist() if (int(cores[k]) in hot) == only_hot], dtype=np.int64)
-                for c, t0, i, j in zip(cores[ok].tolist(), trig[ok].tolist(), first[ok].tolist(), last[ok].tolist()):
+                cores = _cores(raw, trig)
+                ok = np.flatnonzero(passes(f, cores[:, 0]))
+                if not len(ok):
+                    continue
+                numbers = []
+                for k, t0, i, j in zip(ok.tolist(), trig[ok].tolist(), first[ok].tolist(), last[ok].tolist()):
                     ctx = raw[i : j + WINDOW]
-                    cls = key(ctx, t0 - i << 8 | t0 - j) - (1 << 63)
-                    if cls in sent:
-                        ctx = None
-                    else:
-                        if len(sent) > 300_000:
-                            sent.clear()
-                        sent.add(cls)
-                    yield c, cls, kid, h, i, t0 - i, t0 - j, ctx
-
-    return docs.mapInArrow(lambda it: batches(run(it), PHRASES, 5000), PHRASES_DDL)
+                    numbers.append(digest(ctx, t0 - i << 8 | t0 - j))
+                    entries.meet(numbers[-1], cores[k], ctx, t0 - i)
+                    if entries.full():
+                        yield from entries.give()
+                found.append((np.frombuffer(b"".join(numbers), dtype="<i8").reshape(-1, 2), kid, h, trig[ok]))
+            if found:
+                cls, n = np.concatenate([x[0] for x in found]), [len(x[3]) for x in found]
+                whose = [pa.array(np.repeat(np.array([x[k] for x in found], dtype=np.int64), n)) for k in (1, 2)]
+                m = len(cls)
+                yield pa.RecordBatch.from_arrays([pa.array(cls[:, 0].copy()), pa.array(cls[:, 1].copy()), *whose, pa.array(np.concatenate([x[3] for x in found])), *(pa.nulls(m, k.type) for k in list(PHRASES)[5:])], schema=PHRASES)
+        yield from entries.give()
+
+    return docs.mapInArrow(run, PHRASES_DDL)
+
+
+def _matrix(column_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Binary values as rows of SIDE bytes, padded with zeros, and their lengths."""
+    at = np.frombuffer(column_.buffers()[1], dtype=np.int32)[column_.offset : column_.offset + len(column_) + 1]
+    data = np.frombuffer(column_.buffers()[2], dtype=np.uint8) if column_.buffers()[2] is not None else np.zeros(0, dtype=np.uint8)
+    n = np.diff(at).astype(np.int64)
+    out = np.zeros((len(n), SIDE), dtype=np.uint8)
+    out[np.arange(SIDE) < n[:, None]] = data[at[0] : at[-1]]
+    return out, n
 
 
 def _prefix_order(core: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix order of rows (core, text): row numbers, and the common prefix of each with the one before it, -1 where the core differs."""
+    """The suffix order of rows (number of the core, text): row numbers, and the common prefix of each with the one before it, -1 where the core differs."""
     both = np.concatenate([core.astype(">u8").view(np.uint8).reshape(-1, 8), text], axis=1)
     order = np.argsort(np.ascontiguousarray(both).view(f"S{both.shape[1]}").ravel(), kind="stable")
     s = both[order]
@@ -185,14 +237,9 @@ def _prefix_order(core: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.nd
     return order, np.r_[-1, np.maximum(lcp, -1)]
 
 
-def shared_windows(core: np.ndarray, ctx: list[bytes], left: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """For each of distinct phrases (rows), True at distance d if its window that starts d before the trigger is in another one too."""
+def shared_windows(core: np.ndarray, before: np.ndarray, after: np.ndarray, left: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each of distinct entries (rows), True at distance d if its window that starts d before the trigger is in another one too."""
     n = len(core)
-    before, after = np.zeros((n, SIDE), dtype=np.uint8), np.zeros((n, SIDE), dtype=np.uint8)
-    for k, (c, m) in enumerate(zip(ctx, left.tolist())):
-        before[k, :m] = np.frombuffer(c, dtype=np.uint8)[:m][::-1]
-        rest = np.frombuffer(c, dtype=np.uint8)[m + CORE :]
-        after[k, : len(rest)] = rest
     (lo, ll), (ro, rl) = _prefix_order(core, before), _prefix_order(core, after)
     out = np.zeros((n, STARTS), dtype=bool)
     a, b = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
@@ -209,122 +256,107 @@ def shared_windows(core: np.ndarray, ctx: list[bytes], left: np.ndarray, least:
     return out
 
 
-SPANS = pa.schema([("kid", pa.int64()), ("h", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
-SPANS_DDL = "kid long, h long, s long, e long"
+def _common(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The common prefix of each row with one."""
+    differ = rows != one
+    return np.where(differ.any(1), differ.argmax(1), rows.shape[1])
 
 
-def _verdicts(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Spans of repeated windows of the rows of whole cores, sorted by core and cls."""
-    core, cls = t.column("core").to_numpy(), t.column("cls").to_numpy()
-    n = len(core)
-    edge = np.r_[True, (core[1:] != core[:-1]) | (cls[1:] != cls[:-1])]
-    entry = np.cumsum(edge) - 1
+VERDICTS = pa.schema([("cls1", pa.int64()), ("cls2", pa.int64()), ("near", pa.int16()), ("far", pa.int16()), ("w1", pa.int64()), ("w2", pa.int64())])
+VERDICTS_DDL = "cls1 long, cls2 long, near short, far short, w1 long, w2 long"
+
+
+def _verdicts(t: pa.Table, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
+    """Of the entries of whole cores in suffix order, the runs of distances (near to far) at which their windows repeat; of those
+    whose core may go on in the range before (first) or after (last), also the windows that may repeat there, by hash."""
+    t = t.combine_chunks()
+    cols = {c: t.column(c).chunk(0) for c in t.column_names}
+    c1, c2, k1, k2 = (cols[c].to_numpy() for c in ("core1", "core2", "cls1", "cls2"))
+    before, left = _matrix(cols["before"])
+    after, rest = _matrix(cols["after"])
+    edge = np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]
     head = np.flatnonzero(edge)
-    times = np.diff(np.r_[head, n])
-    m = len(head)
-    ecore = core[head]
-    group = np.cumsum(np.r_[True, ecore[1:] != ecore[:-1]]) - 1
-    many = np.bincount(group)[group] > 1
-    left, least = t.column("left").to_numpy()[head].astype(np.int64), t.column("least").to_numpy()[head].astype(np.int64)
-    dup = np.zeros((m, STARTS), dtype=bool)
-    some = np.flatnonzero(many)
+    times = np.diff(np.r_[head, len(k1)])
+    again = np.add.reduceat(cols["again"].to_numpy(zero_copy_only=False).astype(np.int64), head) > 0
+    before, after, left, least = before[head], after[head], left[head], SIDE - rest[head]
+    c1, c2, k1, k2 = c1[head], c2[head], k1[head], k2[head]
+    group = np.cumsum(np.r_[True, (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])]) - 1
+    dup = np.zeros((len(head), STARTS), dtype=bool)
+    some = np.flatnonzero(np.bincount(group)[group] > 1)
     if len(some):
-        ctx_col = t.column("ctx")
-        has = np.flatnonzero(np.asarray(ctx_col.is_valid()))
-        where = np.zeros(m, dtype=np.int64)
-        where[entry[has]] = has
-        dup[some] = shared_windows(ecore[some].view(np.uint64), ctx_col.take(pa.array(where[some])).to_pylist(), left[some], least[some])
-    dup[times > 1] = True
+        dup[some] = shared_windows(group[some], before[some], after[some], left[some], least[some])
+    dup[(times > 1) | again] = True
     d = np.arange(STARTS)
-    dup &= (d >= least[:, None]) & (d <= left[:, None])
-    # runs of distances, as (entry, nearest, farthest)
-    pad = np.zeros((m, 1), dtype=bool)
-    up, down = np.nonzero(dup & ~np.concatenate([pad, dup[:, :-1]], axis=1)), np.nonzero(dup & ~np.concatenate([dup[:, 1:], pad], axis=1))
-    of, near, far = up[0], up[1], down[1]
-    runs = np.bincount(of, minlength=m)
-    at = np.r_[0, np.cumsum(runs)]
-    reps = runs[entry]
-    row = np.repeat(np.arange(n), reps)
-    run = np.repeat(at[entry] - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(int(reps.sum()))
-    start, trig = t.column("start").to_numpy(), t.column("left").to_numpy().astype(np.int64)
-    s = start[row] + trig[row] - far[run]
-    e = start[row] + trig[row] - near[run] + WINDOW
-    if len(row):
-        yield pa.RecordBatch.from_arrays([pa.array(t.column("kid").to_numpy()[row]), pa.array(t.column("h").to_numpy()[row]), pa.array(s), pa.array(e)], schema=SPANS)
+    own = (d >= least[:, None]) & (d <= left[:, None])
+    dup &= own
+    pad = np.zeros((len(head), 1), dtype=bool)
+    near, far = np.nonzero(dup & ~np.concatenate([pad, dup[:, :-1]], axis=1)), np.nonzero(dup & ~np.concatenate([dup[:, 1:], pad], axis=1))
+    if len(near[0]):
+        none = pa.nulls(len(near[0]), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(k1[near[0]]), pa.array(k2[near[0]]), pa.array(near[1].astype(np.int16)), pa.array(far[1].astype(np.int16)), none, none], schema=VERDICTS)
+    reach = np.full(len(head), -1, dtype=np.int64)
+    for there, whose, end in ((first, group == 0, 0), (last, group == group[-1], -1)):
+        if there:
+            reach[whose] = np.maximum(reach[whose], _common(before[whose], before[end]))
+    rows, at = np.nonzero(own & (d <= reach[:, None]))
+    settled = dup[rows, at]
+    for sure in (True, False):
+        # windows that repeat here already bear witness once, for those beyond; the others ask for one
+        seen: set[bytes] = set()
+        r, x = rows[settled == sure], at[settled == sure]
+        for k in range(0, len(r), 20_000):
+            i, j = r[k : k + 20_000], x[k : k + 20_000]
+            w = [xxhash.xxh3_128_digest(b"%d %d %d " % (c1[n], c2[n], m) + before[n, :m].tobytes() + after[n, : SIDE - m].tobytes()) for n, m in zip(i.tolist(), j.tolist())]
+            if sure:
+                w = [h for h in dict.fromkeys(w) if h not in seen]
+                seen.update(w)
+                i, j = i[: len(w)], j[: len(w)]
+            if w:
+                h = np.frombuffer(b"".join(w), dtype="<i8").reshape(-1, 2)
+                whose = [pa.nulls(len(w), pa.int64())] * 2 if sure else [pa.array(k1[i]), pa.array(k2[i])]
+                yield pa.RecordBatch.from_arrays([*whose, pa.array(j.astype(np.int16)), pa.array(j.astype(np.int16)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], schema=VERDICTS)
 
 
 def _by_core(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Gathers sorted rows up to CHUNK_ROWS and to the end of a core."""
+    """Gathers the sorted entries of a range up to CHUNK_ROWS and to the end of a core."""
     held: list[pa.RecordBatch] = []
-    n = 0
+    n, first = 0, True
     for b in parts:
         held.append(b)
         n += len(b)
         if n >= CHUNK_ROWS:
             t = pa.Table.from_batches(held)
-            core = t.column("core").to_numpy()
-            cut = int(np.searchsorted(core, core[-1], side="left"))
+            core = np.stack([t.column(c).to_numpy() for c in ("core1", "core2")])
+            cut = int(np.flatnonzero((core != core[:, -1:]).any(0)).max(initial=-1)) + 1
             if cut:
-                yield from _verdicts(t.slice(0, cut))
-                held, n = t.slice(cut).combine_chunks().to_batches(), len(t) - cut
+                yield from _verdicts(t.slice(0, cut), first, False)
+                first, held, n = False, t.slice(cut).combine_chunks().to_batches(), len(t) - cut
     if n:
-        yield from _verdicts(pa.Table.from_batches(held))
-
-
-def hot_cores(counts: DataFrame, rows_of, most: int) -> frozenset[int]:
-    """Cores of more than ``most`` (or a 100,000th of all) phrases of which more than ``most`` differ: 100,000 cores at most."""
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    least = max(most, total // 100_000)
-    often = [r["core"] for r in counts.where(F.col("count") > least).select("core").collect()]
-    if not often:
-        return frozenset()
-    kinds = rows_of(frozenset(often)).groupBy("core", "cls").count().groupBy("core").count().where(F.col("count") > most)
-    return frozenset(r["core"] for r in kinds.collect())
-
-
-def hot_spans(docs: DataFrame, shared, hot: frozenset[int]) -> DataFrame:
-    """Spans of repeated windows whose core is hot: each window is a row of its own, so that the counts of a passage's many
-    surroundings are dealt by the windows' hashes and combine before they move."""
-    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("kid", pa.int64()), ("h", pa.int64()), ("s", pa.int64())])
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        f = shared.value
-        for b in parts:
-            for kid, h, t in zip(column(b, "kid").to_pylist(), column(b, "h").to_pylist(), column(b, "text").to_pylist()):
-                raw = _raw(t)
-                if len(raw) < WINDOW:
-                    continue
-                trig, first, last = parse(raw)
-                cores = _cores(raw, trig).view(np.int64)
-                for k in np.flatnonzero(passes(f, cores)).tolist():
-                    if int(cores[k]) in hot:
-                        for i in range(int(first[k]), int(last[k]) + 1):
-                            d = xxhash.xxh3_128_digest(raw[i : i + WINDOW])
-                            yield int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), kid, h, i
-
-    rows = docs.mapInArrow(lambda it: batches(run(it), schema, 5000), "w1 long, w2 long, kid long, h long, s long")
-    again = rows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-    return rows.join(again, ["w1", "w2"]).select("kid", "h", "s", (F.col("s") + WINDOW).alias("e"))
+        yield from _verdicts(pa.Table.from_batches(held), first, True)
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("kid"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
 
 
-def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """kid, h (doc_id and text hash of a document) and its spans [s, e) of repeated windows, as an array of structs."""
     spark = docs.sparkSession
     d = keyed(docs, doc_id, text)
-    again = materialise(core_rows(d).groupBy("core").count().where("count > 1"), "cores")
+    again = materialise(core_rows(d).groupBy("core").count().where("count > 1").select("core"), "cores")
     n = again.count()
-    shared = spark.sparkContext.broadcast(make_filter(again.select("core"), n) if n else np.zeros((FILTER_PARTS, 128), dtype=np.uint8))  # of a fixed size at most
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    crowded = hot_cores(again, lambda some: phrase_rows(d, shared, some, True), hot)
-    rows = phrase_rows(d, shared, crowded).repartition(parts, "core").sortWithinPartitions("core", "cls")
-    found = rows.mapInArrow(_by_core, SPANS_DDL)
-    if crowded:
-        found = found.unionByName(hot_spans(d, shared, crowded))
-    return found.groupBy("kid", "h").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    shared = spark.sparkContext.broadcast(make_filter(again, n) if n else np.zeros((FILTER_PARTS, 128), dtype=np.uint8))  # of a fixed size at most
+    rows = materialise(phrase_rows(d, shared), "phrases")
+    order = ["core1", "core2", "before", "after"]
+    entries = rows.where("core1 is not null").select(*order, "cls1", "cls2", "again")
+    entries = entries.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    found = materialise(entries.mapInArrow(_by_core, VERDICTS_DDL), "verdicts")
+    edges = found.where("w1 is not null")
+    beyond = edges.where("cls1 is not null").join(edges.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"), ["w1", "w2"])
+    runs = found.where("w1 is null").select("cls1", "cls2", "near", "far").unionByName(beyond.select("cls1", "cls2", "near", "far"))
+    at = rows.where("kid is not null").select("cls1", "cls2", "kid", "h", "trig").join(runs, ["cls1", "cls2"])
+    at = at.select("kid", "h", F.struct((F.col("trig") - F.col("far")).alias("s"), (F.col("trig") - F.col("near") + WINDOW).alias("e")).alias("span"))
+    return at.groupBy("kid", "h").agg(F.collect_set("span").alias("spans"))
 
 
 def merge(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -355,21 +387,21 @@ def _merged(b: pa.RecordBatch) -> Iterator[list[tuple[int, int]]]:
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for b in parts:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in rows:
             for i, t, runs in zip(column(b, "doc_id").to_pylist(), column(b, "text").to_pylist(), _merged(b)):
                 raw = _raw(t)
                 yield i, len(raw), sum(e - s for s, e in runs), len(runs), hashlib.sha256(without(raw, runs)).hexdigest()
 
-    return _with_spans(docs, doc_id, text, hot=hot).mapInArrow(lambda it: batches(run(it), RESULT), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs, doc_id, text, parts=parts).mapInArrow(lambda it: batches(run(it), RESULT), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _with_spans(docs: DataFrame, doc_id: str, text: str, *more: str, hot: int = HOT) -> DataFrame:
+def _with_spans(docs: DataFrame, doc_id: str, text: str, *more: str, parts: int | None = None) -> DataFrame:
     """doc_id, text, the columns more as one (rest), whose names may then be any, and the spans."""
-    found = spans(docs, doc_id, text, hot)
+    found = spans(docs, doc_id, text, parts)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(F.lit(0), *more).alias("rest"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("kid"), F.xxhash64(F.col(text)).alias("h"))
     return d.join(found, ["kid", "h"], "left")
 
