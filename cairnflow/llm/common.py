@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -80,6 +81,7 @@ def store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+_C = ctypes.CDLL(None)  # glibc can give freed memory back
 _HELD: dict[str, Callable[[], None]] = {}
 _OWNER = ""
 
@@ -98,6 +100,8 @@ def claim(name: str) -> None:
                 clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        if hasattr(_C, "malloc_trim"):
+            _C.malloc_trim(0)
         _OWNER = name
 
 

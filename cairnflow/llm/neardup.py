@@ -20,7 +20,7 @@ So the result is that of comparing all pairs that share a bucket.  With 32 bands
 
 Scale: texts are read for sets alone, and only those of candidates move, in 64-bit hashes; buckets and shingles are counted with
 map-side combining, joined by key and split by AQE when hot; links and components stay in the shared folder.  A worker turns
-texts into hashes a megabyte (or one text) at a time.
+texts into hashes half a megabyte (or one text) at a time.
 
 Defined results: a null text, or one without words, has an empty set, is linked with nothing and is kept.  Rows of equal doc_id
 are one document with several sets.  A null doc_id is linked with nothing; its component is null and it is kept.  An empty
@@ -48,7 +48,7 @@ BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 PERCENT = 85
 MASK_LONGS = 16
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
 _ATTEMPTS = 4096
@@ -125,7 +125,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def _parts(b: pa.RecordBatch, words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """The sets of a batch's texts, as (first row, sets of it and the next rows), about a megabyte of text at a time."""
+    """The sets of a batch's texts, as (first row, sets of it and the next rows), about half a megabyte of text at a time."""
     t = pc.fill_null(column(b, "text"), "")
     t = t.combine_chunks() if isinstance(t, pa.ChunkedArray) else t
     kind = np.int64 if pa.types.is_large_string(t.type) else np.int32

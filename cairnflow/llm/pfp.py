@@ -51,7 +51,7 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _R = np.uint64(0x2127599BF4325C37 | 1)
 CHUNK_ROWS = 100_000
 #: Entries, and bytes of their sides, that a task holds back to find those that occur again.
-HELD_ENTRIES, HELD_BYTES = 100_000, 24_000_000
+HELD_ENTRIES, HELD_BYTES = 50_000, 12_000_000
 
 
 def parse(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,7 +159,7 @@ class _Entries:
         self.rows: dict[bytes, list] = {}
         self.size = 0
 
-    def meet(self, number: bytes, core: np.ndarray, ctx: bytes, left: int) -> None:
+    def meet(self, number: bytes, core: bytes, ctx: bytes, left: int) -> None:
         row = self.rows.get(number)
         if row is None:
             self.rows[number] = [core, ctx[:left][::-1], ctx[left + CORE :], False]
@@ -176,7 +176,7 @@ class _Entries:
         for k in range(0, len(rows), 5000):
             part = rows[k : k + 5000]
             cls = np.frombuffer(b"".join(numbers[k : k + 5000]), dtype="<i8").reshape(-1, 2)
-            core = np.stack([r[0] for r in part])
+            core = np.frombuffer(b"".join(r[0] for r in part), dtype="<i8").reshape(-1, 2)
             none = pa.nulls(len(part), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(cls[:, 0].copy()), pa.array(cls[:, 1].copy()), none, none, none, pa.array(core[:, 0].copy()), pa.array(core[:, 1].copy()), pa.array([r[1] for r in part], pa.binary()), pa.array([r[2] for r in part], pa.binary()), pa.array([r[3] for r in part])], schema=PHRASES)
 
@@ -203,7 +203,7 @@ def phrase_rows(docs: DataFrame, shared) -> DataFrame:
                 for k, t0, i, j in zip(ok.tolist(), trig[ok].tolist(), first[ok].tolist(), last[ok].tolist()):
                     ctx = raw[i : j + WINDOW]
                     numbers.append(digest(ctx, t0 - i << 8 | t0 - j))
-                    entries.meet(numbers[-1], cores[k], ctx, t0 - i)
+                    entries.meet(numbers[-1], cores[k].tobytes(), ctx, t0 - i)
                     if entries.full():
                         yield from entries.give()
                 found.append((np.frombuffer(b"".join(numbers), dtype="<i8").reshape(-1, 2), kid, h, trig[ok]))

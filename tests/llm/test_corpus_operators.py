@@ -195,7 +195,7 @@ def test_suffix_dedup_gives_entries_away(spark, docs, texts, monkeypatch):
         e = pfp._Entries()
         monkeypatch.setattr(pfp, "HELD_ENTRIES", most)
         for k in (1, 2, 1, 3, 4, 4):
-            e.meet(bytes([k]) * 16, np.array([k, k]), b"x" * 250, 10)
+            e.meet(bytes([k]) * 16, bytes([k]) * 16, b"x" * 250, 10)
             if e.full():
                 found += [b.num_rows for b in e.give()]
         found += [b.num_rows for b in e.give()]
