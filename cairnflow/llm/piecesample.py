@@ -37,7 +37,7 @@ from .ordermin import mix
 from .wordbpe import default_path
 
 ALPHA, BYTE_COST, SEED = 1.0, 12.0, 0
-SHORT, BATCH_CHARS = 24, 6_000_000
+SHORT, BATCH_CHARS = 24, 4_000_000
 #: Greatest lengths of units that are filtered together, and how many at a time.
 WIDTHS, PART = (4, 6, 8, 10, 12, 16, SHORT), 3_000
 _UNITS = re.compile(r" +[^ \n]*|\n|[^ \n]+")
