@@ -6,6 +6,9 @@ Turkish letters are translated before lower(), since lower('İ') gives two chara
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,10 +106,47 @@ def longest_repeat(toks: Column) -> Column:
     return F.aggregate(toks, start, step, lambda a: F.struct(a["run"], a["token"]))
 
 
+def repeat_run(text: Column, toks: Column, least: int) -> Column:
+    """longest_repeat of the tokens, compared without case, marks and signs, where a run has at least ``least``; else null.  A
+    back-reference over the text finds whether there is one, so that few texts have their tokens folded one by one."""
+    key = lambda w: F.coalesce(F.nullif(F.translate(quality_text(w), " ", ""), F.lit("")), F.lower(w))
+    low = F.lower(F.translate(text, "İI", "ii"))
+    stripped = F.regexp_replace(F.regexp_replace(F.translate(low, MARKED, PLAIN), r"\s+", "\n"), r"[^\p{L}\p{N}_\n]+", "")
+    some = stripped.rlike(rf"(?:^|\n)([^\n]*+)(?:\n\1(?=\n|\z)){{{least - 1}}}")
+    pairs = F.transform(toks, lambda w: F.struct(key(w).alias("key"), w.alias("token")))
+    start = F.struct(F.lit("").alias("prev"), F.lit(0).alias("cur"), F.lit("").alias("first"), F.lit(0).alias("run"), F.lit("").alias("token"))
+
+    def step(a: Column, x: Column) -> Column:
+        same = x["key"] == a["prev"]
+        cur = F.when(same, a["cur"] + 1).otherwise(1)
+        first = F.when(same, a["first"]).otherwise(x["token"])
+        more = cur > a["run"]
+        return F.struct(x["key"].alias("prev"), cur.alias("cur"), first.alias("first"), F.when(more, cur).otherwise(a["run"]).alias("run"), F.when(more, first).otherwise(a["token"]).alias("token"))
+
+    return F.when(some, F.aggregate(pairs, start, step, lambda a: F.struct(a["run"], a["token"])))
+
+
+def longest_over(text: Column, toks: Column, most: int) -> Column:
+    """The length of the longest token where one is longer than ``most``; else null."""
+    return F.when(text.rlike(rf"\S{{{most + 1}}}"), F.aggregate(toks, F.lit(0), lambda a, w: F.greatest(a, F.length(w))))
+
+
+def quality_key(text: str) -> str:
+    """quality_text of a constant."""
+    low = "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c)).replace("ı", "i")
+    return " ".join(re.sub(r"[^\w\s]", " ", low).split())
+
+
+def holds_any(c: Column, phrases: tuple[str, ...]) -> Column:
+    """The first of phrases that a quality_text holds, folded alike; null if none."""
+    return F.coalesce(*[F.when(c.contains(quality_key(p)), F.lit(p)) for p in phrases])
+
+
 def foreign_script(c: Column | str) -> Column:
     """The first of SCRIPTS that has a letter in the text, lower case; null if none has."""
     t = _text(c)
-    return F.coalesce(*[F.when(t.rlike(rf"\p{{Is{s}}}"), s.lower()) for s in SCRIPTS])
+    some = t.rlike("[" + "".join(rf"\p{{Is{s}}}" for s in SCRIPTS) + "]")  # one pass for the many texts that have none
+    return F.when(some, F.coalesce(*[F.when(t.rlike(rf"\p{{Is{s}}}"), s.lower()) for s in SCRIPTS]))
 
 
 def dominant_script(c: Column | str) -> Column:
@@ -117,11 +157,6 @@ def dominant_script(c: Column | str) -> Column:
     return F.when(top["n"] > 0, top["s"]).otherwise("latin")
 
 
-def contains_any(c: Column, patterns: tuple[str, ...]) -> Column:
-    """The first of patterns that the text holds; null if none."""
-    return F.coalesce(*[F.when(c.contains(p), F.lit(p)) for p in patterns])
-
-
 def sentences(c: Column | str, least: int = 25) -> Column:
     """Sentences of at least so many characters, runs of space one."""
     parts = F.split(F.translate(_text(c), "\n", " "), r"(?<=[.!?…])\s+")

@@ -15,10 +15,44 @@ from ..functions.similarity import name_close, name_match
 # Heads of roles in credits, folded.
 HEADS = {"director": ["yonetmen", "yoneten", "director", "directed by"], "producer": ["yapimci", "producer", "produced by"], "cast": ["oyuncular", "cast", "starring"]}
 GUEST_HEADS = ["konuk oyuncular", "guest stars", "konuklar"]
-# Words that no person's name holds, folded.
-NOT_NAMES = ["film", "studio", "production", "yapim", "company", "ltd", "a s", "tv", "presents", "music", "camera"]
-# Endings of sentences rather than names, folded, and role words that garbled ones are compared with.
-VERB_ENDS, ROLE_WORDS = ["maktadir", "mistir", "yor", "acak"], ["yonetmen", "yapimci", "oyuncular", "senaryo"]
+# Words of firms, bodies, roles and labels that no person's name holds, folded.
+NOT_PERSONS = (
+    "film", "films", "filmi", "filmleri", "production", "productions", "prod", "pictures", "picture", "studio", "studios", "media", "entertainment",
+    "company", "co", "inc", "ltd", "llc", "gmbh", "srl", "tv", "yapim", "yapimi", "yapimevi", "yapimlari", "kuvvetleri", "silahli", "ordu", "ordusu",
+    "kurumu", "vakfi", "dernegi", "bakanligi", "genel", "mudurlugu", "presents", "present", "sunar", "starring", "cast", "the", "and", "ile", "feat",
+    "international", "group", "team", "bros", "brothers", "sons", "enterprises", "enterprise", "corp", "corporation", "limited", "distribution",
+    "releasing", "classics", "animation", "filmworks", "worldwide", "global", "networks", "network", "channel", "broadcasting", "partners",
+    "associates", "foundation", "fondation", "fondazione", "stiftung", "agency", "agence", "association", "associazione", "guild", "union",
+    "syndicate", "syndicat", "society", "societe", "societa", "institute", "institut", "instituto", "federation", "council", "conseil", "committee",
+    "comite", "ministry", "ministere", "ministerio", "authority", "government", "gouvernement", "cinema", "cinematografica", "filmes",
+    "filmproduktion", "produzione", "produktion", "telewizja", "presente", "presenta", "records", "rights", "reserved", "director", "directed",
+    "producer", "produced", "executive", "associate", "yonetmen", "yapimci", "yoneten", "rejisor", "sunan", "anlatan", "music", "performed", "mixed",
+    "visual", "effects", "effect", "licensing", "license", "von", "der", "die",
+)
+# Words of sentences, disclaimers and departments that no person's name holds, folded.
+NOT_NAMES = (
+    "por", "the", "del", "della", "con", "apoyo", "subvencionada", "presenta", "presents", "presente", "avec", "mit", "und", "von", "par", "fund",
+    "fondo", "support", "courtesy", "arrangement", "association", "produced", "directed", "production", "produccion", "pelicula", "film", "films",
+    "colaboracion", "gracias", "thanks", "tarafindan", "destek", "katki", "sunar", "ile", "tarafından", "yapim", "yapimi", "music", "starring",
+    "cast", "story", "screenplay", "written", "based", "company", "pictures", "studio", "media", "entertainment", "all", "rights", "performed",
+    "mixed", "visual", "effects", "effect", "licensing", "license", "records", "direktoru", "direktor", "yonetmeni", "yonetmen", "menajerlik",
+    "menajer", "ajans", "ajansi", "ekibi", "amiri", "sefi", "sorumlusu", "operatoru", "koordinator", "kordinator", "muhendis", "teknisyen",
+    "asistani", "yardimcisi", "supervisor", "coordinator", "manager", "designer", "casting", "editor", "mixer", "gaffer", "grip", "efekt", "asst",
+)
+# Particles of family names, which let a name have five or six words.
+FAMILY_PARTICLES = ("de", "la", "le", "van", "von", "di", "del", "da", "dos", "el", "al", "bin", "der", "den")
+# Endings of sentences rather than names, words of roles and bodies, and role words that garbled ones are compared with; all folded.
+VERB_ENDS = ("digi", "dugu", "digini", "erken", "erek", "mekte", "makta", "tigi", "tugu", "mistir", "mustur")
+ROLE_TOKENS = (
+    "kuvvetleri", "silahli", "mustereken", "cevirdigi", "cevirme", "tarafindan", "ordu", "ordusu", "designer", "director", "producer", "editor",
+    "operator", "senators", "senator", "chorus", "iorus", "makeup", "maksup", "basigner", "filmi", "filmhi", "sanak", "piimim", "somr", "arsuanl",
+    "theban", "produced", "directed", "screenplay", "camera", "music", "sound", "costume", "company", "studio", "pictures", "presents", "starring",
+    "performed", "mixed", "engineered", "arranged", "recorded", "mastered", "composed", "conducted", "orchestrated", "courtesy", "licensing",
+    "records", "soundtrack", "services", "productions", "entertainment", "studios", "rights", "reserved", "coordinator", "security", "catering",
+    "wrangler", "gaffer", "transportation", "transport", "department", "facilities", "standby", "accountant", "publicist", "casting", "wardrobe",
+    "stunts", "rerecording", "supervising", "visual", "effects", "colorist", "colourist", "dubbing", "distributed", "distribution",
+)
+ROLE_WORDS = ("designer", "director", "producer", "editor", "operator", "cameraman", "supervisor", "assistant", "composer")
 
 
 def _w(by: str, pos: str):
@@ -26,12 +60,14 @@ def _w(by: str, pos: str):
 
 
 def valid_person(name: Column) -> Column:
-    """Two to six tokens of letters, of which two have two letters or more, none a word that isn't a name's."""
+    """At least two tokens of two letters or more, or one beside initials alone; at most four tokens, or six with a family
+    particle or initials alone; no digit or sign of a list, no word that isn't a name's, nothing garbled."""
     t = T.tokens(T.ascii_fold(name))
     real = F.size(F.filter(t, lambda x: F.length(x) >= 2))
-    initials = (real == 1) & (F.size(t) > 1)
-    ok = ~name.rlike(r"[<>|/\\@&\d]") & (F.size(t) <= 6) & (initials | (real >= 2)) & ((F.size(t) <= 4) | initials)
-    return F.coalesce(ok & ~F.arrays_overlap(t, F.array(*[F.lit(w) for w in NOT_NAMES])) & garbled(name).isNull(), F.lit(False))
+    initials = (real == 1) & (F.size(t) > 1) & ~F.exists(t, lambda x: (F.length(x) == 1) & ~x.rlike("[a-z]"))
+    has = lambda words: F.arrays_overlap(t, F.array(*[F.lit(w) for w in words]))
+    size = (F.size(t) <= 6) & (initials | (real >= 2)) & ((F.size(t) <= 4) | initials | has(FAMILY_PARTICLES))
+    return F.coalesce(size & ~name.rlike(r"[<>|/\\@&\p{N}]") & ~has(NOT_PERSONS) & ~has(NOT_NAMES) & garbled(name).isNull(), F.lit(False))
 
 
 def noise(line: Column) -> Column:
@@ -42,10 +78,13 @@ def noise(line: Column) -> Column:
 
 def garbled(name: Column) -> Column:
     """Why a name can't be one; null if it may."""
-    t = T.tokens(T.ascii_fold(name))
+    t = T.tokens(F.regexp_replace(T.ascii_fold(name), "[^a-z]+", " "))
     verb = F.exists(t, lambda x: (F.length(x) > 5) & x.rlike("(?:" + "|".join(VERB_ENDS) + ")$"))
-    near = F.exists(t, lambda x: (F.length(x) >= 6) & F.coalesce(*[F.when(F.levenshtein(x, F.lit(r)).between(1, 2), True) for r in ROLE_WORDS], F.lit(False)))
-    return F.when(verb, "sentence").when(near, "role word")
+    role = F.arrays_overlap(t, F.array(*[F.lit(w) for w in ROLE_TOKENS]))
+    # tokens whose length lets them be near one of the role words
+    least, most = min(map(len, ROLE_WORDS)) - 2, max(map(len, ROLE_WORDS)) + 2
+    near = F.exists(t, lambda x: (F.length(x) >= max(6, least)) & (F.length(x) <= most) & F.coalesce(*[F.when(F.levenshtein(x, F.lit(r), 2).between(1, 2), True) for r in ROLE_WORDS], F.lit(False)))
+    return F.when(verb, "sentence").when(role, "role").when(near, "role word")
 
 
 def without_boilerplate(lines: DataFrame, line: str, phrases: list[str]) -> DataFrame:
@@ -195,12 +234,64 @@ def genre_class(*values: Column) -> Column:
 
 
 def lexicon_replace(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """Whole words replaced by their canonical form, in the order of the rules."""
+    """Whole words replaced by their canonical form, in the order of the rules; letters of any script belong to a word."""
     for word, canonical in rules:
-        text = F.regexp_replace(text, rf"(?<!\w)(?i:{word})(?!\w)", canonical)
+        text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}_])(?i:{word})(?![\p{{L}}\p{{N}}_])", canonical)
     return text
 
 
+# Words of Arabic dialects and their standard forms, in the order they are replaced.
+DIALECTS = {
+    "levantine": (
+        ("هلأ", "الآن"), ("هلاء", "الآن"), ("هلق", "الآن"), ("هلا", "الآن"), ("ليش", "لماذا"), ("شو", "ماذا"), ("بدنا", "نريد أن"), ("بدي", "أريد أن"), ("بدك", "تريد أن"),
+        ("بدو", "يريد أن"), ("بدها", "تريد أن"), ("بدهم", "يريدون أن"), ("بد", "يجب أن"), ("نروح", "نذهب"), ("تروح", "تذهب"), ("يروح", "يذهب"), ("روح", "اذهب"), ("كتير", "كثيرا"), ("مو", "ليس"), ("هون", "هنا"), ("هونيك", "هناك"),
+    ),
+    "egyptian": (("دلوقتي", "الآن"), ("ايه", "ماذا"), ("إيه", "ماذا"), ("ليه", "لماذا"), ("عايز", "أريد أن"), ("عاوز", "أريد أن"), ("مش", "ليس"), ("أوي", "كثيرا")),
+    "gulf": (("الحين", "الآن"), ("وش", "ماذا"), ("شلون", "كيف"), ("أبي", "أريد أن"), ("ابغى", "أريد أن"), ("أبغى", "أريد أن"), ("وايد", "كثيرا"), ("واجد", "كثيرا"), ("وين", "أين")),
+    "maghrebi": (("دابا", "الآن"), ("شنو", "ماذا"), ("واش", "هل"), ("علاش", "لماذا"), ("بزاف", "كثيرا"), ("بغيت", "أريد أن"), ("برشا", "كثيرا")),
+}
+# Phrases of one dialect that are replaced before its words, and what stands before a verb's first letter.
+LEVANTINE_PHRASES = (("لعندي على البيت", "إلى بيتي"), ("لعندي عالبيت", "إلى بيتي"), ("عندي على البيت", "إلى بيتي"), ("عندي عالبيت", "إلى بيتي"), ("على البيت", "إلى البيت"), ("عالبيت", "إلى البيت"))
+LEVANTINE_MUST, MUST, LEVANTINE_LAST = ("بد", "ن"), "يجب أن ", ("أنا لماذا يجب أن ن", "لماذا يجب أن ن")
+# Words of the dialects and their weights; the first dialect wins a tie.
+DIALECT_MARKERS = {
+    "levantine": [("هلأ", 3), ("هلق", 3), ("هلاء", 3), ("ليش", 2), ("شو", 2), ("بدي", 2), ("بدنا", 2), ("بدك", 2), ("بد", 2), ("كتير", 1), ("مو", 1), ("هون", 1), ("هونيك", 1), ("عالبيت", 2)],
+    "egyptian": [("دلوقتي", 3), ("عايز", 3), ("عاوز", 3), ("ايه", 2), ("إيه", 2), ("ليه", 1), ("أوي", 1), ("مش", 1)],
+    "gulf": [("الحين", 3), ("وش", 2), ("شلون", 2), ("أبي", 2), ("ابغى", 2), ("أبغى", 2), ("وايد", 1), ("واجد", 1), ("وين", 1)],
+    "maghrebi": [("دابا", 3), ("شنو", 2), ("واش", 2), ("علاش", 2), ("بزاف", 2), ("بغيت", 2), ("برشا", 1)],
+}
+_ARABIC = r"\x{0600}-\x{06ff}\x{0750}-\x{077f}\x{08a0}-\x{08ff}\x{fb50}-\x{fdff}\x{fe70}-\x{feff}"
+
+
+def _arabic_word(word: str) -> str:
+    return rf"(?<![{_ARABIC}]){word}(?![{_ARABIC}])"
+
+
+def dialect(text: Column) -> Column:
+    """The Arabic dialect whose markers weigh most, without vowel signs; standard where none is found."""
+    plain = F.regexp_replace(text, r"[\x{064b}-\x{065f}\x{0670}]", "")
+    score = lambda markers: sum((F.when(plain.rlike(_arabic_word(w)), n).otherwise(0) for w, n in markers), F.lit(0))
+    top = F.array_max(F.array(*[F.struct(score(m).alias("s"), F.lit(-k).alias("k"), F.lit(v).alias("v")) for k, (v, m) in enumerate(DIALECT_MARKERS.items())]))
+    return F.when(top["s"] > 0, top["v"]).otherwise("standard")
+
+
+def standard_arabic(text: Column, variant: Column) -> Column:
+    """A text of a dialect with its words in standard form; of any other variant as it is."""
+    out = text
+    for name, words in DIALECTS.items():
+        t = text
+        if name == "levantine":
+            for phrase, form in LEVANTINE_PHRASES:
+                t = F.replace(t, F.lit(phrase), F.lit(form))
+            t = F.regexp_replace(t, rf"{_arabic_word(LEVANTINE_MUST[0])}\s+(?={LEVANTINE_MUST[1]})", MUST)
+        for word, form in words:
+            t = F.regexp_replace(t, _arabic_word(word), form)
+        if name == "levantine":
+            t = F.replace(t, *map(F.lit, LEVANTINE_LAST))
+        out = F.when(variant == name, t).otherwise(out)
+    return out
+
+
 def variant_scores(text: Column, markers: dict[str, list[tuple[str, int]]], default: str) -> Column:
     """The variant whose markers weigh most in a text, the first of equals; default where none is found."""
     score = lambda m: sum((F.when(text.rlike(rf"(?<!\p{{L}}){w}(?!\p{{L}})"), n).otherwise(0) for w, n in m), F.lit(0))

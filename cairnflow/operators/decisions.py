@@ -9,8 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# Phrases that transcribers make up.
-STOCK_PHRASES = ("altyazi", "abone olun", "subscribe to", "thanks for watching", "like and subscribe", "thank you", "subtitles by", "captions by", "translated by")
+# Phrases that transcribers make up, in the order they are tested.
+STOCK_PHRASES = (
+    "izlediğiniz için teşekkür ederim", "altyazı m.k.", "altyazı:", "abone olmayı", "abone olun", "yorum yapmayı", "beğen butonuna", "beğen butonuna tıklamayı",
+    "bildirim zilini", "kanalımıza abone", "videoyu beğenmeyi", "altyazı m k", "subscribe to", "thanks for watching", "like and subscribe", "thank you",
+    "thank you so much", "thank you for watching", "thanks again", "transcript emily beynon", "emily beynon", "subtitles by", "subtitled by", "subs by",
+    "captions by", "captioned by", "translated by", "translation by", "amara org", "english subtitles", "altyazı çevirisi",
+)
+# Short phrases of other languages that pass as the main one, in the order they are tested.
+FOREIGN_PHRASES, FOREIGN_WORDS = ("and i m", "caralho faul", "caralho fauri", "i got time", "je ne sais pas", "merci", "tall guy", "tchau lugar"), 5
 # Confidence that a screen text of each type needs, and what other types need.
 TYPE_FLOORS, OTHER_FLOOR = {"scroll_credit": 0.50, "card": 0.75, "intertitle": 0.75, "kj": 0.85, "scene_text": 0.90}, 0.50
 
@@ -37,27 +44,37 @@ class SegmentRules:
     languages: tuple[str, ...] = ("tr", "en")
     repeat_run: int = 20
     longest: int = 80
+    drop_stock: bool = True
+    drop_scripts: bool = True
+    drop_phrases: bool = True
+    drop_repeats: bool = True
 
 
 def judge_segments(rows: DataFrame, rules: SegmentRules = SegmentRules()) -> DataFrame:
-    """keep, drop_reason and flags of segments (text, no_speech, logprob, language)."""
+    """keep, drop_reason and flags of segments (text, no_speech, logprob, language): the first rule that holds drops one, and names its
+    flag; what is kept is flagged by its signals."""
     t = F.trim(F.coalesce("text", F.lit("")))
     r = rows.withColumns({"_w": T.words(t), "_q": T.quality_text(t)})
-    r = r.withColumns({"_run": T.longest_repeat(F.transform("_w", lambda w: F.lower(w))), "_n": F.size("_w"), "_long": F.aggregate("_w", F.lit(0), lambda a, w: F.greatest(a, F.length(w))), "_script": T.foreign_script(t), "_stock": T.contains_any(F.col("_q"), STOCK_PHRASES)})
+    r = r.withColumns({"_run": T.repeat_run(t, F.col("_w"), rules.repeat_run), "_n": F.size("_w"), "_long": T.longest_over(t, F.col("_w"), rules.longest), "_script": T.foreign_script(t), "_stock": T.holds_any(F.col("_q"), STOCK_PHRASES)})
+    r = r.withColumn("_phrase", F.when(F.size(T.words("_q")) <= FOREIGN_WORDS, T.holds_any(F.col("_q"), FOREIGN_PHRASES)))
     native = F.col("language").isNull() | (F.col("language") == "tr")
-    drop = first_reason(
-        (~t.rlike(r"[\p{L}\p{N}]"), "no_alnum"),
-        (F.col("_stock").isNotNull(), F.concat(F.lit("stock_artifact:"), "_stock")),
-        (native & F.col("_script").isNotNull(), F.concat(F.lit("foreign_script_artifact:"), "_script")),
-        ((F.col("_n") >= rules.repeat_run) & (F.col("_run.run") >= rules.repeat_run), F.concat(F.lit("repetition_collapse:"), "_run.token", F.lit(":run="), F.col("_run.run").cast("string"))),
-        (F.col("_long") > rules.longest, F.concat(F.lit("long_token_artifact:length="), F.col("_long").cast("string"))),
-        ((F.col("logprob") < rules.logprob_short) & (F.col("_n") <= rules.short_tokens), "very_low_logprob_short_text"),
-        ((F.col("no_speech") > rules.no_speech_hard) & (F.col("logprob") < rules.logprob_hard) & (F.col("_n") < rules.min_tokens), "multi_signal_low_quality"),
+    on = lambda switch, c: c if switch else F.lit(False)
+    drops = (
+        (~t.rlike(r"[\p{L}\p{N}]"), "no_alnum", None),
+        (on(rules.drop_stock, F.col("_stock").isNotNull()), F.concat(F.lit("stock_artifact:"), "_stock"), "stock_artifact"),
+        (on(rules.drop_scripts, native & F.col("_script").isNotNull()), F.concat(F.lit("foreign_script_artifact:"), "_script"), "foreign_script_artifact"),
+        (on(rules.drop_phrases, native & F.col("_phrase").isNotNull()), F.concat(F.lit("short_foreign_phrase_artifact:"), "_phrase"), "foreign_phrase_artifact"),
+        (on(rules.drop_repeats, F.coalesce(F.col("_run.run") >= rules.repeat_run, F.lit(False))), F.concat(F.lit("repetition_collapse:"), "_run.token", F.lit(":run="), F.col("_run.run").cast("string")), "repetition_collapse"),
+        (F.col("_long").isNotNull(), F.concat(F.lit("long_token_artifact:length="), F.col("_long").cast("string")), "long_token_artifact"),
+        ((F.col("logprob") < rules.logprob_short) & (F.col("_n") <= rules.short_tokens), "very_low_logprob_short_text", "very_low_logprob"),
+        ((F.col("no_speech") > rules.no_speech_hard) & (F.col("logprob") < rules.logprob_hard) & (F.col("_n") < rules.min_tokens), "multi_signal_low_quality", None),
     )
-    f = flags((F.col("no_speech") > rules.no_speech_flag, "high_no_speech_prob"), (F.col("logprob") < rules.logprob_flag, "low_logprob"), (F.col("language").isNotNull() & ~F.col("language").isin(*rules.languages), "unexpected_language"))
+    f = flags((F.col("_stock").isNotNull() if not rules.drop_stock else F.lit(False), "stock_artifact"), (F.col("no_speech") > rules.no_speech_flag, "high_no_speech_prob"), (F.col("logprob") < rules.logprob_flag, "low_logprob"), (F.col("language").isNotNull() & ~F.col("language").isin(*rules.languages), "unexpected_language"))
     f = F.when(F.size(f) > 0, F.concat(f, F.array(F.lit("low_confidence")))).otherwise(f)
-    r = r.withColumn("drop_reason", drop).withColumn("keep", F.col("drop_reason").isNull())
-    return r.withColumn("flags", F.when(F.col("keep"), f).otherwise(F.array().cast("array<string>"))).drop("_w", "_q", "_run", "_n", "_long", "_script", "_stock")
+    none = F.array().cast("array<string>")
+    why = F.coalesce(*[F.when(c, F.array(F.lit(n)) if n else none) for c, _, n in drops])
+    r = r.withColumn("drop_reason", first_reason(*[(c, reason) for c, reason, _ in drops])).withColumn("keep", F.col("drop_reason").isNull())
+    return r.withColumn("flags", F.when(F.col("keep"), f).otherwise(why)).drop("_w", "_q", "_run", "_n", "_long", "_script", "_stock", "_phrase")
 
 
 def result_safety(run: Column, token: Column, longest: Column, words: Column, seconds: Column, expected_end: Column, last_end: Column, max_run: int = 20, max_token: int = 80, max_rate: float = 5.0, max_tail: float = 3.0, max_tail_ratio: float = 0.25) -> Column:
@@ -67,10 +84,10 @@ def result_safety(run: Column, token: Column, longest: Column, words: Column, se
     allowed = F.when(want > 0, F.least(F.lit(max_tail), want * 0.15)).otherwise(max_tail)
     rate = words / seconds
     return first_reason(
-        (run >= max_run, F.concat(F.lit("repetition_collapse:"), token)),
+        (run >= max_run, F.concat(F.lit("repetition_collapse:"), token, F.lit(":run="), run.cast("string"))),
         (longest > max_token, F.concat(F.lit("long_token_artifact:length="), longest.cast("string"))),
-        ((seconds > 0) & (rate > max_rate), F.lit("word_density_anomaly")),
-        (expected_end.isNotNull() & (tail >= allowed) & F.when(want > 0, tail / want >= max_tail_ratio).otherwise(False), F.lit("tail_gap_uncovered")),
+        ((seconds > 0) & (rate > max_rate), F.format_string("word_density_anomaly:wps=%.2f", rate)),
+        (expected_end.isNotNull() & (tail >= allowed) & F.when(want > 0, tail / want >= max_tail_ratio).otherwise(False), F.format_string("tail_gap_uncovered:gap=%.2fs", tail.cast("double"))),
     )
 
 

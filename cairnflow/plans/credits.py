@@ -136,11 +136,11 @@ def genre_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-SELECT conv_id, turn, sha256(regexp_replace(text, '\bthe\b', 'THE', 'g')) AS text FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7f]')""")
+WITH t AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '(^|[^\p{L}\p{N}_])the([^\p{L}\p{N}_]|$)', '\1THE\2', 'g'), '(^|[^\p{L}\p{N}_])the([^\p{L}\p{N}_]|$)', '\1THE\2', 'g') AS text FROM conversations)
+SELECT conv_id, turn, sha256(text) AS text FROM t""")
 def lexicon_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Whole words replaced by their canonical form."""
-    c = read(spark, d, "conversations").where(~F.col("text").rlike(r"[^\x00-\x7f]"))
-    return c.select("conv_id", "turn", F.sha2(F.encode(C.lexicon_replace(F.col("text"), [("(?-i:the)", "THE")]), "utf-8"), 256).alias("text"))
+    """Whole words replaced by their canonical form."""
+    return read(spark, d, "conversations").select("conv_id", "turn", F.sha2(F.encode(C.lexicon_replace(F.col("text"), [("(?-i:the)", "THE")]), "utf-8"), 256).alias("text"))
 
 
 @query()

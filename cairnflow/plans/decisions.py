@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..catalogue import query
+from ..functions.text import quality_key
 from ..operators import decisions as D
 from .relational import read
 
@@ -60,7 +61,7 @@ def output_quality(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT event_id, CASE WHEN value / 100 <= 0.3 THEN 'keep' WHEN event_id % 3 <> 0 THEN 'review' WHEN event_id % 40 > 30 THEN 'review' WHEN (event_id % 10) / 10.0 >= (event_id % 7) / 10.0 + 0.1 THEN 'swap' ELSE 'review' END AS decision FROM events""")
 def swap_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """Keep, swap or review by ordered rules."""
+    """C17: keep, swap or review by ordered rules."""
     i = F.col("event_id")
     c = D.swap_decision(F.col("value") / 100, i % 3 == 0, i % 40, i % 7 / 10.0, i % 10 / 10.0, 0.3, 30, 0.1)
     return read(spark, d, "events").select("event_id", c.alias("decision"))
@@ -149,7 +150,24 @@ def timeline_validation(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.array_join(schemas.timeline_errors(), ",").alias("errors"))
 
 
-@query()
+_PLAIN = "replace(strip_accents(lower(replace(replace(@, 'İ', 'i'), 'I', 'i'))), 'ı', 'i')"
+
+
+def _holds(phrases: tuple[str, ...], text: str) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{quality_key(p)}')" for p in phrases) + ")"
+
+
+@query(rf"""
+WITH s AS (SELECT doc_id, trim(coalesce(text, '')) AS t, (doc_id % 10) / 10.0 AS ns, -(doc_id % 14) / 10.0 AS lp, CASE WHEN lang = 'en' THEN 'en' ELSE 'tr' END AS language FROM documents),
+q AS (SELECT *, trim(regexp_replace(regexp_replace({_PLAIN.replace('@', 't')}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS q, list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '') AS w FROM s),
+k AS (SELECT *, list_transform(w, lambda x: coalesce(nullif(regexp_replace({_PLAIN.replace('@', 'x')}, '[^\p{{L}}\p{{N}}_]', '', 'g'), ''), lower(x))) AS k FROM q),
+r AS (SELECT doc_id, ns, lp, language, CASE WHEN NOT regexp_matches(t, '[\p{{L}}\p{{N}}]') THEN 'no_alnum' WHEN {_holds(D.STOCK_PHRASES, 'q')} THEN 'stock_artifact'
+WHEN language = 'tr' AND regexp_matches(t, '[\p{{Arabic}}\p{{Han}}\p{{Cyrillic}}\p{{Devanagari}}\p{{Hangul}}\p{{Hebrew}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}]') THEN 'foreign_script_artifact'
+WHEN language = 'tr' AND len(string_split(q, ' ')) <= 5 AND {_holds(D.FOREIGN_PHRASES, 'q')} THEN 'short_foreign_phrase_artifact'
+WHEN len(list_filter(range(1, len(k) - 18), lambda i: len(list_distinct(k[i:i + 19])) = 1)) > 0 THEN 'repetition_collapse' WHEN regexp_matches(t, '\S{{81}}') THEN 'long_token_artifact'
+WHEN lp < -1.15 AND len(w) <= 5 THEN 'very_low_logprob_short_text' WHEN ns > 0.6 AND lp < -1 AND len(w) < 3 THEN 'multi_signal_low_quality' END AS reason FROM k)
+SELECT doc_id, reason IS NULL AS keep, reason, CASE WHEN reason IS NULL THEN concat_ws(',', CASE WHEN ns > 0.4 THEN 'high_no_speech_prob' END, CASE WHEN lp < -0.8 THEN 'low_logprob' END, CASE WHEN ns > 0.4 OR lp < -0.8 THEN 'low_confidence' END)
+WHEN reason = 'short_foreign_phrase_artifact' THEN 'foreign_phrase_artifact' WHEN reason = 'very_low_logprob_short_text' THEN 'very_low_logprob' WHEN reason IN ('no_alnum', 'multi_signal_low_quality') THEN '' ELSE reason END AS flags FROM r""")
 def segment_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Segments dropped by the first rule that holds, others flagged."""
     seg = read(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 10 / 10.0).alias("no_speech"), (-(F.col("doc_id") % 14) / 10.0).alias("logprob"), F.when(F.col("lang") == "en", F.col("lang")).otherwise("tr").alias("language"))
@@ -163,6 +181,6 @@ def result_safety(spark: SparkSession, d: str) -> DataFrame:
     from ..functions import text as T
 
     c = read(spark, d, "documents").select("doc_id", "text", T.words("text").alias("w"), (F.col("doc_id") % 300 + 1.0).alias("sec"))
-    c = c.withColumns({"run": T.longest_repeat(F.col("w")), "long": T.longest_token("text")})
+    c = c.withColumns({"run": T.repeat_run(F.col("text"), F.col("w"), 20), "long": T.longest_over(F.col("text"), F.col("w"), 80)})
     why = D.result_safety(F.col("run.run"), F.col("run.token"), F.col("long"), F.size("w"), F.col("sec"), F.col("sec"), F.col("sec") * 0.9)
     return c.select("doc_id", F.regexp_replace(why, ":.*", "").alias("reason"))
