@@ -200,20 +200,24 @@ def ratio(a: str, b: str) -> float:
 
 
 def temporal_groups(similarity: float, gap: float, distance: float) -> Callable[[list[dict]], list[dict]]:
-    """Online grouping of screen texts: each joins the group with the best ratio to its winner, near enough in time and place."""
+    """Online grouping of screen texts in order of time: each joins the group with the best ratio to its winner, near enough in time
+    and place.  A group closes when its last text is further back than the gap."""
 
     def fold(rows: list[dict]) -> list[dict]:
         groups: list[dict] = []
+        made = 0
         out = []
         for r in rows:
             best, score = None, 0.0
+            groups = [g for g in groups if r["t"] - g["t"] <= gap]
             for g in groups:
-                if abs(r["t"] - g["t"]) <= gap and ((r["x"] - g["x"]) ** 2 + (r["y"] - g["y"]) ** 2) ** 0.5 <= distance:
+                if ((r["x"] - g["x"]) ** 2 + (r["y"] - g["y"]) ** 2) ** 0.5 <= distance:
                     q = ratio_from(r["text"], g["winner"], similarity)
                     if q is not None and q > score:
                         best, score = g, q
             if best is None:
-                best = {"id": len(groups) + 1, "counts": {}}
+                made += 1
+                best = {"id": made, "counts": {}}
                 groups.append(best)
             c = best["counts"]
             c[r["text"]] = c.get(r["text"], 0) + 1
@@ -289,84 +293,6 @@ def greedy_matching(threshold: float) -> Callable[[list[dict]], list[dict]]:
     return fold
 
 
-def track_boxes(reach: float, alpha: float = 0.5) -> Callable[[list[dict]], list[dict]]:
-    """Boxes of each frame are put to tracks one to one, nearest first, by the place that a track's smoothed velocity foresees."""
-
-    def fold(rows: list[dict]) -> list[dict]:
-        tracks: list[dict] = []
-        out = []
-        at = 0
-        while at < len(rows):
-            end = at
-            while end < len(rows) and rows[end]["t"] == rows[at]["t"]:
-                end += 1
-            now = rows[at:end]
-            cost = sorted((abs(k["y"] + k["v"] * (now[0]["t"] - k["t"]) - r["y"]), i, j) for i, k in enumerate(tracks) for j, r in enumerate(now))
-            taken_t, taken_r = set(), set()
-            for c, i, j in cost:
-                if c <= reach and i not in taken_t and j not in taken_r:
-                    taken_t.add(i)
-                    taken_r.add(j)
-                    k, r = tracks[i], now[j]
-                    v = (r["y"] - k["y"]) / (r["t"] - k["t"])
-                    k |= {"v": alpha * v + (1 - alpha) * k["v"] if k["n"] > 1 else v, "y": r["y"], "t": r["t"], "n": k["n"] + 1}
-                    out.append({"row": r["row"], "track": i, "v": k["v"]})
-            for j, r in enumerate(now):
-                if j not in taken_r:
-                    tracks.append({"y": r["y"], "t": r["t"], "v": 0.0, "n": 1})
-                    out.append({"row": r["row"], "track": len(tracks) - 1, "v": 0.0})
-            at = end
-        return out
-
-    return fold
-
-
-def spelling_clusters(match: Callable[[str, str], bool]) -> Callable[[list[dict]], list[dict]]:
-    """Clusters of spellings seen in episodes (rows episode, text in order): a new spelling is joined to each earlier one that it
-    matches, unless their clusters were seen in one episode, where they must be two people."""
-
-    def fold(rows: list[dict]) -> list[dict]:
-        names: list[str] = []
-        number: dict[str, int] = {}
-        parent: list[int] = []
-        seen: list[set] = []
-        count: list[int] = []
-        pairs = set()
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for r in rows:
-            name = (r["text"] or "").strip()
-            if not name:
-                continue
-            new = name not in number
-            if new:
-                number[name] = len(names)
-                names.append(name)
-                parent.append(number[name])
-                seen.append(set())
-                count.append(0)
-            i = number[name]
-            if (r["episode"], name) not in pairs:
-                pairs.add((r["episode"], name))
-                count[i] += 1
-                seen[root(i)].add(r["episode"])
-            if new:
-                for j in range(i):
-                    if match(names[j], names[i]):
-                        a, b = sorted((root(i), root(j)))
-                        if a != b and not seen[a] & seen[b]:
-                            parent[b] = a
-                            seen[a] |= seen[b]
-        return [{"text": n, "cluster": root(k), "n": count[k]} for k, n in enumerate(names)]
-
-    return fold
-
-
 def budgeted_prefix(least: float, target: float, budget: float) -> Callable[[list[dict]], list[dict]]:
     """Each interval cut to target and to what is left of the budget, until less than least is left."""
 

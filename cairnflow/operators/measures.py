@@ -17,7 +17,8 @@ def stats(rows: DataFrame, by: list[str], value: str, digits: int = 6) -> DataFr
 def shares(rows: DataFrame, key: str, weight: Column, digits: int = 6) -> DataFrame:
     """Each key's share of the weight."""
     a = rows.groupBy(key).agg(F.sum(weight).alias("weight"))
-    return a.withColumn("share", F.round(F.col("weight") / F.sum("weight").over(Window.partitionBy()), digits))  # a row a key by now
+    total = a.agg(F.sum("weight").alias("_total"))
+    return a.join(F.broadcast(total)).withColumn("share", F.round(F.col("weight") / F.col("_total"), digits)).drop("_total")  # one row
 
 
 def dominant(shared: DataFrame, key: str, least: float, but: list[str]) -> DataFrame:
@@ -92,3 +93,42 @@ def column_split(boxes: DataFrame, by: str, y: str, x: str, w: str, tolerance: f
     gap = F.col("_next") - (F.col(x) + F.col(w))
     mids = g.where(gap >= least_gap).groupBy(by, "_y").agg(F.max_by((F.col("_next") + F.col(x) + F.col(w)) / 2, gap).alias("mid"))
     return mids.groupBy(by).agg(F.percentile("mid", 0.5).alias("split"), F.count("*").alias("lines")).select(by, F.when(F.col("lines") >= least_rows, F.col("split")).alias("split"), "lines")
+
+
+def box_union(boxes: DataFrame, by: str) -> DataFrame:
+    """The smallest box (x, y, w, h) around each key's boxes."""
+    right, below = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
+    return boxes.groupBy(by).agg(F.min("x").alias("x"), F.min("y").alias("y"), (right - F.min("x")).alias("w"), (below - F.min("y")).alias("h"))
+
+
+def garble_verdict(scores: Column, solo: float, pair: float) -> Column:
+    """Whether a name is garbled by its tokens' scores: one under solo, or two under pair."""
+    under = lambda least: F.size(F.filter(scores, lambda x: x < least))
+    return (under(solo) >= 1) | (under(pair) >= 2)
+
+
+def direction_votes(births: DataFrame, by: str, t: str, y: str, seconds: float = 0.25, pixels: float = 8.0) -> DataFrame:
+    """How surely tracks that are born one after another move one way: votes of neighbours that are far enough apart in time and place,
+    their agreement times their support (five votes are full); 0 under three births or two votes."""
+    w = Window.partitionBy(by).orderBy(t, y)
+    d = births.select(by, t, y, (F.col(t) - F.lag(t).over(w)).alias("_t"), (F.col(y) - F.lag(y).over(w)).alias("_y"))
+    vote = F.when((F.col("_t") >= seconds) & (F.abs("_y") >= pixels), F.signum("_y"))
+    a = d.groupBy(by).agg(F.count("*").alias("births"), F.count(vote).alias("votes"), F.count_if(vote > 0).alias("down"))
+    agree = F.greatest("down", F.col("votes") - F.col("down")) / F.col("votes")
+    return a.select(by, "votes", F.when((F.col("births") < 3) | (F.col("votes") < 2), 0.0).otherwise(F.round(agree * F.least(F.lit(1.0), F.col("votes") / 5), 4)).alias("hint"))
+
+
+def sample_schedule(frames: Column, proposals: Column, fps: float = 1.5, stride: float = 15.0, tail: float = 90.0, tail_stride: float = 4.0) -> Column:
+    """Positions to look at, ascending: the first and last frame, one each stride, one each tail_stride of the last tail seconds, and
+    the proposals in range; a null or empty recording has none."""
+    seconds = frames / F.lit(fps)
+
+    def cadence(start: Column, step: float) -> Column:
+        n = F.ceil((seconds - 1e-12 - start) / step).cast("int") - 1
+        at = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n)), lambda k: F.least(frames - 1, F.floor((start + k * step) * fps + 0.5).cast("int")))
+        return F.when(n >= 0, at).otherwise(F.array().cast("array<int>"))
+
+    dense = cadence(F.greatest(F.lit(0.0), seconds - tail), tail_stride) if tail > 0 else F.array().cast("array<int>")
+    mine = F.filter(F.coalesce(proposals, F.array().cast("array<int>")), lambda p: (p >= 0) & (p < frames))
+    every = F.concat(F.array(F.lit(0), frames - 1), cadence(F.lit(0.0), stride), dense, mine)
+    return F.when(frames > 0, F.array_sort(F.array_distinct(every))).otherwise(F.array().cast("array<int>"))

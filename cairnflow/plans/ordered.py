@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalogue import query
-from ..functions.similarity import _jaro_winkler
-from ..operators import folds, measures, runs
+from ..functions import text as T
+from ..operators import folds, measures, readers, rosters, runs, tracks
 from ..streaming import state, windows
 from .intervals import spans
 from .relational import read
@@ -194,55 +194,98 @@ def anchor_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def box_tracks(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes put to tracks frame by frame, with smoothed velocity."""
-    f = frames(spark, d).select("user_id", F.col("event_id").alias("row"), F.floor(F.col("pos") / 3).cast("double").alias("t"), F.col("value").alias("y"))
-    return folds.grouped(f, "user_id", ["t", "row"], folds.track_boxes(20.0), "user_id long, row long, track int, v double")
+    """Boxes of text put to tracks frame by frame, by place, spelling, overlap and pause."""
+    n = F.col("event_id")
+    f = frames(spark, d).select("user_id", n.alias("row"), F.floor(F.col("pos") / 3).cast("long").alias("t"), (n % 7 * 40).cast("double").alias("x"), (F.col("value") * 2).alias("y"), (F.length("event_type") * 9.0).alias("w"), F.lit(18.0).alias("h"), T.screen_text("event_type").alias("text"), (n % 5 / 4.0).alias("confidence"))
+    return folds.grouped(f, "user_id", ["t", "row"], tracks.track_boxes(), "user_id long, row long, track int, vx double, vy double")
 
 
 @query()
 def text_groups(spark: SparkSession, d: str) -> DataFrame:
     """Online grouping of texts that are near in time, place and spelling."""
-    c = read(spark, d, "conversations").select(F.col("role"), F.concat_ws(":", "conv_id", "turn").alias("row"), (F.col("conv_id") / 10.0).alias("t"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), "text")
-    return folds.grouped(c, "role", ["t", "row"], folds.temporal_groups(0.82, 2.0, 180.0), "role string, row string, grp int")
+    c = read(spark, d, "conversations").select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("row"), (F.col("turn") / 2.0).alias("t"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), "text")
+    return folds.grouped(c, "conv_id", ["t", "row"], folds.temporal_groups(0.82, 2.0, 180.0), "conv_id long, row string, grp int")
 
 
 @query()
 def spelling_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters of spellings with a veto for those seen together, and each one's canonical spelling."""
+    """Clusters of spellings that match or are close, with a veto for those seen together, and each one's canonical spelling."""
     from ..operators import decisions
 
-    p = read(spark, d, "part").select(F.col("p_brand").alias("series"), (F.col("p_partkey") % 7).alias("episode"), F.element_at(F.split("p_name", " "), 1).alias("text"), "p_partkey")
-    c = folds.grouped(p, "series", ["episode", "p_partkey"], folds.spelling_clusters(lambda a, b: _jaro_winkler(a, b) >= 0.9), "series string, text string, cluster int, n int")
+    name = F.concat_ws(" ", F.when(F.col("p_partkey") % 11 == 0, "Dr."), F.slice(F.split("p_name", " "), 1, 2)[0], F.slice(F.split("p_name", " "), 1, 2)[1])
+    p = read(spark, d, "part").select(F.col("p_brand").alias("series"), (F.col("p_partkey") % 97).alias("episode"), name.alias("text"), "p_partkey")
+    c = folds.grouped(p, "series", ["episode", "p_partkey"], rosters.spelling_clusters(), "series string, text string, cluster int, n int")
     key = c.withColumn("k", F.concat_ws(":", "series", "cluster"))
     return decisions.pick_spelling(key, "k", "text", "n", F.lit(False), F.lit(False), "text")
 
 
 @query()
 def greedy_matching(spark: SparkSession, d: str) -> DataFrame:
-    """One-to-one matching by falling similarity, with precision and recall."""
-    p = read(spark, d, "part").select(F.col("p_brand").alias("item"), F.when(F.col("p_partkey") % 2 == 0, "c").otherwise("t").alias("side"), F.col("p_name").alias("text"))
+    """One-to-one matching by falling similarity, with precision and recall."""
+    p = read(spark, d, "part").select(F.concat("p_brand", F.lit("/"), F.floor(F.col("p_partkey") / 2) % 50).alias("item"), F.when(F.col("p_partkey") % 2 == 0, "c").otherwise("t").alias("side"), F.col("p_name").alias("text"))
     return folds.grouped(p, "item", ["side", "text"], folds.greedy_matching(0.7), "item string, tp int, fp int, fn int, precision double, recall double, f1 double")
 
 
 @query()
 def track_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Near rows of which the better one stays."""
-    p = read(spark, d, "part").select(F.col("p_brand").alias("item"), F.col("p_partkey").alias("row"), F.col("p_name").alias("text"), F.col("p_retailprice").alias("quality"))
-    return folds.grouped(p, "item", ["row"], folds.keep_better(0.8), "item string, row long, text string, quality double")
+    """Tracks of one text by ratio, whole words, a word's end or one place of a frame, of which the better stays."""
+    n = F.col("p_partkey")
+    p = read(spark, d, "part").select(F.concat("p_brand", F.lit("/"), n % 50).alias("item"), n.alias("row"), F.col("p_name").alias("text"), F.col("p_size").alias("n"), (n % 10 / 10.0).alias("confidence"), (n % 3).alias("frame"), (n % 40 * 10.0).alias("y"), F.lit(18.0).alias("h"))
+    return folds.grouped(p, "item", ["row"], readers.track_dedup(), "item string, row long, text string")
+
+
+@query()
+def better_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Near rows of which the better one stays."""
+    p = read(spark, d, "part").select(F.concat("p_brand", F.lit("/"), F.col("p_partkey") % 50).alias("item"), F.col("p_partkey").alias("row"), F.col("p_name").alias("text"), F.col("p_retailprice").alias("quality"))
+    return folds.grouped(p, "item", ["row"], folds.keep_better(0.94), "item string, row long, text string, quality double")
+
+
+@query()
+def reading_mode(spark: SparkSession, d: str) -> DataFrame:
+    """The fuzzy mode of the readings of a text, its cleanest member and its share."""
+    p = read(spark, d, "part").select(F.concat("p_brand", F.lit("/"), F.col("p_partkey") % 50).alias("item"), F.when(F.col("p_partkey") % 4 == 0, F.translate("p_name", "aeo", "430")).otherwise(F.col("p_name")).alias("text"), "p_partkey")
+    return folds.grouped(p, "item", ["p_partkey"], readers.reading_mode(), "item string, text string, confidence double, n int")
+
+
+@query()
+def spelling_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Near spellings by any member, with the best one and all their counts."""
+    p = read(spark, d, "part").groupBy(F.concat("p_brand", F.lit("/"), F.length("p_name") % 9).alias("item"), F.array_join(F.slice(F.split("p_name", " "), 1, 2), " ").alias("text")).agg(F.count("*").alias("n")).withColumn("_o", -F.col("n"))
+    return folds.grouped(p, "item", ["_o", "text"], readers.spelling_groups(), "item string, text string, n long, members int")
+
+
+@query()
+def merged_readers(spark: SparkSession, d: str) -> DataFrame:
+    """Two readers' lines merged by their differences into one sequence."""
+    c = read(spark, d, "conversations").select("conv_id", "turn", F.posexplode(T.sentences("text", 1)).alias("k", "line"))
+    a = c.where("(turn + k) % 5 != 0").select("conv_id", F.lit("a").alias("reader"), "turn", "k", F.col("line").alias("text"))
+    b = c.where("(turn + k) % 7 != 0").select("conv_id", F.lit("b").alias("reader"), "turn", "k", F.when(F.col("k") % 3 == 0, F.translate("line", "eo", "30")).otherwise(F.col("line")).alias("text"))
+    r = folds.grouped(a.unionByName(b), "conv_id", ["reader", "turn", "k"], readers.merge_readers(), "conv_id long, pos int, text string, source string")
+    return r.withColumn("text", F.sha2(F.encode("text", "utf-8"), 256))
 
 
 @query()
 def recent_collapse(spark: SparkSession, d: str) -> DataFrame:
     """Rows equal to any kept one or near a recent one are dropped."""
-    c = read(spark, d, "conversations").select("role", F.concat_ws(":", "conv_id", "turn").alias("row"), "text", "conv_id", "turn")
-    r = folds.grouped(c, "role", ["conv_id", "turn"], folds.recent_collapse(0.9), "role string, row string, text string")
+    c = read(spark, d, "conversations").select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("row"), "text", "turn")
+    r = folds.grouped(c, "conv_id", ["turn"], folds.recent_collapse(0.9), "conv_id long, row string, text string")
     return r.withColumn("text", F.sha2(F.encode("text", "utf-8"), 256))
 
 
+@query("""
+SELECT p_brand, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h
+FROM (SELECT p_brand, (p_partkey % 640)::DOUBLE AS x, (p_size * 7)::DOUBLE AS y, length(p_name)::DOUBLE AS w, 18.0::DOUBLE AS h FROM part) GROUP BY p_brand""")
+def box_unions(spark: SparkSession, d: str) -> DataFrame:
+    """The smallest box around each key's boxes."""
+    b = read(spark, d, "part").select("p_brand", (F.col("p_partkey") % 640).cast("double").alias("x"), (F.col("p_size") * 7).cast("double").alias("y"), F.length("p_name").cast("double").alias("w"), F.lit(18.0).alias("h"))
+    return measures.box_union(b, "p_brand")
+
+
 @query()
 def variant_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Spellings merged into the more frequent ones."""
-    p = read(spark, d, "part").groupBy(F.col("p_brand").alias("item"), F.element_at(F.split("p_name", " "), 1).alias("text")).agg(F.count("*").alias("n")).withColumn("_o", -F.col("n"))
+    """Spellings merged into the more frequent ones."""
+    p = read(spark, d, "part").groupBy(F.concat("p_brand", F.lit("/"), F.length("p_name") % 9).alias("item"), F.element_at(F.split("p_name", " "), 1).alias("text")).agg(F.count("*").alias("n")).withColumn("_o", -F.col("n"))
     return folds.grouped(p, "item", ["_o", "text"], folds.variant_merge(0.7), "item string, text string, n long")
 
 
@@ -256,10 +299,10 @@ def live_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def roster_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Changes of a roster over episodes."""
+    """Changes of a roster over episodes, its members matched one to one."""
     j = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(read(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    e = j.groupBy((F.col("o_custkey") % 20).alias("series"), (F.col("o_orderkey") % 30).alias("episode")).agg(F.sort_array(F.collect_set(F.concat(F.lit("m"), (F.col("l_suppkey") % 25).cast("string")))).alias("members"))
-    return state.stateful(e, "series", "episode", state.roster_step, "series long, episode int, event string, member string, version int")
+    e = j.groupBy((F.col("o_custkey") % 20).alias("series"), (F.col("o_orderkey") % 30).alias("episode")).agg(F.sort_array(F.collect_set(F.concat(F.lit("mem"), F.col("l_suppkey") % 25, F.lit(" of"), F.col("l_suppkey") % 25))).alias("members"))
+    return state.stateful(e, "series", "episode", rosters.roster(), "series long, episode int, event string, member string, version int")
 
 
 @query("""

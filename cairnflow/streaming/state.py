@@ -64,36 +64,6 @@ def session_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
     return now, events
 
 
-def roster_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
-    """A series' roster over its episodes (row: episode, members): an empty reading changes nothing; one with under 40 % of the active
-    members is a break of format; a member missing three times running departs, a guest seen in three episodes is promoted."""
-    now = json.loads(json.dumps({"members": {}, "version": 1} | state))
-    members, e, events = now["members"], int(row["episode"]), []
-    seen = sorted(set(row["members"]))
-    if not seen:
-        return now, [{"episode": e, "event": "EMPTY_READING", "member": "", "version": now["version"]}]
-    active = [m for m, s in members.items() if s["status"] == "ACTIVE"]
-    if active and sum(m in seen for m in active) < 0.4 * len(active):
-        return now, [{"episode": e, "event": "FORMAT_BREAK", "member": "", "version": now["version"]}]
-    for m in seen:
-        s = members.setdefault(m, {"status": "ACTIVE" if not active else "GUEST", "seen": 0, "missing": 0})
-        s["seen"], s["missing"] = s["seen"] + 1, 0
-        if s["status"] == "DEPARTED":
-            s["status"], s["seen"] = "GUEST", 1
-        if s["status"] == "GUEST" and s["seen"] >= 3:
-            s["status"] = "ACTIVE"
-            events.append(("PROMOTED", m))
-    for m in sorted(set(members) - set(seen)):
-        s = members[m]
-        s["missing"] += 1
-        if s["status"] == "ACTIVE" and s["missing"] >= 3:
-            s["status"] = "DEPARTED"
-            events.append(("DEPARTED", m))
-    if events:
-        now["version"] += 1
-    return now, [{"episode": e, "event": k, "member": m, "version": now["version"]} for k, m in events]
-
-
 def witness(ledger: DataFrame, new: DataFrame, key: str, digest: str, ts: str) -> DataFrame:
     """The ledger after new rows, and what each one did: NEW, SAME (its time is refreshed) or CONFLICT (the old one stays)."""
     n = new.select(key, F.col(digest).alias("_d"), F.col(ts).alias("_t"))
