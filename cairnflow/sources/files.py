@@ -26,17 +26,17 @@ def name_set(spark: SparkSession, path: str, column: str) -> DataFrame:
     return spark.read.option("header", True).csv(path).select(F.upper(F.trim(column)).alias("name")).where("name != ''").distinct()
 
 
-def json_files(spark: SparkSession, pattern: str, schema: str, newest_first: bool = False, limit: int | None = None) -> DataFrame:
-    """A row for each JSON file of a pattern, with its path and time of change."""
-    d = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(pattern).select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("changed"))
+def json_files(spark: SparkSession, pattern: str, schema: str, newest_first: bool = False, limit: int | None = None, one_a_line: bool = False) -> DataFrame:
+    """A row for each JSON file of a pattern (for each of its lines with one_a_line), with its path and time of change."""
+    d = spark.read.schema(schema).option("multiLine", not one_a_line).option("mode", "DROPMALFORMED").json(pattern).select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("changed"))
     if newest_first:
         d = d.orderBy(F.desc("changed"), "path")
     return d.limit(limit) if limit is not None else d
 
 
-def manifest(spark: SparkSession, path: str, item_schema: str, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+def manifest(spark: SparkSession, path: str, item_schema: str, checks: dict[str, Column], one_a_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """The valid items of a manifest's list, and the others with the names of the checks that they fail."""
-    d = spark.read.schema(f"items array<struct<{item_schema}>>").option("multiLine", True).json(path).select(F.inline("items"))
+    d = spark.read.schema(f"items array<struct<{item_schema}>>").option("multiLine", not one_a_line).json(path).select(F.inline("items"))
     bad = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]))
     d = d.withColumn("errors", bad)
     return d.where(F.size("errors") == 0).drop("errors"), d.where(F.size("errors") > 0)

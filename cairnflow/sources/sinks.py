@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 
 def scores_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
@@ -28,10 +30,10 @@ def with_rejects(rows: DataFrame, reason: Column, kept: str, dropped: str) -> No
 
 
 def one_table(first: DataFrame, second: DataFrame, order: list[str]) -> DataFrame:
-    """Two kinds of rows as one table with running ids, which are dealt by range so that no task numbers them all."""
+    """Two kinds of rows as one table with running ids.  Rows are dealt by range, so that no task numbers them all, and written with
+    their place in it before the ranges are counted: what is counted and what is numbered are the same rows."""
     both = first.unionByName(second, allowMissingColumns=True).repartitionByRange(*order).sortWithinPartitions(*order)
-    part = F.spark_partition_id()
-    local = both.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", part)
+    local = written(both.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.spark_partition_id()), "numbered")
     sizes = sorted((r["_p"], r["n"]) for r in local.groupBy("_p").agg(F.count("*").alias("n")).collect())  # a row a partition
     base, at = {}, 0
     for p, n in sizes:
