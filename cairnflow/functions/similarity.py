@@ -193,7 +193,7 @@ def char_error_rate(reference: Column, hypothesis: Column) -> Column:
 
 
 def alignment(a: list[str], b: list[str]) -> list[tuple[str, str | None, str | None]]:
-    """Backtraced alignment: match, substitute, delete, insert.  About every sqrt(n)-th row of distances is kept and those
+    """Backtraced alignment: of equal ways a match or substitution first, then an insertion, then a deletion.  About every sqrt(n)-th row of distances is kept and those
     between are made again on the way back, so that memory grows as n to the power of 1.5."""
     x, y, steps = _codes(a, b)
     n, size = len(x), max(1, math.isqrt(len(x)))
@@ -213,12 +213,12 @@ def alignment(a: list[str], b: list[str]) -> list[tuple[str, str | None, str | N
         if i and j and d[j] == e[j - 1] + (x[i - 1] != y[j - 1]):
             i, j = i - 1, j - 1
             out.append(("M" if x[i] == y[j] else "S", a[i], b[j]))
-        elif i and d[j] == e[j] + 1:
-            i -= 1
-            out.append(("D", a[i], None))
-        else:
+        elif j and (not i or d[j] == d[j - 1] + 1):
             j -= 1
             out.append(("I", None, b[j]))
+        else:
+            i -= 1
+            out.append(("D", a[i], None))
     return out[::-1]
 
 

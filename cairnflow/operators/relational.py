@@ -108,8 +108,11 @@ def route(rows: DataFrame, routes: DataFrame, key: str, value: str, default: str
 
 
 def nearest_value(rows: DataFrame, table: DataFrame, by: str, row_id: str, x: str, y: str, reach: float) -> DataFrame:
-    """Each row with table's row of its key whose y is nearest to x, within reach; the smaller y of equals."""
-    j = rows.join(table, by).where(F.abs(F.col(x) - F.col(y)) <= reach)
+    """Each row with table's row of its key whose y is nearest to x, within reach; the smaller y of equals.  Values in reach are at
+    most one bucket of that width apart, so buckets make the candidates and a hot key is dealt by value."""
+    bucket = lambda c: F.floor(c / reach).cast("long")
+    t = table.groupBy(by, y).agg(F.lit(1).alias("_one")).select(by, y, F.explode(F.array(*[bucket(F.col(y)) + k for k in (-1, 0, 1)])).alias("_b"))
+    j = rows.select(by, row_id, x, bucket(F.col(x)).alias("_b")).join(t, [by, "_b"]).where(F.abs(F.col(x) - F.col(y)) <= reach)
     return j.groupBy(row_id).agg(F.min_by(y, F.struct(F.abs(F.col(x) - F.col(y)), F.col(y))).alias(y))
 
 
@@ -161,5 +164,18 @@ def zipped(left: DataFrame, right: DataFrame, order: str) -> DataFrame:
 
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n rows without replacement, the same for a seed whatever the partitions, in order of key."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n).orderBy(key)
+    """n rows without replacement, the same for a seed whatever the partitions, in order of key: those of the least digests of key
+    and seed."""
+    return rows.orderBy(F.md5(F.concat_ws(":", key, F.lit(seed))), key).limit(n).orderBy(key)
+
+
+def reconciled(rows: DataFrame, other: DataFrame, key: str, role: str, other_role: str) -> DataFrame:
+    """rows (key, role) with a second source's role where that has one: ``how`` is own without one, kept where both agree, moved else."""
+    j = rows.join(other.select(key, other_role), key, "left")
+    how = F.when(F.col(other_role).isNull(), "own").when(F.col(other_role) == F.col(role), "kept").otherwise("moved")
+    return j.withColumn("how", how).withColumn(role, F.coalesce(other_role, role)).drop(other_role)
+
+
+def dubbed(foreign: Column, native: Column) -> Column:
+    """Whether a name on a work of foreign origin is a native's, as dubbing casts are; unknown origins and hands are not."""
+    return F.coalesce(foreign & native, F.lit(False))

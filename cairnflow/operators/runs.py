@@ -133,3 +133,13 @@ def pick_run(runs: DataFrame, by: str, total: str, prefer: str = "last") -> Data
     place = {"first": 1 - F.col("first") / F.col(total), "last": F.col("last") / F.col(total)}.get(prefer, F.lit(0.5))
     score = 0.20 * F.col("n") / F.col(total) + 0.55 * place + 0.25 * F.col("confidence")
     return runs.withColumn("score", score).groupBy(by).agg(F.max_by(F.struct("*"), F.struct(F.col("score"), -F.col("first"))).alias("r")).select("r.*")
+
+
+def bridged(segments: DataFrame, by: str, order: str, kind: str, seconds: str, confidence: Column, outer: str, unknown: str = "UNKNOWN", least: float = 0.85, most: float = 60.0) -> DataFrame:
+    """Unknown segments of at most so many seconds between two of kind outer become outer_INFERRED, where the whole recording's
+    confidence reaches least and it has three segments."""
+    w = Window.partitionBy(by).orderBy(order)
+    n = F.count("*").over(Window.partitionBy(by))
+    between = (F.lag(kind).over(w) == outer) & (F.lead(kind).over(w) == outer)
+    fits = (F.col(kind) == unknown) & between & (F.col(seconds) <= most) & (n >= 3) & (confidence >= least)
+    return segments.withColumn("inferred", F.coalesce(fits, F.lit(False))).withColumn(kind, F.when(F.col("inferred"), f"{outer}_INFERRED").otherwise(F.col(kind)))

@@ -24,11 +24,17 @@ def parameterised_sql(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT p_partkey, p_name FROM part WHERE p_size >= :least AND p_brand <> :brand AND p_partkey NOT IN (SELECT k FROM missing_table)", args={"least": 45, "brand": "Brand#11"})
 
 
-@query("SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 100")
+@query("SELECT p_partkey FROM part ORDER BY md5(concat_ws(':', p_partkey, 7)), p_partkey LIMIT 100")
 def seeded_rows(spark: SparkSession, d: str) -> DataFrame:
-    """A fixed number of rows; here those that any seed gives of a table cut to as many."""
-    p = read(spark, d, "part").select("p_partkey").orderBy("p_partkey").limit(100)
-    return R.seeded_sample(p, "p_partkey", 100, 7)
+    """A seeded sample of the whole table."""
+    return R.seeded_sample(read(spark, d, "part").select("p_partkey"), "p_partkey", 100, 7)
+
+
+@query("SELECT p_partkey, p_name, upper(p_name) AS other FROM part")
+def zipped_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of two sources with one number, which must be as many."""
+    p = read(spark, d, "part")
+    return R.zipped(p.select("p_partkey", "p_name"), p.select("p_partkey", F.upper("p_name").alias("other")), "p_partkey")
 
 
 @query("""
@@ -42,11 +48,11 @@ def either_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey FROM part WHERE len(list_intersect(string_split(p_name, ' '), (SELECT list(DISTINCT string_split(p_name, ' ')[1]) FROM part WHERE p_partkey <= 20))) > 0""")
+SELECT p_partkey FROM part WHERE len(list_intersect(string_split(p_name, ' '), (SELECT list(DISTINCT string_split(p_name, ' ')[1]) FROM part WHERE p_partkey % 100 = 0))) > 0""")
 def list_members(spark: SparkSession, d: str) -> DataFrame:
     """Exact membership in a delimited list."""
     p = read(spark, d, "part").select("p_partkey", "p_name")
-    wanted = p.where("p_partkey <= 20").select(F.element_at(F.split("p_name", " "), 1).alias("w"))
+    wanted = p.where("p_partkey % 100 = 0").select(F.element_at(F.split("p_name", " "), 1).alias("w"))
     return R.has_member(p, "p_name", " ", wanted, "w").select("p_partkey")
 
 
@@ -57,7 +63,7 @@ def reconciled_roles(spark: SparkSession, d: str) -> DataFrame:
     """A second source's role takes precedence; rows say whether they moved."""
     x = read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.min("l_returnflag").alias("xr"))
     o = read(spark, d, "part").select(F.col("p_partkey").alias("k"), F.when(F.col("p_size") > 25, "A").otherwise("N").alias("r"))
-    return o.join(x, "k", "left").select("k", F.coalesce("xr", "r").alias("role"), F.when(F.col("xr").isNull(), "own").when(F.col("xr") == F.col("r"), "kept").otherwise("moved").alias("how"))
+    return R.reconciled(o, x, "k", "r", "xr").select("k", F.col("r").alias("role"), "how")
 
 
 @query("""
@@ -65,7 +71,7 @@ SELECT s_nationkey, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_n
 def dub_filter(spark: SparkSession, d: str) -> DataFrame:
     """Rows of a foreign origin by a native hand are left out."""
     s = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return s.where(~((F.col("n_regionkey") != 3) & (F.col("s_suppkey") % 4 == 0))).groupBy("s_nationkey").agg(F.count("*").alias("n"))
+    return s.where(~R.dubbed(F.col("n_regionkey") != 3, F.col("s_suppkey") % 4 == 0)).groupBy("s_nationkey").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -155,14 +161,14 @@ def phrase_differences(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def fuzzy_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Chains of near texts, the most confident of each."""
-    p = read(spark, d, "part").select(F.col("p_brand").alias("item"), F.col("p_partkey").alias("row"), F.col("p_name").alias("text"), F.col("p_retailprice").alias("confidence"))
+    p = read(spark, d, "part").select(F.concat("p_brand", F.lit("/"), F.col("p_partkey") % 50).alias("item"), F.col("p_partkey").alias("row"), F.col("p_name").alias("text"), F.col("p_retailprice").alias("confidence"))
     return folds.grouped(p, "item", ["row"], folds.transitive_clusters(0.8), "item string, row long, text string")
 
 
 @query()
 def clone_collapse(spark: SparkSession, d: str) -> DataFrame:
     """Near names of which the one with less evidence goes."""
-    p = read(spark, d, "part").select(F.col("p_brand").alias("item"), F.col("p_partkey").alias("row"), F.col("p_name").alias("text"), (F.col("p_size") % 4).alias("evidence"), (F.col("p_size") > 40).alias("known"))
+    p = read(spark, d, "part").select(F.concat("p_brand", F.lit("/"), F.col("p_partkey") % 50).alias("item"), F.col("p_partkey").alias("row"), F.col("p_name").alias("text"), (F.col("p_size") % 4).alias("evidence"), (F.col("p_size") > 40).alias("known"))
     return folds.grouped(p, "item", ["row"], folds.clone_collapse(0.75), "item string, row long, text string")
 
 
@@ -172,3 +178,24 @@ def upper_prose(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "conversations").select("conv_id", "turn", "text")
     upper = F.array_join(F.transform(F.split("text", " "), lambda w: F.when(w.rlike("^(?:Anna|Paris)"), F.upper(w)).otherwise(T.tr_upper(w))), " ")
     return c.select("conv_id", "turn", F.sha2(F.encode(upper, "utf-8"), 256).alias("text"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, vec_id % 7 AS image, vec_id // 7 AS pos, (vec_id // 7) % 11 AS source, vec_id % 5 <> 0 AS textured, 20 + vec_id % 3 AS height FROM embeddings),
+s AS (SELECT e.*, list_transform(range(1, len(x.embedding) + 1), lambda k: x.embedding[k]::DOUBLE + CASE WHEN e.vec_id % 13 = 0 THEN k % 3 ELSE 0 END) AS v, (x.vec_id * 2654435761 + e.vec_id % 3)::BIGINT AS hash FROM e JOIN embeddings x ON x.vec_id = e.source),
+c AS (SELECT *, list_transform(v, lambda x: x - list_avg(v)) AS d FROM s WHERE textured),
+m AS (SELECT a.image, a.pos AS i, b.pos - a.pos AS delta FROM c a JOIN c b ON a.image = b.image AND b.pos - a.pos >= 3 WHERE bit_count(xor(a.hash, b.hash)) <= 10 AND list_dot_product(a.d, b.d) / sqrt(list_dot_product(a.d, a.d) * list_dot_product(b.d, b.d)) >= 0.92),
+r AS (SELECT image, delta, min(i) AS lo, max(i) AS hi FROM (SELECT *, i - row_number() OVER (PARTITION BY image, delta ORDER BY i) AS run FROM m) GROUP BY image, delta, run HAVING max(i) > min(i)),
+g AS (SELECT DISTINCT image, unnest(range(lo + delta, hi + delta + 1)) AS pos FROM r)
+SELECT s.image, (SELECT count(*) FROM r WHERE r.image = s.image) AS blocks, round(coalesce(sum(height) FILTER (textured AND g.pos IS NOT NULL), 0) / sum(height) FILTER (textured), 4) AS dup_ratio FROM s LEFT JOIN g ON s.image = g.image AND s.pos = g.pos GROUP BY s.image""")
+def strip_duplication(spark: SparkSession, d: str) -> DataFrame:
+    """The share of an image's strips that another part of it shows, by hashes and correlation."""
+    from ..operators import dedup
+
+    e = read(spark, d, "embeddings")
+    i = F.col("vec_id")
+    strips = e.select(i, (i % 7).alias("image"), F.floor(i / 7).alias("pos"), (F.floor(i / 7) % 11).alias("source"), (i % 5 != 0).alias("textured"), (20 + i % 3).alias("height"))
+    x = e.where("vec_id < 11").select(i.alias("source"), F.col("embedding").cast("array<double>").alias("v"))
+    vector = F.transform("v", lambda x, k: x + F.when(i % 13 == 0, (k + 1) % 3).otherwise(0))
+    rows = strips.join(x, "source").select("image", "pos", "textured", "height", vector.alias("vector"), (F.col("source") * 2654435761 + i % 3).alias("hash"))
+    return dedup.strip_duplication(rows, "image").select("image", "blocks", "dup_ratio")

@@ -81,13 +81,13 @@ def delimited_deref(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH q AS (SELECT DISTINCT lower(string_split(p_name, ' ')[1]) AS needle FROM part WHERE p_partkey <= 40),
+WITH q AS (SELECT DISTINCT lower(string_split(p_name, ' ')[1]) AS needle FROM part),
      f AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9 ]', ' ', 'g')) AS t FROM part)
 SELECT needle, p_partkey, min(CASE WHEN t = needle THEN 1 ELSE 2 END) AS pass FROM q JOIN f ON contains(t, needle) GROUP BY 1, 2""")
 def two_pass_title_search(spark: SparkSession, d: str) -> DataFrame:
     """Exact fold, then substring; an id once, by its best pass."""
     p = read(spark, d, "part").select("p_partkey", "p_name")
-    q = p.where("p_partkey <= 40").select(F.lower(F.element_at(F.split("p_name", " "), 1)).alias("needle")).distinct()
+    q = p.select(F.lower(F.element_at(F.split("p_name", " "), 1)).alias("needle")).distinct()
     return R.two_pass(q, p, "needle", "p_name", "p_partkey").select("needle", "p_partkey", "pass")
 
 
@@ -299,7 +299,7 @@ def array_explode_count(spark: SparkSession, d: str) -> DataFrame:
 WITH v(k, f, a, b) AS (SELECT s_suppkey, 'name', s_name, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE s_name END FROM supplier UNION ALL SELECT s_suppkey, 'nation', s_nationkey::VARCHAR, CASE WHEN s_suppkey % 7 = 0 THEN '99' ELSE s_nationkey::VARCHAR END FROM supplier)
 SELECT k, f, a AS was, b AS now, f = 'name' AND a <> '' AND b = '' AS blocked FROM v WHERE a <> b""")
 def version_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Fields that differ between versions, blocked where a gated one goes empty."""
+    """Fields that differ between versions, blocked where a gated one goes empty."""
     from ..operators import decisions
 
     s = read(spark, d, "supplier")
@@ -323,7 +323,7 @@ def seals(spark: SparkSession, d: str) -> DataFrame:
 SELECT b.l_partkey AS part, count(DISTINCT a.l_suppkey) AS n_left, list_sort(list(DISTINCT b.l_suppkey))::VARCHAR AS members FROM (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R') a
 JOIN (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A') b ON a.l_partkey = b.l_partkey GROUP BY 1""")
 def set_members(spark: SparkSession, d: str) -> DataFrame:
-    """Sets collected by key on two sides."""
+    """Sets collected by key on two sides."""
     l = read(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag")
     a, b = l.where("l_returnflag = 'R'").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("n_left")), l.where("l_returnflag = 'A'").groupBy("l_partkey").agg(F.sort_array(F.collect_set("l_suppkey")).alias("m"))
     return a.join(b, "l_partkey").select(F.col("l_partkey").alias("part"), "n_left", F.concat(F.lit("["), F.array_join(F.col("m").cast("array<string>"), ", "), F.lit("]")).alias("members"))

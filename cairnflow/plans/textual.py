@@ -116,7 +116,7 @@ m AS (SELECT gram, count(*) AS n FROM g GROUP BY 1), c AS (SELECT substr(gram, 1
 h AS (SELECT p_name, unnest(list_transform(range(1, length('^^' || lower(p_name) || '$') - 1), lambda k: substr('^^' || lower(p_name) || '$', k, 3))) AS gram FROM q)
 SELECT p_name, round(avg(ln((n + 0.5) / (total + 15))), 6) AS score FROM h JOIN m USING (gram) JOIN c ON c.ctx = substr(gram, 1, 2) GROUP BY 1""")
 def ngram_garble_score(spark: SparkSession, d: str) -> DataFrame:
-    """Mean log probability of a name's trigrams."""
+    """Mean log probability of a name's trigrams."""
     p = read(spark, d, "part").select("p_name")
     s = measures.ngram_score(p.distinct(), "p_name", measures.ngram_model(p, "p_name"))
     return s.select("p_name", F.round("score", 6).alias("score"))
