@@ -1,13 +1,15 @@
 """Operators against plain versions on small tables; queries against their SQL are checked in test_queries."""
 
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cairnflow import catalogue, plans, schemas  # noqa: F401
-from cairnflow.functions import similarity, text
-from cairnflow.operators import credits, decisions, dedup, folds, intervals, relational, runs
+from cairnflow.functions import names, similarity, text
+from cairnflow.operators import credits, decisions, dedup, folds, intervals, readers, relational, rosters, runs, tracks
 from cairnflow.sources import files, logs, sinks
 from cairnflow.streaming import state, windows
 
@@ -83,12 +85,12 @@ def test_alignment_in_blocks_equals_full_table():
             if i and j and d[i][j] == d[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
                 i, j = i - 1, j - 1
                 out.append("M" if a[i] == b[j] else "S")
-            elif i and d[i][j] == d[i - 1][j] + 1:
-                i -= 1
-                out.append("D")
-            else:
+            elif j and d[i][j] == d[i][j - 1] + 1:
                 j -= 1
                 out.append("I")
+            else:
+                i -= 1
+                out.append("D")
         return d[-1][-1], out[::-1]
 
     rng = random.Random(3)
@@ -101,7 +103,7 @@ def test_whole_texts_are_read(spark, tmp_path):
     """Texts that differ late only."""
     q = catalogue.queries()
     head = "word " * 80
-    spark.createDataFrame([(1, head + "zebra one", "en"), (2, head + "приветы", "en"), (3, head + "yonetmem", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, head + "zebra one", "en"), (2, head + "приветы", "en"), (3, head + "directar", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     folds_ = q["other_folds"](spark, str(tmp_path)).where("doc_id != 2").collect()
     assert all(len({r[c] for r in folds_}) == 2 for c in ("upper_key", "quality", "plain", "tr_upper"))
     got = {r.doc_id: r for r in q["scripts_and_keys"](spark, str(tmp_path)).collect()}
@@ -112,9 +114,9 @@ def test_whole_texts_are_read(spark, tmp_path):
     late = [head[:200] + "".join(rng.choice(x) for _ in range(600)) for x in ("abcdefghi", "jklmnopqr")]
     d = conversations(spark, tmp_path, [late[0], late[0], late[1], late[1]])
     assert len({r.text for r in q["upper_prose"](spark, d).collect()}) == 2
-    d = conversations(spark, tmp_path / "same_role", [late[0], "", late[1], "", late[1]])
-    assert sorted(r.row for r in q["recent_collapse"](spark, d).where("role = 'assistant'").collect()) == ["1:0", "1:2"]
-    assert {r.row: r.grp for r in q["text_groups"](spark, d).where("role = 'assistant'").collect()} == {"1:0": 1, "1:2": 2, "1:4": 2}
+    d = conversations(spark, tmp_path / "one_talk", [late[0], late[1], late[1]])
+    assert sorted(r.row for r in q["recent_collapse"](spark, d).collect()) == ["1:0", "1:1"]
+    assert {r.row: r.grp for r in q["text_groups"](spark, d).collect()} == {"1:0": 1, "1:1": 2, "1:2": 2}
     d = conversations(spark, tmp_path / "pairs", [late[0], late[1]])
     want = similarity.SequenceMatcher(None, late[1], late[0]).ratio()
     assert 0.2 <= want < 0.5 and [r.ratio for r in q["engine_agreement"](spark, d).collect()] == [round(want, 6)]
@@ -184,17 +186,101 @@ def test_folds_in_order():
     assert folds.onset("X", 0.5, "u", "m", 1, 2)([{"pos": k, "label": c, "confidence": 1} for k, c in enumerate("aaXXu")]) == [{"decision": "FOUND", "onset": 2}]
     assert folds.greedy_matching(0.8)([{"side": "c", "text": "abcde"}, {"side": "t", "text": "abcdf"}, {"side": "t", "text": "zzz"}])[0]["f1"] == pytest.approx(0.6667)
     assert [r["n"] for r in folds.variant_merge(0.8)([{"text": "maria", "n": 5}, {"text": "marla", "n": 1}, {"text": "bob", "n": 1}])] == [6, 1]
-    tracks = folds.track_boxes(3)([{"row": k, "t": k // 2, "y": (k // 2) * 2.0 + 50 * (k % 2)} for k in range(8)])
-    assert [r["track"] for r in sorted(tracks, key=lambda r: r["row"])] == [0, 1] * 4
 
 
 def test_spellings_seen_together_stay_apart():
     near = lambda a, b: a[:3] == b[:3]
     rows = [{"episode": e, "text": t} for e, t in [(1, "Anna"), (2, "Ann"), (3, "Anna"), (3, "Annb")]]
-    got = {r["text"]: r["cluster"] for r in folds.spelling_clusters(near)(rows)}
+    got = {r["text"]: r["cluster"] for r in rosters.spelling_clusters(near)(rows)}
     assert got["Anna"] == got["Ann"] != got["Annb"]
 
 
+def test_spelling_clusters_by_name():
+    rows = [(1, "Anna Karen"), (2, "Prof. Dr. Anna Karen"), (3, "Anna Karon"), (4, "Anna Karen"), (4, "Ana Karen"), (1, "Anna Karen"), (5, "Scott Paulin"), (6, "Pauline Chan"), (7, " "), (8, "Murat"), (9, "Murad")]
+    got = {r["text"]: (r["cluster"], r["n"]) for r in rosters.spelling_clusters()([{"episode": e, "text": t} for e, t in rows])}
+    assert got == {"Anna Karen": (0, 2), "Prof. Dr. Anna Karen": (0, 1), "Anna Karon": (0, 1), "Ana Karen": (3, 1), "Scott Paulin": (4, 1), "Pauline Chan": (5, 1), "Murat": (6, 1), "Murad": (6, 1)}
+    # the token index leaves out no pair that the test of all pairs finds
+    import random
+
+    rng = random.Random(4)
+    parts = ["ann", "anna", "karen", "karon", "murat", "murad", "li", "de", "oz"]
+    many = [{"episode": rng.randrange(30), "text": " ".join(rng.choice(parts) for _ in range(rng.randint(1, 3)))} for _ in range(200)]
+    assert rosters.spelling_clusters()(many) == rosters.spelling_clusters(lambda a, b: rosters.same_person(names.untitled(a), names.untitled(b)))(many)
+    assert rosters.canonical({"B0b": 9, "Bob": 2, "Bobb": 2}) == "Bob" and rosters.canonical({"x": 1, "y": 1}, known=lambda s: s == "y") == "y"
+
+
+def test_members_take_readings_one_to_one():
+    got = rosters.match_members({"Ali Kaya": ["Aly Kaya"], "Ali Can Kaya": [], "Oz": []}, ["Ali Can Kaya", "Aly Kaya", "OZ", "Ali Kaya"])
+    assert got == {"Ali Kaya": 3, "Ali Can Kaya": 0, "Oz": 2}
+
+
+def test_roster_over_episodes():
+    step, now, out = rosters.roster(), {}, []
+    cast = [f"mem{k} ber{k}" for k in range(10)]
+    read = [cast, cast[:9] + ["gue one"], cast[:2], [f"oth{k} err{k}" for k in range(5)], cast[:9] + ["gue one"], [*cast[:9], "gue one", ""], cast, {"source": "none"}, cast[:8] + [f"new{k} nam{k}" for k in range(13)]]
+    for e, r in enumerate(read):
+        now, events = step(now, {"episode": e, "members": r} if isinstance(r, list) else {"episode": e, "members": cast} | r)
+        out += [(x["episode"], x["event"], x["member"]) for x in events]
+    assert out == [(2, "EMPTY_READING", ""), (3, "FORMAT_BREAK", ""), (5, "DEPARTED", "mem9 ber9"), (5, "PROMOTED", "gue one"), (6, "RETURNED", "mem9 ber9"), (7, "EMPTY_READING", ""), (8, "NEW_NAMES", "13")]
+    assert now["members"]["mem9 ber9"]["status"] == "ACTIVE"
+    weak = {"members": {"a bcd": {"status": "WEAK", "spellings": {}, "episodes": [1], "missing": 0}, "e fgh": {"status": "ACTIVE", "spellings": {}, "episodes": [1], "missing": 0}}, "locked": 1}
+    for e in range(2, 7):
+        weak, events = step(weak, {"episode": e, "members": ["e fgh", "a bcd"] if e == 2 else ["e fgh"]})
+    assert [(x["event"], x["member"]) for x in events] == [] and weak["members"]["a bcd"]["status"] == "DEPARTED"
+
+
+def box(text, t, y, x=140.0, **more):
+    return {"row": f"{text}{t}", "t": t, "x": x, "y": float(y), "w": 80.0, "h": 18.0, "text": text, "confidence": 0.9} | more
+
+
+def test_tracks_follow_and_close():
+    fold = tracks.track_boxes(height=360)
+    of = lambda rows: {r["row"]: r["track"] for r in fold(rows)}
+    fast = fold([box("JAMES", k, 40 + 26 * k) for k in range(6)])
+    assert {r["track"] for r in fast} == {0} and fast[-1]["vy"] > 20  # no two boxes overlap
+    assert fold([box("NOISE", k, 40, confidence=0.39) for k in range(6)]) == []
+    assert set(of([box("JAMES", k, 80 + 12 * k) for k in (0, 1, 4, 5)]).values()) == {0}  # across a pause
+    assert of([box("JAMES", k, 80) for k in (0, 1, 8)]) == {"JAMES0": 0, "JAMES1": 0, "JAMES8": 1}  # closed after five frames
+    swap = of([box("ANDREA", k, 90) for k in range(3)] + [box("GERARD", k, 90) for k in range(3, 6)])
+    assert {swap[f"ANDREA{k}"] for k in range(3)} == {0} and {swap[f"GERARD{k}"] for k in range(3, 6)} == {1}  # another text at the same place
+    two = of([box(w, k, y) for k in range(4) for w, y in (("LEFT", 40 + 9 * k), ("RIGHT", 90 + 9 * k))])
+    assert {two[f"LEFT{k}"] for k in range(4)} == {0} and {two[f"RIGHT{k}"] for k in range(4)} == {1}
+
+
+def test_track_scores_by_hand():
+    t = tracks.Open()
+    t.start(0, 0, np.array([100.0, 50.0, 80.0, 20.0]), "ALPHA")
+    got = tracks.scores(t, 2, np.array([[110.0, 60.0, 80.0, 20.0]]), ["ALPHB"], 360.0, tracks.TrackRules())[0, 0]
+    place = 1 - math.hypot(10, 10) / (max(90, 5 + 160) + 80)
+    shared = 70 * 10 / (2 * 1600 - 700)
+    assert got == pytest.approx(0.40 * place + 0.32 * 0.8 + 0.18 * shared + 0.10 * 0.8)
+
+
+def test_readers():
+    merge = lambda a, b, **k: [(r["text"], r["source"]) for r in readers.merge_readers(**k)([{"reader": "a", "text": x} for x in a] + [{"reader": "b", "text": x} for x in b])]
+    assert merge(["Yön", "Ali Velx", "Ayşe", "Son"], ["yon", "Ali Veli Can", "Ek", "Son"]) == [("Yön", "both"), ("Ali Velx", "a"), ("Ayşe", "a"), ("Ali Veli Can", "b"), ("Ek", "b"), ("Son", "both")]
+    assert merge(["Mehmet Ozturl"], ["Mehmet Öztürk"]) == [("Mehmet Öztürk", "marks")]
+    assert merge(["Mehmet Ozturl"], ["Mehmet Ozturk"], known={"mehmet ozturk": "Mehmet ÖZTÜRK"}) == [("Mehmet ÖZTÜRK", "known")]
+    mode = lambda *x: readers.reading_mode()([{"text": t} for t in x])
+    assert mode("MEHMET ALI", "MEHMET AL1", "MEHMET ALI", "XYZ") == [{"text": "MEHMET ALI", "confidence": 0.75, "n": 3}] and mode() == []
+    groups = readers.spelling_groups()([{"text": t, "n": n} for t, n in [("Ali Velioglu", 5), ("Ali Velioğlu", 2), ("Ayse Kaya", 1), ("Ali Velioglx", 1)]])
+    assert groups == [{"text": "Ali Velioğlu", "n": 8, "members": 3}, {"text": "Ayse Kaya", "n": 1, "members": 1}]
+    row = lambda k, t, **m: {"row": k, "text": t, "n": 1, "confidence": 0.5, "frame": None, "y": 0.0, "h": 10.0} | m
+    kept = readers.track_dedup()([row(0, "HEINZ"), row(1, "HEINZ BENNENT"), row(2, "GERARD DEPARDIEU"), row(3, "PARDIEU", n=9), row(4, "LIGHTS", frame=3), row(5, "SOUND", frame=3, y=5.0), row(6, "CAMERA", frame=3, y=30.0)])
+    assert [r["row"] for r in kept] == [1, 3, 4, 6]
+
+
+def test_names_inside_lines():
+    assert names.embedded("BAKKAL / THE GROCER ZÜLTİKAR GÜRLEK", "Zülfikar Gürlek") and not names.embedded("THE GROCER", "Zülfikar Gürlek")
+    assert names.embedded("vahapefe", "Vahap Efe") and not names.embedded("abc", "abc") and not names.embedded(None, "Vahap Efe")
+    assert names.whole_words("HEINZ", "Heinz Bennent") and not names.whole_words("HEIN", "Heinz Bennent")
+    assert names.suffix_token("PARDIEU", "GERARD DEPARDIEU") and not names.suffix_token("NOT", "GERARD DEPARDIEU") and names.suffix_token("BENNENT", "HEINZ BENNENX") and not names.suffix_token("Z BENNENT", "HEINZ BENNENX")
+    assert names.untitled("OP.DR. Ali Kaya") == "Ali Kaya" and names.untitled("Dr. Kaya") == "Dr. Kaya"
+    for a, b in [("Scott Paulin", "Pauline Chan"), ("Kavi Raz", "Micaella Raz")]:
+        assert not names.matches(a, b)
+    assert names.close("Murat Cimcir", "Murat Cemcir") and not names.close("Ali Kay", "Ali Kar") and names.matches("Ali Can Kaya", "Ali Kaya Can")
+
+
 def test_relational(spark):
     a = spark.createDataFrame([("cat",), ("dog",), ("",)], "l string")
     b = spark.createDataFrame([("cut",), ("dogs",), ("cats",), ("x",)], "r string")
@@ -268,11 +354,6 @@ def test_files(spark, tmp_path):
 
 
 def test_state(spark):
-    now, out = {}, []
-    for e, members in enumerate([["a", "b", "c"], ["a", "b", "g"], [], ["x"], ["a", "b", "g"], ["a", "b", "g"]]):
-        now, events = state.roster_step(now, {"episode": e, "members": members})
-        out += [(x["episode"], x["event"], x["member"]) for x in events]
-    assert out == [(2, "EMPTY_READING", ""), (3, "FORMAT_BREAK", ""), (5, "PROMOTED", "g"), (5, "DEPARTED", "c")]
     s = spark.createDataFrame([("a", "x", 1), ("b", "y", 1)], "k string, d string, t int")
     n = spark.createDataFrame([("a", "x", 2), ("b", "z", 2), ("c", "n", 2)], "k string, d string, t int")
     assert sorted(map(tuple, state.witness(s, n, "k", "d", "t").collect())) == [("a", "x", 2, "SAME"), ("b", "y", 1, "CONFLICT"), ("c", "n", 2, "NEW")]
@@ -347,3 +428,42 @@ def test_more_folds():
 
 def test_registered_functions(spark):
     assert spark.sql("SELECT jaro_winkler_similarity('a', 'a') x, sequence_ratio('ab', 'ab') y, nfkd_ascii('éı') z, token_distance(array('a'), array('b')) d").first() == (1.0, 1.0, "ei", 1)
+
+
+def test_segments(spark):
+    cases = [  # text, no_speech, logprob, language, reason, flags
+        ("하루 날 써잇", 0.0, -0.2, "tr", "foreign_script_artifact:hangul", ["foreign_script_artifact"]),
+        ("Tchau, lugar.", 0.0, -0.2, "tr", "short_foreign_phrase_artifact:tchau lugar", ["foreign_phrase_artifact"]),
+        ("I got time.", 0.0, -0.2, "en", None, []),
+        ("I got time.", 0.0, -0.2, None, "short_foreign_phrase_artifact:i got time", ["foreign_phrase_artifact"]),
+        ("İzlediğiniz için teşekkür ederim", 0.1, -0.3, "tr", "stock_artifact:izlediğiniz için teşekkür ederim", ["stock_artifact"]),
+        ("Altyazı M.K.", 0.1, -0.2, "tr", "stock_artifact:altyazı m.k.", ["stock_artifact"]),
+        ("Evet ben söyledim", 0.7, -0.4, "tr", None, ["high_no_speech_prob", "low_confidence"]),
+        ("É", 0.8, -1.1, "tr", "multi_signal_low_quality", []),
+        ("É", 0.8, -1.5, "tr", "very_low_logprob_short_text", ["very_low_logprob"]),
+        ("çıplak " * 54, 0.1, -0.2, "tr", "repetition_collapse:çıplak:run=54", ["repetition_collapse"]),
+        ("Evet, " + "ÇIplak! çıplak " * 10 + "hayır", 0.1, -0.2, "tr", "repetition_collapse:ÇIplak!:run=20", ["repetition_collapse"]),
+        ("a b " * 30, 0.1, -0.2, "tr", None, []),
+        (". " * 25 + "x", 0.1, -0.2, "tr", "repetition_collapse:.:run=25", ["repetition_collapse"]),
+        (". ! " * 25 + "x", 0.1, -0.2, "tr", None, []),
+        ("Normal cümle " + "Hıhı" * 60 + " devam", 0.1, -0.2, "tr", "long_token_artifact:length=240", ["long_token_artifact"]),
+        ("Ayy, de finiske öğret.", 0.0, -1.29, "tr", "very_low_logprob_short_text", ["very_low_logprob"]),
+        ("Bu cümle biraz düşük güvenli ama uzun olduğu için kalsın", 0.0, -1.16, "tr", None, ["low_logprob", "low_confidence"]),
+        ("Tüm hazırlıklar tamamlandı", 0.05, -0.2, "tr", None, []),
+        ("Bonjour tout le monde", 0.05, -0.2, "fr", None, ["unexpected_language", "low_confidence"]),
+        ("... !", 0.0, 0.0, "tr", "no_alnum", []), (None, 0.0, 0.0, "tr", "no_alnum", []),
+    ]
+    d = spark.createDataFrame([(k, *c[:4]) for k, c in enumerate(cases)], "k int, text string, no_speech double, logprob double, language string")
+    got = {r.k: r for r in decisions.judge_segments(d).collect()}
+    assert [(got[k].drop_reason, got[k].flags, got[k].keep) for k in range(len(cases))] == [(c[4], c[5], c[4] is None) for c in cases]
+    only = decisions.judge_segments(d.where("k = 5"), decisions.SegmentRules(drop_stock=False)).first()
+    assert only.keep and only.flags == ["stock_artifact", "low_confidence"]
+    assert len(decisions.STOCK_PHRASES) == 31
+
+
+@pytest.mark.parametrize("name, ok", [
+    ("Jean-Dominique de la Rochefoucauld", True), ("E. B. Clucher", True), ("John B. Smith", True), ("Çağla Işık", True), ("Clucher", False), ("E. B. Film", False), ("One Two Three Four Five", False),
+    ("van der a b c d e", False), ("Ali & Veli", False), ("Ali Veli 3", False), ("Warner Bros Pictures", False), ("Lst Asst Director", False), ("Ali Direktoru", False), ("Ali Desigmer", False), ("Gelmistir Bir Ali", False), ("", False), ("  ", False),
+])
+def test_valid_person(spark, name, ok):
+    assert one(spark, credits.valid_person(F.lit(name))) is ok
