@@ -78,11 +78,12 @@ def extractive_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT source, p_lang AS lang, doc_id FROM (SELECT source, lang AS p_lang, doc_id, row_number() OVER (PARTITION BY trim(lower(translate(substr(text, 1, 12), 'İIıŞşĞğÜüÖöÇç', 'iiissgguuoocc'))) ORDER BY doc_id) AS r FROM documents WHERE trim(lower(substr(text, 1, 12))) <> '') WHERE r = 1""")
+SELECT source, p_lang AS lang, doc_id FROM (SELECT source, lang AS p_lang, doc_id, row_number() OVER (PARTITION BY trim(lower(translate(text, 'İIıŞşĞğÜüÖöÇç', 'iiissgguuoocc'))) ORDER BY doc_id) AS r FROM documents WHERE trim(lower(text)) <> '') WHERE r = 1""")
 def fold_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """The first row of each fold."""
-    p = read(spark, d, "documents").select("doc_id", "source", "lang", F.substring("text", 1, 12).alias("t"))
-    return dedup.first_of(p, T.tr_fold("t"), ["doc_id"]).select("source", "lang", "doc_id")
+    """The first row of each fold of a whole text; the fold moves as its digest."""
+    f = T.tr_fold("text")
+    p = read(spark, d, "documents").select("doc_id", "source", "lang", F.when(f != "", F.sha2(F.encode(f, "utf-8"), 256)).alias("k"))
+    return dedup.first_of(p, F.col("k"), ["doc_id"]).select("source", "lang", "doc_id")
 
 
 @query("""
