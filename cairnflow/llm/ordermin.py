@@ -17,11 +17,14 @@ by text (null first); null ids come first.  The only row of a table is its own n
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, column
@@ -129,6 +132,27 @@ def range_number(cuts: list[int]):
     return F.when(F.col("doc_id").isNull(), 0).otherwise(_search(cuts, 0, len(cuts))) if cuts else F.lit(0)
 
 
+def ranges(docs: DataFrame, parts: int, tie: Column) -> tuple[Column, int]:
+    """The number of each row's range of doc_id, and how many ranges there are, about ``parts``.  A doc_id (or null) that fills several
+    even ranges gets as many of its own, to which its rows are dealt by the hash of tie; other rows of one doc_id stay together."""
+    if parts < 2:
+        return F.lit(0), 1
+    got = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("q"), F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("none"), F.count("*").alias("n")).first()
+    q = got["q"] or []
+    # an id that is m quantiles in a row fills as many ranges, less one
+    hot = {i: m for i, m in Counter(q).items() if m > 1}
+    cuts = sorted({i for i in q if i > got["least"]} | {i + 1 for i in hot})
+    of = [min(parts, 1 + got["none"] * parts // max(1, got["n"]))] + [1] * (len(cuts) + 1)  # nulls, then the ranges between cuts
+    for i, m in hot.items():
+        of[1 + bisect_right(cuts, i)] = m
+    at = F.when(F.col("doc_id").isNull(), 0).otherwise(_search(cuts, 0, len(cuts)) + 1)
+    first = [0, *accumulate(of)]
+    if max(of) == 1:
+        return at, first[-1]
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), at + 1)
+    return pick(first[:-1]) + F.pmod(F.xxhash64(tie), pick(of)).cast("int"), first[-1]
+
+
 def in_ranges(docs: DataFrame, parts: int) -> DataFrame:
     """Rows with the number of their doc_id's range (``part``), and the first rows of each range once more for the range before
     (``ahead``); those of the first range for the last one."""

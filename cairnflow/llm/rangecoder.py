@@ -15,12 +15,13 @@ File: the magic, counts of blocks and documents; of each block (ids, greatest id
 32-bit) and the words.  All numbers little-endian.  ``manifest.json``, renamed into place last, lists the files in order with
 their counts, and a reader reads what it lists alone.
 
-Scale: texts move once, to the ranges of their doc_id, and are encoded and written there; a file holds at most ``FILE_IDS`` ids
+Scale: texts move once, to the ranges of their doc_id (a null or repeated one that fills several is dealt by text), and are encoded
+and written there; a file holds at most ``FILE_IDS`` ids
 (or one document), a worker one block's ids and the coded file.  Files are written under temporary names and renamed, so a task
 that runs again, or twice, leaves the same files.  The driver holds a row a file.
 
 Defined results: a null or empty text is the end id alone.  Null doc_ids come first.  Rows of equal doc_id follow by text, null
-first.  An empty table gives an empty manifest and result.  Other columns are ignored and may have any name.
+first; where they fill several ranges, by range and then by text.  An empty table gives an empty manifest and result.  Other columns are ignored and may have any name.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, column, fresh_dir, in_slices, store
-from .ordermin import cut_points, range_number
+from .ordermin import ranges
 from .wordbpe import default_path, encoder
 
 BLOCK, LANES, LEAST_STEPS, FILE_IDS = 1 << 21, 4096, 128, 16_000_000
@@ -398,8 +399,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     spark = docs.sparkSession
     path, end = tokenizer or default_path(), np.array([end_id], dtype="<u4").tobytes()
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    cuts = cut_points(d, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    d = d.withColumn("part", range_number(cuts)).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "text")
+    number, n_parts = ranges(d, parts or int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("text"))
+    d = d.withColumn("part", number).repartitionById(n_parts, F.col("part")).sortWithinPartitions("part", "doc_id", "text")
 
     def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         part, seq, file = None, 0, Packer()

@@ -11,8 +11,8 @@ revisits without payload.
 Scale: the digests alone are grouped; pages move once, to their range, and the table of revisits (pages with an earlier equal
 payload) is joined by key, broadcast only if its written size is under Spark's threshold.  A writer holds one file's bytes.
 
-Defined results: null html is an empty payload.  Rows of equal page_id are records of their own, in the order of their payload's
-digest; those with the smallest page_id of a payload are all responses.  A null page_id comes first, is never referred to and is
+Defined results: null html is an empty payload.  Rows of equal page_id (or null) are records of their own, in the order of their payload's
+digest, or where they fill several ranges by range and then by digest; those with the smallest page_id of a payload are all responses.  A null page_id comes first, is never referred to and is
 a response.  An empty table gives an empty manifest and result.  Other columns are ignored; a missing url is an empty target.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, column, fresh_dir, materialise, store
-from .ordermin import cut_points, range_number
+from .ordermin import ranges
 
 DATE = "2024-01-01T00:00:00Z"
 ROLL_BYTES, MIN_DEDUP, LEVEL = 64 << 20, 100, 4
@@ -101,9 +101,9 @@ def write(pages: DataFrame, folder: str, date: str = DATE, roll_bytes: int = ROL
     first = keys.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").drop("last")
     repeats = keys.join(first, "digest").where("doc_id != first").select("doc_id", "digest", F.col("first").alias("refers_to")).distinct()
     repeats = materialise(repeats, "repeats").withColumnRenamed("digest", "same")
-    cuts = cut_points(d, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    number, n_parts = ranges(d, parts or int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("digest"))
     d = _with_repeats(d.withColumn("digest", digest), repeats)
-    d = d.withColumn("part", range_number(cuts)).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "digest").select("part", "doc_id", "url", "html", "refers_to")
+    d = d.withColumn("part", number).repartitionById(n_parts, F.col("part")).sortWithinPartitions("part", "doc_id", "digest").select("part", "doc_id", "url", "html", "refers_to")
 
     def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         part, seq, held, size = None, 0, [], 0

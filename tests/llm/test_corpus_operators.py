@@ -515,6 +515,22 @@ def test_token_files(docs, texts, empty):
     assert rangecoder.round_trip(empty).count() == 0
 
 
+def test_ids_that_fill_many_ranges(spark, tmp_path):
+    """Half of the rows without a doc_id, a quarter with one: they lie in ranges of their own, in order, and none is lost."""
+    t = [(None, f"none {k}") for k in range(200)] + [(7, f"seven {k}") for k in range(100)] + [(k, f"own {k}") for k in range(100)]
+    d = spark.createDataFrame(t, "doc_id long, text string").repartition(5)
+    number, n = ordermin.ranges(d, 20, ordermin.F.col("text"))
+    got = [(r.doc_id, r.part) for r in d.withColumn("part", number).collect()]
+    sizes = Counter(p for _, p in got)
+    assert max(sizes.values()) < 60 and n > 15 and max(sizes) < n
+    for (i, p), (j, q) in [(a, b) for a in got for b in got[::7]]:
+        assert (-1 if i is None else i) >= (-1 if j is None else j) or p <= q
+    path = rangecoder.write(d, str(tmp_path / "ids"), parts=20)
+    rows = sorted(rangecoder.read(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == sorted((i for i, _ in t), key=lambda i: -1 if i is None else i)
+    assert [r.start for r in rows] == [sum(r.n_tokens for r in rows[:k]) for k in range(len(rows))]
+
+
 def test_token_files_can_be_read_later(spark, docs, tmp_path):
     path = rangecoder.write(docs, str(tmp_path / "ids"), parts=3)
     (tmp_path / "ids" / "part-000000-9999.ids").write_bytes(b"left by a task that was lost")
