@@ -44,15 +44,14 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def forget(since: int = 0, keep: str = "") -> None:
-    """Drops the intermediate tables and files made since so many, but those under keep."""
-    for spark, path in _MADE[since:]:
-        if not keep or not path.startswith(keep):
-            try:
-                drop_dir(spark, path)
-            except Exception:  # the session is gone; the folder's owner cleans it
-                pass
-    _MADE[since:] = [m for m in _MADE[since:] if keep and m[1].startswith(keep)]
+def forget(since: int = 0, until: int | None = None) -> None:
+    """Drops the intermediate tables and files made since so many, the newest last, or those of them made before until."""
+    for spark, path in _MADE[since:until]:
+        try:
+            drop_dir(spark, path)
+        except Exception:  # the session is gone; the folder's owner cleans it
+            pass
+    del _MADE[since:until]
 
 
 def made() -> int:

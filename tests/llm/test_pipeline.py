@@ -74,3 +74,13 @@ def test_run_drops_its_tables(spark, sf_dir):
     before = len(_MADE)
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     assert len(_MADE) - before == len(corpus_pipeline.STAGES)
+
+
+def test_run_keeps_its_results_at_any_address(spark, sf_dir, monkeypatch, tmp_path):
+    """The shared folder may be named by a path, or a file: address of one slash; a stage may leave nothing."""
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("rules", corpus_pipeline.rules), ("nothing", lambda s, d, _: corpus_pipeline.materialise(d, "part").limit(0)), ("again", lambda s, d, _: d)])
+    for k, scheme in enumerate(("", "file:", "file://")):
+        folder = tmp_path / str(k)
+        monkeypatch.setattr("cairnflow.llm.common.shared_dir", lambda s, at=f"{scheme}{folder}": at)
+        assert corpus_pipeline.run(spark, sf_dir).count() == 0
+        assert sorted(p.name.rpartition("-")[0] for p in folder.iterdir()) == ["again", "nothing", "rules"]
