@@ -13,8 +13,10 @@ random order of its own (optimal densification).  The bins are cut into ``bands`
    several components are settled exactly by their sets' rarest shingles: a set of n that links with one of another component
    shares at least ``percent`` of n with it, so one of its first n - that + 1 shingles, in an order that puts first what no other
    component has, then what few sets have.  A shingle that only one component has joins with nothing: pages from one template,
-   whose own parts are more than the threshold lets differ, make no pairs at all.  The pairs that share such a shingle, and pass
-   the bounds by sizes and maps, are confirmed on full sets.
+   whose own parts are more than the threshold lets differ, make no pairs at all.  Of two sets that link, the first shingle they
+   share has as many behind it in either as the link needs, by both sizes; what can't be that first one makes no pair, so those
+   that miss the threshold by little don't meet once for each rare shingle.  The pairs that are left, and pass the bounds by
+   sizes and maps, are confirmed on full sets.
 
 So the result is that of comparing all pairs that share a bucket.  With 32 bands of 5 a pair of similarity 0.85 shares no bucket with a chance of 7e-9; with 40 of 4 one of 0.8 with 7e-10.
 
@@ -270,7 +272,7 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def rare_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of rows (cls, h1, comp, n, mask, set) of different components that share one of their rarest shingles, as
-    many as a link of theirs must have one of, and whose sizes and maps fit."""
+    many as a link of theirs must have one of, with enough behind it in both, and whose sizes and maps fit."""
     tokens = rows.select("cls", "h1", "comp", F.explode("set").alias("token"))
     several = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("token", "df")
     shared = tokens.select("cls", "h1", "token").join(several, "token").groupBy("cls", "h1").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
@@ -278,14 +280,17 @@ def rare_pairs(rows: DataFrame, percent: int) -> DataFrame:
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))
     sizes = rows.groupBy("comp").agg(F.count("*").alias("members"))
     info = rows.select("cls", "h1", "comp", "n", "mask").join(sizes, "comp")
-    prefix = shared.join(info, ["cls", "h1"]).where(first > 0).select("cls", F.struct("members", "comp").alias("rank"), "n", "mask", F.explode(F.slice("shared", F.lit(1), first.cast("int"))["token"]).alias("token"))
+    prefix = shared.join(info, ["cls", "h1"]).where(first > 0).select("cls", F.struct("members", "comp").alias("rank"), "n", "mask", F.size("shared").alias("size"), F.posexplode(F.slice("shared", F.lit(1), first.cast("int"))["token"]).alias("at", "token"))
+    # what is shared with any set of another component whose first common shingle this is
+    prefix = prefix.select("cls", "rank", "n", "mask", "token", (F.col("size") - F.col("at")).alias("rest"))
     prefix = materialise(prefix, "prefixes")
     # of two components the smaller one asks, so that the many members of a token's largest don't meet one another
     top = prefix.groupBy("token").agg(F.max("rank").alias("top"), F.min("rank").alias("least")).where(F.col("top") != F.col("least")).select("token", "top")
     known = prefix.join(top, "token")
-    ask = known.where(F.col("rank") < F.col("top")).select("token", F.col("cls").alias("a"), F.col("rank").alias("ra"), F.col("n").alias("na"), F.col("mask").alias("ma"))
-    told = known.select("token", F.col("cls").alias("b"), F.col("rank").alias("rb"), F.col("n").alias("nb"), F.col("mask").alias("mb"))
-    return ask.join(told, (ask["token"] == told["token"]) & (F.col("ra") < F.col("rb")) & _fits(percent)).select("a", "b").distinct()
+    ask = known.where(F.col("rank") < F.col("top")).select("token", F.col("cls").alias("a"), F.col("rank").alias("ra"), F.col("n").alias("na"), F.col("mask").alias("ma"), F.col("rest").alias("resta"))
+    told = known.select("token", F.col("cls").alias("b"), F.col("rank").alias("rb"), F.col("n").alias("nb"), F.col("mask").alias("mb"), F.col("rest").alias("restb"))
+    enough = (100 + percent) * F.least("resta", "restb") >= percent * (F.col("na") + F.col("nb"))
+    return ask.join(told, (ask["token"] == told["token"]) & (F.col("ra") < F.col("rb")) & enough & _fits(percent)).select("a", "b").distinct()
 
 
 def _linked(docs: DataFrame, percent: int, doc_id: str, text: str, words: int, bands: int) -> tuple[DataFrame, DataFrame]:

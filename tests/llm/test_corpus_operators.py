@@ -288,6 +288,27 @@ def test_near_dedup_of_dense_groups(spark):
     assert alone.count() == 0
 
 
+def test_sets_that_miss_by_little_make_few_pairs(spark):
+    """Single sets about as far from a large component as the threshold, of sizes at which the maps say nothing: all links are
+    among the pairs, and few others."""
+    import random
+
+    rng = random.Random(12)
+    base, sets = list(range(10**6, 10**6 + 600)), []
+    for k in range(110):
+        out = rng.randrange(0, 12) if k < 60 else rng.randrange(44, 70)
+        keep = rng.sample(base, 600 - out)
+        sets.append(sorted(keep + [10_000 * k + j for j in range(rng.choice([out // 2, out, out + 8]))]))
+    comp = lambda k: 0 if k < 60 else k
+    got = neardup.rare_pairs(spark.createDataFrame([(k, k, comp(k), len(x), [-1] * 16, x) for k, x in enumerate(sets)], "cls long, h1 long, comp long, n long, mask array<long>, set array<long>"), 85)
+    pairs = {tuple(sorted(r)) for r in got.collect()}
+    likeness = {(i, j): len({*sets[i]} & {*sets[j]}) / len({*sets[i]} | {*sets[j]}) for j in range(110) for i in range(j) if comp(i) != comp(j)}
+    links = {k for k, v in likeness.items() if v >= 0.85}
+    assert 100 < len(links) < len(likeness) / 2
+    assert links <= pairs
+    assert len(pairs - links) < len(likeness) / 3
+
+
 def test_keep_one_goes_by_row(spark):
     words = lambda p, n: " ".join(f"{p}{k}" for k in range(n))
     a, b, c = words("a", 60), words("b", 60), words("c", 60)
