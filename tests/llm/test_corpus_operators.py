@@ -202,6 +202,21 @@ def test_suffix_dedup_gives_entries_away(spark, docs, texts, monkeypatch):
     assert found == [3, 1, 4]
 
 
+def test_texts_are_taken_some_at_a_time():
+    """What a worker makes of an Arrow batch of texts is of 500 rows at most, and is all of it."""
+    import pyarrow as pa
+
+    class Docs:
+        select = lambda self, *a: self
+        mapInArrow = lambda self, f, ddl: f
+
+    texts = [f"{k} " * 120 for k in range(1000, 2300)]
+    out = list(pfp.core_rows(Docs())(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+    each = [pfp._cores(t.encode(), pfp.parse(t.encode())[0])[:, 0] for t in texts]
+    assert [b.num_rows for b in out] == [sum(map(len, each[k : k + 500])) for k in (0, 500, 1000)]
+    assert np.concatenate([b.column(0).to_numpy() for b in out]).tolist() == np.concatenate(each).tolist()
+
+
 def test_filter_has_no_false_negative(spark):
     x = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 500)
     f = pfp.make_filter(spark.createDataFrame([(int(v),) for v in x], "core long"), len(x))
