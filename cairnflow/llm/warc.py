@@ -32,7 +32,7 @@ from .common import batches, column, fresh_dir, materialise, store
 from .ordermin import ranges
 
 DATE = "2024-01-01T00:00:00Z"
-ROLL_BYTES, MIN_DEDUP, LEVEL = 64 << 20, 100, 4
+ROLL_BYTES, MIN_DEDUP, LEVEL, WINDOW = 64 << 20, 100, 4, 16 << 10
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space for URLs
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -72,11 +72,16 @@ def member(data: bytes, level: int = LEVEL) -> bytes:
 
 def records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each gzip member; block digests are checked."""
-    while raw:
-        d = zlib.decompressobj(31)
-        data = d.decompress(raw) + d.flush()
-        raw = d.unused_data
-        head, _, rest = data.partition(b"\r\n\r\n")
+    view, at = memoryview(raw), 0
+    while at < len(view):
+        d, data = zlib.decompressobj(31), []
+        while not d.eof and at < len(view):
+            piece = view[at : at + WINDOW]
+            data.append(d.decompress(piece))
+            at += len(piece) - len(d.unused_data)  # zlib copies what follows a member, at most a window of it
+        if not d.eof:
+            raise ValueError("a record is cut short")
+        head, _, rest = b"".join(data).partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if lines[0] != "WARC/1.1":
             raise ValueError("not a WARC/1.1 record")

@@ -1,6 +1,7 @@
 """Each operator against a plain version of its contract, on a small table with nulls, blanks, repeats and clashing names."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -676,5 +677,35 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(d.limit(0)).count() == 0
 
 
+def test_warc_is_read_in_proportion_to_its_size(monkeypatch):
+    rng, fed = random.Random(1), []
+    pages = [rng.randbytes(n) for n in (0, 100_000, *[900] * 600)]
+    raw = b"".join(warc.member(warc.record(i, "u", p, None)) for i, p in enumerate(pages))
+    real = zlib.decompressobj
+
+    class Counted:
+        def __init__(self, bits):
+            self.d = real(bits)
+
+        def decompress(self, data):
+            fed.append(len(data))
+            return self.d.decompress(data)
+
+        def __getattr__(self, name):
+            return getattr(self.d, name)
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counted)
+    assert [block.partition(b"\r\n\r\n")[2] for _, block in warc.records(raw)] == pages
+    assert sum(fed) <= len(raw) + len(pages) * (64 << 10)
+    monkeypatch.undo()
+    for size in (1, 7, 1000, len(raw)):  # members that end within, at and beyond a window's end
+        monkeypatch.setattr(warc, "WINDOW", size)
+        assert [int(f["X-Page-ID"]) for f, _ in warc.records(raw)] == list(range(len(pages)))
+    for cut in (1, 8, 500):
+        with pytest.raises(ValueError, match="cut short"):
+            list(warc.records(raw[:-cut]))
+    assert list(warc.records(b"")) == []
+
+
 def test_queries_have_ten_operators():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
