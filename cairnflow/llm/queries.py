@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm, hostrules, neardup, ordermin, packing, pfp, piecesample, rangecoder, tokencount, warc
+from . import filteraudit, fm, hostrules, neardup, nndescent, ordermin, packing, pfp, piecesample, rangecoder, runs, tokencount, warc
 from .common import table
 
 
@@ -66,7 +66,20 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_tokens", "ids_crc32", F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_packing, op3_suffix_dedup, op4_near_dedup, op5_quality, op6_token_counts, op7_fingerprints, op8_host_rules, op9_token_ids, op10_piece_sampling, host_rules_by_section)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.detect(table(spark, sf_dir, "documents"), edit=True))
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = filteraudit.failures(table(spark, sf_dir, "documents"))
+    return filteraudit.audit(filteraudit.counters(failed, table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_packing, op3_suffix_dedup, op4_near_dedup, op5_quality, op6_token_counts, op7_fingerprints, op8_host_rules, op9_token_ids, op10_piece_sampling, op11_periodic_runs, op12_near_vectors, op13_filter_audit, host_rules_by_section)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """
@@ -77,6 +90,37 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
        CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN first < page_id THEN first END AS refers_to
 FROM d LEFT JOIN f USING (digest)""",
+    "op12_near_vectors": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+                     WHERE label IS NOT NULL AND len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda c: coalesce(isfinite(c), false)), false) AND list_max(list_transform(embedding, lambda c: abs(c))) > 0),
+     l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+           WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+     r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+     n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+     c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(c.c, vec_id)) AS component_id, least(vec_id, coalesce(c.c, vec_id)) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id""",
+    "op13_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
+     w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY x) AS first FROM d),
+     f AS (SELECT doc_id, part, len(words) < 50 AS a, 100 * len(list_distinct(words)) < 65 * len(words) AS b,
+                  100 * len(regexp_extract_all(x, '[A-Z]')) > 5 * length(x) AS c, regexp_matches(x, '[#$%&*|]') AS d, coalesce(doc_id > first, false) AS e FROM w),
+     l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+     m AS (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n
+           FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+     one AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS s),
+     o AS (SELECT a.s || b.s || c.s || d.s || e.s AS filter_order FROM one a, one b, one c, one d, one e
+           WHERE len(list_distinct([a.s, b.s, c.s, d.s, e.s])) = 5),
+     k AS (SELECT filter_order, step::INT AS step, 1 << (strpos('ABCDE', filter_order[step]) - 1) AS bit,
+                  coalesce((SELECT sum(1 << (strpos('ABCDE', filter_order[j]) - 1)) FROM (SELECT unnest(range(1, 6)) AS j) WHERE j < step), 0)::INT AS before
+           FROM o, (SELECT unnest(range(1, 6)) AS step)),
+     r AS (SELECT part, filter_order, step, bit, sum(n * (mask & (bit | before) = 0)::INT) AS kept, sum(n * (mask & bit > 0 AND mask & before = 0)::INT) AS removed,
+                  sum(n * (mask & bit > 0 AND mask & before > 0)::INT) AS redundant, sum(n * (mask = bit)::INT) AS unique_fails,
+                  sum(n * good * (mask & bit > 0 AND mask & before = 0)::INT) AS good_lost, sum(n * toxic * (mask & bit > 0 AND mask & before = 0)::INT) AS toxic_lost
+           FROM m, k GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+       toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r""",
 }
 
 _HOST_SQL = r"""
