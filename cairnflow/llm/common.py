@@ -104,6 +104,11 @@ def claim(name: str) -> None:
         _OWNER = name
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark takes it literally, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, column, hold
+from .common import claim, column, hold, quoted
 
 WORD_BITS, RANK = 14, 8
 STEPS = 16
@@ -192,13 +192,14 @@ def score(docs: DataFrame, model: Machine, threshold: float = THRESHOLD, doc_id:
 
 
 def keep(docs: DataFrame, model: Machine, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs with a score of at least threshold, in one map over them."""
-    flat, w0 = model.flat.astype(np.float32), model.w0
+    """The rows of docs with a score of at least threshold, in one map over them; a row travels as one struct, whose fields may have any name."""
+    flat, w0, at = model.flat.astype(np.float32), model.w0, docs.columns.index("text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("fm")
         m = Machine(w0, flat)
         for b in parts:
-            yield b.filter(pa.array([m.score(t) >= threshold for t in column(b, "text").to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([m.score(t) >= threshold for t in column(b, "row").field(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns]).alias("row"))
+    return rows.mapInArrow(run, rows.schema).select(*[F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, quoted
 
 #: A word is a run of other characters; the symbols that are counted.
 GAP, SYMBOLS = r"[\x20\x09-\x0D]+", "[#*$%&|<>]"
@@ -91,8 +91,8 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
 
 def keep(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of docs that are kept, with their columns: each by its own base verdict and that of its host, whatever its doc_id."""
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text", "source")
+    own = docs.select(F.struct(*(F.col(quoted(c)).alias(c) for c in docs.columns)).alias("row"), "text", "source")
     judged = with_base_verdict(document_counts(own, "row")).select(F.col("doc_id").alias("row"), "host", "base_failed")
     judged = materialise(judged, "hostrules")
     bad = materialise(host_verdicts(judged, host_limit).where("host_rejected").select(F.col("host").alias("_host")), "verdicts")
-    return judged.where(~F.col("base_failed")).join(bad, F.col("host").eqNullSafe(F.col("_host")), "left_anti").select("row.*")
+    return judged.where(~F.col("base_failed")).join(bad, F.col("host").eqNullSafe(F.col("_host")), "left_anti").select(*[F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])

@@ -26,7 +26,7 @@ texts into hashes half a megabyte (or one text) at a time.
 
 Defined results: a null text, or one without words, has an empty set, is linked with nothing and is kept.  Rows of equal doc_id
 are one document with several sets.  A null doc_id is linked with nothing; its component is null and it is kept.  An empty
-table gives an empty result.  Other columns are ignored and may have any name.  ``keep_one`` goes by row, not by doc_id: of the rows
+table gives an empty result.  Other columns are ignored and may have any name and type.  ``keep_one`` goes by row, not by doc_id: of the rows
 that are linked, or repeat one another, one stays, also where their doc_ids are null or equal.
 """
 
@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, column, materialise
+from .common import claim, column, materialise, quoted
 from .components import components
 from .ordermin import mix
 
@@ -331,18 +331,13 @@ def classes(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", tex
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, bands: int = BANDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, the one of the smallest doc_id (null last); rows without words stay.  Rows are told apart by a
-    hash of all their columns; where equal rows are among those that stay, one of them does."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    sigs, named = _linked(docs.select(F.xxhash64(*cols).alias("id"), F.col(f"`{text}`").alias("text")), percent, "id", "text", words, bands)
-    ids = docs.select(F.xxhash64(*cols).alias("id"), F.col(f"`{doc_id}`").cast("long").alias("doc"))
-    d = sigs.where("h1 is not null").select(F.col("doc_id").alias("id"), "h1", "h2").join(named, ["h1", "h2"]).select("id", "c").distinct()
-    d = materialise(d.join(ids.groupBy("id").agg(F.min("doc").alias("doc"), F.count("*").alias("times")), "id"), "rows")
-    best = d.groupBy("c").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "id"))["id"].alias("id"))
-    stay = d.join(best, "id", "left_semi")
-    gone = materialise(d.join(best, "id", "left_anti").select("id").unionByName(stay.where("times > 1").select("id")), "gone")
-    again = materialise(stay.where("times > 1").select("id"), "again")
-    out = docs.join(gone.withColumnRenamed("id", "_gone_id"), F.xxhash64(*cols) == F.col("_gone_id"), "left_anti")
-    if not again.isEmpty():
-        out = out.unionByName(docs.join(again.withColumnRenamed("id", "_again_id"), F.xxhash64(*cols) == F.col("_again_id"), "left_semi").dropDuplicates())
-    return out
+    """One row of each component, the one of the smallest doc_id (null last, then by text); rows without words stay.  Rows are numbered and written
+    once, so each stands for itself, whatever its columns hold and are named."""
+    row, own = F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns]), [F.col(quoted(c)) for c in (doc_id, text)]
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("id"), own[0].cast("long").alias("doc"), own[1].alias("text"), row.alias("row")), "numbered")
+    sigs, named = _linked(rows.select("id", "text"), percent, "id", "text", words, bands)
+    d = sigs.where("h1 is not null").select(F.col("doc_id").alias("id"), "h1", "h2").join(named, ["h1", "h2"]).select("id", "c")
+    d = materialise(d.join(rows.select("id", "doc", F.xxhash64("text").alias("h")), "id"), "rows")
+    best = d.groupBy("c").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "h", "id"))["id"].alias("id"))
+    gone = materialise(d.join(best, "id", "left_anti").select("id"), "gone")
+    return rows.join(gone, "id", "left_anti").select(*[F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])

@@ -24,7 +24,7 @@ Scale: no task sees more than its range of distinct entries; copies of a text co
 the driver sees counts and the filter alone (32 MB at most, put together in the cluster).
 
 Defined results: a null text counts as empty; texts under 200 bytes lose nothing.  Repeated rows repeat each other's text and
-lose it all.  A null doc_id is kept.  An empty table gives an empty result.  Other columns are ignored and may have any name.
+lose it all.  A null doc_id is kept.  An empty table gives an empty result.  Other columns are ignored and may have any name and type.
 """
 
 from __future__ import annotations
@@ -36,10 +36,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, claim, column, in_slices, materialise
+from .common import batches, claim, column, in_slices, materialise, quoted
 from .ordermin import mix
 
 WINDOW, STARTS, GRAM = 200, 128, 32
@@ -335,12 +335,18 @@ def _by_core(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _verdicts(pa.Table.from_batches(held), first, True)
 
 
+def _key(doc_id: str, text: str) -> list[Column]:
+    """kid and h: a 128-bit hash of a row's doc_id and text.  Rows that share both have the same spans."""
+    own = F.col(quoted(doc_id)).cast("long"), F.col(quoted(text))
+    return [F.xxhash64(*own).alias("kid"), F.xxhash64(F.lit(1), *own).alias("h")]
+
+
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("kid"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
+    return docs.select(*_key(doc_id, text), F.col(quoted(text)).alias("text"))
 
 
 def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
-    """kid, h (doc_id and text hash of a document) and its spans [s, e) of repeated windows, as an array of structs."""
+    """kid, h (of a row's doc_id and text) and its spans [s, e) of repeated windows, as an array of structs."""
     spark = docs.sparkSession
     d = keyed(docs, doc_id, text)
     again = materialise(core_rows(d).groupBy("core").count().where("count > 1").select("core"), "cores")
@@ -402,7 +408,7 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: i
 def _with_spans(docs: DataFrame, doc_id: str, text: str, *more: str, parts: int | None = None) -> DataFrame:
     """doc_id, text, the columns more as one (rest), whose names may then be any, and the spans."""
     found = spans(docs, doc_id, text, parts)
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(F.lit(0), *more).alias("rest"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("kid"), F.xxhash64(F.col(text)).alias("h"))
+    d = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text"), F.struct(F.lit(0), *[F.col(quoted(c)) for c in more]).alias("rest"), *_key(doc_id, text))
     return d.join(found, ["kid", "h"], "left")
 
 

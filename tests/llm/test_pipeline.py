@@ -58,6 +58,31 @@ def test_repeated_rows_and_ids(spark, sf_dir, monkeypatch):
     assert out["best-fit packing"].count() == 3
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, `_gone_id` long, `_again_id` string, `a.b` long, `c``d` int, m map<string,int>, l array<struct<x:int>>"
+
+
+def test_columns_of_any_name_and_type_and_nulls_that_change_places(spark, sf_dir, monkeypatch):
+    """Rows that differ only in where a null stands are rows of their own; of those with one text one stays, a row without text isn't lost."""
+    good = " ".join(f"word{k} stands" for k in range(60))
+    other = " ".join(f"thing{k} moves" for k in range(60))
+    more = (1, "x", 2, 3, {"k": 1}, [(1,)])
+    rows = [(5, good, None, "x", 9, *more), (5, None, good, "x", 9, *more), (3, good, "en", "x", 9, *more)]
+    rows += [(6, other, None, "x", None, *more), (6, other, "x", None, None, *more), (6, other, "x", None, None, *more), (6, other, "x", None, 4, *((None,) * 6))]
+    monkeypatch.setattr(corpus_pipeline.fm, "THRESHOLD", 0.0)
+    monkeypatch.setattr(corpus_pipeline.fm.keep, "__defaults__", (0.0,))
+    d = spark.createDataFrame(rows, ODD)
+    kept = corpus_pipeline.near_dedup(spark, d, sf_dir)
+    assert kept.schema.names == d.schema.names
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(5, None), (3, good), (6, other)], key=repr)
+    out = through(spark, d, sf_dir)
+    for name in list(out)[:4]:
+        assert out[name].schema.names == d.schema.names
+    got = out["suffix-array dedup"]
+    assert sorted((r.doc_id, r.text, r["_gone_id"], r["a.b"], r["c`d"], r.m, r.l[0].x) for r in got.where("doc_id = 3").collect()) == [(3, good, 1, 2, 3, {"k": 1}, 1)]
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(3, good), (6, other)]
+    assert out["best-fit packing"].count() == 2
+
+
 def test_empty_table(spark, sf_dir):
     out = through(spark, spark.createDataFrame([], WIDE), sf_dir)
     assert all(d.count() == 0 for d in out.values())
