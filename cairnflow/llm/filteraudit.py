@@ -3,8 +3,8 @@
 1. The rows are range-sorted by text fingerprint, full text and doc_id, so that equal texts lie side by side and a group of copies,
    however large, is cut by doc_id into as many ranges as it needs.  In a range a row is compared with its predecessor by full text;
    the smallest doc_id of a run of equal texts is that of its first row that has one.
-2. Boundaries: a run may go on in the next ranges.  The rows of a range's first and last runs carry the text's SHA-256; the
-   smallest doc_id of each such text, over all ranges, is taken from them and replaces the run's own.
+2. Boundaries: ranges are cut by fingerprint and doc_id, so that no text goes to the driver with their samples, and a run may go on in
+   the next ones.  The rows of a range's first and last fingerprints carry the text's SHA-256; the smallest doc_id of each such text, over all ranges, is taken from them and replaces the run's own.
 3. Each row becomes a mask of the filters that it fails, and the masks are counted by part, with what the labels say: at most
    128 rows a part.  The counters add up, so they combine before they move, and a part with a third of all rows is as good as any.
 4. All orders follow from the counters: what a step takes depends on the set of filters before it alone (80 of set and letter, not 600 of order and step), and the orders are laid over that.
@@ -47,7 +47,7 @@ def own_failures(text: str) -> int:
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("least", pa.int64()), ("edge", pa.binary())])
 
 
-#: Rows of a run that a task holds back until it knows whether the run is the range's last.
+#: Rows of one fingerprint that a task holds back until it knows whether they are the range's last.
 HELD = 2000
 
 
@@ -55,34 +55,36 @@ def _judged(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the rows of a range: their own failures, the smallest doc_id of their run so far, and the text's SHA-256 where the run may go
     on in another range, or is long."""
     claim("filteraudit")
-    run: list[tuple] = []
-    was, mask, least, digest, runs = None, 0, None, b"", 0
+    held: list[tuple] = []  # rows of the fingerprint at hand
+    was, mask, least, digest, at, seen = None, 0, None, b"", None, 0
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), SCHEMA)], schema=SCHEMA)
 
     for b in in_slices(parts, 500):
         out: list[tuple] = []
-        for doc_id, part, text in zip(*(column(b, c).to_pylist() for c in ("doc_id", "part", "text"))):
+        for doc_id, part, text, mark in zip(*(column(b, c).to_pylist() for c in ("doc_id", "part", "text", "fingerprint"))):
+            if mark != at:
+                out += held if seen == 1 else [(*r[:4], None) for r in held]
+                held, at, seen = [], mark, seen + 1
             if text != was:
-                out += run if runs == 1 else [(*r[:4], None) for r in run]
-                run, runs = [], runs + 1
                 was, mask, least, digest = text, own_failures(text), doc_id, hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
-            run.append((doc_id, part, mask, least, digest))
-            if len(run) >= HELD:
-                out += run
-                run = []
+            held.append((doc_id, part, mask, least, digest))
+            if len(held) >= HELD:
+                out += held
+                held = []
         if out:
             yield batch(out)
-    if run:
-        yield batch(run)
+    if held:
+        yield batch(held)
 
 
 def failures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
     """doc_id, part and mask (bits of FILTERS, A the lowest) of each row."""
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    order = [c.asc_nulls_last() for c in (F.xxhash64("text"), F.col("text"), F.col("doc_id"))]
-    rows = d.repartitionByRange(*order).sortWithinPartitions(*order)
+    d = d.withColumn("fingerprint", F.xxhash64("text"))
+    cuts, order = ([F.col(c).asc_nulls_last() for c in k] for k in (("fingerprint", "doc_id"), ("fingerprint", "text", "doc_id")))
+    rows = d.repartitionByRange(*cuts).sortWithinPartitions(*order)
     rows = materialise(rows.mapInArrow(_judged, "doc_id long, part string, mask int, least long, edge binary"), "judged")
     edges = rows.where("edge is not null")
     edges = edges.join(materialise(edges.groupBy("edge").agg(F.min("doc_id").alias("first")), "edges"), "edge").select("doc_id", "part", "mask", F.col("first").alias("least"))
