@@ -364,13 +364,13 @@ def _compared(threshold: float) -> Callable:
 
 def link_counts(members: DataFrame, threshold: float, size: int = BLOCK) -> DataFrame:
     """node and links (other rows linked with one of its rows, but for its own copies) of members (node, component, n, unit)."""
-    blocks = members.groupBy("component").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    # written, so that a small table is known to be one and large components aren't dealt by their number
+    blocks = materialise(members.groupBy("component").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")), "sizes")
     m = materialise(members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
     facts = m.select("component", "block", "n", "unit").repartition("component", "block").sortWithinPartitions("component", "block")
     facts = materialise(facts.mapInArrow(lambda it: batches(_block_facts(it), _FACTS), "component long, block int, weight long, centre binary, radius double"), "blocks")
     # of n blocks in order, pair every one with itself and those behind it
-    several = m.groupBy("component").agg(F.max("blocks").alias("blocks"))
-    pairs = several.select("component", "blocks", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i")).select("component", "i", F.explode(F.expr("sequence(i, blocks - 1)")).alias("j"))
+    pairs = blocks.select("component", "blocks", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i")).select("component", "i", F.explode(F.expr("sequence(i, blocks - 1)")).alias("j"))
     ends = [facts.select("component", F.col("block").alias(k), F.col("weight").alias(f"w{k}"), F.col("centre").alias(f"c{k}"), F.col("radius").alias(f"r{k}")) for k in "ij"]
     at = pairs.join(ends[0], ["component", "i"]).join(ends[1], ["component", "j"])
 
@@ -414,7 +414,7 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, vec_id: str = "v
             break
     members = comp.join(nodes.select("node", "n", "rep", "unit"), "node")
     counts = link_counts(members.select("node", "component", "n", "unit"), threshold)
-    least = members.groupBy("component").agg(F.min("rep").alias("least"))
+    least = materialise(members.groupBy("component").agg(F.min("rep").alias("least")), "least")
     of_node = nodes.select("node", "grp", "h1", "h2", "n", "rep").join(comp, "node", "left").join(least, "component", "left").join(counts, "node", "left")
     of_node = of_node.select("grp", "h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
     valid = prepared.where("grp is not null").select("id", "grp", "h1", "h2").join(of_node, ["grp", "h1", "h2"]).select("id", "n_links", "component_id")
