@@ -1,4 +1,4 @@
-"""Boxes of text linked to tracks, frame by frame, one engine of one recording at a time.
+"""Boxes of text linked to tracks, frame by frame, recordings in segments that are tracked at once.
 
 A box scores against a track by where the track's smoothed velocity foresees it, by spelling, by overlap and by the pause since
 it was last seen; pairs are taken best first, each track and box once.  A track closes when its pause is longer than any box may
@@ -8,12 +8,19 @@ array, and spellings are compared only where the other terms and their lengths l
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..sources.shared import written
+from .graphs import roots
 
 
 # Weights of place, spelling, overlap and pause, and the gates and sizes of a link.
@@ -104,30 +111,185 @@ def _frames(rows: list[dict], r: TrackRules) -> Iterator[tuple[int, list[dict]]]
         yield int(t), sorted(part, key=lambda x: (x["y"] + x["h"] / 2, x["x"] + x["w"] / 2, x["row"]))
 
 
+class Walk:
+    """Goes over frames with the open tracks.  ``tied`` tells whether pairs of equal scores were met, so that the order of tracks mattered."""
+
+    def __init__(self, tracks: Open, tall: float, rules: TrackRules):
+        self.tracks, self.tall, self.rules, self.made, self.tied = tracks, tall, rules, 0, False
+
+    def frame(self, at: int, boxes: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The track's number, and its velocity after it, of each box of a frame."""
+        tracks, rules = self.tracks, self.rules
+        tracks.close(at, rules.max_gap)
+        found = scores(tracks, at, boxes, texts, self.tall, rules)
+        # best first; of equal scores the later track, then the later box
+        free_t, free_b, of = np.ones(len(tracks.text), dtype=bool), np.ones(len(boxes), dtype=bool), {}
+        pairs = sorted(((found[i, j], i, j) for i, j in zip(*np.nonzero(found >= rules.min_score))), reverse=True)
+        self.tied |= len({q for q, _, _ in pairs}) < len(pairs)
+        for _, i, j in pairs:
+            if free_t[i] and free_b[j]:
+                free_t[i] = free_b[j] = False
+                of[j] = i
+        for j, i in of.items():
+            tracks.see(i, at, boxes[j], texts[j], rules.velocity_ema)
+        for j in np.flatnonzero(free_b):
+            of[j] = len(tracks.text)
+            tracks.start(self.made, at, boxes[j], texts[j])
+            self.made += 1
+        which = np.array([of[j] for j in range(len(boxes))], dtype=np.int64)
+        return tracks.keys[which, 0], tracks.v[which]
+
+
 def track_boxes(rules: TrackRules = TrackRules(), height: float | None = None) -> Callable[[list[dict]], list[dict]]:
     """Rows (row, t: frame, x, y, w, h, text: screen_text, confidence) to (row, track, vx, vy): the track of each box that can be
-    linked, numbered as they begin, and its velocity after it."""
+    linked, numbered as they begin, and its velocity after it.  One recording at a time; ``track_segments`` does the same for
+    recordings of any length."""
 
     def fold(rows: list[dict]) -> list[dict]:
-        tracks, out, made = Open(), [], 0
-        tall = height or max([1.0, *(x["y"] + x["h"] for x in rows if x["h"])])
+        out = []
+        walk = Walk(Open(), height or max([1.0, *(x["y"] + x["h"] for x in rows if x["h"])]), rules)
         for frame, now in _frames(rows, rules):
-            tracks.close(frame, rules.max_gap)
-            boxes, texts = np.array([[x["x"], x["y"], x["w"], x["h"]] for x in now], dtype=float), [x["text"] for x in now]
-            found = scores(tracks, frame, boxes, texts, tall, rules)
-            # best first; of equal scores the later track, then the later box
-            free_t, free_b, of = np.ones(len(tracks.text), dtype=bool), np.ones(len(now), dtype=bool), {}
-            for _, i, j in sorted(((found[i, j], i, j) for i, j in zip(*np.nonzero(found >= rules.min_score))), reverse=True):
-                if free_t[i] and free_b[j]:
-                    free_t[i] = free_b[j] = False
-                    of[j] = i
-            for j, i in of.items():
-                tracks.see(i, frame, boxes[j], texts[j], rules.velocity_ema)
-            for j in np.flatnonzero(free_b):
-                of[j] = len(tracks.text)
-                tracks.start(made, frame, boxes[j], texts[j])
-                made += 1
-            out += [{"row": x["row"], "track": int(tracks.keys[of[j], 0]), "vx": float(tracks.v[of[j], 0]), "vy": float(tracks.v[of[j], 1])} for j, x in enumerate(now)]
+            track, v = walk.frame(frame, np.array([[x["x"], x["y"], x["w"], x["h"]] for x in now], dtype=float), [x["text"] for x in now])
+            out += [{"row": x["row"], "track": int(track[j]), "vx": float(v[j, 0]), "vy": float(v[j, 1])} for j, x in enumerate(now)]
         return out
 
     return fold
+
+
+def dump(tracks: Open) -> list[list]:
+    """The open tracks without their numbers; beyond the second it doesn't matter how many boxes a track has seen."""
+    return [[int(k[2]), min(int(k[1]), 2), *map(float, b), *map(float, v), t] for k, b, v, t in zip(tracks.keys, tracks.box, tracks.v, tracks.text)]
+
+
+def load(rows: list[list]) -> Open:
+    """Open tracks with the numbers -1, -2, ... by place."""
+    out = Open()
+    if rows:
+        out.keys = np.array([[-1 - k, r[1], r[0]] for k, r in enumerate(rows)], dtype=np.int64)
+        out.box, out.v, out.text = np.array([r[2:6] for r in rows], dtype=float), np.array([r[6:8] for r in rows], dtype=float), [r[8] for r in rows]
+    return out
+
+
+def hand_over(left: list[list], assumed: list[list], frame: int, tied: bool, rules: TrackRules) -> list[int] | None:
+    """Which of the tracks that a segment left open each of those is that the next one assumed, from its first frame on; None if it assumed
+    others, or in another order where that mattered."""
+    stay = [k for k, r in enumerate(left) if frame - r[0] <= rules.max_gap]
+    if len(stay) != len(assumed):
+        return None
+    if all(left[k] == r for k, r in zip(stay, assumed)):
+        return stay
+    a, b = sorted(stay, key=lambda k: left[k]), sorted(range(len(assumed)), key=lambda k: assumed[k])
+    alike = any(left[x] == left[y] for x, y in zip(a, a[1:]))
+    if tied or alike or any(left[x] != assumed[y] for x, y in zip(a, b)):
+        return None
+    return [x for _, x in sorted(zip(b, a))]
+
+
+_DONE = "by {by}, seg long, row {row}, track long, vx double, vy double, f0 long, births long, tied boolean, assumed string, left string"
+
+
+def _tracked(rules: TrackRules) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A segment's boxes, and one row of what it assumed to be open at its first frame and what it left open.  It starts from the tracks
+    that are given, or else from those that the frames before it give, taken from nothing."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(cy=pdf["y"] + pdf["h"] / 2, cx=pdf["x"] + pdf["w"] / 2).sort_values(["t", "cy", "cx", "row"], kind="stable")
+        given = pdf["given"].iloc[0]
+        tall = float(pdf["tall"].iloc[0])
+        warm = pdf[pdf["warm"]] if not isinstance(given, str) else pdf.iloc[:0]
+        own = pdf[~pdf["warm"]]
+        f0 = int(own["t"].iloc[0])
+        walk = Walk(Open(), tall, rules)
+        for frame, boxes, texts, _ in _by_frame(warm):
+            walk.frame(frame, boxes, texts)
+        walk.tracks.close(f0, rules.max_gap)
+        assumed = json.loads(given) if isinstance(given, str) else dump(walk.tracks)
+        walk = Walk(load(assumed), tall, rules)
+        out = {c: [] for c in ("row", "track", "vx", "vy")}
+        for frame, boxes, texts, rows in _by_frame(own):
+            track, v = walk.frame(frame, boxes, texts)
+            out["row"] += rows
+            out["track"] += track.tolist()
+            out["vx"] += v[:, 0].tolist()
+            out["vy"] += v[:, 1].tolist()
+        left = [[*r, int(k)] for r, k in zip(dump(walk.tracks), walk.tracks.keys[:, 0])]
+        n = len(out["row"])
+        none = [None] * n
+        return pd.DataFrame({"by": [pdf["by"].iloc[0]] * (n + 1), "seg": [pdf["seg"].iloc[0]] * (n + 1), **{c: [*v, None] for c, v in out.items()}, "f0": [*none, f0], "births": [*none, walk.made], "tied": [*none, walk.tied], "assumed": [*none, json.dumps(assumed)], "left": [*none, json.dumps(left)]})
+
+    return run
+
+
+def _by_frame(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, list[str], list]]:
+    t, boxes = pdf["t"].to_numpy(), pdf[["x", "y", "w", "h"]].to_numpy(dtype=float)
+    texts, rows = pdf["text"].tolist(), pdf["row"].tolist()
+    cuts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else []
+    for lo, hi in zip(cuts, [*cuts[1:], len(t)]):
+        yield int(t[lo]), boxes[lo:hi], texts[lo:hi], rows[lo:hi]
+
+
+def _checked(rules: TrackRules) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Of each segment with what the one before it left: whether it assumed that, the tracks to start from if not, and its links: its
+    k-th open track is a birth (from 0) of the segment before, or that one's own open track (-1, -2, ...)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for by, seg, before, f0, tied, assumed, left in zip(*(pdf[c] for c in ("by", "seg", "before", "f0", "tied", "assumed", "left_before"))):
+                was = json.loads(left) if isinstance(left, str) else []
+                bare = [r[:-1] for r in was]
+                of = hand_over(bare, json.loads(assumed), int(f0), bool(tied), rules)
+                given = None if of is not None else json.dumps([r for r in bare if f0 - r[0] <= rules.max_gap])
+                rows.append((by, seg, before, given, [] if of is None else [was[k][-1] for k in of]))
+            yield pd.DataFrame(rows, columns=["by", "seg", "before", "given", "links"]).astype({"before": "Int64"})
+
+    return run
+
+
+def track_segments(rows: DataFrame, by: str, rules: TrackRules = TrackRules(), frames: int = 512, warm: int = 64, height: float | None = None) -> DataFrame:
+    """``track_boxes`` for recordings (by) of any length: by, row, track, vx, vy, the same at any cut.
+
+    A recording is cut in segments of so many frames, which are tracked at once, each after ``warm`` frames of the one before,
+    as tracks forget: one that closes is gone, and a velocity is a moving mean.  Then what each segment left open is held against what
+    the next one assumed, and those that assumed something else are tracked again from what they were given, until none is left.
+    Open tracks are handed over by place; a track that crosses segments is followed back to the one that it began in by
+    doubling steps, and tracks are numbered through by how many began before.
+
+    A null by is a recording of its own; rows with a null frame are left out, as are boxes that can't be linked.
+    """
+    tall = rows.where("h <> 0").groupBy(F.col(by).alias("by")).agg(F.greatest(F.lit(1.0), F.max(F.col("y") + F.col("h"))).alias("tall"))
+    fits = "text <> '' AND w > 0 AND h > 0 AND t IS NOT NULL" + (f" AND (confidence IS NULL OR confidence >= {rules.min_confidence})" if "confidence" in rows.columns else "")
+    boxes = rows.where(fits).select(F.col(by).alias("by"), "row", F.col("t").cast("long").alias("t"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")], "text")
+    seg = F.floor(F.col("t") / frames)
+    here = F.struct(seg.alias("seg"), F.lit(False).alias("warm"))
+    ahead = F.struct((seg + 1).alias("seg"), F.lit(True).alias("warm"))
+    dealt = boxes.select("*", F.inline(F.when(F.col("t") >= (seg + 1) * frames - warm, F.array(here, ahead)).otherwise(F.array(here))))
+    dealt = (dealt.withColumn("tall", F.lit(float(height))) if height else dealt.join(tall, dealt["by"].eqNullSafe(tall["by"])).drop(tall["by"])).withColumn("given", F.lit(None).cast("string"))
+    # a segment without boxes of its own has nothing to track
+    dealt = written(dealt, "segments")
+    dealt = dealt.join(dealt.where("NOT warm").select(F.col("by").alias("_b"), F.col("seg").alias("_s")).distinct(), F.col("by").eqNullSafe(F.col("_b")) & (F.col("seg") == F.col("_s")), "left_semi")
+    schema = _DONE.format(by=boxes.schema["by"].dataType.simpleString(), row=boxes.schema["row"].dataType.simpleString())
+    tracked = lambda d: d.groupBy("by", "seg").applyInPandas(_tracked(rules), schema)
+    done = written(tracked(dealt), "tracked").withColumn("round", F.lit(0))
+    w = Window.partitionBy("by").orderBy("seg")
+    for k in range(1, 1 << 20):
+        last = done.where("f0 IS NOT NULL").groupBy("by", "seg").agg(F.max_by(F.struct("f0", "births", "tied", "assumed", "left", "round"), "round").alias("s")).select("by", "seg", "s.*")
+        last = written(last.withColumns({"before": F.lag("seg").over(w), "left_before": F.lag("left").over(w), "first": F.coalesce(F.sum("births").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}), "left")
+        facts = written(last.select("by", "seg", "before", "f0", "tied", "assumed", "left_before").mapInPandas(_checked(rules), f"by {boxes.schema['by'].dataType.simpleString()}, seg long, before long, given string, links array<long>"), "checked")
+        wrong = facts.where("given IS NOT NULL").select(F.col("by").alias("_b"), F.col("seg").alias("_s"), F.col("given").alias("start"))
+        if wrong.isEmpty():
+            break
+        again = dealt.where("NOT warm").join(wrong, F.col("by").eqNullSafe(F.col("_b")) & (F.col("seg") == F.col("_s"))).withColumn("given", F.col("start")).select(dealt.columns)
+        done = done.unionByName(written(tracked(again), "tracked").withColumn("round", F.lit(k)))
+    links = facts.select("by", "seg", "before", F.posexplode("links").alias("k", "of"))
+    node = lambda s, n: F.concat_ws(":", s, n)
+    # a recording's nodes: births of a segment, and its open tracks; by is kept apart as it may be of any type
+    parents = links.select(F.struct(F.col("by").alias("b"), node("seg", -1 - F.col("k")).alias("n")).alias("node"), F.struct(F.col("by").alias("b"), node("before", F.col("of")).alias("n")).alias("parent"))
+    began = roots(parents).select(F.col("node.b").alias("_b"), F.col("node.n").alias("_n"), F.col("root.n").alias("began"))
+    out = done.where("f0 IS NULL").join(last.select(F.col("by").alias("_lb"), F.col("seg").alias("_ls"), F.col("round").alias("_lr")), F.col("by").eqNullSafe(F.col("_lb")) & (F.col("seg") == F.col("_ls")) & (F.col("round") == F.col("_lr")), "left_semi")
+    out = out.withColumn("n", node("seg", "track")).join(began, F.col("by").eqNullSafe(F.col("_b")) & (F.col("n") == F.col("_n")), "left")
+    start = F.split(F.coalesce("began", "n"), ":")
+    out = out.select("by", "row", "vx", "vy", start[0].cast("long").alias("seg"), start[1].cast("long").alias("birth"))
+    first = last.select(F.col("by").alias("_b"), F.col("seg").alias("_s"), "first")
+    out = out.join(first, F.col("by").eqNullSafe(F.col("_b")) & (F.col("seg") == F.col("_s")))
+    return out.select(F.col("by").alias(by), "row", (F.col("first") + F.col("birth")).cast("int").alias("track"), "vx", "vy")

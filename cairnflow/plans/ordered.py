@@ -197,7 +197,7 @@ def box_tracks(spark: SparkSession, d: str) -> DataFrame:
     """Boxes of text put to tracks frame by frame, by place, spelling, overlap and pause."""
     n = F.col("event_id")
     f = frames(spark, d).select("user_id", n.alias("row"), F.floor(F.col("pos") / 3).cast("long").alias("t"), (n % 7 * 40).cast("double").alias("x"), (F.col("value") * 2).alias("y"), (F.length("event_type") * 9.0).alias("w"), F.lit(18.0).alias("h"), T.screen_text("event_type").alias("text"), (n % 5 / 4.0).alias("confidence"))
-    return folds.grouped(f, "user_id", ["t", "row"], tracks.track_boxes(), "user_id long, row long, track int, vx double, vy double")
+    return tracks.track_segments(f, "user_id")
 
 
 @query()
