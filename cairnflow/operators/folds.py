@@ -259,40 +259,6 @@ def recent_collapse(similarity: float, back: int = 12) -> Callable[[list[dict]],
     return fold
 
 
-def variant_merge(similarity: float) -> Callable[[list[dict]], list[dict]]:
-    """Spellings by falling count: each joins the first kept one of as many tokens that it is near, and counts for it."""
-
-    def fold(rows: list[dict]) -> list[dict]:
-        kept: list[dict] = []
-        for r in rows:
-            hit = next((k for k in kept if len(k["text"].split()) == len(r["text"].split()) and ratio(r["text"], k["text"]) >= similarity), None)
-            if hit:
-                hit["n"] += r["n"]
-            else:
-                kept.append({"text": r["text"], "n": r["n"]})
-        return kept
-
-    return fold
-
-
-def greedy_matching(threshold: float) -> Callable[[list[dict]], list[dict]]:
-    """One-to-one matching of candidates and truth by falling similarity; rows have side ('c' or 't') and text."""
-
-    def fold(rows: list[dict]) -> list[dict]:
-        sides = {s: list(dict.fromkeys(r["text"] for r in rows if r["side"] == s)) for s in "ct"}
-        pairs = sorted(((q, c, t) for c in sides["c"] for t in sides["t"] if (q := ratio(c, t)) >= threshold), reverse=True)
-        used: set[tuple[str, str]] = set()
-        n = 0
-        for _, c, t in pairs:
-            if ("c", c) not in used and ("t", t) not in used:
-                used |= {("c", c), ("t", t)}
-                n += 1
-        p, r = (n / len(sides["c"]) if sides["c"] else 0.0), (n / len(sides["t"]) if sides["t"] else 0.0)
-        return [{"tp": n, "fp": len(sides["c"]) - n, "fn": len(sides["t"]) - n, "precision": round(p, 4), "recall": round(r, 4), "f1": round(2 * p * r / (p + r), 4) if p + r else 0.0}]
-
-    return fold
-
-
 def budgeted_prefix(least: float, target: float, budget: float) -> Callable[[list[dict]], list[dict]]:
     """Each interval cut to target and to what is left of the budget, until less than least is left."""
 
@@ -310,53 +276,6 @@ def budgeted_prefix(least: float, target: float, budget: float) -> Callable[[lis
     return fold
 
 
-def transitive_clusters(similarity: float, length: float = 0.6) -> Callable[[list[dict]], list[dict]]:
-    """Clusters by chains of near texts, each as its most confident text, without those that are most of a longer one."""
-
-    def fold(rows: list[dict]) -> list[dict]:
-        parent = list(range(len(rows)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for i, a in enumerate(rows):
-            for j in range(i + 1, len(rows)):
-                m, n = len(a["text"]), len(rows[j]["text"])
-                if min(m, n) >= length * max(m, n) and root(i) != root(j) and ratio(a["text"], rows[j]["text"]) >= similarity:
-                    parent[root(j)] = root(i)
-        best: dict[int, dict] = {}
-        for i, r in enumerate(rows):
-            k = root(i)
-            if k not in best or r["confidence"] > best[k]["confidence"]:
-                best[k] = r
-        keep = [r for r in best.values() if len(r["text"]) < 3 or not any(length * len(q["text"]) <= len(r["text"]) < len(q["text"]) and r["text"] in q["text"] for q in best.values())]
-        return [{"row": r["row"], "text": r["text"]} for r in keep]
-
-    return fold
-
-
-def clone_collapse(similarity: float) -> Callable[[list[dict]], list[dict]]:
-    """Of two near names of as many tokens the one without evidence goes; of two with evidence, neither known, the weaker one."""
-
-    def fold(rows: list[dict]) -> list[dict]:
-        gone: set[int] = set()
-        for i, a in enumerate(rows):
-            for j in range(i + 1, len(rows)):
-                b = rows[j]
-                if i in gone or j in gone or len(a["text"].split()) != len(b["text"].split()) or ratio(a["text"], b["text"]) < similarity:
-                    continue
-                if bool(a["evidence"]) != bool(b["evidence"]):
-                    gone.add(j if a["evidence"] else i)
-                elif a["evidence"] and not a["known"] and not b["known"]:
-                    gone.add(j if a["evidence"] >= b["evidence"] else i)
-        return [{"row": r["row"], "text": r["text"]} for k, r in enumerate(rows) if k not in gone]
-
-    return fold
-
-
 def fold_in_order(state: dict, step: Callable[[dict, dict], tuple[dict, list[dict]]]) -> Callable[[list[dict]], list[dict]]:
     """Rows folded into a state, with what each step emits; the streaming twin is streaming.state.stateful."""
 

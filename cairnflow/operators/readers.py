@@ -104,25 +104,6 @@ def reading_mode(least: float = 0.80) -> Callable[[list[dict]], list[dict]]:
     return fold
 
 
-def spelling_groups(known: dict[str, str] | None = None, least: float = 0.86) -> Callable[[list[dict]], list[dict]]:
-    """Near spellings (rows text, n in order) by any member: each joins the first group that has one near it; of a group the known
-    spelling, or the one of most marks, then count, then length, stands for all, with the sum of their counts."""
-    near, known = _near(least), known or {}
-
-    def fold(rows: list[dict]) -> list[dict]:
-        groups: list[list[dict]] = []
-        for r in rows:
-            mine = next((g for g in groups if any(near(m["text"], r["text"]) for m in g)), None)
-            if mine is None:
-                groups.append([r])
-            else:
-                mine.append(r)
-        best = lambda g: next((known[N.fold(r["text"])] for r in g if N.fold(r["text"]) in known), None) or max(g, key=lambda r: (marks(r["text"]), r["n"], len(r["text"])))["text"]
-        return [{"text": best(g), "n": sum(r["n"] for r in g), "members": len(g)} for g in groups]
-
-    return fold
-
-
 def track_dedup(least: float = 0.80, shared_chars: int = 4) -> Callable[[list[dict]], list[dict]]:
     """Tracks of one text (rows row, text, n, confidence, frame, y, h in order) kept once: one joins the first kept track that it is
     near by ratio, by whole words or the end of a word (from three letters on), or by standing at the same height of the same frame;

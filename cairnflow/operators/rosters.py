@@ -1,89 +1,22 @@
-"""People over episodes: spellings put together, members matched to what was read, a roster carried from episode to episode."""
+"""People over episodes: members matched to what was read, a roster carried from episode to episode.  Spellings are put together by
+``rounds.vetoed_clusters`` over ``nearness.near_names``."""
 
 from __future__ import annotations
 
 import json
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from ..functions import names as N
 
-Near = Callable[[str, str], bool]
-
 
 def same_person(a: str, b: str) -> bool:
     """Whether two spellings, without academic titles, may be one person's."""
     return N.matches(a, b) or N.close(a, b)
 
 
-@dataclass
-class Cluster:
-    first: int
-    names: list[str]
-    episodes: set = field(default_factory=set)
-
-
-class _Index:
-    """Finds the earlier spellings that may be near a new one: all that ``same_person`` accepts share a token of over two letters,
-    or are single tokens of about one length."""
-
-    def __init__(self):
-        self.by_token: dict[str, list[int]] = defaultdict(list)
-        self.single: dict[int, list[int]] = defaultdict(list)
-
-    def add(self, k: int, name: str) -> Iterable[int]:
-        tokens = N.long_tokens(name)
-        found = {j for t in tokens for j in self.by_token[t]}
-        if len(tokens) == 1:
-            found |= {j for n in range(len(tokens[0]) - 2, len(tokens[0]) + 3) for j in self.single[n]}
-            self.single[len(tokens[0])].append(k)
-        for t in set(tokens):
-            self.by_token[t].append(k)
-        return sorted(found)
-
-
-def spelling_clusters(near: Near | None = None) -> Callable[[list[dict]], list[dict]]:
-    """Clusters of spellings (rows episode, text in order).  A spelling met for the first time asks each earlier one that is near it
-    to join, in their order; clusters seen in one episode are two people and stay apart, and a refusal isn't asked again.  Without
-    ``near`` spellings are near by ``same_person`` after academic titles are taken off, and only those that share a token are
-    compared.  A row for each spelling: text, cluster (the number of its first spelling), n (its episodes)."""
-
-    def fold(rows: list[dict]) -> list[dict]:
-        order: list[str] = []
-        of: dict[str, Cluster] = {}
-        seen: dict[str, set] = {}
-        index = _Index()
-        for r in rows:
-            name = (r["text"] or "").strip()
-            if not name:
-                continue
-            if fresh := name not in of:
-                of[name], seen[name] = Cluster(len(order), [name]), set()
-                order.append(name)
-            seen[name].add(r["episode"])
-            of[name].episodes.add(r["episode"])
-            if fresh:
-                bare = N.untitled(name)
-                earlier = index.add(len(order) - 1, bare) if near is None else range(len(order) - 1)
-                for j in earlier:
-                    if (near or same_person)(N.untitled(order[j]) if near is None else order[j], bare if near is None else name):
-                        _join(of, order[j], name)
-        return [{"text": n, "cluster": of[n].first, "n": len(seen[n])} for n in order]
-
-    return fold
-
-
-def _join(of: dict[str, Cluster], a: str, b: str) -> None:
-    x, y = sorted((of[a], of[b]), key=lambda c: c.first)
-    if x is not y and x.episodes.isdisjoint(y.episodes):
-        x.names += y.names
-        x.episodes |= y.episodes
-        for n in y.names:
-            of[n] = x
-
-
 def canonical(spellings: dict[str, int], known: Callable[[str], bool] = lambda _: False, garbled: Callable[[str], bool] = lambda _: False) -> str:
     """The spelling that stands for a person: without digits if one is, then most seen, then known, then not garbled, then first."""
     return min(spellings, key=lambda s: (any(c.isdigit() for c in s), -spellings[s], not known(s), garbled(s), list(spellings).index(s)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..catalogue import query
 from ..functions import similarity as S
 from ..functions import text as T
-from ..operators import folds
+from ..operators import spellings
 from ..operators import relational as R
 from ..sources import files
 from .ordered import frames
@@ -161,15 +161,15 @@ def phrase_differences(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def fuzzy_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Chains of near texts, the most confident of each."""
-    p = read(spark, d, "part").select(F.concat("p_brand", F.lit("/"), F.col("p_partkey") % 50).alias("item"), F.col("p_partkey").alias("row"), F.col("p_name").alias("text"), F.col("p_retailprice").alias("confidence"))
-    return folds.grouped(p, "item", ["row"], folds.transitive_clusters(0.8), "item string, row long, text string")
+    p = read(spark, d, "part").select(F.floor(F.col("p_partkey") / 40).alias("item"), F.col("p_partkey").alias("row"), F.col("p_name").alias("text"), F.col("p_retailprice").alias("confidence"))
+    return spellings.fuzzy_clusters(p, "item", "row", "text", "confidence", 0.8)
 
 
 @query()
 def clone_collapse(spark: SparkSession, d: str) -> DataFrame:
     """Near names of which the one with less evidence goes."""
-    p = read(spark, d, "part").select(F.concat("p_brand", F.lit("/"), F.col("p_partkey") % 50).alias("item"), F.col("p_partkey").alias("row"), F.col("p_name").alias("text"), (F.col("p_size") % 4).alias("evidence"), (F.col("p_size") > 40).alias("known"))
-    return folds.grouped(p, "item", ["row"], folds.clone_collapse(0.75), "item string, row long, text string")
+    p = read(spark, d, "part").select(F.floor(F.col("p_partkey") / 40).alias("item"), F.col("p_partkey").alias("row"), F.col("p_name").alias("text"), (F.col("p_size") % 4).alias("evidence"), (F.col("p_size") > 40).alias("known"))
+    return spellings.clone_collapse(p, "item", "row", "text", "evidence", "known", 0.75)
 
 
 @query()

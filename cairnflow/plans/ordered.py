@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import query
 from ..functions import text as T
-from ..operators import folds, measures, readers, rosters, runs, tracks
+from ..operators import folds, measures, readers, rosters, runs, spellings, tracks
 from ..streaming import state, windows
 from .intervals import spans
 from .relational import read
@@ -207,52 +207,60 @@ def text_groups(spark: SparkSession, d: str) -> DataFrame:
     return folds.grouped(c, "conv_id", ["t", "row"], folds.temporal_groups(0.82, 2.0, 180.0), "conv_id long, row string, grp int")
 
 
+def named(spark: SparkSession, d: str) -> DataFrame:
+    """Names out of documents: the first two words of letters of each, some with a title, some misread by a letter."""
+    t = read(spark, d, "documents").select("doc_id", "source", F.regexp_extract_all("text", F.lit(r"(\p{L}{3,})")).alias("w")).where("size(w) >= 2")
+    read_ = F.when(F.col("doc_id") % 3 == 0, F.concat(F.expr("left(w[1], length(w[1]) - 1)"), F.lit("x"))).otherwise(F.col("w")[1])
+    return t.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.initcap(F.concat_ws(" ", F.when(F.col("doc_id") % 11 == 0, "Dr."), F.col("w")[0], read_)).alias("text"))
+
+
 @query()
 def spelling_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters of spellings that match or are close, with a veto for those seen together, and each one's canonical spelling."""
+    """Clusters of spellings that match or are close, with a veto for those seen together, and each one's canonical
+    spelling; known are those that other series have too, garbled those with a word of four letters and no vowel."""
     from ..operators import decisions
 
-    name = F.concat_ws(" ", F.when(F.col("p_partkey") % 11 == 0, "Dr."), F.slice(F.split("p_name", " "), 1, 2)[0], F.slice(F.split("p_name", " "), 1, 2)[1])
-    p = read(spark, d, "part").select(F.col("p_brand").alias("series"), (F.col("p_partkey") % 97).alias("episode"), name.alias("text"), "p_partkey")
-    c = folds.grouped(p, "series", ["episode", "p_partkey"], rosters.spelling_clusters(), "series string, text string, cluster int, n int")
-    key = c.withColumn("k", F.concat_ws(":", "series", "cluster"))
-    return decisions.pick_spelling(key, "k", "text", "n", F.lit(False), F.lit(False), "text")
+    n = named(spark, d).select("source", (F.col("doc_id") % 97).alias("episode"), "text", ((F.col("doc_id") % 97) * (1 << 40) + F.col("doc_id")).alias("pos"))
+    c = spellings.clusters(n, "source", "episode", "text", "pos")
+    many = n.groupBy("text").agg(F.count_distinct("source").alias("series")).where("series > 1").select("text", F.lit(True).alias("known"))
+    key = c.join(many, "text", "left").withColumn("k", F.concat_ws(":", "source", "cluster"))
+    return decisions.pick_spelling(key, "k", "text", "n", F.coalesce("known", F.lit(False)), F.col("text").rlike(r"(?i)\b[^\W\daeiouyàâäéèêëîïôöùûüæœ]{4,}\b"), "text")
 
 
 @query()
 def greedy_matching(spark: SparkSession, d: str) -> DataFrame:
     """One-to-one matching by falling similarity, with precision and recall."""
-    p = read(spark, d, "part").select(F.concat("p_brand", F.lit("/"), F.floor(F.col("p_partkey") / 2) % 50).alias("item"), F.when(F.col("p_partkey") % 2 == 0, "c").otherwise("t").alias("side"), F.col("p_name").alias("text"))
-    return folds.grouped(p, "item", ["side", "text"], folds.greedy_matching(0.7), "item string, tp int, fp int, fn int, precision double, recall double, f1 double")
+    p = read(spark, d, "part").select(F.floor(F.col("p_partkey") / 40).alias("item"), F.when(F.col("p_partkey") % 2 == 0, "c").otherwise("t").alias("side"), F.col("p_name").alias("text"))
+    return spellings.matching_scores(p, "item", "side", "text", 0.7)
 
 
 @query()
 def track_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Tracks of one text by ratio, whole words, a word's end or one place of a frame, of which the better stays."""
     n = F.col("p_partkey")
-    p = read(spark, d, "part").select(F.concat("p_brand", F.lit("/"), n % 50).alias("item"), n.alias("row"), F.col("p_name").alias("text"), F.col("p_size").alias("n"), (n % 10 / 10.0).alias("confidence"), (n % 3).alias("frame"), (n % 40 * 10.0).alias("y"), F.lit(18.0).alias("h"))
-    return folds.grouped(p, "item", ["row"], readers.track_dedup(), "item string, row long, text string")
+    p = read(spark, d, "part").select(F.floor(n / 40).alias("item"), n.alias("row"), F.col("p_name").alias("text"), F.col("p_size").alias("n"), (n % 10 / 10.0).alias("confidence"), (n % 3).alias("frame"), (n % 40 * 10.0).alias("y"), F.lit(18.0).alias("h"))
+    return folds.grouped(p, "item", ["row"], readers.track_dedup(), "item long, row long, text string")
 
 
 @query()
 def better_copies(spark: SparkSession, d: str) -> DataFrame:
     """Near rows of which the better one stays."""
-    p = read(spark, d, "part").select(F.concat("p_brand", F.lit("/"), F.col("p_partkey") % 50).alias("item"), F.col("p_partkey").alias("row"), F.col("p_name").alias("text"), F.col("p_retailprice").alias("quality"))
-    return folds.grouped(p, "item", ["row"], folds.keep_better(0.94), "item string, row long, text string, quality double")
+    p = read(spark, d, "part").select(F.floor(F.col("p_partkey") / 40).alias("item"), F.col("p_partkey").alias("row"), F.col("p_name").alias("text"), F.col("p_retailprice").alias("quality"))
+    return folds.grouped(p, "item", ["row"], folds.keep_better(0.94), "item long, row long, text string, quality double")
 
 
 @query()
 def reading_mode(spark: SparkSession, d: str) -> DataFrame:
     """The fuzzy mode of the readings of a text, its cleanest member and its share."""
-    p = read(spark, d, "part").select(F.concat("p_brand", F.lit("/"), F.col("p_partkey") % 50).alias("item"), F.when(F.col("p_partkey") % 4 == 0, F.translate("p_name", "aeo", "430")).otherwise(F.col("p_name")).alias("text"), "p_partkey")
-    return folds.grouped(p, "item", ["p_partkey"], readers.reading_mode(), "item string, text string, confidence double, n int")
+    p = read(spark, d, "part").select(F.floor(F.col("p_partkey") / 40).alias("item"), F.when(F.col("p_partkey") % 4 == 0, F.translate("p_name", "aeo", "430")).otherwise(F.col("p_name")).alias("text"), "p_partkey")
+    return folds.grouped(p, "item", ["p_partkey"], readers.reading_mode(), "item long, text string, confidence double, n int")
 
 
 @query()
 def spelling_groups(spark: SparkSession, d: str) -> DataFrame:
     """Near spellings by any member, with the best one and all their counts."""
-    p = read(spark, d, "part").groupBy(F.concat("p_brand", F.lit("/"), F.length("p_name") % 9).alias("item"), F.array_join(F.slice(F.split("p_name", " "), 1, 2), " ").alias("text")).agg(F.count("*").alias("n")).withColumn("_o", -F.col("n"))
-    return folds.grouped(p, "item", ["_o", "text"], readers.spelling_groups(), "item string, text string, n long, members int")
+    n = named(spark, d).groupBy("source", "text").agg(F.count("*").alias("n"))
+    return spellings.spelling_groups(n, "source", "text", "n")
 
 
 @query()
@@ -285,8 +293,8 @@ def box_unions(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def variant_merge(spark: SparkSession, d: str) -> DataFrame:
     """Spellings merged into the more frequent ones."""
-    p = read(spark, d, "part").groupBy(F.concat("p_brand", F.lit("/"), F.length("p_name") % 9).alias("item"), F.element_at(F.split("p_name", " "), 1).alias("text")).agg(F.count("*").alias("n")).withColumn("_o", -F.col("n"))
-    return folds.grouped(p, "item", ["_o", "text"], folds.variant_merge(0.7), "item string, text string, n long")
+    n = named(spark, d).groupBy("source", "text").agg(F.count("*").alias("n"))
+    return spellings.variant_merge(n, "source", "text", "n", 0.7)
 
 
 @query()

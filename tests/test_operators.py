@@ -3,6 +3,7 @@
 import math
 import random
 
+import loops
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -184,20 +185,20 @@ def test_folds_in_order():
     assert [(r["s"], r["e"]) for r in folds.smooth_bridges("U", 1)(m)] == [(0, 5)]
     assert [r["pos"] for r in folds.anchor_dedup(1, 1)([{"pos": k, "hash": h} for k, h in enumerate([0, 1, 2, 7, 7])])] == [0, 3]
     assert folds.onset("X", 0.5, "u", "m", 1, 2)([{"pos": k, "label": c, "confidence": 1} for k, c in enumerate("aaXXu")]) == [{"decision": "FOUND", "onset": 2}]
-    assert folds.greedy_matching(0.8)([{"side": "c", "text": "abcde"}, {"side": "t", "text": "abcdf"}, {"side": "t", "text": "zzz"}])[0]["f1"] == pytest.approx(0.6667)
-    assert [r["n"] for r in folds.variant_merge(0.8)([{"text": "maria", "n": 5}, {"text": "marla", "n": 1}, {"text": "bob", "n": 1}])] == [6, 1]
+    assert loops.greedy_matching(0.8)([{"side": "c", "text": "abcde"}, {"side": "t", "text": "abcdf"}, {"side": "t", "text": "zzz"}])[0]["f1"] == pytest.approx(0.6667)
+    assert [r["n"] for r in loops.variant_merge(0.8)([{"text": "maria", "n": 5}, {"text": "marla", "n": 1}, {"text": "bob", "n": 1}])] == [6, 1]
 
 
 def test_spellings_seen_together_stay_apart():
     near = lambda a, b: a[:3] == b[:3]
     rows = [{"episode": e, "text": t} for e, t in [(1, "Anna"), (2, "Ann"), (3, "Anna"), (3, "Annb")]]
-    got = {r["text"]: r["cluster"] for r in rosters.spelling_clusters(near)(rows)}
+    got = {r["text"]: r["cluster"] for r in loops.spelling_clusters(near)(rows)}
     assert got["Anna"] == got["Ann"] != got["Annb"]
 
 
 def test_spelling_clusters_by_name():
     rows = [(1, "Anna Karen"), (2, "Prof. Dr. Anna Karen"), (3, "Anna Karon"), (4, "Anna Karen"), (4, "Ana Karen"), (1, "Anna Karen"), (5, "Scott Paulin"), (6, "Pauline Chan"), (7, " "), (8, "Murat"), (9, "Murad")]
-    got = {r["text"]: (r["cluster"], r["n"]) for r in rosters.spelling_clusters()([{"episode": e, "text": t} for e, t in rows])}
+    got = {r["text"]: (r["cluster"], r["n"]) for r in loops.spelling_clusters()([{"episode": e, "text": t} for e, t in rows])}
     assert got == {"Anna Karen": (0, 2), "Prof. Dr. Anna Karen": (0, 1), "Anna Karon": (0, 1), "Ana Karen": (3, 1), "Scott Paulin": (4, 1), "Pauline Chan": (5, 1), "Murat": (6, 1), "Murad": (6, 1)}
     # the token index leaves out no pair that the test of all pairs finds
     import random
@@ -205,7 +206,7 @@ def test_spelling_clusters_by_name():
     rng = random.Random(4)
     parts = ["ann", "anna", "karen", "karon", "murat", "murad", "li", "de", "oz"]
     many = [{"episode": rng.randrange(30), "text": " ".join(rng.choice(parts) for _ in range(rng.randint(1, 3)))} for _ in range(200)]
-    assert rosters.spelling_clusters()(many) == rosters.spelling_clusters(lambda a, b: rosters.same_person(names.untitled(a), names.untitled(b)))(many)
+    assert loops.spelling_clusters()(many) == loops.spelling_clusters(lambda a, b: rosters.same_person(names.untitled(a), names.untitled(b)))(many)
     assert rosters.canonical({"B0b": 9, "Bob": 2, "Bobb": 2}) == "Bob" and rosters.canonical({"x": 1, "y": 1}, known=lambda s: s == "y") == "y"
 
 
@@ -263,7 +264,7 @@ def test_readers():
     assert merge(["Mehmet Ozturl"], ["Mehmet Ozturk"], known={"mehmet ozturk": "Mehmet ÖZTÜRK"}) == [("Mehmet ÖZTÜRK", "known")]
     mode = lambda *x: readers.reading_mode()([{"text": t} for t in x])
     assert mode("MEHMET ALI", "MEHMET AL1", "MEHMET ALI", "XYZ") == [{"text": "MEHMET ALI", "confidence": 0.75, "n": 3}] and mode() == []
-    groups = readers.spelling_groups()([{"text": t, "n": n} for t, n in [("Ali Velioglu", 5), ("Ali Velioğlu", 2), ("Ayse Kaya", 1), ("Ali Velioglx", 1)]])
+    groups = loops.spelling_groups()([{"text": t, "n": n} for t, n in [("Ali Velioglu", 5), ("Ali Velioğlu", 2), ("Ayse Kaya", 1), ("Ali Velioglx", 1)]])
     assert groups == [{"text": "Ali Velioğlu", "n": 8, "members": 3}, {"text": "Ayse Kaya", "n": 1, "members": 1}]
     row = lambda k, t, **m: {"row": k, "text": t, "n": 1, "confidence": 0.5, "frame": None, "y": 0.0, "h": 10.0} | m
     kept = readers.track_dedup()([row(0, "HEINZ"), row(1, "HEINZ BENNENT"), row(2, "GERARD DEPARDIEU"), row(3, "PARDIEU", n=9), row(4, "LIGHTS", frame=3), row(5, "SOUND", frame=3, y=5.0), row(6, "CAMERA", frame=3, y=30.0)])
@@ -416,9 +417,9 @@ def test_sinks(spark, tmp_path):
 
 def test_more_folds():
     rows = [{"row": k, "text": t, "confidence": c} for k, (t, c) in enumerate([("anna smith", 0.5), ("anna smitt", 0.9), ("ann smitt", 0.1), ("bob", 0.3), ("anna smit", 0.2)])]
-    assert [r["row"] for r in folds.transitive_clusters(0.85)(rows)] == [1, 3]
+    assert [r["row"] for r in loops.transitive_clusters(0.85)(rows)] == [1, 3]
     rows = [{"row": k, "text": t, "evidence": e, "known": n} for k, (t, e, n) in enumerate([("ada byron", 2, False), ("ada byrom", 0, False), ("eve low", 1, False), ("eve lowe", 3, False), ("max x", 1, True), ("max y", 2, False)])]
-    assert [r["row"] for r in folds.clone_collapse(0.75)(rows)] == [0, 3, 4, 5]
+    assert [r["row"] for r in loops.clone_collapse(0.75)(rows)] == [0, 3, 4, 5]
     assert [r["n"] for r in folds.overlap_groups(0.5)([{"s": 0, "e": 4}, {"s": 2, "e": 6}, {"s": 9, "e": 9}])] == [2, 1]
     assert [r["e"] for r in folds.budgeted_prefix(2, 5, 8)([{"s": 0, "e": 9}, {"s": 10, "e": 19}, {"s": 20, "e": 29}])] == [5, 13]
     assert [r["row"] for r in folds.recent_collapse(0.9, 1)([{"row": k, "text": t} for k, t in enumerate(["abcdefghij", "abcdefghik", "zz", "abcdefghij", "zz"])])] == [0, 2]

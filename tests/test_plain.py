@@ -68,7 +68,7 @@ def items(t, key):
     return {k: sorted(rows, key=lambda r: r["p_partkey"]) for k, rows in by(t["part"], key).items()}
 
 
-fifty = lambda r: f"{r['p_brand']}/{r['p_partkey'] % 50}"
+batch = lambda r: r["p_partkey"] // 40
 
 
 def test_card_groups(t, run):
@@ -136,7 +136,7 @@ def test_recent_collapse(t, run):
 
 def test_greedy_matching(t, run):
     want = []
-    for item, rows in items(t, lambda r: f"{r['p_brand']}/{r['p_partkey'] // 2 % 50}").items():
+    for item, rows in items(t, batch).items():
         c, x = ({r["p_name"] for r in rows if r["p_partkey"] % 2 == k} for k in (0, 1))
         n, left, right = 0, set(c), set(x)
         while pairs := [(ratio(a, b), a, b) for a in left for b in right if ratio(a, b) >= 0.7]:
@@ -151,7 +151,7 @@ def test_greedy_matching(t, run):
 
 def test_better_copies(t, run):
     want = []
-    for item, rows in items(t, fifty).items():
+    for item, rows in items(t, batch).items():
         kept = []
         for r in rows:
             k = next((k for k, q in enumerate(kept) if ratio(q["p_name"], r["p_name"]) > 0.94), None)
@@ -165,7 +165,7 @@ def test_better_copies(t, run):
 
 def test_reading_mode(t, run):
     want = []
-    for item, rows in items(t, fifty).items():
+    for item, rows in items(t, batch).items():
         texts = [r["p_name"].translate(str.maketrans("aeo", "430")) if r["p_partkey"] % 4 == 0 else r["p_name"] for r in rows]
         groups = []
         for s in texts:
@@ -350,9 +350,9 @@ def test_upper_prose(t, run):
 
 #: Where the other queries without SQL are tested: their operators, on rows made for it; in test_rounds on whole tables too.
 ELSEWHERE = {
-    "test_rounds": "box_tracks".split(),
-    "test_operators": ("anchor_dedup anchored_roles best_runs capped_chunks clone_collapse column_splits confirmed_cast consensus_lines dialect_texts fuzzy_clusters guest_blocks merged_readers other_folds paired_lines parsed_credits "
-                       "phrase_differences regime_onsets roster_changes spelling_clusters spelling_groups stop_cards suspect_names text_variants track_dedup unwitnessed_names variant_merge").split(),
+    "test_rounds": "box_tracks clone_collapse fuzzy_clusters names_in_lines spelling_clusters spelling_groups variant_merge".split(),
+    "test_operators": ("anchor_dedup anchored_roles best_runs capped_chunks column_splits confirmed_cast consensus_lines dialect_texts guest_blocks merged_readers other_folds paired_lines parsed_credits "
+                       "phrase_differences regime_onsets roster_changes stop_cards suspect_names text_variants track_dedup unwitnessed_names").split(),
 }
 
 
