@@ -37,164 +37,6 @@ def _columns(schema: str) -> list[str]:
     return out + [schema[at:].strip()]
 
 
-def capped_merge(max_seconds: float, gap: float) -> Callable[[list[dict]], list[dict]]:
-    """Intervals (s, e) joined while the pause is at most gap and the whole at most max_seconds."""
-
-    def fold(rows: list[dict]) -> list[dict]:
-        out: list[dict] = []
-        for r in rows:
-            if out and r["s"] - out[-1]["e"] <= gap and r["e"] - out[-1]["s"] <= max_seconds:
-                out[-1]["e"], out[-1]["n"] = r["e"], out[-1]["n"] + 1
-            else:
-                out.append({"s": r["s"], "e": r["e"], "n": 1})
-        return [{"chunk": k} | r for k, r in enumerate(out)]
-
-    return fold
-
-
-def merged_chunks(duration: float, min_seconds: float, max_seconds: float, gap: float, padding: float) -> Callable[[list[dict]], list[dict]]:
-    """capped_merge, then short chunks widened into the free time around them, cut at the middle between neighbours, padded."""
-
-    def fold(rows: list[dict]) -> list[dict]:
-        groups = [(r["s"], r["e"], r["n"]) for r in capped_merge(max_seconds, gap)(rows)]
-        wide = []
-        for k, (s, e, n) in enumerate(groups):
-            lo = groups[k - 1][1] if k else 0.0
-            hi = groups[k + 1][0] if k + 1 < len(groups) else duration
-            s, e = max(0.0, min(duration, s)), max(0.0, min(duration, e))
-            if e <= s:
-                continue
-            if (lack := min(min_seconds - (e - s), max(0.0, hi - lo - (e - s)))) > 0:
-                before = min(lack / 2, max(0.0, s - lo))
-                after = min(lack - before, max(0.0, hi - e))
-                before = min(max(0.0, s - lo), before + max(0.0, lack - before - after))
-                s, e = max(lo, s - before), min(hi, e + after)
-            wide.append((s, e, n))
-        cuts = [0.0]
-        for (_, e, _), (s, _, _) in zip(wide, wide[1:]):
-            cuts.append(max(cuts[-1], min(duration, (e + s) / 2)))
-        cuts.append(duration)
-        out = []
-        for k, (s, e, n) in enumerate(wide):
-            s, e = max(cuts[k], s - padding, 0.0), min(cuts[k + 1], e + padding, duration)
-            if e - s >= 0.1:
-                out.append({"chunk": len(out), "s": round(s, 3), "e": round(e, 3), "n": n})
-        return out
-
-    return fold
-
-
-def merge_windows(gap: float) -> Callable[[list[dict]], list[dict]]:
-    """Neighbours of one type within gap are joined; metric is the pairwise mean from the left."""
-
-    def fold(rows: list[dict]) -> list[dict]:
-        out: list[dict] = []
-        for r in rows:
-            if out and out[-1]["type"] == r["type"] and r["s"] - out[-1]["e"] <= gap:
-                out[-1]["e"], out[-1]["metric"] = r["e"], (out[-1]["metric"] + r["metric"]) / 2
-            else:
-                out.append({k: r[k] for k in ("s", "e", "type", "metric")})
-        return out
-
-    return fold
-
-
-def smooth_bridges(unknown: str, seconds: float) -> Callable[[list[dict]], list[dict]]:
-    """X, a short unknown, X becomes X; three rows are used up at a time, from the left."""
-
-    def fold(rows: list[dict]) -> list[dict]:
-        out, k = [], 0
-        while k < len(rows):
-            r = {c: rows[k][c] for c in ("s", "e", "type")}
-            if k + 2 < len(rows) and r["type"] == rows[k + 2]["type"] and rows[k + 1]["type"] == unknown and rows[k + 1]["e"] - rows[k + 1]["s"] <= seconds:
-                r["e"], k = rows[k + 2]["e"], k + 3
-            else:
-                k += 1
-            out.append(r)
-        return out
-
-    return fold
-
-
-def overlap_groups(least: float) -> Callable[[list[dict]], list[dict]]:
-    """Rows join the group whose window, grown by its rows, they overlap by at least this share of the shorter one."""
-
-    def fold(rows: list[dict]) -> list[dict]:
-        out: list[dict] = []
-        for r in rows:
-            if out:
-                g = out[-1]
-                both = max(0.0, min(g["e"], r["e"]) - max(g["s"], r["s"]))
-                short = min(g["e"] - g["s"], r["e"] - r["s"])
-                if (both / short if short > 0 else float(both > 0)) >= least:
-                    g["s"], g["e"], g["n"] = min(g["s"], r["s"]), max(g["e"], r["e"]), g["n"] + 1
-                    continue
-            out.append({"card": len(out) + 1, "s": r["s"], "e": r["e"], "n": 1})
-        return out
-
-    return fold
-
-
-def anchor_dedup(threshold: int, keep: int) -> Callable[[list[dict]], list[dict]]:
-    """Rows whose hash is near the first of their cluster join it; keep evenly spaced ones of each cluster stay."""
-
-    def fold(rows: list[dict]) -> list[dict]:
-        if len(rows) <= keep:
-            return [{"pos": r["pos"]} for r in rows]
-        clusters: list[list[dict]] = []
-        for r in rows:
-            anchor = clusters[-1][0]["hash"] if clusters else None
-            if anchor is not None and r["hash"] is not None and (int(anchor) ^ int(r["hash"])).bit_count() <= threshold:
-                clusters[-1].append(r)
-            else:
-                clusters.append([r])
-        out = set()
-        for c in clusters:
-            n = len(c)
-            out |= {r["pos"] for r in c} if n <= keep else {c[0]["pos"]} if keep == 1 else {c[round(t * (n - 1) / (keep - 1))]["pos"] for t in range(keep)}
-        return [{"pos": p} for p in sorted(out)]
-
-    return fold
-
-
-def regimes(unknown: str, tolerance: int, confirm: int) -> Callable[[list[dict]], list[dict]]:
-    """Runs of a label over up to tolerance unknown rows between them; those of at least confirm known rows."""
-
-    def fold(rows: list[dict]) -> list[dict]:
-        out: list[dict] = []
-        blank = 0
-        for r in rows:
-            if r["label"] == unknown:
-                blank += 1
-                continue
-            if out and out[-1]["label"] == r["label"] and blank <= tolerance:
-                out[-1]["last"], out[-1]["n"] = r["pos"], out[-1]["n"] + 1
-            else:
-                out.append({"label": r["label"], "first": r["pos"], "last": r["pos"], "n": 1})
-            blank = 0
-        return [r for r in out if r["n"] >= confirm]
-
-    return fold
-
-
-def onset(label: str, floor: float, unknown: str, missing: str, tolerance: int, confirm: int) -> Callable[[list[dict]], list[dict]]:
-    """The decision on where label begins: rows under the confidence floor count as unknown; one confirmed run is FOUND, several are
-    REVIEW, none NONE, and rows that are all missing MODEL_ERROR; positions that aren't consecutive are an error."""
-
-    def fold(rows: list[dict]) -> list[dict]:
-        if any(b["pos"] - a["pos"] != 1 for a, b in zip(rows, rows[1:])):
-            return [{"decision": "GAP", "onset": None}]
-        if all(r["label"] == missing for r in rows):
-            return [{"decision": "MODEL_ERROR", "onset": None}]
-        seen = [r | {"label": unknown if r["confidence"] < floor or r["label"] == missing else r["label"]} for r in rows]
-        runs = [r for r in regimes(unknown, tolerance, confirm)(seen) if r["label"] == label]
-        if not runs:
-            return [{"decision": "NONE", "onset": None}]
-        return [{"decision": "FOUND" if len(runs) == 1 else "REVIEW", "onset": runs[0]["first"]}]
-
-    return fold
-
-
 def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 

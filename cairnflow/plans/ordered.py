@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import query
 from ..functions import text as T
-from ..operators import folds, measures, readers, rosters, runs, spellings, tracks
+from ..operators import folds, measures, pieces, readers, rosters, runs, spellings, tracks
 from ..streaming import state, windows
 from .intervals import spans
 from .relational import read
@@ -160,36 +160,37 @@ def split_clusters(spark: SparkSession, d: str) -> DataFrame:
 def capped_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Intervals joined over short pauses up to a greatest length, widened, cut and padded."""
     s = spans(spark, d).select("user_id", "s", "e", "event_id")
-    return folds.grouped(s, "user_id", ["s", "e", "event_id"], folds.merged_chunks(60_000.0, 20.0, 120.0, 30.0, 0.5), "user_id long, chunk int, s double, e double, n int")
+    return pieces.merged_chunks(s, "user_id", ["s", "e", "event_id"], 60_000.0, 20.0, 120.0, 30.0, 0.5)
 
 
 @query()
 def regime_onsets(spark: SparkSession, d: str) -> DataFrame:
     """Confirmed runs of a label and the decision on its onset."""
     f = frames(spark, d).select("user_id", "pos", F.col("event_type").alias("label"), F.col("score").alias("confidence"))
-    return folds.grouped(f, "user_id", ["pos"], folds.onset("purchase", 0.2, "unknown", "error", 3, 2), "user_id long, decision string, onset long")
+    return pieces.onsets(f, "user_id", "purchase", 0.2, "unknown", "error", 3, 2)
 
 
 @query()
 def window_merges(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours of one type joined, then short unknown bridges smoothed."""
     f = frames(spark, d).select("user_id", (F.col("pos") * 10.0).alias("s"), (F.col("pos") * 10.0 + 10).alias("e"), F.when(F.col("score") < 0.3, "UNKNOWN").otherwise(F.col("event_type")).alias("type"), F.col("score").alias("metric"))
-    m = folds.grouped(f, "user_id", ["s"], folds.merge_windows(0.5), "user_id long, s double, e double, type string, metric double")
-    return folds.grouped(m, "user_id", ["s"], folds.smooth_bridges("UNKNOWN", 20.0), "user_id long, s double, e double, type string")
+    m = pieces.fold_in_pieces(f, "user_id", ["s"], pieces.merge_windows(0.5), "s double, e double, type string, metric double")
+    return pieces.fold_in_pieces(m.select("user_id", "s", "e", "type"), "user_id", ["s"], pieces.smooth_bridges("UNKNOWN", 20.0), "s double, e double, type string").drop("nth")
 
 
 @query()
 def card_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups by overlap with a window that grows."""
     s = spans(spark, d).select("user_id", "s", "e", "event_id")
-    return folds.grouped(s, "user_id", ["s", "event_id"], folds.overlap_groups(0.2), "user_id long, card int, s double, e double, n int")
+    g = pieces.fold_in_pieces(s, "user_id", ["s", "event_id"], pieces.overlap_groups(0.2), "s double, e double, n int")
+    return g.select("user_id", (F.col("nth") + 1).cast("int").alias("card"), "s", "e", "n")
 
 
 @query()
 def anchor_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Rows near their cluster's first one thinned out."""
     f = frames(spark, d).select("user_id", "pos", F.xxhash64("event_type").alias("hash"))
-    return folds.grouped(f, "user_id", ["pos"], folds.anchor_dedup(10, 2), "user_id long, pos long")
+    return pieces.thinned(f, "user_id", "pos", "hash", 10, 2)
 
 
 @query()

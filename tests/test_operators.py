@@ -178,13 +178,13 @@ def test_runs(spark):
 
 def test_folds_in_order():
     rows = [{"s": 0, "e": 5}, {"s": 6, "e": 9}, {"s": 9, "e": 30}, {"s": 90, "e": 91}]
-    assert [(r["s"], r["e"]) for r in folds.capped_merge(10, 2)(rows)] == [(0, 9), (9, 30), (90, 91)]
+    assert [(r["s"], r["e"]) for r in loops.capped_merge(10, 2)(rows)] == [(0, 9), (9, 30), (90, 91)]
     w = [{"s": k, "e": k + 1, "type": t, "metric": v} for k, (t, v) in enumerate([("A", 1), ("A", 3), ("A", 4), ("U", 0), ("A", 1)])]
-    m = folds.merge_windows(0)(w)
+    m = loops.merge_windows(0)(w)
     assert [(r["type"], r["metric"]) for r in m] == [("A", 3.0), ("U", 0), ("A", 1)]
-    assert [(r["s"], r["e"]) for r in folds.smooth_bridges("U", 1)(m)] == [(0, 5)]
-    assert [r["pos"] for r in folds.anchor_dedup(1, 1)([{"pos": k, "hash": h} for k, h in enumerate([0, 1, 2, 7, 7])])] == [0, 3]
-    assert folds.onset("X", 0.5, "u", "m", 1, 2)([{"pos": k, "label": c, "confidence": 1} for k, c in enumerate("aaXXu")]) == [{"decision": "FOUND", "onset": 2}]
+    assert [(r["s"], r["e"]) for r in loops.smooth_bridges("U", 1)(m)] == [(0, 5)]
+    assert [r["pos"] for r in loops.anchor_dedup(1, 1)([{"pos": k, "hash": h} for k, h in enumerate([0, 1, 2, 7, 7])])] == [0, 3]
+    assert loops.onset("X", 0.5, "u", "m", 1, 2)([{"pos": k, "label": c, "confidence": 1} for k, c in enumerate("aaXXu")]) == [{"decision": "FOUND", "onset": 2}]
     assert loops.greedy_matching(0.8)([{"side": "c", "text": "abcde"}, {"side": "t", "text": "abcdf"}, {"side": "t", "text": "zzz"}])[0]["f1"] == pytest.approx(0.6667)
     assert [r["n"] for r in loops.variant_merge(0.8)([{"text": "maria", "n": 5}, {"text": "marla", "n": 1}, {"text": "bob", "n": 1}])] == [6, 1]
 
@@ -420,11 +420,11 @@ def test_more_folds():
     assert [r["row"] for r in loops.transitive_clusters(0.85)(rows)] == [1, 3]
     rows = [{"row": k, "text": t, "evidence": e, "known": n} for k, (t, e, n) in enumerate([("ada byron", 2, False), ("ada byrom", 0, False), ("eve low", 1, False), ("eve lowe", 3, False), ("max x", 1, True), ("max y", 2, False)])]
     assert [r["row"] for r in loops.clone_collapse(0.75)(rows)] == [0, 3, 4, 5]
-    assert [r["n"] for r in folds.overlap_groups(0.5)([{"s": 0, "e": 4}, {"s": 2, "e": 6}, {"s": 9, "e": 9}])] == [2, 1]
+    assert [r["n"] for r in loops.overlap_groups(0.5)([{"s": 0, "e": 4}, {"s": 2, "e": 6}, {"s": 9, "e": 9}])] == [2, 1]
     assert [r["e"] for r in folds.budgeted_prefix(2, 5, 8)([{"s": 0, "e": 9}, {"s": 10, "e": 19}, {"s": 20, "e": 29}])] == [5, 13]
     assert [r["row"] for r in folds.recent_collapse(0.9, 1)([{"row": k, "text": t} for k, t in enumerate(["abcdefghij", "abcdefghik", "zz", "abcdefghij", "zz"])])] == [0, 2]
     assert [r["grp"] for r in folds.temporal_groups(0.8, 2, 10)([{"row": k, "text": t, "t": s, "x": 0, "y": 0} for k, (t, s) in enumerate([("HELLO", 0), ("HELLO", 1), ("WORLD", 1), ("HELLO", 9)])])] == [1, 1, 2, 3]
-    assert folds.merged_chunks(100.0, 10.0, 30.0, 1.0, 0.0)([{"s": 20, "e": 22}, {"s": 40, "e": 60}])[0] == {"chunk": 0, "s": 16.0, "e": 26.0, "n": 1}
+    assert loops.merged_chunks(100.0, 10.0, 30.0, 1.0, 0.0)([{"s": 20, "e": 22}, {"s": 40, "e": 60}])[0] == {"chunk": 0, "s": 16.0, "e": 26.0, "n": 1}
 
 
 def test_registered_functions(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cairnflow import catalogue, plans  # noqa: F401
 from cairnflow.functions import names as N
 from cairnflow.functions import text as T
-from cairnflow.operators import graphs, nearness, rounds, spellings, tracks
+from cairnflow.operators import graphs, nearness, pieces, rounds, spellings, tracks
 from cairnflow.plans.ordered import named
 
 
@@ -341,3 +341,68 @@ def test_spelling_clusters_query(spark, sf_dir, people):
     order = list(first.values())
     want = {r["text"]: (order[r["cluster"]], r["n"]) for r in loops.spelling_clusters()([{"episode": e, "text": t} for e, t in made])}
     assert {r.t: (r.cluster, r.n) for r in spellings.clusters(rows, "s", "e", "t", "pos").collect()} == want
+
+
+# -- folds in pieces -----------------------------------------------------------------
+
+MARKS = "key string, pos long, s double, e double, type string, label string, metric double, confidence double, hash long"
+
+
+@pytest.fixture(scope="module")
+def marks():
+    """Long keys, a null one, and stretches in which nothing but the parity of the beginning tells what is joined."""
+    rng = random.Random(9)
+    out = []
+    for key, n in (("hot", 300), ("b", 40), (None, 30), ("one", 1), ("odd", 81)):
+        t = 0.0
+        for k in range(n):
+            a = t + rng.choice([0.0, 0.2, 3.0, 9.0])
+            t = a + rng.choice([0.5, 2.0, 7.0])
+            kind = "AU"[k % 2] if key == "odd" or 100 < k < 180 else rng.choice("AABU")
+            out.append((key, k, a, t if key != "odd" else a + 0.5, kind, rng.choice(["x", "x", "x", "y", "u", "u", "m"]), rng.random(), rng.random(), rng.choice([None, 0, 1, 2, 7, 255, -1])))
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("piece", [4, 32, 1 << 14])
+def test_folds_in_pieces_are_the_loops(spark, marks, piece):
+    names = MARKS.replace(",", "").split()[::2]
+    keys = by_item(sorted((dict(zip(names, m)) for m in marks), key=lambda r: r["pos"]), "key")
+    d = spark.createDataFrame(marks, MARKS)
+    cases = [
+        (pieces.capped_merge(20.0, 1.0), loops.capped_merge(20.0, 1.0), "s double, e double, n int", ["s", "e", "n"]),
+        (pieces.merge_windows(0.5), loops.merge_windows(0.5), "s double, e double, type string, metric double", ["s", "e", "type", "metric"]),
+        (pieces.smooth_bridges("U", 1.0), loops.smooth_bridges("U", 1.0), "s double, e double, type string", ["s", "e", "type"]),
+        (pieces.overlap_groups(0.2), loops.overlap_groups(0.2), "s double, e double, n int", ["s", "e", "n"]),
+        (pieces.regimes("u", 1), loops.regimes("u", 1, 1), "label string, first long, last long, n long", ["label", "first", "last", "n"]),
+    ]
+    for machine, loop, schema, columns in cases:
+        got = pieces.fold_in_pieces(d, "key", ["pos"], machine, schema, piece)
+        assert rows_of(got) == sorted(((k, n, *(r[c] for c in columns)) for k, rows in keys.items() for n, r in enumerate(loop(rows))), key=repr)
+    chunks = pieces.merged_chunks(d, "key", ["pos"], 800.0, 4.0, 20.0, 1.0, 0.25, piece)
+    assert rows_of(chunks) == sorted(((k, r["chunk"], r["s"], r["e"], r["n"]) for k, rows in keys.items() for r in loops.merged_chunks(800.0, 4.0, 20.0, 1.0, 0.25)(rows)), key=repr)
+    for threshold, keep in ((1, 2), (2, 1), (60, 3)):
+        assert rows_of(pieces.thinned(d, "key", "pos", "hash", threshold, keep, piece)) == sorted(((k, r["pos"]) for k, rows in keys.items() for r in loops.anchor_dedup(threshold, keep)(rows)), key=repr)
+    gaps = d.where("coalesce(key, '') <> 'b' OR pos <> 7").withColumn("label", F.when(F.col("key") == "odd", "m").otherwise(F.col("label")))
+    want = []
+    for k, rows in keys.items():
+        rows = [r | {"label": "m" if k == "odd" else r["label"]} for r in rows if not (k == "b" and r["pos"] == 7)]
+        want += [(k, r["decision"], r["onset"]) for r in loops.onset("y", 0.2, "u", "m", 2, 2)(rows)]
+    assert rows_of(pieces.onsets(gaps, "key", "y", 0.2, "u", "m", 2, 2, piece)) == sorted(want, key=repr)
+    assert pieces.thinned(d.limit(0), "key", "pos", "hash", 1, 2).count() == pieces.onsets(d.limit(0), "key", "y", 0.2, "u", "m", 2, 2).count() == 0
+
+
+def test_guesses_spare_rounds(spark):
+    """A machine that guesses all its states is folded once, however its state is carried on."""
+    parity = pieces.Machine(lambda s, r: (1 - s, [{"odd": s}]), start=0, guesses=[1])
+    folded = []
+    real, pieces.written = pieces.written, lambda d, what: (folded.append(what), real(d, what))[1]
+    try:
+        d = spark.range(200).select(F.lit("k").alias("key"), F.col("id").alias("pos"))
+        got = pieces.fold_in_pieces(d, "key", ["pos"], parity, "odd int", 8)
+        assert rows_of(got) == sorted((("k", k, k % 2) for k in range(200)), key=repr)
+    finally:
+        pieces.written = real
+    assert folded.count("folded") == 1
+    with pytest.raises(ValueError):
+        pieces.fold_in_pieces(d, "key", ["pos"], parity, "odd int", 12)
