@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def stats(rows: DataFrame, by: list[str], value: str, digits: int = 6) -> DataFrame:
-    """count, min, quartiles and tails, max, mean, population deviation of each group."""
-    p = F.percentile(value, [0.05, 0.25, 0.5, 0.75, 0.95])
-    a = rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), p.alias("_p"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    """count, min, quartiles and tails, max, mean, population deviation of each group, in bounded state."""
+    q = exact_quantiles(rows, by, value, [0.05, 0.25, 0.5, 0.75, 0.95])
+    a = rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    same = F.lit(True)
+    for c in by:
+        same = same & a[c].eqNullSafe(q[c])
     names = ["p5", "p25", "median", "p75", "p95"]
-    return a.select(*by, "n", *[F.round(F.col("_p")[k], digits).alias(n) for k, n in enumerate(names)], F.round("min", digits).alias("min"), F.round("max", digits).alias("max"), F.round("mean", digits).alias("mean"), F.round("std", digits).alias("std"))
+    return a.join(q, same, "left").select(*[a[c] for c in by], "n", *[F.round(F.col("q")[k], digits).alias(n) for k, n in enumerate(names)], F.round("min", digits).alias("min"), F.round("max", digits).alias("max"), F.round("mean", digits).alias("mean"), F.round("std", digits).alias("std"))
 
 
 def shares(rows: DataFrame, key: str, weight: Column, digits: int = 6) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalogue import query
 from ..operators import dedup, measures
 from ..operators import relational as R
+from ..operators.quantiles import exact_quantiles
 from ..sources import logs
 
 
@@ -122,7 +123,8 @@ def distribution_stats(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type, round(quantile_cont(value, 0.95) * 1.3, 4) AS threshold FROM events GROUP BY 1")
 def derived_thresholds(spark: SparkSession, d: str) -> DataFrame:
     """Thresholds from a distribution."""
-    return read(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.95) * 1.3, 4).alias("threshold"))
+    q = exact_quantiles(read(spark, d, "events"), ["event_type"], "value", [0.95])
+    return q.select("event_type", F.round(F.col("q")[0] * 1.3, 4).alias("threshold"))
 
 
 @query("""

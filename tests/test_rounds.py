@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cairnflow import catalogue, plans  # noqa: F401
 from cairnflow.functions import names as N
 from cairnflow.functions import text as T
-from cairnflow.operators import graphs, nearness, pieces, rounds, spellings, tracks
+from cairnflow.operators import graphs, nearness, pieces, quantiles, rounds, spellings, tracks
 from cairnflow.plans.ordered import named
 
 
@@ -406,3 +406,29 @@ def test_guesses_spare_rounds(spark):
     assert folded.count("folded") == 1
     with pytest.raises(ValueError):
         pieces.fold_in_pieces(d, "key", ["pos"], parity, "odd int", 12)
+
+
+# -- quantiles -------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("bins", [64, quantiles.BINS])
+def test_exact_quantiles(spark, bins):
+    rng = random.Random(2)
+    rows = [("even", k / 7) for k in range(501)] + [("same", 4.0)] * 90 + [("two", v) for v in [1.0] * 500 + [2.0]] + [("wild", rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300)) for _ in range(200)]
+    rows += [("near", 1.0), ("near", 1.0000000000000002), ("one", -3.5), ("none", None), ("nan", float("nan")), ("nan", 2.0), (None, 5.0), (None, 7.0), ("big", -1.7e308), ("big", 1.7e308), ("big", 0.0)]
+    rng.shuffle(rows)
+    probs = [0.0, 0.05, 0.5, 0.95, 1.0]
+    want = {}
+    for key, vs in by_item([{"k": k, "v": v} for k, v in rows if v is not None and v == v], "k").items():
+        x = sorted(r["v"] for r in vs)
+        want[key] = []
+        for p in probs:
+            at = p * (len(x) - 1)
+            k = int(at)
+            want[key].append(x[k] + (x[min(k + 1, len(x) - 1)] - x[k]) * (at - k) if at > k else x[k])
+    got = {r.key: r.q for r in quantiles.exact_quantiles(spark.createDataFrame(rows, "key string, v double"), ["key"], "v", probs, bins).collect()}
+    assert set(got) == set(want)
+    for key in want:
+        assert got[key] == pytest.approx(want[key], rel=1e-12), key
+    assert quantiles.exact_quantiles(spark.createDataFrame(rows, "key string, v double").limit(0), ["key"], "v", probs).count() == 0
+    assert quantiles.exact_quantiles(spark.createDataFrame([(3.0,), (1.0,), (2.0,)], "v double"), [], "v", [0.5]).first().q == [2.0]
