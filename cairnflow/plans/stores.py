@@ -11,9 +11,13 @@ from ..sources.shared import fresh
 from .relational import read
 
 
+def event_rows(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select(F.col("event_id").cast("string").alias("event_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("media_id"), F.col("value").alias("duration_seconds"))
+
+
 def event_log(spark: SparkSession, d: str) -> str:
     """The events as a log in JSON lines of two appends, the second with lines that can't be read."""
-    e = read(spark, d, "events").select(F.col("event_id").cast("string").alias("event_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("media_id"), F.col("value").alias("duration_seconds"))
+    e = event_rows(spark, d)
     path = fresh(spark, "log")
     logs.append(e.where("event_id % 2 = 0"), path)
     logs.append(e.where("event_id % 2 = 1"), path)
@@ -28,6 +32,16 @@ def log_tail(spark: SparkSession, d: str) -> DataFrame:
     return logs.select(logs.scan(spark, event_log(spark, d)), 500, kind="click").select("event_id", "kind", "media_id")
 
 
+@query("""
+SELECT event_id::VARCHAR AS event_id, event_type AS kind, user_id::VARCHAR AS media_id FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id::VARCHAR DESC LIMIT 300""")
+def log_tail_backwards(spark: SparkSession, d: str) -> DataFrame:
+    """The newest rows of a kind from the ends of a log and the files it was rotated to, without reading the rest."""
+    path = fresh(spark, "rotated")
+    e = event_rows(spark, d).repartitionByRange("ts", "event_id").sortWithinPartitions("ts", "event_id")
+    e.write.json(path)
+    return logs.newest(spark, path, 300, kind="purchase").select("event_id", "kind", "media_id")
+
+
 @query("""
 SELECT event_id::VARCHAR AS event_id, event_type AS kind, value AS duration_seconds FROM events WHERE event_id % 100 = 0""")
 def log_lookups(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import SYSTEM_EVENT
+from .tail import TailSource
 
 LEAST, MOST = 1, 2000
 
@@ -27,6 +28,21 @@ def select(events: DataFrame, limit: int | None = None, since: str | None = None
     return d if limit is None else d.limit(max(LEAST, min(MOST, limit)))
 
 
+def newest(spark: SparkSession, paths: str, limit: int, since: str | None = None, order: str = "ts", **equal: str | None) -> DataFrame:
+    """``select`` over logs in order of time, read from their ends: more lines are asked for until enough of them fit, or there are no more.
+    A log's lines are taken to be in order, so what is further back is older."""
+    spark.dataSource.register(TailSource)
+    limit = max(LEAST, min(MOST, limit))
+    lines = 4 * limit
+    while True:
+        raw = spark.read.format("log_tail").option("path", paths).option("lines", lines).load()
+        events = raw.select(F.from_json("line", SYSTEM_EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("e")).where("e.event_id IS NOT NULL").select("e.*")
+        got = select(events, limit, since, order, **equal)
+        if raw.count() < lines or got.count() >= limit:
+            return got
+        lines *= 8
+
+
 def find(events: DataFrame, event_id: str) -> DataFrame:
     return events.where(F.col("event_id") == event_id).orderBy(F.desc("ts")).limit(1)
 
