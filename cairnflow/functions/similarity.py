@@ -166,13 +166,57 @@ def _next_row(row: np.ndarray, item: int, y: np.ndarray, steps: np.ndarray) -> n
     return np.minimum.accumulate(out - steps) + steps
 
 
+#: Furthest places that a backtrace keeps; beyond so many it goes by rows of distances, a few of which are kept.
+MOST_PLACES = 1 << 22
+
+
+def _extend(x: np.ndarray, y: np.ndarray, reach: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """How far each diagonal's place gets over equal items: all a few steps at once, then those that still go on by chunks of doubling size."""
+    n, m = len(x), len(y)
+    live = np.flatnonzero((reach < n) & (reach + k < m) & (reach >= 0) & (reach + k >= 0))
+    for _ in range(8):
+        if not len(live):
+            return reach
+        live = live[x[reach[live]] == y[reach[live] + k[live]]]
+        reach[live] += 1
+        live = live[(reach[live] < n) & (reach[live] + k[live] < m)]
+    for d in live.tolist():
+        i, off, size = int(reach[d]), int(k[d]), 32
+        end = min(n, m - off)
+        while i < end:
+            differ = x[i : min(end, i + size)] != y[i + off : min(end, i + size) + off]
+            at = int(differ.argmax())
+            if differ[at]:
+                i += at
+                break
+            i, size = i + len(differ), size * 2
+        reach[d] = i
+    return reach
+
+
+def _waves(x: np.ndarray, y: np.ndarray):
+    """For 0, 1, ... edits the furthest place in x on each diagonal (place in y less place in x) from -edits on, up to the wave that reaches
+    both ends.  Where items are equal nothing is gained by an edit, so a place is within e edits if wave e gets as far on its diagonal."""
+    n, m = len(x), len(y)
+    reach = _extend(x, y, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))
+    e = 0
+    yield reach
+    while not (abs(m - n) <= e and reach[m - n + e] >= n):
+        e += 1
+        k = np.arange(-e, e + 1, dtype=np.int64)
+        far = np.full(2 * e + 1, -1, dtype=np.int64)
+        far[1:-1] = reach + 1  # one for another
+        far[2:] = np.maximum(far[2:], reach)  # one more of y
+        far[:-2] = np.maximum(far[:-2], reach + 1)  # one less of x
+        far = np.minimum(far, np.minimum(n, m - k))
+        reach = _extend(x, y, far, k)
+        yield reach
+
+
 def edit_distance(a: list, b: list) -> int:
-    """Levenshtein's distance of two sequences."""
-    x, y, steps = _codes(a, b)
-    row = steps
-    for item in x:
-        row = _next_row(row, item, y, steps)
-    return int(row[-1])
+    """Levenshtein's distance of two sequences; its time grows with their length times their distance."""
+    x, y, _ = _codes(a, b)
+    return sum(1 for _ in _waves(x, y)) - 1
 
 
 @pandas_udf(IntegerType())
@@ -193,7 +237,38 @@ def char_error_rate(reference: Column, hypothesis: Column) -> Column:
 
 
 def alignment(a: list[str], b: list[str]) -> list[tuple[str, str | None, str | None]]:
-    """Backtraced alignment: of equal ways a match or substitution first, then an insertion, then a deletion.  About every sqrt(n)-th row of distances is kept and those
+    """Backtraced alignment: of equal ways a match or substitution first, then an insertion, then a deletion.  Waves of furthest
+    places tell what a place costs, so what is kept grows with the square of the distance, not with the lengths; sequences
+    too far apart for that go by rows of distances."""
+    x, y, _ = _codes(a, b)
+    waves, places = [], 0
+    for w in _waves(x, y):
+        waves.append(w)
+        places += len(w)
+        if places > MOST_PLACES:
+            return _by_rows(a, b)
+    out, i, j, e = [], len(x), len(y), len(waves) - 1
+    within = lambda e, i, j: abs(j - i) <= e and waves[e][j - i + e] >= i
+    while i or j:
+        if i and j and x[i - 1] == y[j - 1]:
+            i, j = i - 1, j - 1
+            out.append(("M", a[i], b[j]))
+            continue
+        e -= 1
+        if i and j and within(e, i - 1, j - 1):
+            i, j = i - 1, j - 1
+            out.append(("S", a[i], b[j]))
+        elif j and (not i or within(e, i, j - 1)):
+            j -= 1
+            out.append(("I", None, b[j]))
+        else:
+            i -= 1
+            out.append(("D", a[i], None))
+    return out[::-1]
+
+
+def _by_rows(a: list[str], b: list[str]) -> list[tuple[str, str | None, str | None]]:
+    """``alignment`` of sequences that are far apart.  About every sqrt(n)-th row of distances is kept and those
     between are made again on the way back, so that memory grows as n to the power of 1.5."""
     x, y, steps = _codes(a, b)
     n, size = len(x), max(1, math.isqrt(len(x)))

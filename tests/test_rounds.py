@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairnflow import catalogue, plans  # noqa: F401
 from cairnflow.functions import names as N
+from cairnflow.functions import similarity
 from cairnflow.functions import text as T
 from cairnflow.operators import graphs, nearness, pieces, quantiles, rounds, spellings, tracks
 from cairnflow.plans.ordered import named
@@ -432,3 +433,23 @@ def test_exact_quantiles(spark, bins):
         assert got[key] == pytest.approx(want[key], rel=1e-12), key
     assert quantiles.exact_quantiles(spark.createDataFrame(rows, "key string, v double").limit(0), ["key"], "v", probs).count() == 0
     assert quantiles.exact_quantiles(spark.createDataFrame([(3.0,), (1.0,), (2.0,)], "v double"), [], "v", [0.5]).first().q == [2.0]
+
+
+# -- alignment ---------------------------------------------------------------------------
+
+
+def test_alignment_by_waves_is_the_one_by_rows(monkeypatch):
+    rng = random.Random(1)
+    for _ in range(2000):
+        k = rng.choice([1, 2, 3, 9])
+        a = [str(rng.randrange(k)) for _ in range(rng.randint(0, 14))]
+        b = [str(rng.randrange(k)) for _ in range(rng.randint(0, 14))] if rng.random() < 0.5 else [x for x in a if rng.random() < 0.8]
+        want = similarity._by_rows(a, b)
+        assert similarity.alignment(a, b) == want
+        assert similarity.edit_distance(a, b) == sum(op != "M" for op, _, _ in want)
+    a = [str(rng.randrange(500)) for _ in range(4000)]
+    b = [x for x in a if rng.random() < 0.99]
+    want = similarity._by_rows(a, b)
+    assert similarity.alignment(a, b) == want and similarity.edit_distance(a, b) == len(a) - len(b)
+    monkeypatch.setattr(similarity, "MOST_PLACES", 10)
+    assert similarity.alignment(a[:300], b[:280]) == similarity._by_rows(a[:300], b[:280])
