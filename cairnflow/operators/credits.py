@@ -11,10 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.similarity import name_close, name_match
+from . import rolelexicon as L
 
-# Heads of roles in credits, folded.
-HEADS = {"director": ["yonetmen", "yoneten", "director", "directed by"], "producer": ["yapimci", "producer", "produced by"], "cast": ["oyuncular", "cast", "starring"]}
-GUEST_HEADS = ["konuk oyuncular", "guest stars", "konuklar"]
 # Words of firms, bodies, roles and labels that no person's name holds, folded.
 NOT_PERSONS = (
     "film", "films", "filmi", "filmleri", "production", "productions", "prod", "pictures", "picture", "studio", "studios", "media", "entertainment",
@@ -87,8 +85,9 @@ def garbled(name: Column) -> Column:
     return F.when(verb, "sentence").when(role, "role").when(near, "role word")
 
 
-def without_boilerplate(lines: DataFrame, line: str, phrases: list[str]) -> DataFrame:
-    return lines.where(~F.upper(T.ascii_fold(line)).rlike("|".join(phrases)) if phrases else F.lit(True))
+def without_boilerplate(lines: DataFrame, line: str) -> DataFrame:
+    """Lines without those of rights, thanks, places and equipment, and without those that hold their marks."""
+    return lines.where(~F.coalesce(L.boilerplate(F.col(line)), F.lit(False)))
 
 
 def stop_cards(lines: DataFrame, by: str, pos: str, line: str, opening: str, closing: str, card: str) -> DataFrame:
@@ -106,27 +105,21 @@ def stop_cards(lines: DataFrame, by: str, pos: str, line: str, opening: str, clo
 
 
 def head_of(line: Column) -> Column:
-    """The role whose head a line is or starts with; null if none."""
-    f = T.ascii_fold(line)
-    return F.coalesce(*[F.when((f == h) | f.startswith(h + " "), F.lit(role)) for role, heads in HEADS.items() for h in heads])
+    """The role whose head a line is or starts with; null if none, or if the line names another role."""
+    n = L.normal(line)
+    return F.when(~L.excluded(n), F.coalesce(*[F.when(n.rlike(f"^(?:{L._either(heads)})(?: |$)"), F.lit(role)) for role, heads in L.ROLES.items()]))
 
 
 def anchored_roles(lines: DataFrame, by: str, pos: str, line: str) -> DataFrame:
-    """Names by role: on the head's own line, else on the next two lines, else on the line before; by, role, name."""
-    w = _w(by, pos)
-    heads = "|".join(sorted((h for hs in HEADS.values() for h in hs), key=len, reverse=True))
-    own = F.trim(F.regexp_replace(F.regexp_replace(F.col(line), r"(?i)^\s*(?:" + heads.replace("yonetmen", "y[oö]netmen").replace("yapimci", "yap[ıi]mc[ıi]") + r")\b", ""), r"^[\s:,–-]+", ""))
-    d = lines.withColumns({"_role": head_of(F.col(line)), "_own": own, "_n1": F.lead(line, 1).over(w), "_n2": F.lead(line, 2).over(w), "_p1": F.lag(line, 1).over(w)}).where("_role is not null")
-    name = lambda c: valid_person(F.col(c)) & head_of(F.col(c)).isNull()
-    names = F.when(name("_own"), F.array("_own")).when(name("_n1") & name("_n2"), F.array("_n1", "_n2")).when(name("_n1"), F.array("_n1")).when(name("_p1"), F.array("_p1")).otherwise(F.array().cast("array<string>"))
-    return d.select(by, F.col("_role").alias("role"), F.explode(names).alias("name")).dropDuplicates([by, "role", "name"])
+    """Names by role: on the head's own line, else on the next two lines, else on the line before; by, role, rank, name."""
+    return L.anchored(lines, by, pos, line)
 
 
 def parsed_credits(lines: DataFrame, by: str, pos: str, line: str, caps: dict[str, int] | None = None) -> DataFrame:
     """Each valid name with the role of the last head before it, joint names cut apart, each fold once a role: by, role, rank, name."""
     w = _w(by, pos)
     d = lines.withColumn("_head", head_of(F.col(line)))
-    d = d.withColumn("role", F.last("_head", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_head").isNull() & F.col("role").isNotNull() & ~T.ascii_fold(line).isin(*GUEST_HEADS))
+    d = d.withColumn("role", F.last("_head", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_head").isNull() & F.col("role").isNotNull() & ~L.guest_head(F.col(line)))
     d = d.select(by, pos, "role", F.posexplode(F.split(line, r"\s*(?:&|,| ve )\s*")).alias("_k", "name")).where(valid_person(F.col("name")))
     d = d.withColumn("_f", T.ascii_fold("name")).withColumn("_d", F.row_number().over(Window.partitionBy(by, "role", "_f").orderBy(pos, "_k"))).where("_d = 1")
     d = d.withColumn("rank", F.row_number().over(Window.partitionBy(by, "role").orderBy(pos, "_k")))
@@ -135,13 +128,12 @@ def parsed_credits(lines: DataFrame, by: str, pos: str, line: str, caps: dict[st
 
 
 def guests(lines: DataFrame, by: str, pos: str, line: str) -> DataFrame:
-    """Names in blocks under a head of guests, up to the next head of a role."""
+    """Names in blocks under a head of guests, up to the next head of a role; joint names are cut apart."""
     w = _w(by, pos)
-    f = T.ascii_fold(line)
-    guest = f.isin(*GUEST_HEADS)
-    d = lines.withColumn("_k", F.when(guest, "guest").when(head_of(F.col(line)).isNotNull(), "role"))
+    d = lines.withColumn("_k", F.when(L.guest_head(F.col(line)), "guest").when(head_of(F.col(line)).isNotNull(), "role"))
     d = d.withColumn("_in", F.last("_k", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.where((F.col("_in") == "guest") & F.col("_k").isNull() & valid_person(F.col(line))).select(by, F.col(line).alias("name")).dropDuplicates([by, "name"])
+    d = d.where((F.col("_in") == "guest") & F.col("_k").isNull()).select(by, F.explode(F.split(F.trim(F.col(line)), r"\s*&\s*|\s+(?i:ve)\s+")).alias("name"))
+    return d.where(valid_person(F.col("name"))).dropDuplicates([by, "name"])
 
 
 def guarded(names: DataFrame, name: str, seen: Column, title: Column) -> DataFrame:

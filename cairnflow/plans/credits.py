@@ -39,10 +39,33 @@ def parsed_credits(spark: SparkSession, d: str) -> DataFrame:
     return C.parsed_credits(lines(spark, d), "doc", "pos", "line")
 
 
+#: Heads and cards as credits have them, with % for a name.
+FORMS = (
+    "Directed by %", "A % FILM", "Réalisé par", "Yönetmen", "% Regie", "Art Director %", "Produced by: %", "YAPIMCI", "% - Produzent", "Line Producer %", "Avec", "OYUNCULAR", "Starring %", "Mit",
+    "Director of Photography %", "Director OF PHON %", "A Warner Bros Film", "Directed by % Pictures", "Lead Technical Director", "Directed by the sound and the fury", "", "Un film de %",
+)
+
+
+def credit_lines(spark: SparkSession, d: str) -> DataFrame:
+    """doc, pos and line: names of parts among heads of many languages, cards, other roles and blank lines."""
+    l = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(read(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    n = F.pmod(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"), F.lit(2 * len(FORMS))).cast("int")
+    line = F.coalesce(F.replace(F.get(F.array(*map(F.lit, FORMS)), n), F.lit("%"), F.initcap("p_name")), F.initcap("p_name"))
+    return l.select(F.floor(F.col("l_orderkey") / 4).alias("doc"), ((F.col("l_orderkey") * 1000 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("pos"), line.alias("line")).distinct()
+
+
 @query()
 def anchored_roles(spark: SparkSession, d: str) -> DataFrame:
-    """Names on, after or before a head's line."""
-    return C.anchored_roles(lines(spark, d), "doc", "pos", "line")
+    """Names on, after or before a head's line."""
+    return C.anchored_roles(credit_lines(spark, d), "doc", "pos", "line")
+
+
+@query()
+def line_directors(spark: SparkSession, d: str) -> DataFrame:
+    """The directors that lines name by themselves."""
+    from ..operators import rolelexicon as L
+
+    return credit_lines(spark, d).withColumn("director", L.director_name(F.col("line"))).where("director <> ''").groupBy("doc", "director").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -55,7 +78,7 @@ def guest_blocks(spark: SparkSession, d: str) -> DataFrame:
 def stop_cards(spark: SparkSession, d: str) -> DataFrame:
     """cards and boilerplate blocks dropped."""
     c = C.stop_cards(lines(spark, d), "doc", "pos", "line", "director", "cast", r"^guest (\d+)$")
-    return C.without_boilerplate(c, "line", ["GUEST"]).where(~C.noise(F.col("line")))
+    return C.without_boilerplate(c, "line").where(~C.noise(F.col("line")))
 
 
 @query()
