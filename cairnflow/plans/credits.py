@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogue import query
@@ -171,3 +171,60 @@ def text_variants(spark: SparkSession, d: str) -> DataFrame:
     """The variant whose markers weigh most."""
     m = {"en": [("the", 2), ("of", 1)], "de": [("und", 2), ("der", 1)], "fr": [("le", 2), ("de", 1)]}
     return read(spark, d, "documents").select("doc_id", C.variant_scores(F.col("text"), m, "none").alias("variant"), C.garbled(F.col("text")).alias("garbled"))
+
+
+#: People, the last two near others, and how they are read now and then.
+PEOPLE = ("Anna Karen", "Boris Vogel", "Carla Monti", "Dario Penn", "Elena Sand", "Fritz Oberon", "Greta Holm", "Hugo Brandt", "Irena Kovac", "Jonas Weller", "Anna Karon", "Boris Vogell")
+
+
+def _person(k: Column) -> Column:
+    return F.get(F.array(*map(F.lit, PEOPLE)), F.pmod(k, F.lit(len(PEOPLE))).cast("int"))
+
+
+def readings(spark: SparkSession, d: str) -> DataFrame:
+    """doc, model, pos, name: what three models read as an order's directors, misread where a part's number ends in 3."""
+    l = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    right = _person(F.floor(F.col("doc") / 3) + F.when(F.col("l_partkey") % 4 == 0, F.col("l_suppkey")).otherwise(0))
+    name = F.when(F.col("l_partkey") % 10 == 3, F.concat(F.left(right, F.lit(2)), F.upper(F.substring(right, 3, 1)), F.expr("substring(r, 5)"))).otherwise(right)
+    return l.withColumn("r", right).select("doc", (F.col("l_partkey") % 3).alias("model"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("pos"), name.alias("name")).where("pos % 5 <> 4")
+
+
+def known_people(spark: SparkSession, d: str) -> DataFrame:
+    """name and ok: of the people that suppliers stand for, which the base has as directors, and which in other roles."""
+    s = read(spark, d, "supplier").select((F.col("s_suppkey") % len(PEOPLE)).alias("k")).distinct()
+    return s.where("k NOT IN (4, 7)").select(_person(F.col("k")).alias("name"), (F.col("k") % 5 != 1).alias("ok"))
+
+
+def director_sources(spark: SparkSession, d: str) -> DataFrame:
+    """doc, source, pos, name, independent: three sources of an order's director, some without one, some with another."""
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("doc"), "o_custkey")
+    k = F.floor(F.col("doc") / 3)
+    one = lambda name, gone, other, sure: o.where(f"o_custkey % {gone} <> 0").select("doc", F.lit(name).alias("source"), F.lit(0).alias("pos"), _person(k + F.when(F.col("o_custkey") % other == 1, 2).otherwise(0)).alias("name"), sure.alias("independent"))
+    return one("a", 3, 7, F.lit(True)).unionByName(one("b", 4, 5, F.col("o_custkey") % 2 == 0)).unionByName(one("c", 5, 11, F.col("o_custkey") % 3 == 0))
+
+
+@query()
+def fused_directors(spark: SparkSession, d: str) -> DataFrame:
+    """The directors that models' readings come to: agreed, known, canonical, single or unread."""
+    from ..operators import verdicts
+
+    return verdicts.fused(readings(spark, d), known_people(spark, d), "doc").select("doc", F.array_join("names", "; ").alias("names"), "how")
+
+
+@query()
+def validated_directors(spark: SparkSession, d: str) -> DataFrame:
+    """Read directors held against sources, of which only independent ones count and one dissent is absorbed."""
+    from ..operators import verdicts
+
+    v = verdicts.validated(readings(spark, d).where("model = 0").select("doc", "pos", "name"), director_sources(spark, d), "doc")
+    return v.select("doc", *[F.array_join(c, "; ").alias(c) for c in ("names", "confirmed_by", "candidates")], "status", "confidence")
+
+
+@query()
+def quality_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Fusion, validation and the cast's confirmation as one verdict."""
+    from ..operators import verdicts
+
+    l = lines(spark, d).withColumnRenamed("line", "name")
+    b = verdicts.quality_block(readings(spark, d), known_people(spark, d), director_sources(spark, d), l.where("pos % 2 = 0"), l.where("pos % 3 != 0"), l.where("pos % 5 = 0"), "doc", 2)
+    return b.withColumn("directors", F.array_join("directors", "; "))

@@ -181,7 +181,7 @@ def upper_prose(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT vec_id, vec_id % 7 AS image, vec_id // 7 AS pos, (vec_id // 7) % 11 AS source, vec_id % 5 <> 0 AS textured, 20 + vec_id % 3 AS height FROM embeddings),
+WITH e AS (SELECT vec_id, vec_id % 7 AS image, vec_id // 7 AS pos, vec_id - CASE WHEN vec_id // 77 % 2 = 1 THEN 77 ELSE 0 END AS source, vec_id % 5 <> 0 AS textured, 20 + vec_id % 3 AS height FROM embeddings),
 s AS (SELECT e.*, list_transform(range(1, len(x.embedding) + 1), lambda k: x.embedding[k]::DOUBLE + CASE WHEN e.vec_id % 13 = 0 THEN k % 3 ELSE 0 END) AS v, (x.vec_id * 2654435761 + e.vec_id % 3)::BIGINT AS hash FROM e JOIN embeddings x ON x.vec_id = e.source),
 c AS (SELECT *, list_transform(v, lambda x: x - list_avg(v)) AS d FROM s WHERE textured),
 m AS (SELECT a.image, a.pos AS i, b.pos - a.pos AS delta FROM c a JOIN c b ON a.image = b.image AND b.pos - a.pos >= 3 WHERE bit_count(xor(a.hash, b.hash)) <= 10 AND list_dot_product(a.d, b.d) / sqrt(list_dot_product(a.d, a.d) * list_dot_product(b.d, b.d)) >= 0.92),
@@ -189,13 +189,14 @@ r AS (SELECT image, delta, min(i) AS lo, max(i) AS hi FROM (SELECT *, i - row_nu
 g AS (SELECT DISTINCT image, unnest(range(lo + delta, hi + delta + 1)) AS pos FROM r)
 SELECT s.image, (SELECT count(*) FROM r WHERE r.image = s.image) AS blocks, round(coalesce(sum(height) FILTER (textured AND g.pos IS NOT NULL), 0) / sum(height) FILTER (textured), 4) AS dup_ratio FROM s LEFT JOIN g ON s.image = g.image AND s.pos = g.pos GROUP BY s.image""")
 def strip_duplication(spark: SparkSession, d: str) -> DataFrame:
-    """The share of an image's strips that another part of it shows, by hashes and correlation."""
+    """The share of an image's strips that another part of it shows, by hashes and correlation; every other eleven strips show the
+    eleven before them, the others a vector of their own."""
     from ..operators import dedup
 
     e = read(spark, d, "embeddings")
     i = F.col("vec_id")
-    strips = e.select(i, (i % 7).alias("image"), F.floor(i / 7).alias("pos"), (F.floor(i / 7) % 11).alias("source"), (i % 5 != 0).alias("textured"), (20 + i % 3).alias("height"))
-    x = e.where("vec_id < 11").select(i.alias("source"), F.col("embedding").cast("array<double>").alias("v"))
+    strips = e.select(i, (i % 7).alias("image"), F.floor(i / 7).alias("pos"), (i - F.when(F.floor(i / 77) % 2 == 1, 77).otherwise(0)).alias("source"), (i % 5 != 0).alias("textured"), (20 + i % 3).alias("height"))
+    x = e.select(i.alias("source"), F.col("embedding").cast("array<double>").alias("v"))
     vector = F.transform("v", lambda x, k: x + F.when(i % 13 == 0, (k + 1) % 3).otherwise(0))
     rows = strips.join(x, "source").select("image", "pos", "textured", "height", vector.alias("vector"), (F.col("source") * 2654435761 + i % 3).alias("hash"))
     return dedup.strip_duplication(rows, "image").select("image", "blocks", "dup_ratio")

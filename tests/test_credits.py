@@ -4,7 +4,10 @@ import re
 import unicodedata
 
 from cairnflow import catalogue, plans  # noqa: F401
-from cairnflow.operators import credits, rolelexicon as L
+from cairnflow.functions import names as N
+from cairnflow.operators import credits
+from cairnflow.operators import rolelexicon as L
+from cairnflow.plans import credits as P
 from cairnflow.plans.credits import credit_lines
 
 
@@ -130,3 +133,104 @@ def test_anchored_roles_of_the_whole_table(spark, sf_dir):
             named[d, x] = named.get((d, x), 0) + 1
     assert {(r.doc, r.director): r.n for r in catalogue.queries()["line_directors"](spark, sf_dir).collect()} == named
     assert {r for _, r, *_ in want} == {"director", "producer", "cast"} and named
+
+
+# -- what readers and sources say ----------------------------------------------------
+
+
+def jw(a, b):
+    from cairnflow.functions.similarity import _jaro_winkler
+
+    return _jaro_winkler(a, b)
+
+
+def misread(n):
+    from cairnflow.operators.credits import ROLE_TOKENS
+
+    assert not set(N.fold(n).split()) & set(ROLE_TOKENS)
+    return any(len(w) >= 3 and any(c.isupper() for c in w[1:]) and any(c.islower() for c in w) for w in n.split())
+
+
+def fused(votes, known):
+    """By walking one work's votes (model, pos, name) in order."""
+    first = {}
+    for m, p, n in sorted(votes, key=lambda v: v[:2]):
+        if N.fold(n):
+            first.setdefault(N.fold(n), n.strip())
+    models = {f: len({m for m, _, n in votes if N.fold(n) == f}) for f in first}
+    ok = {f: any(o for n, o in known if N.fold(n) == f) for f in {N.fold(n) for n, _ in known}}
+    agreed = [f for f in first if models[f] >= 2]
+    if agreed:
+        kept = [f for f in agreed if ok.get(f, True)] or agreed
+        return [first[f] for f in kept], "agreed"
+    if right := [f for f in first if ok.get(f)]:
+        return [first[f] for f in right], "known"
+    canon = set()
+    for f, n in first.items():
+        near = sorted(((jw(f, N.fold(k)), k) for k, o in known if o and N.edits(f, N.fold(k), 2) <= 2 and jw(f, N.fold(k)) >= 0.9), reverse=True) if misread(n) else []
+        if near and (len(near) == 1 or near[0][0] - near[1][0] >= 0.03):
+            canon.add(near[0][1])
+    if len(canon) == 1:
+        return list(canon), "canonical"
+    return (list(first.values()), "single") if len(first) == 1 else ([], "unread")
+
+
+def validated(read, sources):
+    """read: names in order; sources: (source, names, independent)."""
+    sure, canon, conflicts = {d: set() for d in read}, {}, []
+    for source, pool, independent in sorted(sources):
+        hit = False
+        for d in read:
+            m = next((k for k in pool if N.matches(d, k)), None)
+            if m:
+                hit = True
+                canon.setdefault(d, m)
+                if independent:
+                    sure[d].add(source)
+        if not hit and not any(N.close(d, k) for d in read for k in pool):
+            conflicts.append((source, pool))
+    by = sorted(set().union(*sure.values()))
+    cands = sorted({k for _, pool in conflicts for k in pool})
+    if len(conflicts) > bool(by):
+        return read, "CONFLICT", "FLAG", by, cands
+    if by:
+        return [canon.get(d, d) for d in read], "CONFIRMED", "HIGH" if len(by) >= 2 and all(sure.values()) else "MEDIUM", by, cands
+    return read, "UNCONFIRMED", "LOW", by, cands
+
+
+def grouped(rows, key="doc"):
+    out = {}
+    for r in rows:
+        out.setdefault(r[key], []).append(r)
+    return out
+
+
+def test_fused_directors_of_the_whole_table(spark, sf_dir):
+    known = [(r.name, r.ok) for r in P.known_people(spark, sf_dir).collect()]
+    votes = grouped(P.readings(spark, sf_dir).collect())
+    got = {r.doc: (r.names, r.how) for r in catalogue.queries()["fused_directors"](spark, sf_dir).collect()}
+    want = {d: fused([(r.model, r.pos, r.name) for r in rows], known) for d, rows in votes.items()}
+    assert got == {d: ("; ".join(n), how) for d, (n, how) in want.items()}
+    assert {how for _, how in got.values()} == {"agreed", "known", "canonical", "single", "unread"}
+
+
+def test_validated_directors_of_the_whole_table(spark, sf_dir):
+    read = grouped(P.readings(spark, sf_dir).where("model = 0").orderBy("pos").collect())
+    sources = grouped(P.director_sources(spark, sf_dir).collect())
+    got = {r.doc: (r.names, r.status, r.confidence, r.confirmed_by, r.candidates) for r in catalogue.queries()["validated_directors"](spark, sf_dir).collect()}
+    want = {d: validated([r.name for r in rows], [(s.source, [s.name], s.independent) for s in sources.get(d, [])]) for d, rows in read.items()}
+    assert got == {d: ("; ".join(n), s, c, "; ".join(b), "; ".join(k)) for d, (n, s, c, b, k) in want.items()}
+    assert {(s, c) for _, s, c, _, _ in got.values()} == {("CONFLICT", "FLAG"), ("CONFIRMED", "HIGH"), ("CONFIRMED", "MEDIUM"), ("UNCONFIRMED", "LOW")}
+
+
+def test_quality_blocks_of_the_whole_table(spark, sf_dir):
+    f = {r.doc: r for r in catalogue.queries()["fused_directors"](spark, sf_dir).collect()}
+    got = {r.doc: r for r in catalogue.queries()["quality_blocks"](spark, sf_dir).collect()}
+    sources = grouped(P.director_sources(spark, sf_dir).collect())
+    assert set(got) == set(f)
+    for d, r in got.items():
+        names = f[d].names.split("; ") if f[d].names else []
+        n, status, confidence, _, _ = validated(names, [(s.source, [s.name], s.independent) for s in sources.get(d, [])]) if names else ([], "UNREAD", None, [], [])
+        verdict = "BLOCK" if status in ("UNREAD", "CONFLICT") else "REVIEW" if status == "UNCONFIRMED" or r.kept < 2 or r.dropped > r.kept else "OK"
+        assert (r.directors, r.how, r.status, r.confidence, r.verdict) == ("; ".join(n), f[d].how, status, confidence, verdict)
+    assert {r.verdict for r in got.values()} == {"OK", "REVIEW", "BLOCK"}

@@ -304,8 +304,12 @@ def test_dedup(spark):
     rng = random.Random(1)
     sets = [[rng.choice("abcdefgh") for _ in range(6)] for _ in range(40)]
     d = spark.createDataFrame([(k, s) for k, s in enumerate(sets)], "id int, w array<string>")
-    want = sorted((i, j) for j in range(40) for i in range(j) if len({*sets[i]} & {*sets[j]}) / len({*sets[i]} | {*sets[j]}) >= 0.7)
-    assert sorted((r.a, r.b) for r in dedup.near_pairs(d, [], "id", "w", 0.7).collect()) == want
+    first = [next(i for i, t in enumerate(sets) if {*t} == {*s}) for s in sets]
+    want = [(i, j) for j in range(40) for i in range(j) if first[i] == i and first[j] == j and len({*sets[i]} & {*sets[j]}) / len({*sets[i]} | {*sets[j]}) >= 0.7]
+    want += [(i, j) for j, i in enumerate(first) if i != j]
+    assert sorted((r.a, r.b) for r in dedup.near_pairs(d, [], "id", "w", 0.7).collect()) == sorted(want) and len(set(first)) < 40
+    same = spark.range(3000).select("id", F.array(F.lit("x"), F.lit("y")).alias("w"))
+    assert dedup.near_pairs(same, [], "id", "w", 0.7).count() == 2999  # not all pairs
     h = [rng.getrandbits(63) for _ in range(5)]
     h += [x ^ 5 for x in h]
     g = dedup.hamming_pairs(spark.createDataFrame(list(enumerate(h)), "id int, bits long"), "id", "bits", 3)
