@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity
 from ..functions.text import ascii_fold, tokens
+from .nearness import holding
 
 
 def keys_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -31,21 +32,13 @@ def deref(rows: DataFrame, row_id: str, ids: Column, table: DataFrame, key: str,
 
 
 def two_pass(queries: DataFrame, table: DataFrame, needle: str, name: str, key: str) -> DataFrame:
-    """Rows of table whose folded name equals a query's, else holds it; each key once a query, by its best pass.
-
-    The first pass is a hash join.  For the second, names are cut into words and joined on the needle's first word, then tested, so
-    no pass compares all pairs; a needle inside a word is found through the table of word ends.
-    """
+    """Rows of table whose folded name equals a query's, else holds it; each key once a query, by its best pass.  The first pass is a hash
+    join; the second goes by the rarest grams of the needles, over distinct names."""
     q = queries.withColumn("_q", ascii_fold(F.col(needle))).where("_q != ''")
     t = table.withColumn("_t", ascii_fold(F.col(name)))
     exact = q.join(t, F.col("_q") == F.col("_t")).withColumn("pass", F.lit(1))
-    head = F.substring(F.element_at(F.split("_q", " "), 1), 1, 3)
-    ends = F.explode(F.array_distinct(F.flatten(F.transform(F.split("_t", " "), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w))), lambda k: F.substring(w, k, F.lit(3)))))))
-    part = q.withColumn("_h", head).join(t.withColumn("_h", ends), "_h").drop("_h").where(F.col("_t").contains(F.col("_q"))).withColumn("pass", F.lit(2))
-    # a needle of one or two letters can stand anywhere in a word: it is found through pieces of as many letters
-    pieces = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_t"))), lambda k: F.array(F.substring("_t", k, F.lit(1)), F.substring("_t", k, F.lit(2)))))))
-    short = q.where(F.length("_q") < 3).withColumn("_h", F.col("_q")).join(t.withColumn("_h", pieces), "_h").drop("_h").withColumn("pass", F.lit(2))
-    both = exact.unionByName(part).unionByName(short).drop("_q", "_t")
+    part = q.join(holding(q, t, "_q", "_t"), "_q").join(t, "_t").withColumn("pass", F.lit(2))
+    both = exact.unionByName(part).drop("_q", "_t")
     w = Window.partitionBy(needle, key).orderBy("pass")
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 

@@ -3,4 +3,4 @@
 Importing the modules registers their queries in ``cairnflow.catalogue``.
 """
 
-from . import credits, decisions, intervals, lookups, nearness, ordered, relational, stores, textual, transcripts  # noqa: F401
+from . import credits, decisions, identity, intervals, lookups, nearness, ordered, relational, stores, textual, transcripts  # noqa: F401

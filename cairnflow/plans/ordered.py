@@ -211,8 +211,8 @@ def text_groups(spark: SparkSession, d: str) -> DataFrame:
 def named(spark: SparkSession, d: str) -> DataFrame:
     """Names out of documents: the first two words of letters of each, some with a title, some misread by a letter."""
     t = read(spark, d, "documents").select("doc_id", "source", F.regexp_extract_all("text", F.lit(r"(\p{L}{3,})")).alias("w")).where("size(w) >= 2")
-    read_ = F.when(F.col("doc_id") % 3 == 0, F.concat(F.expr("left(w[1], length(w[1]) - 1)"), F.lit("x"))).otherwise(F.col("w")[1])
-    return t.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.initcap(F.concat_ws(" ", F.when(F.col("doc_id") % 11 == 0, "Dr."), F.col("w")[0], read_)).alias("text"))
+    read_ = F.when(F.col("doc_id") % 3 == 0, F.concat(F.expr("left(get(w, 1), length(get(w, 1)) - 1)"), F.lit("x"))).otherwise(F.get("w", F.lit(1)))
+    return t.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.initcap(F.concat_ws(" ", F.when(F.col("doc_id") % 11 == 0, "Dr."), F.get("w", F.lit(0)), read_)).alias("text"))
 
 
 @query()

@@ -453,3 +453,11 @@ def test_alignment_by_waves_is_the_one_by_rows(monkeypatch):
     assert similarity.alignment(a, b) == want and similarity.edit_distance(a, b) == len(a) - len(b)
     monkeypatch.setattr(similarity, "MOST_PLACES", 10)
     assert similarity.alignment(a[:300], b[:280]) == similarity._by_rows(a[:300], b[:280])
+
+
+def test_holding_is_all_pairs(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 12))) for _ in range(150)] + [None]
+    needles = ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 5))) for _ in range(60)] + [None, "zzz", "abcabcabcabcabc"]
+    got = {tuple(r) for r in nearness.holding(table(spark, needles, "n"), table(spark, texts, "t"), "n", "t").collect()}
+    assert got == {(n, t) for n in needles for t in texts if n and t and n in t}
