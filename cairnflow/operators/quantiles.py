@@ -15,7 +15,8 @@ def exact_quantiles(rows: DataFrame, by: list[str], value: str, probs: list[floa
 
     A quantile lies between two ranks.  The range of a rank is cut in even bins, which are counted, with their least and greatest
     values, by rows that combine before they move; the bin that holds the rank is its next range.  A range of one value is the
-    answer, so each pass looks at a few thousandths of the rows of the one before, and no task holds more than a group's bins."""
+    answer, so each pass looks at a few thousandths of the rows of the one before, and no task holds more than a group's bins.  Passes are as many as
+    the logarithm, to the base of bins, of a group's range over the gaps in it."""
     g, v = F.struct(*by) if by else F.struct(F.lit(0)), F.col(value).cast("double")
     base = rows.select(g.alias("g"), v.alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
     ends = written(base.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "ends")
