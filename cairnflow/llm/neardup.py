@@ -333,11 +333,11 @@ def classes(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", tex
 def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, bands: int = BANDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, the one of the smallest doc_id (null last, then by text); rows without words stay.  Rows are numbered and written
     once, so each stands for itself, whatever its columns hold and are named."""
-    row, own = F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns]), [F.col(quoted(c)) for c in (doc_id, text)]
-    rows = materialise(docs.select(F.monotonically_increasing_id().alias("id"), own[0].cast("long").alias("doc"), own[1].alias("text"), row.alias("row")), "numbered")
-    sigs, named = _linked(rows.select("id", "text"), percent, "id", "text", words, bands)
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("id"), F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns]).alias("row")), "numbered")
+    own = rows.select("id", F.col(f"row.{quoted(doc_id)}").cast("long").alias("doc"), F.col(f"row.{quoted(text)}").alias("text"))
+    sigs, named = _linked(own, percent, "id", "text", words, bands)
     d = sigs.where("h1 is not null").select(F.col("doc_id").alias("id"), "h1", "h2").join(named, ["h1", "h2"]).select("id", "c")
-    d = materialise(d.join(rows.select("id", "doc", F.xxhash64("text").alias("h")), "id"), "rows")
+    d = materialise(d.join(own.select("id", "doc", F.xxhash64("text").alias("h")), "id"), "rows")
     best = d.groupBy("c").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "h", "id"))["id"].alias("id"))
     gone = materialise(d.join(best, "id", "left_anti").select("id"), "gone")
     return rows.join(gone, "id", "left_anti").select(*[F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])
