@@ -6,12 +6,12 @@ to 16 bits.  Two texts' likeness is the share of equal slots: swapping passages
 them changes the numbers, so likeness follows edit distance rather than the mere set of k-mers.
 
 Scale: the comparison with the next document needs rows in doc_id order.  The ids alone are summarised to as many cut points as
-there are partitions; each text then moves once, to the partition of its range, and the first text of a range is sent to the
+there are partitions, and an id (or null) that fills several ranges is cut further by a hash of the text; each text then moves once, to the partition of its range, and the first text of a range is sent to the
 range before it as well.  No single task sees more than a range.
 
 Defined results: a null text counts as empty.  A text shorter than k characters is one k-mer.  The fingerprint of an empty
 text is the empty string; its likeness to another empty one is 1, to any other text 0.  Rows of equal doc_id follow each other
-by text (null first); null ids come first.  The only row of a table is its own next row.  Other columns are ignored.
+by the upper 63 bits of xxhash64 of their text, then by text; null ids come first.  The only row of a table is its own next row.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, column
@@ -118,23 +118,10 @@ def _pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
                 return
 
 
-def cut_points(docs: DataFrame, parts: int) -> list[int]:
-    """At most parts - 1 doc_ids that cut the table into even ranges; each is the first id of its range."""
-    if parts < 2:
-        return []
-    ids = docs.where(F.col("doc_id").isNotNull())
-    got = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("q"), F.min("doc_id").alias("least")).first()
-    return sorted({c for c in got["q"] or [] if c > got["least"]})
-
-
-def range_number(cuts: list[int]):
-    """The number of the range of doc_id; nulls are in the first."""
-    return F.when(F.col("doc_id").isNull(), 0).otherwise(_search(cuts, 0, len(cuts))) if cuts else F.lit(0)
-
-
-def ranges(docs: DataFrame, parts: int, tie: Column) -> tuple[Column, int]:
+def ranges(docs: DataFrame, parts: int, tie: Column, in_order: bool = False) -> tuple[Column, int]:
     """The number of each row's range of doc_id, and how many ranges there are, about ``parts``.  A doc_id (or null) that fills several
-    even ranges gets as many of its own, to which its rows are dealt by the hash of tie; other rows of one doc_id stay together."""
+    even ranges gets as many of its own, to which its rows are dealt by the hash of tie, or in order of tie, a number from 0 to 2^63; other
+    rows of one doc_id stay together."""
     if parts < 2:
         return F.lit(0), 1
     got = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("q"), F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("none"), F.count("*").alias("n")).first()
@@ -150,22 +137,24 @@ def ranges(docs: DataFrame, parts: int, tie: Column) -> tuple[Column, int]:
     if max(of) == 1:
         return at, first[-1]
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), at + 1)
-    return pick(first[:-1]) + F.pmod(F.xxhash64(tie), pick(of)).cast("int"), first[-1]
+    share = F.least(pick(of) - 1, F.floor(tie / float(1 << 63) * pick(of)).cast("int")) if in_order else F.pmod(F.xxhash64(tie), pick(of)).cast("int")
+    return pick(first[:-1]) + share, first[-1]
 
 
 def in_ranges(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows with the number of their doc_id's range (``part``), and the first rows of each range once more for the range before
-    (``ahead``); those of the first range for the last one."""
-    cuts = cut_points(docs, parts)
-    n = len(cuts) + 1
-    least = docs.agg(F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    least = None if least[1] else least[0]
-    first = F.coalesce(F.array_contains(F.array(*[F.lit(c) for c in cuts]), F.col("doc_id")), F.lit(False)) if cuts else F.lit(False)
-    first = first | F.col("doc_id").eqNullSafe(F.lit(least))
-    own = F.struct(F.col("own").alias("part"), F.lit(0).alias("ahead"))
-    ahead = F.struct(F.pmod(F.col("own") - 1, F.lit(n)).alias("part"), F.lit(1).alias("ahead"))
-    d = docs.withColumn("own", range_number(cuts)).select("doc_id", "text", F.inline(F.when(first, F.array(own, ahead)).otherwise(F.array(own))))
-    return d.repartitionById(n, F.col("part")).sortWithinPartitions("ahead", "doc_id", "text")
+    """Rows with the number of their range (``part``) of doc_id, then of a hash of the text, and the first row of each range once more for the
+    range before (``ahead``); that of the first range for the last one."""
+    d = docs.withColumn("tie", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    number, n = ranges(d, parts, F.col("tie"), in_order=True)
+    d = d.withColumn("own", number)
+    firsts = d.groupBy("own").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
+    w = Window.orderBy("own")  # a row for each range
+    firsts = firsts.withColumn("before", F.coalesce(F.lag("own").over(w), F.max("own").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    d = d.join(F.broadcast(firsts), "own")  # at most n rows
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie"))
+    own, ahead = (F.struct(F.col(c).cast("int").alias("part"), F.lit(k).alias("ahead")) for k, c in enumerate(("own", "before")))
+    d = d.select("doc_id", "text", "tie", F.inline(F.when(first, F.array(own, ahead)).otherwise(F.array(own))))
+    return d.repartitionById(n, F.col("part")).sortWithinPartitions("ahead", "doc_id", "tie", "text")
 
 
 def _search(cuts: list[int], lo: int, hi: int):

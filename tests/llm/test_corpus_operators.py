@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from cairnflow.llm import components, fm, hostrules, neardup, ordermin, packing, pfp, piecesample, queries, rangecoder, tokencount, warc, wordbpe
 
@@ -433,8 +434,27 @@ def plain_likeness(a, b):
     return sum(a[k : k + 4] == b[k : k + 4] for k in range(0, 256, 4)) / 64
 
 
+def by_id_and_hash(r):
+    """Null ids first; of equal ids by the hash of the text."""
+    return r[0] is not None, r[0] or 0, 21 if r[1] is None else xxhash.xxh64_intdigest(r[1].encode(), 42) >> 1, r[1] or ""
+
+
+def test_fingerprints_of_rows_without_ids(spark):
+    """Nine in ten without a doc_id, half of the others with one: their rows lie in several ranges and each meets its next one."""
+    t = [(None, f"none {k} of them") for k in range(450)] + [(7, f"seven {k}") for k in range(25)] + [(k, f"own {k}") for k in range(24)] + [(None, None)]
+    d = spark.createDataFrame(t, "doc_id long, text string").repartition(5)
+    order = sorted(t, key=by_id_and_hash)
+    want = []
+    for (i, x), (_, n) in zip(order, order[1:] + order[:1]):
+        x, n = x or "", n or ""
+        want.append((i, len(x), hashlib.sha256((x[: len(x) - len(x) // 2] + n[: len(x) // 2]).encode()).hexdigest()))
+    assert by_row(ordermin.fingerprints(d, parts=20).select("doc_id", "n_chars", "edited_sha256")) == sorted(want, key=repr)
+    sizes = [r["count"] for r in ordermin.in_ranges(d, 20).groupBy("part").count().collect()]
+    assert len(sizes) > 12 and max(sizes) < 100
+
+
 def test_fingerprints(docs, texts, empty):
-    order = sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    order = sorted(texts, key=by_id_and_hash)
     want = []
     for (i, t), (_, n) in zip(order, order[1:] + order[:1]):
         t, n = t or "", n or ""
@@ -709,3 +729,10 @@ def test_warc_is_read_in_proportion_to_its_size(monkeypatch):
 
 def test_queries_have_ten_operators():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
+
+
+def test_word_encoder_equals_library_on_a_whole_table(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    enc = wordbpe.encoder(wordbpe.default_path())
+    assert enc.by_piece and len(texts) >= 200
+    assert enc.packed_many(texts) == [packed(enc.lib.encode(t or "", add_special_tokens=False).ids) for t in texts]
