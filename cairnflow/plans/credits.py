@@ -228,3 +228,20 @@ def quality_blocks(spark: SparkSession, d: str) -> DataFrame:
     l = lines(spark, d).withColumnRenamed("line", "name")
     b = verdicts.quality_block(readings(spark, d), known_people(spark, d), director_sources(spark, d), l.where("pos % 2 = 0"), l.where("pos % 3 != 0"), l.where("pos % 5 = 0"), "doc", 2)
     return b.withColumn("directors", F.array_join("directors", "; "))
+
+
+def entity_rules() -> tuple:
+    """Names after words that the conversations have, in several spellings."""
+    from ..operators.entities import RULES, Rule
+
+    return (*RULES, Rule("The House", ("the", "thé"), "organization"), Rule("Elle", ("elle", "ele"), "person"), Rule("New Tion", ("tion",), "place"), Rule("Und", ("UND", "unt"), "other"))
+
+
+@query()
+def entity_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Names put right by a lexicon of several entries, with the evidence of what was found where."""
+    from ..operators import entities
+
+    e = entities.normalised(read(spark, d, "conversations").select("conv_id", "turn", "text"), "text", entity_rules())
+    spans = F.transform("entities", lambda x: F.concat_ws(":", x["canonical"], x["matched"], x["start"], x["end"]))
+    return e.select("conv_id", "turn", F.sha2(F.encode(F.coalesce("normalized_text", "text"), "utf-8"), 256).alias("text"), F.size("entities").alias("n"), F.sha2(F.encode(F.array_join(spans, ","), "utf-8"), 256).alias("spans"))

@@ -234,3 +234,46 @@ def test_quality_blocks_of_the_whole_table(spark, sf_dir):
         verdict = "BLOCK" if status in ("UNREAD", "CONFLICT") else "REVIEW" if status == "UNCONFIRMED" or r.kept < 2 or r.dropped > r.kept else "OK"
         assert (r.directors, r.how, r.status, r.confidence, r.verdict) == ("; ".join(n), f[d].how, status, confidence, verdict)
     assert {r.verdict for r in got.values()} == {"OK", "REVIEW", "BLOCK"}
+
+
+# -- entities ---------------------------------------------------------------------------
+
+
+def plain_entities(text, rules):
+    out = []
+    for r in rules:
+        for v in r.variants:
+            whole, i, done = re.compile(rf"(?<!\w){re.escape(v)}(?!\w)", re.IGNORECASE), 0, ""
+            while m := whole.search(text, i):
+                done += text[i : m.start()] + r.canonical
+                out += [(r.canonical, m[0], m.start(), m.end())] if m[0] != r.canonical else []
+                i = m.end()
+            text = done + text[i:]
+    return text, out
+
+
+def test_entities_with_their_places(spark):
+    from cairnflow.operators import entities
+
+    said = ["baris manco, Barış Manço ve BARIS MANGO'nun", "Neretfada değil Neretfa", "trt haber TRT Haber", "nothing", "", None]
+    got = entities.normalised(spark.createDataFrame([(k, s, 7) for k, s in enumerate(said)], "k int, t string, entity int"), "t").orderBy("k").collect()
+    for r, s in zip(got, said):
+        text, found = plain_entities(s or "", entities.RULES)
+        assert r.normalized_text == (text if s is not None and text != s else None)
+        assert [(e.canonical, e.matched, e.start, e.end) for e in r.entities] == (found if r.normalized_text else [])
+    assert got[0].normalized_text == "Barış Manço, Barış Manço ve Barış Manço'nun" and got[0].entities[0].kind == "person"
+    assert got[1].normalized_text == "Neretfada değil Neretva"
+    assert entities.normalised(spark.createDataFrame([("Neretfa",)], "t string"), "t", ()).first().normalized_text is None
+
+
+def test_entity_spans_of_the_whole_table(spark, sf_dir):
+    import hashlib
+
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = set()
+    for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect():
+        text, found = plain_entities(r.text or "", P.entity_rules())
+        found = found if text != r.text else []
+        want.add((r.conv_id, r.turn, sha(text), len(found), sha(",".join(":".join(map(str, f)) for f in found))))
+    got = {tuple(r) for r in catalogue.queries()["entity_spans"](spark, sf_dir).collect()}
+    assert got == want and sum(n for *_, n, _ in got) > 50

@@ -350,7 +350,7 @@ def test_upper_prose(t, run):
 
 #: Where the other queries without SQL are tested: their operators, on rows made for it; in test_rounds on whole tables too.
 ELSEWHERE = {
-    "test_credits": "anchored_roles fused_directors line_directors quality_blocks validated_directors".split(),
+    "test_credits": "anchored_roles entity_spans fused_directors line_directors quality_blocks validated_directors".split(),
     "test_rounds": "box_tracks clone_collapse fuzzy_clusters names_in_lines spelling_clusters spelling_groups variant_merge".split(),
     "test_operators": ("anchor_dedup best_runs capped_chunks column_splits confirmed_cast consensus_lines dialect_texts guest_blocks merged_readers other_folds paired_lines parsed_credits "
                        "phrase_differences regime_onsets roster_changes stop_cards suspect_names text_variants track_dedup unwitnessed_names").split(),
