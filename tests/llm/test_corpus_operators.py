@@ -727,8 +727,8 @@ def test_warc_is_read_in_proportion_to_its_size(monkeypatch):
     assert list(warc.records(b"")) == []
 
 
-def test_queries_have_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
+def test_queries_have_thirteen_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 14))
 
 
 def test_word_encoder_equals_library_on_a_whole_table(spark, sf_dir):
