@@ -29,7 +29,8 @@ def role_fill(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     l = lines(spark, d).withColumn("h", C.head_of(F.col("line")))
-    w = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    # two parts of a document may come to one place: then the line decides, so that runs agree
+    w = Window.partitionBy("doc").orderBy("pos", "line").rowsBetween(Window.unboundedPreceding, 0)
     return l.withColumn("role", F.last("h", True).over(w)).where("h is null and role is not null").select("doc", "pos", "role")
 
 
