@@ -111,7 +111,9 @@ def nearest_value(rows: DataFrame, table: DataFrame, by: str, row_id: str, x: st
 
 def fused_lines(lines: DataFrame, by: str, y: str, tolerance: float) -> DataFrame:
     """Left and right texts of one line (y within tolerance), each used once in order of y; unmatched ones keep a null side."""
-    rows = lines.withColumn("_b", F.explode(F.array(F.floor(F.col(y) / tolerance), F.floor(F.col(y) / tolerance) + 1)))
+    # of the rows of one side at one y the first is nearer, by row, to whatever the others are near: no other can have a mutual partner
+    first = lines.groupBy(by, "side", y).agg(F.min(F.struct("row", "text")).alias("_f")).select(by, "side", y, "_f.row", "_f.text")
+    rows = first.withColumn("_b", F.explode(F.array(F.floor(F.col(y) / tolerance), F.floor(F.col(y) / tolerance) + 1)))
     a, b = (rows.where(F.col("side") == s).select(by, "_b", F.col(y).alias(f"y{s}"), F.col("text").alias(s), F.col("row").alias(f"r{s}")) for s in "lr")
     p = a.join(b, [by, "_b"]).where(F.abs(F.col("yl") - F.col("yr")) <= tolerance).drop("_b").distinct()
     # mutual nearest partners
