@@ -7,6 +7,9 @@ in one task, and what a round leaves is written to the shared folder.  Pairs com
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,43 +95,70 @@ def first_groups(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         at = written(at.join(better, ["by", "node"], "left").select("by", "node", F.coalesce("offer", "group").alias("group")), "groups")
 
 
+def _vetoed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows in order of by, component, t and u, members and their clusters: where u is null a node is seen under a mark at t, else two nodes ask to join.
+    What is held is a component's nodes with their marks; its pairs pass by."""
+    now, root, marks = None, {}, {}
+
+    def top(n):
+        while root[n] != n:
+            root[n] = n = root[root[n]]
+        return n
+
+    def done():
+        return pd.DataFrame([(now[0], n, top(n)) for n in root], columns=["by", "node", "c"])
+
+    for pdf in parts:
+        # nulls are told apart before columns turn into lists
+        pdf = pdf.astype(object).where(pdf.notna(), None)
+        for by, comp, a, b, mark, pair in zip(*(pdf[c].tolist() for c in ("by", "component", "a", "b", "mark", "pair"))):
+            if (by, comp) != now:
+                if root:
+                    yield done()
+                now, root, marks = (by, comp), {}, {}
+            if not pair:
+                root.setdefault(a, a)
+                marks.setdefault(top(a), set()).add(mark)
+                continue
+            x, y = sorted((top(a), top(b)))
+            if x != y and marks[x].isdisjoint(marks[y]):
+                root[y] = x
+                more = marks.pop(y)
+                if len(more) > len(marks[x]):
+                    marks[x], more = more, marks[x]
+                marks[x] |= more
+    if root:
+        yield done()
+
+
 def vetoed_clusters(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Clusters of items that are near, but for those met together.  rows: by, item, mark (where it was met) and pos (the order of rows,
     distinct in a by); pairs: by, a, b (items, a may be b).  An item met for the first time asks the earlier ones near it to join, in their
     order; two clusters that have been met under one mark so far stay apart.  by, item and cluster (the pos of its first item's first row).
 
-    A pair is asked at the later one's first row; clusters carry their marks with the first row under each.  A pair whose clusters
-    have a mark in common by then is refused for good, as clusters only grow; of the others the first at both ends joins.  Where
-    no mark of a whole component occurs twice, all of it joins at once."""
+    A pair is asked at the later one's first row.  One whose items have a mark in common by then is refused for good, as clusters only grow.
+    Where no mark of a whole component occurs twice, all of it joins at once; the rows and pairs of any other pass through a task in
+    their order: a name that most others are near has a pair settled after another, which would take as many rounds as it has pairs."""
     seen = rows.groupBy("by", "item", "mark").agg(F.min("pos").alias("pos"))
-    items = written(seen.groupBy("by", "item").agg(F.min("pos").alias("first"), F.collect_list(F.struct("mark", "pos")).alias("marks")), "items")
-    ends = [items.select("by", F.col("item").alias(c), F.col("first").alias(f"f{c}")) for c in "ab"]
-    asked = pairs.join(ends[0], ["by", "a"]).join(ends[1], ["by", "b"]).where("fa < fb").distinct()
-    # clusters go by the first row of their first item
-    rest = asked.select("by", F.col("fa").alias("a"), F.col("fb").alias("b"), F.struct(F.greatest("fa", "fb").alias("t"), F.least("fa", "fb").alias("u")).alias("key"))
-    clusters = items.select("by", F.col("first").alias("c"), "marks")
-    members = items.select("by", F.col("first").alias("node"), F.col("first").alias("c"))
-    turn = 0
-    while True:
-        facts = [clusters.select("by", F.col("c").alias(c), F.col("marks").alias(f"m{c}")) for c in "ab"]
-        by_then = lambda m: F.transform(F.filter(m, lambda x: x["pos"] <= F.col("key.t")), lambda x: x["mark"])
-        rest = rest.where("a <> b").join(facts[0], ["by", "a"]).join(facts[1], ["by", "b"]).where(~F.arrays_overlap(by_then("ma"), by_then("mb"))).select("by", "a", "b", "key")
-        rest = written(rest, "pairs")
-        if rest.isEmpty():
-            break
-        joins = _firsts(rest, "key").select("by", F.greatest("a", "b").alias("c"), F.least("a", "b").alias("to"))
-        if turn % 8 == 0:
-            node = lambda c: F.struct("by", F.col(c).alias("n"))
-            comp = components(rest.select(node("a").alias("a"), node("b").alias("b"))).select("node.by", F.col("node.n").alias("c"), F.col("component.n").alias("to"))
-            held = comp.join(clusters, ["by", "c"]).select("by", "c", "to", F.explode("marks").alias("m"))
-            free = held.groupBy("by", "to", "m.mark").count().groupBy("by", "to").agg(F.max("count").alias("most")).where("most = 1").select("by", "to")
-            whole = written(comp.join(free, ["by", "to"]).select("by", "c", "to"), "whole")
-            joins = joins.join(whole.select("by", "c"), ["by", "c"], "left_anti").unionByName(whole.where("c <> to"))
-        joins = written(joins, "joins")
-        turn += 1
-        moved = lambda d, c: d.join(joins.select("by", F.col("c").alias(c), "to"), ["by", c], "left").withColumn(c, F.coalesce("to", c)).drop("to")
-        together = moved(clusters, "c").select("by", "c", F.explode("marks").alias("m")).groupBy("by", "c", "m.mark").agg(F.min("m.pos").alias("pos"))
-        clusters = written(together.groupBy("by", "c").agg(F.collect_list(F.struct("mark", "pos")).alias("marks")), "clusters")
-        members = written(moved(members, "c"), "members")
-        rest = moved(moved(rest, "a"), "b").select("by", "a", "b", "key")
-    return items.join(members.select("by", F.col("node").alias("first"), "c"), ["by", "first"]).select("by", "item", F.col("c").alias("cluster"))
+    items = written(seen.groupBy("by", "item").agg(F.min("pos").alias("first"), F.collect_list(F.struct(F.struct("mark").alias("mark"), "pos")).alias("marks")), "items")
+    ends = [items.select("by", F.col("item").alias(c), F.col("first").alias(f"f{c}"), F.col("marks").alias(f"m{c}")) for c in "ab"]
+    by_then = lambda m: F.transform(F.filter(m, lambda x: x["pos"] <= F.col("fb")), lambda x: x["mark"])
+    asked = pairs.join(ends[0], ["by", "a"]).join(ends[1], ["by", "b"]).where("fa < fb").where(~F.arrays_overlap(by_then("ma"), by_then("mb")))
+    # items go by their first row
+    rest = written(asked.select("by", F.col("fa").alias("a"), F.col("fb").alias("b")).distinct(), "pairs")
+    node = lambda c: F.struct("by", F.col(c).alias("n"))
+    comp = written(components(rest.select(node("a").alias("a"), node("b").alias("b"))).select("node.by", F.col("node.n").alias("node"), F.col("component.n").alias("component")), "components")
+    held = comp.join(items.select("by", F.col("first").alias("node"), F.explode("marks").alias("m")), ["by", "node"]).select("by", "component", "node", F.col("m.mark.mark").alias("mark"), F.col("m.pos").alias("pos"))
+    twice = written(held.groupBy("by", "component", "mark").count().where("count > 1").select("by", "component").distinct(), "twice")
+    held, links = held.join(twice, ["by", "component"]), rest.join(comp.withColumnRenamed("node", "a"), ["by", "a"]).join(twice, ["by", "component"])
+    kind = {c: held.schema[c].dataType for c in ("by", "component", "mark")}
+    none = lambda c: F.lit(None).cast(kind[c]).alias(c)
+    events = held.select("by", "component", F.col("pos").alias("t"), F.col("node").alias("a"), none("component").alias("b"), "mark", F.lit(False).alias("pair"))
+    events = events.unionByName(links.select("by", "component", F.col("b").alias("t"), "a", "b", none("mark"), F.lit(True).alias("pair")))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    events = events.repartition(tasks, "by", "component").sortWithinPartitions("by", "component", "t", "pair", "a")
+    pos = kind["component"].simpleString()
+    split = events.mapInPandas(_vetoed, f"by {kind['by'].simpleString()}, node {pos}, c {pos}")
+    whole = comp.join(twice, ["by", "component"], "left_anti").select("by", "node", F.col("component").alias("c"))
+    c = whole.unionByName(split).withColumnRenamed("node", "first")
+    return items.join(written(c, "clusters"), ["by", "first"], "left").select("by", "item", F.coalesce("c", "first").alias("cluster"))

@@ -25,10 +25,10 @@ def clusters(rows: DataFrame, by: str, mark: str, text: str, pos: str) -> DataFr
     met under one mark (an episode); see ``rounds.vetoed_clusters``."""
     r = rows.select(F.col(by).alias("by"), F.trim(F.col(text)).alias("item"), F.col(mark).alias("mark"), F.col(pos).alias("pos")).where("item <> ''")
     items = written(r.select("by", "item").distinct().withColumn("bare", untitled("item")), "spellings")
-    near = nearness.near_names(items.select("bare"), "bare")
-    same = items.select("bare").distinct().where(F.size(tokens(ascii_fold(F.col("bare")), 3)) > 0).select(F.col("bare").alias("a"), F.col("bare").alias("b"))
+    near = nearness.near_names(items, "bare", "by")
+    same = items.select("by", "bare").distinct().where(F.size(tokens(ascii_fold(F.col("bare")), 3)) > 0).select("by", F.col("bare").alias("a"), F.col("bare").alias("b"))
     ends = [items.select("by", F.col("item").alias(f"i{c}"), F.col("bare").alias(c)) for c in "ab"]
-    pairs = near.unionByName(same).join(ends[0], "a").join(ends[1], ["by", "b"]).where("ia <> ib").select("by", F.col("ia").alias("a"), F.col("ib").alias("b"))
+    pairs = near.unionByName(same).join(ends[0], ["by", "a"]).join(ends[1], ["by", "b"]).where("ia <> ib").select("by", F.col("ia").alias("a"), F.col("ib").alias("b"))
     found = rounds.vetoed_clusters(r, written(pairs, "near"))
     n = r.groupBy("by", "item").agg(F.count_distinct("mark").cast("int").alias("n"))
     return found.join(n, ["by", "item"]).select(F.col("by").alias(by), F.col("item").alias(text), "cluster", "n")
