@@ -70,8 +70,9 @@ def extractive_summary(spark: SparkSession, d: str) -> DataFrame:
     """The sentences with the most frequent words, in their order."""
     s = read(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(T.head_middle_tail("text"))).alias("k", "s"))
     w = s.select("doc_id", "k", F.explode(F.filter(F.split(F.lower("s"), "[^a-z]+"), lambda x: F.length(x) > 3)).alias("w"))
-    freq = w.groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    score = w.join(freq, ["doc_id", "w"]).groupBy("doc_id", "k").agg(F.avg("n").alias("score"))
+    # words are dealt once, by document: their counts and the scores stay where they are
+    freq = w.repartition("doc_id").withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "w")))
+    score = freq.groupBy("doc_id", "k").agg(F.avg("n").alias("score"))
     ranked = s.join(score, ["doc_id", "k"]).withColumn("score", F.col("score") * F.when(F.length("s").between(45, 260), 1.15).otherwise(1.0))
     top = ranked.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "k"))).where("r <= 6")
     return top.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]), " ").alias("summary"))
