@@ -96,7 +96,7 @@ def first_groups(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _vetoed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows in order of by, component, t and u, members and their clusters: where u is null a node is seen under a mark at t, else two nodes ask to join.
+    """Of rows in order of by, component, t, pair and a, members and their clusters: a node is seen under a mark at t, or two nodes ask to join (pair).
     What is held is a component's nodes with their marks; its pairs pass by."""
     now, root, marks = None, {}, {}
 
@@ -109,8 +109,6 @@ def _vetoed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame([(now[0], n, top(n)) for n in root], columns=["by", "node", "c"])
 
     for pdf in parts:
-        # nulls are told apart before columns turn into lists
-        pdf = pdf.astype(object).where(pdf.notna(), None)
         for by, comp, a, b, mark, pair in zip(*(pdf[c].tolist() for c in ("by", "component", "a", "b", "mark", "pair"))):
             if (by, comp) != now:
                 if root:
@@ -151,10 +149,10 @@ def vetoed_clusters(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     held = comp.join(items.select("by", F.col("first").alias("node"), F.explode("marks").alias("m")), ["by", "node"]).select("by", "component", "node", F.col("m.mark.mark").alias("mark"), F.col("m.pos").alias("pos"))
     twice = written(held.groupBy("by", "component", "mark").count().where("count > 1").select("by", "component").distinct(), "twice")
     held, links = held.join(twice, ["by", "component"]), rest.join(comp.withColumnRenamed("node", "a"), ["by", "a"]).join(twice, ["by", "component"])
-    kind = {c: held.schema[c].dataType for c in ("by", "component", "mark")}
-    none = lambda c: F.lit(None).cast(kind[c]).alias(c)
-    events = held.select("by", "component", F.col("pos").alias("t"), F.col("node").alias("a"), none("component").alias("b"), "mark", F.lit(False).alias("pair"))
-    events = events.unionByName(links.select("by", "component", F.col("b").alias("t"), "a", "b", none("mark"), F.lit(True).alias("pair")))
+    kind = {c: held.schema[c].dataType for c in ("by", "component")}
+    # no number is null, so that none turns into a double in pandas
+    events = held.select("by", "component", F.col("pos").alias("t"), F.col("node").alias("a"), F.col("node").alias("b"), F.col("mark").cast("string").alias("mark"), F.lit(False).alias("pair"))
+    events = events.unionByName(links.select("by", "component", F.col("b").alias("t"), "a", "b", F.lit(None).cast("string").alias("mark"), F.lit(True).alias("pair")))
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     events = events.repartition(tasks, "by", "component").sortWithinPartitions("by", "component", "t", "pair", "a")
     pos = kind["component"].simpleString()
