@@ -10,7 +10,7 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import dedup, measures
 from ..sources import files
-from .relational import read
+from .relational import read, spread
 
 _TF = "trim(lower(translate(text, 'İIıŞşĞğÜüÖöÇç', 'iiissgguuoocc')))"
 _MARKS = f"'{T.MARKED}', '{T.PLAIN}'"
@@ -132,14 +132,20 @@ def char_error_rates(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "supplier").select("s_suppkey", F.levenshtein("s_name", ref).alias("edits"), F.round(S.char_error_rate(ref, F.col("s_name")), 6).alias("cer"))
 
 
+def turns_before(spark: SparkSession, d: str) -> DataFrame:
+    """Turns (conv_id, turn, text) with the text of the one before (prev)."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return read(spark, d, "conversations").withColumn("prev", F.lag("text").over(w)).where("prev is not null").select("conv_id", "turn", "prev", "text")
+
+
 @query()
 def word_error_rates(spark: SparkSession, d: str) -> DataFrame:
     """Token edit distance, alignment and overlap between neighbouring turns."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = read(spark, d, "conversations").withColumn("prev", F.lag("text").over(w)).where("prev is not null")
-    a, b = F.split("prev", " "), F.split("text", " ")
-    c = c.select("conv_id", "turn", a.alias("a"), b.alias("b"))
-    return c.select("conv_id", "turn", F.round(S.word_error_rate(F.col("a"), F.col("b")), 6).alias("wer"), F.round(S.word_f1(F.col("a"), F.col("b")), 6).alias("f1"), F.size(F.filter(S.align_tokens("a", "b"), lambda x: x["op"] == "M")).alias("matches"))
+    c = spread(turns_before(spark, d)).withColumn("m", S.compared_words("prev", "text"))
+    a, b, hits = F.size(F.split("prev", " ")), F.size(F.split("text", " ")), F.col("m.common")
+    p, r = hits / b, hits / a
+    f1 = F.when(hits == 0, 0.0).otherwise(2 * p * r / (p + r))
+    return c.select("conv_id", "turn", F.round(F.col("m.edits") / a, 6).alias("wer"), F.round(f1, 6).alias("f1"), F.col("m.matches").alias("matches"))
 
 
 @query()
