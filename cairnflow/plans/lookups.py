@@ -12,7 +12,8 @@ from ..operators import spellings
 from ..operators import relational as R
 from ..sources import files
 from .ordered import frames
-from .relational import read
+from .relational import read, spread
+from .textual import turns_before
 
 SCHEMAS = {"part": "p_partkey long, p_name string, p_brand string, p_size int", "missing_table": "k long"}
 
@@ -149,13 +150,9 @@ def engine_agreement(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def phrase_differences(spark: SparkSession, d: str) -> DataFrame:
     """The longest runs of words that one of two readings lacks."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = read(spark, d, "conversations").withColumn("prev", F.lag("text").over(w)).where("prev is not null")
-    a = c.select("conv_id", "turn", F.posexplode(S.align_tokens(F.split("prev", " "), F.split("text", " "))).alias("k", "op")).select("conv_id", "turn", "k", "op.*")
-    v = Window.partitionBy("conv_id", "turn").orderBy("k")
-    g = a.withColumn("g", F.sum((~F.col("op").eqNullSafe(F.lag("op").over(v))).cast("int")).over(v)).where(F.col("op").isin("I", "D"))
-    r = g.groupBy("conv_id", "turn", "g", "op").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", F.coalesce("a", "b").alias("t")))), lambda x: x["t"]), " ").alias("phrase"), F.count("*").alias("n")).where("n >= 2")
-    return r.orderBy(F.desc("n"), "conv_id", "turn", "g").limit(80).select("conv_id", "turn", "op", "phrase", "n")
+    c = spread(turns_before(spark, d))
+    r = c.select("conv_id", "turn", F.inline(S.lacking_runs("prev", "text"))).where("n >= 2")
+    return r.orderBy(F.desc("n"), "conv_id", "turn", "g").limit(80).select("conv_id", "turn", "op", "phrase", F.col("n").cast("long").alias("n"))
 
 
 @query()
