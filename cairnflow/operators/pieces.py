@@ -100,16 +100,24 @@ def fold_in_pieces(rows: DataFrame, by: str, order: list[str], machine: Machine,
     # a partition's numbers begin at a multiple of 2^33, so that no piece has rows of two
     d = written(d.withColumn("piece", F.expr(f"at div {piece}")).withColumn("given", F.lit(None).cast("string")), "ordered")
     ddl = f"piece long, key {kind}, guess string, made string, n long, state string, head boolean"
-    done = written(d.groupBy("piece").applyInPandas(_runs(machine, keep), ddl), "folded")
+    tasks = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fold = lambda rows: written(rows.repartition(tasks, "piece").groupBy("piece").applyInPandas(_runs(machine, keep), ddl), "folded")
+    done = fold(d)
+    within = Window.partitionBy("key")
     while True:
         facts = done.where("made IS NULL").select("piece", "key", "guess", "n", "state", "head")
-        scan = written(facts.groupBy("key").applyInPandas(_scan(machine), f"key {kind}, piece long, begins string, before long, miss boolean, left string, total long"), "scan")
+        facts = facts.withColumn("spans", F.min("piece").over(within) != F.max("piece").over(within))
+        # most keys lie in one piece, which needs no scan: it starts from the first state
+        one = facts.where(~F.col("spans") & (~F.col("head") | (F.col("guess") == json.dumps(machine.start))))
+        one = one.select("key", "piece", F.when(F.col("head"), F.col("guess")).otherwise("").alias("begins"), F.lit(0).cast("long").alias("before"), F.lit(False).alias("miss"), F.col("state").alias("left"), F.col("n").alias("total"))
+        several = facts.where("spans").drop("spans").groupBy("key").applyInPandas(_scan(machine), f"key {kind}, piece long, begins string, before long, miss boolean, left string, total long")
+        scan = written(one.unionByName(several), "scan")
         missed = scan.where("miss").select("piece", F.col("key").alias("_k"), F.col("begins").alias("start"))
         if missed.isEmpty():
             break
         # the first key's rows of those pieces, from the states that they start from
         again = d.join(missed, "piece").where(F.col("key").eqNullSafe(F.col("_k"))).withColumn("given", F.col("start")).select(d.columns)
-        done = done.unionByName(written(again.groupBy("piece").applyInPandas(_runs(machine, keep), ddl), "folded"))
+        done = done.unionByName(fold(again))
     real = scan.select(F.col("piece").alias("_p"), F.col("key").alias("_k"), "begins", "before")
     out = done.where("made IS NOT NULL").join(real, (F.col("piece") == F.col("_p")) & F.col("key").eqNullSafe(F.col("_k")) & (F.col("guess") == F.col("begins")))
     out = out.select("key", (F.col("before") + F.col("n")).alias("nth"), "made")
