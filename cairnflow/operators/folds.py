@@ -24,7 +24,9 @@ def grouped(rows: DataFrame, by: str, order: list[str], fold: Callable[[list[dic
         out = fold(pdf.astype(object).where(pdf.notna(), None).to_dict("records"))
         return pd.DataFrame([{by: key[0]} | r for r in out], columns=names)
 
-    return rows.groupBy(by).applyInPandas(run, schema)
+    # keys of a small table would come together in one task
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, by).groupBy(by).applyInPandas(run, schema)
 
 
 def _columns(schema: str) -> list[str]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 from ..functions import names as N
 
@@ -12,14 +13,20 @@ from ..functions import names as N
 VOWELS = frozenset("aeiou")
 
 
+@lru_cache(maxsize=1 << 14)
+def _folded(text: str) -> tuple[str, list[str]]:
+    """A text's fold and its words, which are asked for with each other text."""
+    x = N.fold(text)
+    return x, x.split()
+
+
 def _near(least: float) -> Callable[[str, str], bool]:
     """As many words, the first one equal, and a ratio of at least so much."""
 
     def near(a: str, b: str) -> bool:
-        x, y = N.fold(a), N.fold(b)
+        (x, u), (y, v) = _folded(a), _folded(b)
         if not x or not y:
             return False
-        u, v = x.split(), y.split()
         return x == y or len(u) == len(v) and u[0] == v[0] and N.ratio_at_least(x, y, least)
 
     return near
