@@ -12,6 +12,7 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -41,6 +42,7 @@ class TrackRules:
     least_place: float = 0.22
 
 
+@lru_cache(maxsize=1 << 14)
 def spelling_ratio(a: str, b: str) -> float:
     return 1.0 if a == b and a else SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
@@ -76,8 +78,47 @@ class Open:
         self.text.append(text)
 
 
+#: Pairs of tracks and boxes up to which a frame is scored pair by pair, as arrays of so few cost more than they save.
+FEW = 32
+
+
+def _few_scores(tracks: Open, frame: int, boxes: np.ndarray, texts: list[str], height: float, r: TrackRules) -> np.ndarray:
+    """``scores`` of finite boxes, pair by pair, by the same steps."""
+    out = np.zeros((len(tracks.text), len(boxes)))
+    base = max(5.0, 0.005 * height)
+    wp, wt, wo, wg = r.weights
+    now = boxes.tolist()
+    for i, ((_, n, last), (x, y, w, h), (vx, vy), a) in enumerate(zip(tracks.keys.tolist(), tracks.box.tolist(), tracks.v.tolist(), tracks.text)):
+        gap = max(1, frame - last)
+        if gap > r.max_gap:
+            continue
+        speed = float(np.hypot(vx, vy))
+        radius = max(r.first_radius, base + 2.0 * max(w, h)) if n <= 1 else base + speed * r.velocity_margin
+        x, y = x + vx * gap, y + vy * gap
+        pause = 1 - min(1.0, (gap - 1) / max(r.max_gap, 1))
+        slow = speed < r.slow and n >= 2
+        for j, (p, q, u, g) in enumerate(now):
+            far = float(np.hypot((x + w / 2) - (p + u / 2), (y + h / 2) - (q + g / 2)))
+            place = 1 - min(1.0, far / max(1.0, radius + max(1.0, w, h, u, g)))
+            inter = max(0.0, min(x + w, p + u) - max(x, p)) * max(0.0, min(y + h, q + g) - max(y, q))
+            union = w * h + u * g - inter
+            shared = inter / union if union > 0 else 0.0
+            rest = wp * place + wo * shared + wg * pause
+            if rest + wt < r.min_score or (slow and place < r.slow_place):
+                continue
+            b = texts[j]
+            if rest + wt * (2 * min(len(a), len(b)) / max(1, len(a) + len(b))) < r.min_score:
+                continue
+            t = spelling_ratio(a, b)
+            if t >= r.min_text if slow else (t >= r.min_text or shared >= r.least_overlap) and (place >= r.least_place or t >= r.strong_text):
+                out[i, j] = rest + wt * t
+    return out
+
+
 def scores(tracks: Open, frame: int, boxes: np.ndarray, texts: list[str], height: float, r: TrackRules) -> np.ndarray:
     """The score of each track with each box of a frame; nothing where a gate fails or the least score is out of reach."""
+    if len(tracks.text) * len(boxes) <= FEW and np.isfinite(boxes).all() and np.isfinite(tracks.box).all() and np.isfinite(tracks.v).all():
+        return _few_scores(tracks, frame, boxes, texts, height, r)
     gap = np.maximum(1, frame - tracks.keys[:, 2])
     seen = np.concatenate([tracks.box[:, :2] + tracks.v * gap[:, None], tracks.box[:, 2:]], axis=1)
     speed = np.hypot(tracks.v[:, 0], tracks.v[:, 1])
@@ -193,39 +234,47 @@ def _tracked(rules: TrackRules) -> Callable[[pd.DataFrame], pd.DataFrame]:
     that are given, or else from those that the frames before it give, taken from nothing."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(cy=pdf["y"] + pdf["h"] / 2, cx=pdf["x"] + pdf["w"] / 2).sort_values(["t", "cy", "cx", "row"], kind="stable")
-        given = pdf["given"].iloc[0]
-        tall = float(pdf["tall"].iloc[0])
-        warm = pdf[pdf["warm"]] if not isinstance(given, str) else pdf.iloc[:0]
-        own = pdf[~pdf["warm"]]
-        f0 = int(own["t"].iloc[0])
+        boxes = np.stack([pdf[c].to_numpy(dtype=float) for c in ("x", "y", "w", "h")], axis=1)
+        row, place = pdf["row"], pdf["row"]
+        if row.dtype.kind not in "iuf":
+            place, values = pd.factorize(row, sort=True)
+            place = np.where(place < 0, len(values), place)
+        order = np.lexsort((place, boxes[:, 0] + boxes[:, 2] / 2, boxes[:, 1] + boxes[:, 3] / 2, pdf["t"].to_numpy()))
+        boxes, row = boxes[order], row.to_numpy()[order]
+        t, ahead, texts = pdf["t"].to_numpy()[order], pdf["warm"].to_numpy()[order], pdf["text"].to_numpy()[order].tolist()
+        given, tall = pdf["given"].iloc[0], float(pdf["tall"].iloc[0])
+        given = given if isinstance(given, str) else None
+        own = np.flatnonzero(~ahead)
+        f0 = int(t[own[0]])
         walk = Walk(Open(), tall, rules)
-        for frame, boxes, texts, _ in _by_frame(warm):
-            walk.frame(frame, boxes, texts)
+        for frame, at in _by_frame(t, np.flatnonzero(ahead) if given is None else own[:0]):
+            walk.frame(frame, boxes[at], [texts[k] for k in at])
         walk.tracks.close(f0, rules.max_gap)
-        assumed = json.loads(given) if isinstance(given, str) else dump(walk.tracks)
+        assumed = dump(walk.tracks) if given is None else json.loads(given)
         walk = Walk(load(assumed), tall, rules)
-        out = {c: [] for c in ("row", "track", "vx", "vy")}
-        for frame, boxes, texts, rows in _by_frame(own):
-            track, v = walk.frame(frame, boxes, texts)
-            out["row"] += rows
-            out["track"] += track.tolist()
-            out["vx"] += v[:, 0].tolist()
-            out["vy"] += v[:, 1].tolist()
+        track, v = [], []
+        for frame, at in _by_frame(t, own):
+            now = walk.frame(frame, boxes[at], [texts[k] for k in at])
+            track.append(now[0])
+            v.append(now[1])
         left = [[*r, int(k)] for r, k in zip(dump(walk.tracks), walk.tracks.keys[:, 0])]
-        n = len(out["row"])
+        n = len(own)
+        track, v = np.concatenate(track), np.concatenate(v)
         none = [None] * n
-        return pd.DataFrame({"by": [pdf["by"].iloc[0]] * (n + 1), "seg": [pdf["seg"].iloc[0]] * (n + 1), **{c: [*v, None] for c, v in out.items()}, "f0": [*none, f0], "births": [*none, walk.made], "tied": [*none, walk.tied], "assumed": [*none, json.dumps(assumed)], "left": [*none, json.dumps(left)]})
+        out = {"by": [pdf["by"].iloc[0]] * (n + 1), "seg": [pdf["seg"].iloc[0]] * (n + 1)}
+        out |= {c: [*x.tolist(), None] for c, x in (("row", row[own]), ("track", track), ("vx", v[:, 0]), ("vy", v[:, 1]))}
+        # the last row is the segment's own
+        return pd.DataFrame(out | {"f0": [*none, f0], "births": [*none, walk.made], "tied": [*none, walk.tied], "assumed": [*none, json.dumps(assumed)], "left": [*none, json.dumps(left)]})
 
     return run
 
 
-def _by_frame(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, list[str], list]]:
-    t, boxes = pdf["t"].to_numpy(), pdf[["x", "y", "w", "h"]].to_numpy(dtype=float)
-    texts, rows = pdf["text"].tolist(), pdf["row"].tolist()
-    cuts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else []
-    for lo, hi in zip(cuts, [*cuts[1:], len(t)]):
-        yield int(t[lo]), boxes[lo:hi], texts[lo:hi], rows[lo:hi]
+def _by_frame(t: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Frames of rows that are in their order, with the rows of each."""
+    now = t[rows]
+    cuts = np.flatnonzero(np.r_[True, now[1:] != now[:-1]]) if len(now) else []
+    for lo, hi in zip(cuts, [*cuts[1:], len(now)]):
+        yield int(now[lo]), rows[lo:hi]
 
 
 def _checked(rules: TrackRules) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -269,7 +318,9 @@ def track_segments(rows: DataFrame, by: str, rules: TrackRules = TrackRules(), f
     dealt = written(dealt, "segments")
     dealt = dealt.join(dealt.where("NOT warm").select(F.col("by").alias("_b"), F.col("seg").alias("_s")).distinct(), F.col("by").eqNullSafe(F.col("_b")) & (F.col("seg") == F.col("_s")), "left_semi")
     schema = _DONE.format(by=boxes.schema["by"].dataType.simpleString(), row=boxes.schema["row"].dataType.simpleString())
-    tracked = lambda d: d.groupBy("by", "seg").applyInPandas(_tracked(rules), schema)
+    # segments of a small table would come together in few tasks
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tracked = lambda d: d.repartition(tasks, "by", "seg").groupBy("by", "seg").applyInPandas(_tracked(rules), schema)
     done = written(tracked(dealt), "tracked").withColumn("round", F.lit(0))
     w = Window.partitionBy("by").orderBy("seg")
     for k in range(1, 1 << 20):
