@@ -163,15 +163,6 @@ def sentences(c: Column | str, least: int = 25) -> Column:
     return F.transform(F.filter(parts, lambda s: F.length(F.trim(s)) >= least), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
 
 
-def head_middle_tail(c: Column | str, most: int = 60_000, head: int = 25_000, middle: int = 15_000, tail: int = 20_000) -> Column:
-    """A text over most characters cut to its head, middle and tail."""
-    t = _text(c)
-    n = F.length(t)
-    mid = F.greatest(F.lit(0), F.floor(n / 2).cast("int") - middle // 2)
-    cut = F.concat(F.substring(t, F.lit(1), F.lit(head)), F.lit("\n\n[...]\n\n"), F.substring(t, mid + 1, F.lit(middle)), F.lit("\n\n[...]\n\n"), F.substring(t, F.lit(-tail), F.lit(tail)))
-    return F.when(n <= most, t).otherwise(cut)
-
-
 def labels_of(codes: Column, labels: dict[str, str], k: int = 2, sep: str = r"\|") -> Column:
     """The first k distinct labels of a delimited list of codes, in order; unknown codes are dropped, null if none is known."""
     table = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])

@@ -67,8 +67,8 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def extractive_summary(spark: SparkSession, d: str) -> DataFrame:
-    """The sentences with the most frequent words, in their order."""
-    s = read(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(T.head_middle_tail("text"))).alias("k", "s"))
+    """The sentences of whole texts with the most frequent words, in their order."""
+    s = read(spark, d, "documents").select("doc_id", F.posexplode(T.sentences("text")).alias("k", "s"))
     w = s.select("doc_id", "k", F.explode(F.filter(F.split(F.lower("s"), "[^a-z]+"), lambda x: F.length(x) > 3)).alias("w"))
     # words are dealt once, by document: their counts and the scores stay where they are
     freq = w.repartition("doc_id").withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "w")))
