@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,7 +114,8 @@ def nearest_value(rows: DataFrame, table: DataFrame, by: str, row_id: str, x: st
 
 
 def fused_lines(lines: DataFrame, by: str, y: str, tolerance: float) -> DataFrame:
-    """Left and right texts of one line (y within tolerance), each used once in order of y; unmatched ones keep a null side."""
+    """Left and right texts of one line (y within tolerance) that are nearest to each other; all others keep a null side.  See
+    ``line_partners`` for a partner for each row that can have one."""
     # of the rows of one side at one y the first is nearer, by row, to whatever the others are near: no other can have a mutual partner
     first = lines.groupBy(by, "side", y).agg(F.min(F.struct("row", "text")).alias("_f")).select(by, "side", y, "_f.row", "_f.text")
     rows = first.withColumn("_b", F.explode(F.array(F.floor(F.col(y) / tolerance), F.floor(F.col(y) / tolerance) + 1)))
@@ -126,6 +131,47 @@ def fused_lines(lines: DataFrame, by: str, y: str, tolerance: float) -> DataFram
     return m.select(by, "l", "r").unionByName(left).unionByName(right)
 
 
+def _partners(tolerance: float):
+    """Of rows (by, island, y, side, text) in order: the oldest that waits takes the first of the other side within tolerance.  All that wait are
+    of one side, so what is held is the rows of that side within tolerance."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, waiting = None, deque()
+        alone = lambda by, side, text: (by, text, None) if side == "l" else (by, None, text)
+        for pdf in parts:
+            out = []
+            for by, island, y, side, text in zip(*(pdf[c].tolist() for c in ("by", "island", "y", "side", "text"))):
+                while waiting and ((by, island) != now or y - waiting[0][0] > tolerance):
+                    out.append(alone(now[0], *waiting.popleft()[1:]))
+                now = (by, island)
+                if waiting and waiting[0][1] != side:
+                    other = waiting.popleft()[2]
+                    out.append((by, text, other) if side == "l" else (by, other, text))
+                else:
+                    waiting.append((y, side, text))
+            if out:
+                yield pd.DataFrame(out, columns=["by", "l", "r"], dtype=object)
+        if waiting:
+            yield pd.DataFrame([alone(now[0], *w[1:]) for w in waiting], columns=["by", "l", "r"], dtype=object)
+
+    return run
+
+
+def line_partners(lines: DataFrame, by: str, y: str, tolerance: float) -> DataFrame:
+    """Left and right texts of one line: in order of y, then row, each takes the first later one of the other side within tolerance that is
+    still free; those left without keep a null side.  Rows behind a gap wider than tolerance are dealt apart."""
+    r = lines.where("side IN ('l', 'r')").select(F.col(by).alias("by"), F.col(y).cast("double").alias("y"), "row", "side", "text")
+    placed = F.col("by").isNotNull() & F.col("y").isNotNull() & ~F.isnan("y")
+    w = Window.partitionBy("by").orderBy("y", "row")
+    far = F.coalesce((F.col("y") - F.lag("y").over(w) > tolerance).cast("int"), F.lit(0))
+    d = r.where(placed).withColumn("_far", far).withColumn("island", F.sum("_far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = d.select("by", "island", "y", "row", "side", "text").repartition(tasks, "by", "island").sortWithinPartitions("by", "island", "y", "row")
+    met = d.mapInPandas(_partners(tolerance), f"by {r.schema['by'].dataType.simpleString()}, l string, r string")
+    lone = r.where(~F.coalesce(placed, F.lit(False))).select("by", F.when(F.col("side") == "l", F.col("text")).alias("l"), F.when(F.col("side") == "r", F.col("text")).alias("r"))
+    return met.unionByName(lone).withColumnRenamed("by", by)
+
+
 def either_key(rows: DataFrame, table: DataFrame, key: Column, first: Column, second: Column, table_id: str) -> DataFrame:
     """Rows with the table's rows one of whose two keys equals theirs: two hash joins rather than one on a disjunction."""
     r = rows.withColumn("_k", key).where("_k != ''")

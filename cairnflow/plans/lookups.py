@@ -126,7 +126,7 @@ def initials_lookup(spark: SparkSession, d: str) -> DataFrame:
 def paired_lines(spark: SparkSession, d: str) -> DataFrame:
     """Left and right texts of a line, unmatched ones with an empty side."""
     p = read(spark, d, "part").select(F.col("p_brand").alias("doc"), F.col("p_partkey").alias("row"), (F.col("p_partkey") % 200 * 7.0).alias("y"), F.when(F.col("p_size") % 2 == 0, "l").otherwise("r").alias("side"), F.col("p_name").alias("text"))
-    return R.fused_lines(p, "doc", "y", 5.0)
+    return R.line_partners(p, "doc", "y", 5.0)
 
 
 @query()
